@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenmart.llm import exact_dedup, sharding, url_filter
+from lumenmart.llm import exact_dedup, language_id, sharding, token_files, url_filter
 from lumenmart.llm.common import table
 
 
@@ -18,37 +18,30 @@ OP1_SQL = r"""SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS g
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents) WINDOW w AS (PARTITION BY norm)"""
 
 
-def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"))
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
 
+    return token_files.encode_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
-def _op9_sql() -> str:
-    """The tree's descent, written out."""
 
-    def draw(name):
-        return f"(-ln((('0x' || substr(md5(doc_id::VARCHAR || '|{name}'), 1, 13))::BIGINT + 0.5::DOUBLE) / {float(1 << 52)!r}::DOUBLE))"
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
 
-    def descend(node):
-        if not node.children:
-            return str(node.shard)
-        draws = [f"{draw(c.name)} / {c.weight!r}::DOUBLE" for c in node.children]
-        if len(draws) == 1:
-            return descend(node.children[0])
-        return "CASE " + " ".join(f"WHEN {d} = least({', '.join(draws)}) THEN {descend(c)}" for c, d in zip(node.children, draws, strict=True)) + " END"
 
-    root = sharding.tree()
-    return f"""WITH placed AS (SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, text,
-        ({descend(root)})::INTEGER AS shard, ({descend(sharding.grown(root, 16))})::INTEGER AS grown_shard FROM documents)
-    SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM placed"""
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op6_url_filter": op6_url_filter, "op9_sharding": op9_sharding}
+    return {
+        "op1_exact_dedup": op1_exact_dedup, "op2_language_id": op2_language_id, "op3_token_files": op3_token_files, "op6_url_filter": op6_url_filter,
+        "op9_sharding": op9_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_url_filter": url_filter.sql(), "op9_sharding": _op9_sql()}
+    return {"op1_exact_dedup": OP1_SQL, "op6_url_filter": url_filter.sql()}

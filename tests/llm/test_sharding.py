@@ -1,3 +1,5 @@
+import hashlib
+import math
 import zlib
 
 from pyspark.sql import functions as F
@@ -5,6 +7,14 @@ from pyspark.sql import functions as F
 from lumenmart.llm import sharding
 
 
+def descend(key, node):
+    """The shard that a key reaches, by hand."""
+    while node.children:
+        draws = [(-math.log((int(hashlib.md5(f"{key}|{c.name}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)) / c.weight, k) for k, c in enumerate(node.children)]
+        node = node.children[min(draws)[1]]
+    return node.shard
+
+
 def test_law_key_and_slots(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("é"), F.col("id")).alias("text"), F.lit(1).alias("shard"))
     rows = sharding.shard(docs).collect()
@@ -12,6 +22,7 @@ def test_law_key_and_slots(spark):
     for r in rows:
         by.setdefault(r.shard, []).append((r.doc_id, r.slot))
         assert r.grown_shard in (r.shard, 16) and r.law == "key"
+        assert r.shard == descend(r.doc_id, sharding.tree()) and r.grown_shard == descend(r.doc_id, sharding.grown(sharding.tree(), 16))
         assert r["size"] == len(f"é{r.doc_id}".encode()) + 1 and r.text_crc32 == zlib.crc32(f"é{r.doc_id}".encode())
     assert set(by) == set(range(16)) and all(150 < len(v) < 350 for v in by.values())
     assert all([s for _, s in sorted(v)] == list(range(len(v))) for v in by.values())
