@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenmart.llm import exact_dedup, language_id, sharding, token_files, url_filter
+from lumenmart.llm import exact_dedup, language_id, near_dedup, sharding, token_files, url_filter
 from lumenmart.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -38,7 +42,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_exact_dedup": op1_exact_dedup, "op2_language_id": op2_language_id, "op3_token_files": op3_token_files, "op6_url_filter": op6_url_filter,
+        "op1_exact_dedup": op1_exact_dedup, "op2_language_id": op2_language_id, "op3_token_files": op3_token_files, "op5_near_dedup": op5_near_dedup, "op6_url_filter": op6_url_filter,
         "op9_sharding": op9_sharding,
     }
 
