@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenmart.llm import exact_dedup, language_id, near_dedup, sharding, token_files, url_filter
+from lumenmart.llm import decontaminate, exact_dedup, html_text, language_id, near_dedup, sharding, token_files, url_filter
 from lumenmart.llm.common import table
 
 
@@ -36,6 +36,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup, "op2_language_id": op2_language_id, "op3_token_files": op3_token_files, "op5_near_dedup": op5_near_dedup, "op6_url_filter": op6_url_filter,
-        "op9_sharding": op9_sharding,
+        "op7_html_extraction": op7_html_extraction, "op8_decontamination": op8_decontamination, "op9_sharding": op9_sharding,
     }
 
 
