@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenmart.llm import decontaminate, exact_dedup, html_text, language_id, near_dedup, sharding, token_files, url_filter
+from lumenmart.llm import decontaminate, exact_dedup, html_text, language_id, near_dedup, sharding, substring_dedup, token_files, url_filter
 from lumenmart.llm.common import table
 
 
@@ -48,10 +48,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup, "op2_language_id": op2_language_id, "op3_token_files": op3_token_files, "op5_near_dedup": op5_near_dedup, "op6_url_filter": op6_url_filter,
         "op7_html_extraction": op7_html_extraction, "op8_decontamination": op8_decontamination, "op9_sharding": op9_sharding,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
