@@ -6,12 +6,14 @@ registers, and a register keeps its earliest arrival. A shingle's process stops
 registers' (early termination). Two texts agree in a register with the probability of their probability Jaccard similarity
 J_P = sum over common i of 1 / sum over j of max(x_j / x_i, y_j / y_i), which for shingles that occur once is plain Jaccard.
 
-Registers are cut into bands; texts that share a band are candidates, and candidates are verified by their exact J_P. Texts with
-the same weighted set are one node from the start, so groups of exact copies are never paired. Within a band's bucket no two
-members are paired as such: in each round a few pivots of the bucket are compared with the members of other components, and a
-bucket is done when one component holds it, or when every member outside its largest component has been a pivot: then every
-pair that could still join two components has been compared. Buckets are joined and combined by plain equi-joins and
-aggregations, links stay in tables, and classes are the connected components of all verified links.
+Registers are cut into bands; texts that share a band are candidates. Candidates whose registers agree so seldom that a J_P of the
+threshold is four standard errors away are dropped, and the others are verified by their exact J_P. Texts with the same weighted
+set are one node from the start, so groups of exact copies are never paired. Nor are the members of a band's bucket: in the
+first rounds one member of the bucket's largest component is compared with the members outside it, another one each time. Then
+members outside the largest component are pivots, compared with all members of other components. A bucket is done when one component holds it, or when every member
+outside its largest component has been a pivot: then every pair that could still join two components has been compared. Buckets
+are joined and combined by plain equi-joins and aggregations, links stay in tables, and classes are the connected components of
+all verified links.
 
 Defined results: case and punctuation don't count, words are runs of ASCII letters and digits and other non-ASCII characters;
 texts of one to four words are one shingle; null, empty and wordless texts are alone in their class, each row of its own id; rows without an id
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from lumenmart.llm.common import kept
 from lumenmart.llm.graphs import components
 
-PIECE = 1 << 20
+PIECE = 1 << 21
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -45,9 +47,16 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 class Settings:
     words: int = 5
     threshold: float = 0.8
-    bands: int = 25
-    rows: int = 5
+    bands: int = 32
+    rows: int = 8
     first_bands: int = 4
+    easy_rounds: int = 3
+
+    @property
+    def least_agreement(self) -> float:
+        """Share of registers (8 bits of each) that agree, four standard errors below what the threshold leads to expect."""
+        expected = self.threshold + (1 - self.threshold) / 256
+        return expected - 4 * (expected * (1 - expected) / (self.bands * self.rows)) ** 0.5
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -128,12 +137,11 @@ def weighted(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarra
     if short:
         own = [np.uint64(xxhash.xxh64_intdigest(w[ends[k] - counts[k] : ends[k]].tobytes())) for k in short]
         sh, sh_of = np.concatenate([sh, np.array(own, np.uint64)]), np.concatenate([sh_of, np.array(short)])
-    order = np.lexsort((sh, sh_of))
-    sh, sh_of = sh[order], sh_of[order]
-    new = np.ones(len(sh), bool)
-    new[1:] = (sh[1:] != sh[:-1]) | (sh_of[1:] != sh_of[:-1])
-    at = np.flatnonzero(new)
-    return sh_of[at], sh[at], np.diff(np.append(at, len(sh))).astype(np.int64)
+    # The text's number stands above 52 bits of the hash, so one plain sort orders by both.
+    key = np.sort((sh_of.astype(np.uint64) << np.uint64(52)) | (sh >> np.uint64(12)))
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    times = np.diff(np.append(at, len(key))).astype(np.int64)
+    return (key[at] >> np.uint64(52)).astype(np.int64), key[at] & np.uint64((1 << 52) - 1), times
 
 
 def registers(of: np.ndarray, shingles: np.ndarray, weights: np.ndarray, texts: int, m: int) -> np.ndarray:
@@ -181,7 +189,7 @@ def _slices(of: np.ndarray, n: int) -> np.ndarray:
 
 
 def mark(docs: DataFrame, s: Settings) -> DataFrame:
-    """docs: id, content, text. Gives id, content, node (hash of the weighted set; of the id where there is none), keys (of bands)."""
+    """docs: id, content, text. Gives id, content, node (hash of the weighted set; of the id where there is none), keys (of bands), registers (8 bits of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,17 +197,20 @@ def mark(docs: DataFrame, s: Settings) -> DataFrame:
             for a, z in _chunks(texts.to_pylist()):
                 of, sh, w = weighted(texts.slice(a, z - a).to_pylist(), s.words)
                 cut = _slices(of, z - a)
-                keys = band_keys(registers(of, sh, w, z - a, s.bands * s.rows), s.bands, s.rows).view(np.int64)
+                held = registers(of, sh, w, z - a, s.bands * s.rows)
+                keys = band_keys(held, s.bands, s.rows).view(np.int64)
+                short = (mixed(held) & np.uint64(255)).astype(np.uint8)
                 nodes, lists = [], []
                 for k in range(z - a):
                     i, j = cut[k], cut[k + 1]
                     nodes.append(xxhash.xxh3_128_digest(sh[i:j].tobytes() + w[i:j].tobytes() if j > i else f"none {ids[a + k]}".encode()))
                     lists.append(keys[k] if j > i else None)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), pa.array(nodes, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["id", "content", "node", "keys"]
+                    [b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), pa.array(nodes, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())],
+                    names=["id", "content", "node", "keys", "registers"],
                 )
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, content long, node binary, keys array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, content long, node binary, keys array<long>, registers binary")
 
 
 def sets(docs: DataFrame, s: Settings) -> DataFrame:
@@ -217,19 +228,35 @@ def sets(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.mapInArrow(run, "node binary, shingles array<long>, weights array<long>")
 
 
-def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
-    """J_P of two weighted sets (sorted shingles, weights)."""
+def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, least: float = 0.0) -> float:
+    """J_P of two weighted sets (sorted shingles, weights); 0 where an upper bound of it is below least."""
     at = np.minimum(np.searchsorted(a, b), len(a) - 1)
     hit = a[at] == b
-    u, v = np.concatenate([x, np.zeros(int((~hit).sum()), np.int64)]), np.zeros(len(a) + int((~hit).sum()), np.int64)
-    v[at[hit]] = y[hit]
-    v[len(a) :] = y[~hit]
-    kinds, times = np.unique(np.stack([u, v]), axis=1, return_counts=True)
-    total = 0.0
-    for (p, q), n in zip(kinds.T.tolist(), times.tolist(), strict=True):
-        if p and q:
-            total += n / float((np.maximum(kinds[0] / p, kinds[1] / q) * times).sum())
-    return total
+    u, v = x[at[hit]], y[hit]
+    if np.minimum(u / x.sum(), v / y.sum()).sum() < least:
+        return 0.0
+    if x.max() == 1 == y.max():
+        return len(u) / (len(a) + len(b) - len(u))
+    only_x = np.ones(len(a), bool)
+    only_x[at[hit]] = False
+    p, q = np.concatenate([u, x[only_x], np.zeros(int((~hit).sum()), np.int64)]), np.concatenate([v, np.zeros(int(only_x.sum()), np.int64), y[~hit]])
+    kinds, times = np.unique((p << 32) | q, return_counts=True)
+    p, q = kinds >> 32, kinds & 0xFFFFFFFF
+    return sum(n / float((np.maximum(p / i, q / j) * times).sum()) for i, j, n in zip(p.tolist(), q.tolist(), times.tolist(), strict=True) if i and j)
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose registers agree often enough."""
+    left = sketches.select(F.col("node").alias("a"), F.col("registers").alias("ra"))
+    right = sketches.select(F.col("node").alias("b"), F.col("registers").alias("rb"))
+    m, least = s.bands * s.rows, s.least_agreement
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, m) for c in batch.columns[2:])
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb").mapInArrow(run, "a binary, b binary")
 
 
 def verify(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
@@ -244,48 +271,64 @@ def verify(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame
             good = []
             for k in range(batch.num_rows):
                 sa, wa, sb, wb = (x[c[k] : c[k + 1]] for x, c in zip(cols, cuts, strict=True))
-                good.append(len(sa) > 0 and len(sb) > 0 and similarity(sa.view(np.uint64), wa, sb.view(np.uint64), wb) >= threshold - 1e-12)
+                good.append(len(sa) > 0 and len(sb) > 0 and similarity(sa.view(np.uint64), wa, sb.view(np.uint64), wb, threshold - 1e-9) >= threshold - 1e-12)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(run, "a binary, b binary")
 
 
-def _round(members: DataFrame, roots: DataFrame, tested: DataFrame | None, slots: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare in this round and the pivots (key, node) that they come from."""
+def _open_buckets(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, node, root of the buckets that several components share; and each one's largest component."""
     at = members.join(roots, "node")
     mixed_up = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    at = at.join(mixed_up, "key")
+    at = kept(at.join(mixed_up, "key").select("key", "node", "root"), "bucket-members")
+    sizes = at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    return at, sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"))
+
+
+def _easy_round(at: DataFrame, most: DataFrame, k: int) -> DataFrame:
+    """Pairs of one member of each bucket's largest component with the members outside."""
+    placed = at.join(most, "key")
+    drawn = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node")
+    pivots = placed.filter("root = most").groupBy("key", "most").agg(F.min(drawn)["node"].alias("pivot"))
+    pairs = at.join(pivots, "key").filter("root <> most")
+    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
+def _full_round(at: DataFrame, most: DataFrame, tested: DataFrame | None, slots: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of some untested members outside the largest component with the members of other components; and those pivots."""
+    free = at.join(most, "key").filter("root <> most")
     if tested is not None:
-        at = at.join(tested.withColumn("done", F.lit(True)), ["key", "node"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    else:
-        at = at.withColumn("done", F.lit(False))
-    at = kept(at, "bucket-members")
-    sizes = at.groupBy("key", "root").agg(F.count_if(~F.col("done")).alias("n"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"))
-    free = at.filter("NOT done").join(most, "key").filter("root <> most")
+        free = free.join(tested, ["key", "node"], "left_anti")
     slot = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(slots))
-    pivots = kept(free.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")), "pivots")
-    pairs = at.join(pivots, "key").filter("root <> pivot_root").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    return pairs, pivots.select("key", F.col("pivot").alias("node"))
+    pivots = free.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root")).alias("p"))
+    pivots = kept(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")), "pivots")
+    pairs = at.join(pivots, "key").filter("root <> pivot_root")
+    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), pivots.select("key", F.col("pivot").alias("node"))
 
 
-def _roots(banded: DataFrame, shingles: DataFrame, s: Settings) -> DataFrame:
+def _roots(banded: DataFrame, sketches: DataFrame, shingles: DataFrame, s: Settings) -> DataFrame:
     """node, root of nodes that share a band. banded: key, band, node, of buckets with two nodes at least."""
     roots = kept(banded.select("node").distinct().select("node", F.col("node").alias("root")), "roots")
-    tested, k = None, 0
+    tested, compared, k = None, None, 0
     while True:
-        first = k == 0 and s.first_bands < s.bands
-        members = banded.filter(F.col("band") < s.first_bands) if first else banded
-        pairs, pivots = _round(members.select("key", "node"), roots, tested, 1 << max(0, k - 2), k)
-        if not first and pivots.isEmpty():
-            return roots
-        links = kept(verify(pairs, shingles, s.threshold), "links")
+        members = banded.filter(F.col("band") < s.first_bands) if k == 0 else banded
+        at, most = _open_buckets(members.select("key", "node"), roots)
+        if k < s.easy_rounds:
+            pairs = _easy_round(at, most, k)
+        else:
+            pairs, pivots = _full_round(at, most, tested, 4 ** (k - s.easy_rounds + 1), k)
+            if pivots.isEmpty():
+                return roots
+            tested = pivots if tested is None else tested.unionByName(pivots)
+        pairs = kept(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        links = kept(verify(likely(pairs, sketches, s), shingles, s.threshold), "links")
         if not links.isEmpty():
             of = roots.withColumnRenamed("root", "r")
             edges = links.join(of.select(F.col("node").alias("a"), F.col("r").alias("ra")), "a").join(of.select(F.col("node").alias("b"), F.col("r").alias("rb")), "b")
             new = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("old"), F.col("root").alias("new"))
             roots = kept(roots.join(new, roots["root"] == new["old"], "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
-        tested = pivots if tested is None else tested.unionByName(pivots)
         k += 1
 
 
@@ -293,14 +336,15 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFr
     """id, content, class_id, class_size: one row for each row with an id."""
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("content"), docs[text_col].alias("text")).filter("id IS NOT NULL")
     marked = kept(mark(rows, s), "marked")
-    nodes = kept(marked.groupBy("node").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min_by("content", "id").alias("content"), F.min_by("keys", "id").alias("keys")), "nodes")
+    nodes = kept(marked.groupBy("node").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min_by("content", "id").alias("content"), F.min_by("keys", "id").alias("keys"), F.min_by("registers", "id").alias("registers")), "nodes")
     exploded = nodes.filter("keys IS NOT NULL").select("node", F.posexplode("keys").alias("band", "key"))
     shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     banded = kept(exploded.join(shared, "key"), "banded")
     wanted = banded.select("node").distinct().join(nodes.select("node", "first_id", "content"), "node")
     texts = rows.join(wanted, (rows["id"] == wanted["first_id"]) & (rows["content"] == wanted["content"])).select("node", "text")
     shingles = kept(sets(texts, s).dropDuplicates(["node"]), "sets")
-    roots = _roots(banded, shingles, s)
+    sketches = kept(nodes.join(banded.select("node").distinct(), "node", "left_semi").select("node", "registers"), "sketches")
+    roots = _roots(banded, sketches, shingles, s)
     placed = nodes.select("node", "first_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = placed.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
     of_node = kept(placed.join(groups, "root").select("node", "class_id", "class_size"), "classes")
