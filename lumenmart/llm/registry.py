@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenmart.llm import decontaminate, exact_dedup, html_text, language_id, near_dedup, sharding, substring_dedup, token_files, url_filter
+import corpus_pipeline
+from lumenmart.llm import decontaminate, exact_dedup, html_text, language_id, near_dedup, piece_lattice, sharding, substring_dedup, token_files, url_filter
 from lumenmart.llm.common import table
 
 
@@ -28,6 +29,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of the ids of each text, and whether decoding them gives the text back."""
+    import public_tokenizers
+
+    model, docs = public_tokenizers.path("piece_bpe_32k.model"), table(spark, sf_dir, "documents")
+    return piece_lattice.encode_and_check(docs, model)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -54,9 +63,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_exact_dedup": op1_exact_dedup, "op2_language_id": op2_language_id, "op3_token_files": op3_token_files, "op5_near_dedup": op5_near_dedup, "op6_url_filter": op6_url_filter,
+        "op1_exact_dedup": op1_exact_dedup, "op2_language_id": op2_language_id, "op3_token_files": op3_token_files, "op4_sentencepiece": op4_sentencepiece, "op5_near_dedup": op5_near_dedup, "op6_url_filter": op6_url_filter,
         "op7_html_extraction": op7_html_extraction, "op8_decontamination": op8_decontamination, "op9_sharding": op9_sharding,
-        "op10_substring_dedup": op10_substring_dedup,
+        "op10_substring_dedup": op10_substring_dedup, "pipeline": corpus_pipeline.run,
     }
 
 
