@@ -1,29 +1,27 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Terms are the words of the benchmark. One pass over the whole texts keeps, for each document, the positions of terms; what
-follows reads these positions only. Passages are windows of 32 words in steps of 16. Their TF-IDF matrix A (document
-frequencies over all passages; terms in more than `common` of the passages carry no weight, but for the rarest few of each
+follows reads these positions only. Passages are windows of 32 words; those that don't overlap make up the TF-IDF matrix A (document
+frequencies over all passages; terms in more than `common` of the passages carry no weight, but for the `weighted` rarest of each
 item) is factored by a randomised SVD: a random test matrix, two products with A^T A, each a distributed pass whose partial sums Spark
 adds up term by term, and a small eigenproblem on the driver; its size is terms x rank, whatever the corpus. Items and
-passages meet in the latent space: an item is a candidate of a passage at a cosine of at least `cosine`. A candidate counts as
+passages, now in steps of 16 words, meet in the latent space: an item is a candidate of a passage at a cosine of at least `cosine`. A candidate counts as
 contamination where the longest common subsequence of words covers `verbatim` of the item, or `paraphrase` of it while
 `answer` of the item's telling words (its rarest) are there too.
 
 The subsequence is exact: words outside the benchmark can't be part of one, so positions of terms are all that it needs.
 Nothing of a document's is collected; a document's passages are compared where it lies.
 
-Defined results: case and punctuation don't count; null and empty texts and items have no passages; equal items are found each under its
+Defined results: case and punctuation don't count, words are runs of ASCII letters and digits and other non-ASCII characters; null and empty texts and items have no passages; equal items are found each under its
 own id; rows that repeat are answered as often as they come; null ids are answered with a null id; with an empty table or benchmark nothing is found;
 extra columns are ignored (`contaminated`) or stay as they are (`clean`).
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenmart.llm.common import kept
-
-WORD = re.compile(r"[^\W_]+")
+from lumenmart.llm.near_dedup import PIECE, _pieces, word_hashes
 
 
 @dataclass(frozen=True)
@@ -41,12 +38,13 @@ class Settings:
 
     block: int = 16
     blocks: int = 2
-    common: float = 0.02
+    common: float = 0.005
     telling: int = 5
-    rank: int = 192
+    weighted: int = 10
+    rank: int = 128
     oversampling: int = 16
     max_terms: int = 50_000
-    cosine: float = 0.4
+    cosine: float = 0.45
     verbatim: float = 0.8
     paraphrase: float = 0.6
     answer: float = 0.8
@@ -55,43 +53,76 @@ class Settings:
 
 @dataclass
 class Benchmark:
-    """Items as term numbers, and the vocabulary."""
+    """Items as term numbers; terms: the sorted hashes of their words."""
 
     ids: list
     items: list[np.ndarray]
-    terms: dict[str, int]
+    terms: np.ndarray
 
 
-def read_benchmark(benchmark: DataFrame, id_col: str, text_col: str) -> Benchmark:
-    """The benchmark is small beside any corpus and is read by the driver."""
-    rows = [(r[0], WORD.findall((r[1] or "").lower())) for r in benchmark.select(benchmark[id_col], benchmark[text_col]).collect()]
-    rows = [(i, w) for i, w in rows if w]
-    terms: dict[str, int] = {}
-    items = [np.array([terms.setdefault(x, len(terms)) for x in w], np.int32) for _, w in rows]
-    return Benchmark([i for i, _ in rows], items, terms)
+def words_of(text: str | None) -> np.ndarray:
+    """The words' hashes, in order."""
+    parts = [word_hashes(piece)[0] for piece in _pieces(text or "")]
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
-def positions(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
+def read_benchmark(benchmark: DataFrame, id_col: str, text_col: str) -> Benchmark:
+    """The benchmark is small beside any corpus and is read by the driver."""
+    rows = [(r[0], words_of(r[1])) for r in benchmark.select(benchmark[id_col], benchmark[text_col]).collect()]
+    rows = [(i, w) for i, w in rows if len(w)]
+    terms = np.unique(np.concatenate([w for _, w in rows])) if rows else np.empty(0, np.uint64)
+    return Benchmark([i for i, _ in rows], [np.searchsorted(terms, w).astype(np.int32) for _, w in rows], terms)
+
+
+def term_hits(texts: list[str | None], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """text number, word position and term of each term in some texts."""
+    out, waiting, owner, size, seen = [], [], [], 0, np.zeros(len(texts), np.int64)
+
+    def flush():
+        h, first = word_hashes(b"\n".join(waiting))
+        of = np.array(owner)[np.searchsorted(np.cumsum([len(x) + 1 for x in waiting]), first, side="right")]
+        begin = np.searchsorted(of, np.arange(len(texts) + 1))
+        at = np.arange(len(h)) - begin[of] + seen[of]
+        seen[:] += np.diff(begin)
+        t = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+        hit = terms[t] == h
+        out.append((of[hit], at[hit], t[hit]))
+        waiting.clear(), owner.clear()
+
+    for k, text in enumerate(texts):
+        for piece in _pieces(text or ""):
+            waiting.append(piece), owner.append(k)
+            size += len(piece)
+            if size > PIECE:
+                flush()
+                size = 0
+    if waiting:
+        flush()
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+
+
+def positions(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     """docs: id, content, text. Gives id, content, at and term (lists) for the documents with terms."""
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = sent.value.get
-        for b in batches:
-            at, found, sizes, rows = [], [], [0], []
-            for k, text in enumerate(b.column(2)):
-                words = WORD.findall((text.as_py() or "").lower())
-                t = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-                hit = np.flatnonzero(t >= 0)
-                if len(hit):
-                    at.append(hit.astype(np.int32)), found.append(t[hit]), sizes.append(len(hit)), rows.append(k)
-            cut = pa.array(np.cumsum(sizes), pa.int32())
-            lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate(x) if x else np.empty(0, np.int32))) for x in (at, found)]
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int32())) for c in b.columns[:2]), *lists], names=["id", "content", "at", "term"])
+        for part in _parts(batches):
+            of, at, term = term_hits(part.column(2).to_pylist(), sent.value)
+            rows, begin = np.unique(of, return_index=True)
+            cut = pa.array(np.append(begin, len(of)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (at, term)]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int32())) for c in part.columns[:2]), *lists], names=["id", "content", "at", "term"])
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, content long, at array<int>, term array<int>")
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what is made of them stays small."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def _flat(b: pa.RecordBatch, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, block and term of each hit; blocks number through the batch, with room for windows between documents."""
     at, term = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
@@ -106,10 +137,11 @@ def _flat(b: pa.RecordBatch, s: Settings) -> tuple[np.ndarray, np.ndarray, np.nd
     return row, block + base[row], term
 
 
-def _windows(block: np.ndarray, term: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """window, term, count: window w covers blocks w to w + blocks - 1."""
+def _windows(block: np.ndarray, term: np.ndarray, s: Settings, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """window, term, count: window w covers blocks w to w + blocks - 1. apart: only windows that don't overlap."""
     n = int(term.max()) + 1 if len(term) else 1
-    keys = np.concatenate([(block.astype(np.int64) - j) * n + term for j in range(s.blocks)])
+    block = block.astype(np.int64)
+    keys = block // s.blocks * s.blocks * n + term if apart else np.concatenate([(block - j) * n + term for j in range(s.blocks)])
     keys, times = np.unique(keys, return_counts=True)
     return keys // n, keys % n, times
 
@@ -119,9 +151,9 @@ def document_frequencies(hits: DataFrame, s: Settings) -> tuple[dict[int, int],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted, passages = Counter(), 0
-        for b in batches:
+        for b in _parts(batches):
             _, block, term = _flat(b, s)
-            window, t, _ = _windows(block, term, s)
+            window, t, _ = _windows(block, term, s, apart=True)
             passages += len(np.unique(window))
             ids, n = np.unique(t, return_counts=True)
             counted.update(dict(zip(ids.tolist(), n.tolist(), strict=True)))
@@ -140,8 +172,8 @@ def _product(hits: DataFrame, weight: np.ndarray, q: np.ndarray, s: Settings) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, q = sent.value
         total, used = np.zeros(q.shape, np.float32), np.zeros(len(q), bool)
-        for b in batches:
-            for window, t, v in _rows(b, weight, s):
+        for b in _parts(batches):
+            for window, t, v in _rows(b, weight, s, apart=True):
                 y = np.add.reduceat(q[t] * v[:, None], np.flatnonzero(np.r_[True, window[1:] != window[:-1]]), axis=0)
                 of = np.cumsum(np.r_[0, window[1:] != window[:-1]])
                 order = np.argsort(t, kind="stable")
@@ -165,11 +197,11 @@ def _product(hits: DataFrame, weight: np.ndarray, q: np.ndarray, s: Settings) ->
     return out
 
 
-def _rows(b: pa.RecordBatch, weight: np.ndarray, s: Settings, least: int = 2, at_once: int = 60_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """window, term, value of unit-length TF-IDF rows with `least` weighted terms, some whole windows at a time."""
+def _rows(b: pa.RecordBatch, weight: np.ndarray, s: Settings, apart: bool, least: int = 3, at_once: int = 60_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """window, term, value of unit-length TF-IDF rows with at least `least` different weighted terms, some whole windows at a time."""
     _, block, term = _flat(b, s)
     heavy = weight[term] > 0
-    window, t, n = _windows(block[heavy], term[heavy], s)
+    window, t, n = _windows(block[heavy], term[heavy], s, apart)
     if not len(window):
         return
     first = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
@@ -194,6 +226,16 @@ class Space:
     items: np.ndarray
     telling: list[np.ndarray]
 
+    def membership(self, bench: Benchmark) -> dict[int, np.ndarray]:
+        """Whether each term is in an item; made for the items that come up."""
+
+        class Made(dict):
+            def __missing__(made, j):
+                made[j] = np.isin(np.arange(len(self.weight)), bench.items[j])
+                return made[j]
+
+        return Made()
+
 
 def fit(hits: DataFrame, bench: Benchmark, s: Settings) -> Space:
     df, passages = document_frequencies(hits, s)
@@ -201,9 +243,9 @@ def fit(hits: DataFrame, bench: Benchmark, s: Settings) -> Space:
     idf = np.log((passages + 1) / (n + 1)) + 1e-3
     weight, telling = np.where(n <= s.common * max(1, passages), idf, 0.0), []
     for item in bench.items:
-        rarest = sorted(set(item.tolist()), key=lambda t: (-idf[t], t))[: s.telling]
-        telling.append(np.array(rarest, np.int32))
-        weight[rarest] = idf[rarest]
+        rarest = sorted(set(item.tolist()), key=lambda t: (-idf[t], t))
+        telling.append(np.array(rarest[: s.telling], np.int32))
+        weight[rarest[: s.weighted]] = idf[rarest[: s.weighted]]
     if (weight > 0).sum() > s.max_terms:
         weight[weight < np.sort(weight)[-s.max_terms]] = 0
     rows = np.zeros((len(bench.items), len(weight)))
@@ -242,8 +284,9 @@ def _search(b: pa.RecordBatch, bench: Benchmark, space: Space, s: Settings) -> l
     row, block, _ = _flat(b, s)
     at_all, term_all = b.column(b.num_columns - 2).flatten().to_numpy(), b.column(b.num_columns - 1).flatten().to_numpy()
     first_of_row = np.searchsorted(row, np.arange(b.num_rows + 1))
+    of_item = space.membership(bench)
     best: dict[tuple[int, int], tuple] = {}
-    for window, t, v in _rows(b, space.weight, s):
+    for window, t, v in _rows(b, space.weight, s, apart=False):
         starts = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
         latent = np.add.reduceat(space.basis[t] * v[:, None], starts, axis=0)
         cos = latent @ space.items.T
@@ -257,6 +300,9 @@ def _search(b: pa.RecordBatch, bench: Benchmark, space: Space, s: Settings) -> l
             lo, hi = begin - len(item), begin + s.block * s.blocks + len(item)
             p, q = a + np.searchsorted(at_all[a:z], [lo, hi])
             passage = term_all[p:q]
+            # As many of the passage's words at most can be common.
+            if of_item[j][passage].sum() < s.paraphrase * len(item):
+                continue
             share = lcs(item, passage) / len(item)
             if share >= s.paraphrase:
                 answer = float(np.isin(space.telling[j], passage).mean())
@@ -280,7 +326,7 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench, space = sent.value
-        for b in batches:
+        for b in _parts(batches):
             got = _search(b, bench, space, s)
             k, j, *rest = zip(*got, strict=True) if got else ((),) * 6
             yield pa.RecordBatch.from_arrays(
