@@ -45,6 +45,7 @@ class Settings:
     oversampling: int = 16
     max_terms: int = 50_000
     cosine: float = 0.45
+    full_cosine: float = 0.4
     verbatim: float = 0.8
     paraphrase: float = 0.6
     answer: float = 0.8
@@ -224,8 +225,16 @@ class Space:
     weight: np.ndarray
     basis: np.ndarray
     items: np.ndarray
+    keys: np.ndarray
+    values: np.ndarray
     telling: list[np.ndarray]
 
+    def value(self, item: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Entries of the items' unit-length rows, which are kept sparse: keys are item * terms + term."""
+        wanted = item * len(self.weight) + term
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.values[at], 0)
+
     def membership(self, bench: Benchmark) -> dict[int, np.ndarray]:
         """Whether each term is in an item; made for the items that come up."""
 
@@ -248,20 +257,35 @@ def fit(hits: DataFrame, bench: Benchmark, s: Settings) -> Space:
         weight[rarest[: s.weighted]] = idf[rarest[: s.weighted]]
     if (weight > 0).sum() > s.max_terms:
         weight[weight < np.sort(weight)[-s.max_terms]] = 0
-    rows = np.zeros((len(bench.items), len(weight)))
+    keys, values = [], []
     for k, item in enumerate(bench.items):
         t, c = np.unique(item, return_counts=True)
-        rows[k, t] = weight[t] * (1 + np.log(c))
-    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+        v = weight[t] * (1 + np.log(c))
+        keys.append(k * len(weight) + t.astype(np.int64))
+        values.append(v / max(np.linalg.norm(v), 1e-12))
+    keys, values = np.concatenate(keys), np.concatenate(values)
+    of, term = keys // len(weight), keys % len(weight)
+
+    def items_product(x: np.ndarray) -> np.ndarray:
+        """The items' rows times x."""
+        out = np.zeros((len(bench.items), x.shape[1]))
+        np.add.at(out, of, x[term] * values[:, None])
+        return out
+
+    def items_part(x: np.ndarray) -> np.ndarray:
+        out, y = np.zeros(x.shape), items_product(x)
+        np.add.at(out, term, y[of] * values[:, None])
+        return out
+
     rank = min(s.rank + s.oversampling, len(weight))
     q = np.linalg.qr(np.random.default_rng(s.seed).standard_normal((len(weight), rank)))[0]
     # The items are passages too: a benchmark that the corpus never shows still has its directions.
-    q = np.linalg.qr(_product(hits, weight, q, s) + rows.T @ (rows @ q))[0]
-    z = _product(hits, weight, q, s) + rows.T @ (rows @ q)
+    q = np.linalg.qr(_product(hits, weight, q, s) + items_part(q))[0]
+    z = _product(hits, weight, q, s) + items_part(q)
     values, vectors = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
     basis = (q @ vectors[:, np.argsort(-values)[: s.rank]]).astype(np.float32)
-    items = rows @ basis
-    return Space(weight.astype(np.float32), basis, (items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)).astype(np.float32), telling)
+    items = items_product(basis)
+    return Space(weight.astype(np.float32), basis, (items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)).astype(np.float32), keys, values.astype(np.float32), telling)
 
 
 def lcs(item: np.ndarray, passage: np.ndarray) -> int:
@@ -291,7 +315,12 @@ def _search(b: pa.RecordBatch, bench: Benchmark, space: Space, s: Settings) -> l
         latent = np.add.reduceat(space.basis[t] * v[:, None], starts, axis=0)
         cos = latent @ space.items.T
         cos /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-6)
-        for i, j in zip(*np.nonzero(cos >= s.cosine), strict=True):
+        near, which = np.nonzero(cos >= s.cosine)
+        # The latent space has fewer dimensions than there are items: a candidate must come near in the full space too.
+        sizes = np.diff(np.r_[starts, len(window)])[near]
+        terms = np.repeat(starts[near] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+        full = np.bincount(np.repeat(np.arange(len(near)), sizes), v[terms] * space.value(np.repeat(which, sizes), t[terms]), minlength=len(near)) if len(near) else np.empty(0)
+        for i, j in zip(near[full >= s.full_cosine].tolist(), which[full >= s.full_cosine].tolist(), strict=True):
             w, item = int(window[starts[i]]), bench.items[j]
             # The document of the window, and its terms from one item before the window to one after.
             k = int(row[min(np.searchsorted(block, w), len(row) - 1)])
