@@ -45,7 +45,7 @@ class Settings:
     oversampling: int = 16
     max_terms: int = 50_000
     cosine: float = 0.45
-    full_cosine: float = 0.4
+    full_cosine: float = 0.3
     verbatim: float = 0.8
     paraphrase: float = 0.6
     answer: float = 0.8
@@ -282,8 +282,8 @@ def fit(hits: DataFrame, bench: Benchmark, s: Settings) -> Space:
     # The items are passages too: a benchmark that the corpus never shows still has its directions.
     q = np.linalg.qr(_product(hits, weight, q, s) + items_part(q))[0]
     z = _product(hits, weight, q, s) + items_part(q)
-    values, vectors = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
-    basis = (q @ vectors[:, np.argsort(-values)[: s.rank]]).astype(np.float32)
+    strengths, vectors = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+    basis = (q @ vectors[:, np.argsort(-strengths)[: s.rank]]).astype(np.float32)
     items = items_product(basis)
     return Space(weight.astype(np.float32), basis, (items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)).astype(np.float32), keys, values.astype(np.float32), telling)
 
