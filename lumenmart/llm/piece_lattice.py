@@ -317,7 +317,9 @@ def _fill(rows: DataFrame) -> DataFrame:
 def encode_texts(texts: DataFrame, model: str, s: Settings) -> DataFrame:
     """texts: id, content (a hash of the text), text. id, tokens (little-endian 32 bits) for each row."""
     spark = texts.sparkSession
-    units = kept(segment(count_units(texts.select("text"), model).repartition("unit"), model, s), "units")
+    # Few bytes make much work here, so there are more partitions than their size asks for; grouping edges by unit needs no other.
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    units = kept(segment(count_units(texts.select("text"), model).repartition(parts, "unit"), model, s), "units")
     top = units.orderBy(F.desc("times"), "unit").limit(s.frequent).select("unit", "tokens").toArrow()
     frequent = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
     first = kept(_first_pass(texts, model, frequent, s), "first-pass")
