@@ -3,8 +3,8 @@
 Terms are the words of the benchmark. One pass over the whole texts keeps, for each document, the positions of terms; what
 follows reads these positions only. Passages are windows of 32 words; those that don't overlap make up the TF-IDF matrix A (document
 frequencies over all passages; terms in more than `common` of the passages carry no weight, but for the `weighted` rarest of each
-item) is factored by a randomised SVD: a random test matrix, two products with A^T A, each a distributed pass whose partial sums Spark
-adds up term by term, and a small eigenproblem on the driver; its size is terms x rank, whatever the corpus. Items and
+item) is factored by a randomised SVD: a random test matrix, its product with A^T A, a distributed pass whose partial sums Spark
+adds up term by term, and a small decomposition on the driver; its size is terms x rank, whatever the corpus. Items and
 passages, now in steps of 16 words, meet in the latent space: an item is a candidate of a passage at a cosine of at least `cosine`. A candidate counts as
 contamination where the longest common subsequence of words covers `verbatim` of the item, or `paraphrase` of it while
 `answer` of the item's telling words (its rarest) are there too.
@@ -278,12 +278,15 @@ def fit(hits: DataFrame, bench: Benchmark, s: Settings) -> Space:
         return out
 
     rank = min(s.rank + s.oversampling, len(weight))
-    q = np.linalg.qr(np.random.default_rng(s.seed).standard_normal((len(weight), rank)))[0]
-    # The items are passages too: a benchmark that the corpus never shows still has its directions.
-    q = np.linalg.qr(_product(hits, weight, q, s) + items_part(q))[0]
-    z = _product(hits, weight, q, s) + items_part(q)
-    strengths, vectors = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
-    basis = (q @ vectors[:, np.argsort(-strengths)[: s.rank]]).astype(np.float32)
+    test = np.linalg.qr(np.random.default_rng(s.seed).standard_normal((len(weight), rank)))[0]
+    # The items are passages too: a benchmark that the corpus never shows still has its directions. One product gives the right
+    # singular vectors by Nystroem's approximation: A^T A ~ Y (Q^T Y)^-1 Y^T with Y = A^T A Q, shifted a little to stay definite.
+    y = _product(hits, weight, test, s) + items_part(test)
+    shift = np.sqrt(len(weight)) * 1e-6 * max(np.linalg.norm(y), 1e-6)
+    y = y + shift * test
+    core = test.T @ y
+    b = np.linalg.solve(np.linalg.cholesky((core + core.T) / 2 + shift * np.eye(rank)), y.T).T
+    basis = np.linalg.svd(b, full_matrices=False)[0][:, : s.rank].astype(np.float32)
     items = items_product(basis)
     return Space(weight.astype(np.float32), basis, (items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)).astype(np.float32), keys, values.astype(np.float32), telling)
 
