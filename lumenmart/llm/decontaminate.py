@@ -44,7 +44,7 @@ class Settings:
     rank: int = 128
     oversampling: int = 16
     max_terms: int = 50_000
-    cosine: float = 0.45
+    cosine: float = 0.4
     full_cosine: float = 0.3
     verbatim: float = 0.8
     paraphrase: float = 0.6
