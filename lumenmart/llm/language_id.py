@@ -17,11 +17,10 @@ stay as they are (`keep_recognised`).
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenmart.llm.common import kept
+
 LETTERS = re.compile(r"[^\W\d_]+")
 LENGTHS = (5, 4, 3, 2, 1)
 
@@ -81,35 +82,49 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass
 class Model:
-    """langs; table: for each n (0: words) the log frequencies by gram; unseen: those of a gram with count 0."""
+    """langs; rows: for each n (0: words) the row of each gram in scores, its log frequencies by language."""
 
     langs: list[str]
-    table: dict[int, dict[str, np.ndarray]]
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
+    rows: dict[int, dict[str, int]]
+    scores: np.ndarray
     remembered: int = 200_000
 
-    def word(self, w: str) -> np.ndarray:
-        found = self.cache.get(w)
-        if found is None:
-            found = self.table[0].get(w)
-            for n in LENGTHS if found is None else ():
-                known = [v for g in grams(w, n) if (v := self.table[n].get(g)) is not None]
-                if known:
-                    found = sum(known) / len(known)
+    def __post_init__(self):
+        self.known, self.free = dict(self.rows.get(0, {})), len(self.scores)
+        self.table = np.concatenate([self.scores, np.zeros((self.remembered, len(self.langs)))])
+
+    def _learn(self, words: list[str]) -> None:
+        """Gives unseen words rows: the mean of their known n-grams of the greatest length that has any."""
+        if self.free + len(words) > len(self.table):
+            self.known, self.free = dict(self.rows[0]), len(self.scores)
+            if self.free + len(words) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((len(words), len(self.langs)))])
+        parts, starts, sizes, empty = [], [], [], []
+        for k, w in enumerate(words):
+            for n in LENGTHS:
+                if found := [r for r in map(self.rows[n].get, grams(w, n)) if r is not None]:
+                    starts.append(len(parts)), sizes.append(len(found))
+                    parts += found
                     break
-            if found is None:
-                found = np.zeros(len(self.langs))
-            if len(self.cache) >= self.remembered:
-                self.cache.clear()
-            self.cache[w] = found
-        return found
+            else:
+                empty.append(k)
+            self.known[w] = self.free + k
+        some = np.setdiff1d(np.arange(len(words)), empty)
+        self.table[self.free : self.free + len(words)] = 0
+        if parts:
+            self.table[self.free + some] = np.add.reduceat(self.scores[parts], starts, axis=0) / np.array(sizes)[:, None]
+        self.free += len(words)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counted = Counter(LETTERS.findall(text.lower())) if text else None
         if not counted or not self.langs:
             return "und", 0.0
-        get = self.word
-        total = np.array(list(counted.values()), dtype=float) @ np.array([get(w) for w in counted])
+        if unseen := [w for w in counted if w not in self.known]:
+            self._learn(unseen)
+            if any(w not in self.known for w in counted):  # the table was emptied
+                self._learn([w for w in counted if w not in self.known])
+        at = np.fromiter(map(self.known.__getitem__, counted), np.int64, len(counted))
+        total = np.fromiter(counted.values(), float, len(counted)) @ self.table[at]
         p = np.exp(total - total.max())
         p /= p.sum()
         best = int(p.argmax())
@@ -124,32 +139,31 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if total > s.train_rows:
         share = int(s.train_rows / total * 1_000_000)
         rows = rows.filter(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1_000_000)) < share)
-    counts = (
+    counts = kept(
         rows.select("lang", "text").mapInPandas(_count, "lang string, n int, gram string, count long")
         .groupBy("n", "gram", "lang").agg(F.sum("count").alias("count"))
-        .groupBy("n", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"), F.sum("count").alias("all"))
+        .groupBy("n", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"), F.sum("count").alias("all")),
+        "counts",
     )
     found = {n: counts.filter(F.col("n") == n).orderBy(F.desc("all"), "gram").limit(s.max_grams if n else s.max_words).select("gram", "by").collect() for n in (0, *LENGTHS)}
     langs = sorted({lang for r in found[0] for lang in r["by"]})
-    table = {}
-    for n, kept_rows in found.items():
-        sums = Counter()
-        for r in kept_rows:
-            sums.update(r["by"])
-        base = {lang: math.log(sums[lang] + s.smoothing * max(1, len(kept_rows))) for lang in langs}
-        table[n] = {r["gram"]: np.array([math.log(r["by"].get(lang, 0) + s.smoothing) - base[lang] for lang in langs]) for r in kept_rows}
-    return Model(langs, table, remembered=s.remembered)
+    index, scores, at = {}, [np.zeros((0, len(langs)))], 0
+    for n, top in found.items():
+        counted = np.array([[r["by"].get(lang, 0) for lang in langs] for r in top], float).reshape(len(top), len(langs))
+        scores.append(np.log(counted + s.smoothing) - np.log(counted.sum(axis=0) + s.smoothing * max(1, len(top))))
+        index[n] = {r["gram"]: at + k for k, r in enumerate(top)}
+        at += len(top)
+    return Model(langs, index, np.concatenate(scores), s.remembered)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: list[Column] | None = None) -> DataFrame:
     """The columns `carry` (none may be called lang_pred or score) with lang_pred and score, a row for each row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.remembered))
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.rows, model.scores, model.remembered))
     narrow = docs.select(*(carry or []), docs[text_col].alias("_lm_text"))
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in narrow.schema[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, table, remembered = sent.value
-        own = Model(langs, table, remembered=remembered)
+        own = Model(*sent.value)
         for b in batches:
             got = [own.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(

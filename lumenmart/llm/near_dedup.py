@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from lumenmart.llm.common import kept
 from lumenmart.llm.graphs import components
 
-PIECE = 1 << 21
+PIECE = 1 << 20
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -172,11 +173,11 @@ def band_keys(held: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Ranges of texts of bounded size together."""
     a = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
+    for k, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()):
+        size += n
         if size > PIECE or k - a >= 2000:
             yield a, k + 1
             a, size = k + 1, 0
@@ -194,7 +195,7 @@ def mark(docs: DataFrame, s: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(2)
-            for a, z in _chunks(texts.to_pylist()):
+            for a, z in _chunks(texts):
                 of, sh, w = weighted(texts.slice(a, z - a).to_pylist(), s.words)
                 cut = _slices(of, z - a)
                 held = registers(of, sh, w, z - a, s.bands * s.rows)
@@ -219,7 +220,7 @@ def sets(docs: DataFrame, s: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1)
-            for a, z in _chunks(texts.to_pylist()):
+            for a, z in _chunks(texts):
                 of, sh, w = weighted(texts.slice(a, z - a).to_pylist(), s.words)
                 cut = pa.array(_slices(of, z - a).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (sh.view(np.int64), w)]

@@ -1,8 +1,8 @@
 """Token ids in Arrow IPC files of equal-length sequences.
 
 A shard is an Arrow stream with a footer (the IPC file format), so a reader maps the file and takes any sequence without
-copying: record batches of `ids` (fixed_size_list<uint32>[length]) and `mask` (fixed_size_list<uint8>[length], 1 for a token, 0
-for padding). A shard's documents follow each other without gaps, cut into sequences of equal length; only its last sequence
+copying: record batches of `ids` (fixed_size_list<uint16>[length]; uint32 for vocabularies of over 65,536) and `mask`
+(fixed_size_list<bool>[length], a bit a token, false for padding). A shard's documents follow each other without gaps, cut into sequences of equal length; only its last sequence
 is padded. Beside it, `<shard>.docs.arrow` has doc_id, start (within the shard) and n_tokens of each document.
 
 Documents are dealt to shards by ranges of ascending id, each shard is written by one task, and a task's files appear under
@@ -10,8 +10,8 @@ their final names only when complete, so a task that runs again (or twice) leave
 in the whole corpus follows from the shards' totals, one row a shard.
 
 Texts are encoded with the tokenizers library. Where the tokenizer drops spaces between words (as word_bpe_49k.json does), the
-pieces between spaces are encoded one by one and remembered, in a table of bounded size: no token spans a space, so the ids are
-those of the whole text, which the tests hold against whole texts.
+pieces between spaces, and the words that it cuts them into, are encoded once and remembered, in tables of bounded size: no token spans
+two of them, so the ids are those of the whole text, which the tests hold against whole texts.
 
 Defined results: a null text is empty and has the end id alone; null ids come first; rows that repeat an id follow each other in
 any order; an empty table writes no file and gives an empty result; extra columns are ignored.
@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,43 +43,82 @@ def _open_fs(uri: str):
     return arrow_fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
+#: Fixed value: how word_bpe_49k.json cuts normalised text into words, said for the characters of PLAIN.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Characters whose normal form, lower case and kind Python and the tokenizer agree on: ASCII and composed Latin letters.
+PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]*")
+
+
 class Encoder:
-    """Ids of whole texts. by_space: encode the pieces between spaces and remember them."""
+    """Ids of whole texts, as bytes of little-endian 32 bits. by_space: encode what stands between spaces, by words where that is
+    safe, and remember both; unseen words go to the library together, apart by spaces, and part again at tokens that end a word."""
 
-    def __init__(self, path: str, by_space: bool = True, remembered: int = 400_000):
+    def __init__(self, path: str, by_space: bool = True, remembered: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_space, self.remembered, self.known = Tokenizer.from_file(path), by_space, remembered, {"": b""}
+        self.tokenizer, self.by_space, self.remembered = Tokenizer.from_file(path), by_space, remembered
+        vocabulary = self.tokenizer.get_vocab()
+        self.width, self.known, self.words = max(vocabulary.values(), default=0) + 1, {"": b""}, {}
+        self.ends = np.zeros(self.width, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> np.ndarray:
+    def _learn_words(self, words: list[str]) -> None:
+        if len(self.words) + len(words) > 2 * self.remembered:
+            self.words.clear()
+        for a in range(0, len(words), 2000):
+            some = words[a : a + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1).tolist()
+            raw = ids.tobytes()
+            parts = [raw[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:], strict=False)]
+            self.words.update(zip(some, parts if len(parts) == len(some) else self._raw(some), strict=True))
+
+    def _learn(self, pieces: list[str]) -> None:
+        plain = {p: WORDS.findall(p.lower()) for p in pieces if PLAIN.fullmatch(p) and "<|" not in p}
+        self._learn_words([w for w in {w for ws in plain.values() for w in ws} if w not in self.words])
+        for p, ws in plain.items():
+            self.known[p] = b"".join([self.words[w] for w in ws])
+        rest = [p for p in pieces if p not in plain]
+        self.known.update(zip(rest, self._raw(rest), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
         if not self.by_space:
-            return np.frombuffer(self._raw([text])[0], dtype="<u4")
-        pieces, known = text.replace("\n", " ").split(" "), self.known
-        if new := [p for p in set(pieces) if p not in known]:
-            if len(known) + len(new) > self.remembered:
-                known.clear()
-                known[""] = b""
-                new = list(set(pieces))
-            known.update(zip(new, self._raw(new), strict=True))
-        return np.frombuffer(b"".join([known[p] for p in pieces]), dtype="<u4")
+            return self._raw(texts)
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = [p for p in set().union(*split) if p not in self.known] if split else []
+        if len(self.known) + len(new) > self.remembered:
+            self.known = {"": b""}
+            new = list(set().union(*split) - {""})
+        if new:
+            self._learn(new)
+        known = self.known
+        return [b"".join([known[p] for p in pieces]) for pieces in split]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, by_space: bool) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path, by_space)
 
 
-def shard_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def shard_schema(length: int, width: int) -> pa.Schema:
+    """width: number of ids; 16 bits do for up to 65,536."""
+    return pa.schema([("ids", pa.list_(pa.uint16() if width <= 1 << 16 else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class ShardWriter:
     """Writes one shard; both files get their final names in `close`."""
 
-    def __init__(self, where: str, shard: int, length: int, sequences: int = 1024):
+    def __init__(self, where: str, shard: int, length: int, width: int = 1 << 32, sequences: int = 1024):
         self.fs, root = _open_fs(where)
         self.fs.create_dir(root, recursive=True)
         self.final, tag = f"{root}/shard-{shard:06d}", uuid.uuid4().hex
         self.paths = {f"{root}/_tmp-{shard:06d}-{tag}.arrow": f"{self.final}.arrow", f"{root}/_tmp-{shard:06d}-{tag}.docs.arrow": f"{self.final}.docs.arrow"}
-        self.length, self.sequences, self.schema = length, sequences, shard_schema(length)
+        self.length, self.sequences, self.schema = length, sequences, shard_schema(length, width)
+        self.kind = np.uint16 if width <= 1 << 16 else np.uint32
         self.files = [self.fs.open_output_stream(p) for p in self.paths]
         self.seqs, self.index = pa.ipc.new_file(self.files[0], self.schema), pa.ipc.new_file(self.files[1], INDEX)
         self.waiting, self.n_waiting, self.tokens, self.docs = [], 0, 0, 0
@@ -99,8 +140,8 @@ class ShardWriter:
         for a in range(0, whole, self.sequences):
             part = full[a * self.length : (a + self.sequences) * self.length]
             rows = -(-len(part) // self.length)
-            ids, mask = np.zeros(rows * self.length, "<u4"), np.zeros(rows * self.length, np.uint8)
-            ids[: len(part)], mask[: len(part)] = part, 1
+            ids, mask = np.zeros(rows * self.length, self.kind), np.zeros(rows * self.length, bool)
+            ids[: len(part)], mask[: len(part)] = part, True
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
             self.seqs.write_batch(pa.record_batch(lists, schema=self.schema))
         self.waiting, self.n_waiting = [rest], len(rest)
@@ -123,12 +164,14 @@ def write(docs: DataFrame, where: str, tokenizer: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encoder, out = TaskContext.get().partitionId(), Encoder(tokenizer, by_space), None
+        shard, own, out = TaskContext.get().partitionId(), encoder(tokenizer, by_space), None
+        end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            if b.num_rows:
-                out = out or ShardWriter(where, shard, length)
-                end = np.array([end_id], dtype="<u4")
-                out.add(b.column(0).to_pylist(), [np.concatenate([encoder.encode(t.as_py() or ""), end]) for t in b.column(1)])
+            for a in range(0, b.num_rows, 300):
+                part = b.slice(a, 300)
+                out = out or ShardWriter(where, shard, length, own.width)
+                encoded = own.encode_all([t or "" for t in part.column(1).to_pylist()])
+                out.add(part.column(0).to_pylist(), [np.frombuffer(x + end, "<u4") for x in encoded])
         if out:
             path = out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "docs": [out.docs], "tokens": [out.tokens]})
@@ -150,16 +193,16 @@ class ShardReader:
         self.rows = [self.seqs.get_batch(i).num_rows for i in range(self.seqs.num_record_batches)]
         self.first = [0, *itertools.accumulate(self.rows)]
 
-    def batch(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def batch(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """ids and mask of batch i, flat, as views of the file."""
         b = self.seqs.get_batch(i)
-        return b.column(0).flatten().to_numpy(zero_copy_only=True), b.column(1).flatten().to_numpy(zero_copy_only=True)
+        return b.column(0).flatten().to_numpy(zero_copy_only=True), b.column(1).flatten()
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         i = int(np.searchsorted(self.first, k, side="right")) - 1
         ids, mask = self.batch(i)
         a = (k - self.first[i]) * self.length
-        return ids[a : a + self.length], mask[a : a + self.length]
+        return ids[a : a + self.length], mask.slice(a, self.length)
 
     def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
         """doc_id, start, ids, in order; holds the batches of one document at most."""
@@ -171,8 +214,8 @@ class ShardReader:
                 have = len(parts[0])
                 while have < n:
                     ids, mask = self.batch(at)
-                    ids, at = ids[: int(mask.sum())], at + 1
-                    parts.append(ids)
+                    ids, at = ids[: mask.true_count], at + 1
+                    parts.append(ids.astype("<u4"))
                     have += len(ids)
                 held, held_from = (np.concatenate(parts) if len(parts) > 1 else parts[0]), start
                 yield doc_id, start, held[:n]
