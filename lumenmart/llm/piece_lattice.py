@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from lumenmart.llm.common import kept
 
 SPACE = "▁"
+PAIR_BITS = 22
 
 
 @dataclass(frozen=True)
@@ -75,8 +76,10 @@ class Merges:
         self.raw = {i: bytes([b]) for b, i in self.bytes.items()} | {i: p.replace(SPACE, " ").encode() for i, p in self.pieces.items()}
         self.longest = max(map(len, self.ids))
         self.joined = {_kind(a) + _kind(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
+        self.plain = {"SL", "LL"} <= self.joined
         self.spines: dict[int, tuple[list, list]] = {}
-        self.pairs: dict[int, bool] = {}
+        # Answers of `compatible` by a hash of the pair; a later pair takes an earlier one's place.
+        self.pair_keys, self.pair_fits = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
 
     @lru_cache(maxsize=200_000)  # noqa: B019  one model lives as long as its worker
     def kind(self, c: str) -> str:
@@ -84,6 +87,8 @@ class Merges:
 
     def units(self, word: str) -> list[str]:
         """word, cut where no piece joins two neighbouring kinds of character."""
+        if self.plain and word[1:].isalpha() and word[0] == SPACE:
+            return [word]
         kinds = [self.kind(c) for c in word]
         cuts = [0, *(k for k in range(1, len(word)) if kinds[k - 1] + kinds[k] not in self.joined), len(word)]
         return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -114,39 +119,63 @@ class Merges:
         """Whether merging keeps pieces a and b apart: no part at a's right border merges with one at b's left before it is gone."""
         if a < 0 or b < 0:
             return True
-        key = a << 32 | b
-        found = self.pairs.get(key)
-        if found is None:
-            found = True
-            for x, x_born, x_gone in self.spine(a)[0]:
-                for y, y_born, y_gone in self.spine(b)[1]:
-                    i = self.ids.get(x + y)
-                    if i is not None:
-                        at = max(self.rank[i], x_born, y_born)
-                        # Of equal merges the left one goes first: inside a before across, across before inside b.
-                        if at < x_gone and at <= y_gone:
-                            found = False
-            if len(self.pairs) > 3_000_000:
-                self.pairs.clear()
-            self.pairs[key] = found
-        return found
-
-    def ends(self, unit: str, edges: list[tuple[int, int, int]], block: int) -> list[list[list[tuple[int, int, int]]]]:
-        """The edges by end position, in blocks: length, id, and as bits the lengths of left neighbours that they get on with."""
-        ending: list[list[tuple[int, int]]] = [[] for _ in range(len(unit) + 1)]
-        for start, length, i in edges:
-            ending[start + length].append((length, i))
-        out = []
-        for end in range(1, len(unit) + 1):
-            here = ending[end]
-            if not any(length == 1 for length, _ in here):
-                here.append((1, -1 - ord(unit[end - 1])))  # no piece: its bytes
-            row = []
-            for length, i in here:
-                left = ending[end - length]
-                row.append((length, i, sum(1 << m for m, j in left if self.compatible(j, i)) if end > length else 0))
-            out.append(row)
-        return [out[k : k + block] for k in range(0, len(out), block)]
+        ids, rank, right = self.ids, self.rank, self.spine(b)[1]
+        for x, x_born, x_gone in self.spine(a)[0]:
+            for y, y_born, y_gone in right:
+                i = ids.get(x + y)
+                # Of equal merges the left one goes first: inside a before across, across before inside b.
+                if i is not None and (at := max(rank[i], x_born, y_born)) < x_gone and at <= y_gone:
+                    return False
+        return True
+
+    def all_compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """`compatible` of many pairs."""
+        key = (a.astype(np.int64) << 32) | b
+        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        some = (a >= 0) & (b >= 0)
+        fits = np.where(some, self.pair_fits[slot], True)
+        new = np.flatnonzero(some & (self.pair_keys[slot] != key))
+        if len(new):
+            first, back = np.unique(key[new], return_index=True, return_inverse=True)[1:]
+            found = np.array([self.compatible(x, y) for x, y in zip(a[new[first]].tolist(), b[new[first]].tolist(), strict=True)])
+            self.pair_keys[slot[new[first]]], self.pair_fits[slot[new[first]]] = key[new[first]], found
+            fits[new] = found[back]
+        return fits
+
+    def ends(self, units: pa.Array, edges: pa.ListArray, block: int) -> pa.ListArray:
+        """For each unit its edges by end position, in blocks: length, id, and as bits the lengths of left neighbours that they get on with.
+
+        edges: start, length and id of each unit, among them one of length 1 at each position, whose id is null if there is no piece."""
+        cuts = np.asarray(edges.offsets).astype(np.int64) - edges.offsets[0].as_py()
+        start, length, i = edges.flatten().flatten()
+        no_piece = np.flatnonzero(i.is_null())
+        start, length, i = start.to_numpy().astype(np.int64), length.to_numpy().astype(np.int64), i.fill_null(0).to_numpy().astype(np.int64)
+        of = np.repeat(np.arange(len(units)), np.diff(cuts))
+        if len(no_piece):  # its bytes
+            i[no_piece] = [-1 - ord(units[u].as_py()[k]) for u, k in zip(of[no_piece].tolist(), start[no_piece].tolist(), strict=True)]
+        sizes = np.bincount(of[length == 1], minlength=len(units))
+        base = np.cumsum(sizes + 1) - sizes - 1  # positions count through the units, with one between them
+        begin = base[of] + start
+        order = np.argsort(begin + length, kind="stable")
+        begin, length, i = begin[order], length[order], i[order]
+        end = begin + length
+        lo, hi = np.searchsorted(end, begin), np.searchsorted(end, begin, side="right")
+        left = hi - lo
+        right_of = np.repeat(np.arange(len(end)), left)
+        left_of = np.repeat(lo - (np.cumsum(left) - left), left) + np.arange(left.sum())
+        bits = self.all_compatible(i[left_of], i[right_of]).astype(np.int64) << length[left_of]
+        ok = np.zeros(len(end), np.int64)
+        if len(bits):
+            ok[left > 0] = np.add.reduceat(bits, (np.cumsum(left) - left)[left > 0])
+        first = np.cumsum(sizes) - sizes
+        positions = np.arange(sizes.sum()) - np.repeat(first - base - 1, sizes)
+        offsets = np.append(np.searchsorted(end, positions), len(end)).astype(np.int32)
+        found = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (length, i, ok)], ["length", "id", "ok"])
+        blocks = -(-sizes // block)
+        nth = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        of_block = np.append(np.repeat(first, blocks) + nth * block, sizes.sum()).astype(np.int32)
+        rows = pa.ListArray.from_arrays(pa.array(of_block), pa.ListArray.from_arrays(pa.array(offsets), found))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(blocks)).astype(np.int32)), rows)
 
     def expand(self, ids: list[int]) -> bytes:
         """Ids as little-endian 32 bits; negative ones (characters without a piece) become their bytes' ids."""
@@ -213,16 +242,10 @@ def segment(units: DataFrame, model: str, s: Settings) -> DataFrame:
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _load(model)
-        kind = pa.list_(pa.list_(pa.list_(pa.struct([("length", pa.int32()), ("id", pa.int32()), ("ok", pa.int32())]))))
         for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                part, rows = b.slice(a, 1000), []
-                for unit, found in zip(part.column(0).to_pylist(), part.column(2), strict=True):
-                    start, length, i = (c.to_pylist() for c in found.values.flatten())
-                    known = [e for e in zip(start, length, i, strict=True) if e[2] is not None]
-                    blocks = merges.ends(unit, known, s.block)
-                    rows.append([[[dict(zip(("length", "id", "ok"), e, strict=True)) for e in p] for p in block] for block in blocks])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, kind)], names=["unit", "times", "blocks"])
+            for a in range(0, b.num_rows, 2000):
+                part = b.slice(a, 2000)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), merges.ends(part.column(0), part.column(2), s.block)], names=["unit", "times", "blocks"])
 
     ordered = edges.mapInArrow(order, f"unit string, times long, blocks array<array<array<{EDGE}>>>")
     # State of the inner fold: (length, id) of the last edge of each prefix in reach, then of the block's prefixes.
@@ -247,11 +270,12 @@ def segment(units: DataFrame, model: str, s: Settings) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _load(model)
         for b in batches:
-            tokens = []
-            for last in b.column(2):
-                lengths, ids = (c.to_pylist() for c in last.values.flatten())
-                at, back = len(lengths), []
-                while at > 0:
+            tokens, last = [], b.column(2)
+            lengths, ids = (c.to_pylist() for c in last.flatten().flatten())
+            cuts = (np.asarray(last.offsets) - last.offsets[0].as_py()).tolist()
+            for begin, at in zip(cuts, cuts[1:], strict=False):
+                back = []
+                while at > begin:
                     back.append(ids[at - 1])
                     at -= lengths[at - 1]
                 tokens.append(merges.expand(back[::-1]))
@@ -275,9 +299,10 @@ def _first_pass(rows: DataFrame, model: str, frequent, s: Settings) -> DataFrame
                         if got is None:
                             each = [table.get(u, u) for u in merges.units(w)]
                             got = b"".join(each) if all(type(x) is bytes for x in each) else each
-                            if len(known) >= s.remembered:
-                                known.clear()
-                            known[w] = got
+                            if type(got) is bytes:  # rare words don't drive out frequent ones
+                                if len(known) >= s.remembered:
+                                    known.clear()
+                                known[w] = got
                         if type(got) is bytes:
                             out.append(got)
                             size += len(got)
