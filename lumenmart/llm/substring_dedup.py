@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenmart.llm.common import kept
+from lumenmart.llm.common import kept, kept_by
 from lumenmart.llm.near_dedup import _power, mixed
 
 PIECE = 1 << 20
@@ -313,7 +313,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sett
     each = scanned.select("oid", "content", F.explode("buckets").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("bucket")
     wanted = each.join(shared, "bucket").groupBy("oid", "content").agg(F.collect_set("bucket").alias("wanted"))
-    suspects = kept(rows.join(wanted, ["oid", "content"]), "suspects")
+    suspects = kept_by(rows.join(wanted, ["oid", "content"]), "suspects", "oid", "content")
     runs = kept(_runs(suspects.select("oid", "content", "text", "wanted"), s), "runs")
     firsts = kept(runs.groupBy("digest").agg(F.min(F.struct("oid", "content", "start", "n", "bucket")).alias("first")), "firsts")
     here = F.struct("oid", "content", "start")
