@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenmart.llm.common import kept
-from lumenmart.llm.near_dedup import PIECE, _pieces, word_hashes
+from lumenmart.llm.near_dedup import AT_ONCE, _pieces, word_hashes
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,7 @@ def term_hits(texts: list[str | None], terms: np.ndarray) -> tuple[np.ndarray, n
         for piece in _pieces(text or ""):
             waiting.append(piece), owner.append(k)
             size += len(piece)
-            if size > PIECE:
+            if size > AT_ONCE:
                 flush()
                 size = 0
     if waiting:
@@ -198,7 +198,7 @@ def _product(hits: DataFrame, weight: np.ndarray, q: np.ndarray, s: Settings) ->
     return out
 
 
-def _rows(b: pa.RecordBatch, weight: np.ndarray, s: Settings, apart: bool, least: int = 3, at_once: int = 60_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _rows(b: pa.RecordBatch, weight: np.ndarray, s: Settings, apart: bool, least: int = 3, at_once: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """window, term, value of unit-length TF-IDF rows with at least `least` different weighted terms, some whole windows at a time."""
     _, block, term = _flat(b, s)
     heavy = weight[term] > 0

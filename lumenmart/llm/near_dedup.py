@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from lumenmart.llm.common import kept
 from lumenmart.llm.graphs import components
 
-PIECE = 1 << 20
+#: Characters of a piece of a text, and bytes that are hashed together.
+PIECE, AT_ONCE = 1 << 20, 1 << 18
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -117,7 +118,7 @@ def weighted(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarra
             run.append(piece)
             run_owner.append(k)
             size += len(piece)
-            if size > PIECE:
+            if size > AT_ONCE:
                 flush()
                 size = 0
     if run:
@@ -178,7 +179,7 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
     a = size = 0
     for k, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()):
         size += n
-        if size > PIECE or k - a >= 2000:
+        if size > AT_ONCE or k - a >= 2000:
             yield a, k + 1
             a, size = k + 1, 0
     if a < len(texts):
