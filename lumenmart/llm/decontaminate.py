@@ -9,6 +9,10 @@ passages, now in steps of 16 words, meet in the latent space: an item is a candi
 contamination where the longest common subsequence of words covers `verbatim` of the item, or `paraphrase` of it while
 `answer` of the item's telling words (its rarest) are there too.
 
+No cosine follows from that rule, so what the latent space does not bring up is searched exactly: an accepted passage lacks at most a
+fixed number of the item's words, hence holds enough of its rarest ones (`_rest`). All pairs of item and document are found that the
+rule takes for any passage; a pair that both ways find is answered by the passage that the latent space gave.
+
 The subsequence is exact: words outside the benchmark can't be part of one, so positions of terms are all that it needs.
 Nothing of a document's is collected; a document's passages are compared where it lies.
 
@@ -220,6 +224,45 @@ def _rows(b: pa.RecordBatch, weight: np.ndarray, s: Settings, apart: bool, least
         a = z
 
 
+@dataclass
+class Rare:
+    """The rarest words of each item, item by item: item, term, times in the item, whether telling. first, order: postings by term.
+
+    all, told: how many of an item's rarest words there are, with repetitions, and how many telling ones."""
+
+    item: np.ndarray
+    term: np.ndarray
+    times: np.ndarray
+    tells: np.ndarray
+    first: np.ndarray
+    order: np.ndarray
+    all: np.ndarray
+    told: np.ndarray
+    length: np.ndarray
+
+    def enough(self, j: np.ndarray | int, present: np.ndarray, told: np.ndarray, s: Settings) -> np.ndarray:
+        """Whether so many of item j's rarest words allow its acceptance; false only where the rule can't hold."""
+        lacks = self.all[j] - present - 1e-6
+        n = self.length[j]
+        return (lacks <= (1 - s.verbatim) * n) | ((told >= s.answer * self.told[j] - 1e-6) & (lacks <= (1 - s.paraphrase) * n))
+
+
+def rarest_words(bench: Benchmark, idf: np.ndarray, s: Settings) -> Rare:
+    """Of each item its rarest words, more than an accepted passage can lack, and all telling ones."""
+    rows = []
+    for j, item in enumerate(bench.items):
+        t, c = np.unique(item, return_counts=True)
+        by = np.lexsort((t, -idf[t]))
+        m = min(len(t), max(s.telling, int(np.searchsorted(np.cumsum(c[by]), (1 - s.paraphrase) * len(item) + 1e-6, side="right")) + 1))
+        rows.append((np.full(m, j), t[by[:m]], c[by[:m]], np.arange(m) < s.telling))
+    item, term, times, tells = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.argsort(term, kind="stable")
+    count = len(bench.items)
+    return Rare(
+        item, term, times, tells, np.searchsorted(term[order], np.arange(len(bench.terms) + 1)), order, np.bincount(item, times, count), np.bincount(item, tells, count), np.array([len(i) for i in bench.items])
+    )
+
+
 @dataclass
 class Space:
     weight: np.ndarray
@@ -228,6 +271,7 @@ class Space:
     keys: np.ndarray
     values: np.ndarray
     telling: list[np.ndarray]
+    rare: Rare
 
     def value(self, item: np.ndarray, term: np.ndarray) -> np.ndarray:
         """Entries of the items' unit-length rows, which are kept sparse: keys are item * terms + term."""
@@ -288,7 +332,7 @@ def fit(hits: DataFrame, bench: Benchmark, s: Settings) -> Space:
     b = np.linalg.solve(np.linalg.cholesky((core + core.T) / 2 + shift * np.eye(rank)), y.T).T
     basis = np.linalg.svd(b, full_matrices=False)[0][:, : s.rank].astype(np.float32)
     items = items_product(basis)
-    return Space(weight.astype(np.float32), basis, (items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)).astype(np.float32), keys, values.astype(np.float32), telling)
+    return Space(weight.astype(np.float32), basis, (items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)).astype(np.float32), keys, values.astype(np.float32), telling, rarest_words(bench, idf, s))
 
 
 def lcs(item: np.ndarray, passage: np.ndarray) -> int:
@@ -306,6 +350,80 @@ def lcs(item: np.ndarray, passage: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
+def _near(row: np.ndarray, term: np.ndarray, rows: int, rare: Rare, s: Settings, cells: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """row and item of each pair where the document holds enough of the item's rarest words."""
+    terms, items = len(rare.first) - 1, len(rare.length)
+    pairs = np.unique(row.astype(np.int64) * terms + term)
+    row, term = pairs // terms, pairs % terms
+    at_once = max(1, cells // items)
+    for a in range(0, rows, at_once):
+        lo, hi = np.searchsorted(row, [a, a + at_once])
+        size = min(at_once, rows - a) * items
+        present, told = np.zeros(size), np.zeros(size)
+        while lo < hi:
+            # Postings of some terms at a time, so that what is made of them stays small.
+            many = np.diff(rare.first)[term[lo:hi]]
+            z = max(1, int(np.searchsorted(np.cumsum(many), cells, side="right")))
+            many, begin = many[:z], rare.first[term[lo : lo + z]]
+            p = rare.order[np.repeat(begin - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())]
+            cell = np.repeat((row[lo : lo + z] - a) * items, many) + rare.item[p]
+            present += np.bincount(cell, rare.times[p], size)
+            told += np.bincount(cell, rare.tells[p], size)
+            lo += z
+        some = np.flatnonzero(present)
+        some = some[rare.enough(some % items, present[some], told[some], s)]
+        yield from zip((some // items + a).tolist(), (some % items).tolist(), strict=True)
+
+
+def _passage(at: np.ndarray, term: np.ndarray, j: int, member: np.ndarray, bench: Benchmark, space: Space, s: Settings) -> tuple | None:
+    """common share, answer share, cosine, first word of the best of all passages of one document, if the rule takes one."""
+    item, rare, telling = bench.items[j], space.rare, space.telling[j]
+    n, size = len(item), s.block * s.blocks
+    own = member[term]
+    places, words = at[own], term[own]
+    begin = np.arange(int(at[-1]) // s.block + 1) * s.block
+    p, q = np.searchsorted(places, begin - n), np.searchsorted(places, begin + size + n)
+    far = q - p >= s.paraphrase * n
+    begin, p, q = begin[far], p[far], q[far]
+    present, told = np.zeros(len(begin)), np.zeros(len(begin))
+    mine = slice(*np.searchsorted(rare.item, [j, j + 1]))
+    for t, times, tells in zip(rare.term[mine], rare.times[mine], rare.tells[mine], strict=True):
+        seen = np.r_[0, np.cumsum(words == t)]
+        there = seen[q] > seen[p]
+        present += times * there
+        told += tells & there
+    left = rare.enough(j, present, told, s)
+    begin, p, q = begin[left], p[left], q[left]
+    inside = np.searchsorted(places, begin + size) - np.searchsorted(places, begin)
+    best = None
+    for k in np.argsort(-inside, kind="stable").tolist():
+        passage = words[p[k] : q[k]]
+        share, answer = lcs(item, passage) / n, float(np.isin(telling, passage).mean())
+        if (share >= s.verbatim or share >= s.paraphrase and answer >= s.answer) and (best is None or (share, answer) > best[:2]):
+            best = share, answer, int(begin[k])
+            if best[:2] == (1, 1):
+                break
+    return best and (*best[:2], _cosine(at, term, best[2], j, space, s), best[2])
+
+
+def _cosine(at: np.ndarray, term: np.ndarray, begin: int, j: int, space: Space, s: Settings) -> float:
+    """Latent cosine of an item and the window that begins there, 0 where one of them has no weighted terms."""
+    t, c = np.unique(term[slice(*np.searchsorted(at, [begin, begin + s.block * s.blocks]))], return_counts=True)
+    v = space.weight[t] * (1 + np.log(c))
+    latent = space.basis[t].T @ (v / max(np.linalg.norm(v), 1e-12))
+    return float(latent @ space.items[j] / max(np.linalg.norm(latent), 1e-6))
+
+
+def _rest(row: np.ndarray, at: np.ndarray, term: np.ndarray, first: np.ndarray, found: set, of_item: dict, bench: Benchmark, space: Space, s: Settings) -> Iterator[tuple]:
+    """What the latent space did not bring up, found exactly: row, item and what `_passage` gives."""
+    for k, j in _near(row, term, len(first) - 1, space.rare, s):
+        if (k, j) not in found:
+            a, z = first[k], first[k + 1]
+            got = _passage(at[a:z], term[a:z], j, of_item[j], bench, space, s)
+            if got:
+                yield k, j, got
+
+
 def _search(b: pa.RecordBatch, bench: Benchmark, space: Space, s: Settings) -> list[tuple]:
     """row, item, cosine, common share, answer share, first word of the best passage: of each pair of document and item that passes."""
     row, block, _ = _flat(b, s)
@@ -341,6 +459,8 @@ def _search(b: pa.RecordBatch, bench: Benchmark, space: Space, s: Settings) -> l
                 if share >= s.verbatim or answer >= s.answer:
                     found = (share, answer, float(cos[i, j]), -begin)
                     best[k, int(j)] = max(found, best.get((k, int(j)), found))
+    for k, j, (share, answer, cosine, begin) in list(_rest(row, at_all, term_all, first_of_row, set(best), of_item, bench, space, s)):
+        best[k, j] = share, answer, cosine, -begin
     return [(k, j, c, x, y, -m) for (k, j), (x, y, c, m) in sorted(best.items())]
 
 

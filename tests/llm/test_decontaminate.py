@@ -65,3 +65,44 @@ def test_edges(spark):
     assert got == [(0, 7), (0, 8), (3, 7), (3, 7), (3, 8), (3, 8)]
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [1, 2, 4]
+
+
+def by_rule(words, item, telling, s):
+    """The acceptance rule over every window."""
+    n, size = len(item), s.block * s.blocks
+    for begin in range(0, len(words), s.block):
+        passage = words[max(0, begin - n) : begin + size + n]
+        share, answer = by_hand(item, passage) / n, sum(t in passage for t in telling) / len(telling)
+        if share >= s.verbatim or share >= s.paraphrase and answer >= s.answer:
+            return True
+    return False
+
+
+def test_all_pairs_that_the_rule_takes_are_found(spark):
+    """More items than the rank, and documents whose ordinary text hides the item from the latent space."""
+    r = random.Random(6)
+    rare = [f"term{k}" for k in range(3000)]
+    s = decontaminate.Settings()
+    items = [(k, [r.choice(rare) for _ in range(r.randrange(15, 60))]) for k in range(s.rank + 40)]
+    rows = []
+    for d in range(150):
+        words, item = [r.choice(rare) for _ in range(90)], list(items[d][1])
+        for at in r.sample(range(len(item)), len(item) * (d % 3) * 18 // 100):
+            item[at] = r.choice(rare)
+        for _ in range(len(item) // 3 * (d % 2)):
+            item.insert(r.randrange(len(item)), r.choice(rare))
+        words[40:40] = item
+        rows.append((d, words))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    b = decontaminate.read_benchmark(bench, "item_id", "text")
+    renamed = docs.select(docs.doc_id.alias("id"), docs.doc_id.alias("content"), "text")
+    hits = decontaminate.kept(decontaminate.positions(renamed, b.terms), "positions")
+    space = decontaminate.fit(hits, b, s)
+    name = {t: w for _, words in items for w, t in zip(words, b.items[b.ids.index(_)].tolist(), strict=True)}
+    want = set()
+    for k, item in items:
+        telling = {name[t] for t in space.telling[b.ids.index(k)].tolist()}
+        want |= {(d, k) for d, words in rows if len(set(item) & set(words)) >= len(set(item)) / 3 and by_rule(words, item, telling, s)}
+    assert len(want) > 100
+    assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench).collect()} == want
