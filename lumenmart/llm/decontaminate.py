@@ -16,7 +16,7 @@ rule takes for any passage; a pair that both ways find is answered by the passag
 The subsequence is exact: words outside the benchmark can't be part of one, so positions of terms are all that it needs.
 Nothing of a document's is collected; a document's passages are compared where it lies.
 
-Defined results: case and punctuation don't count, words are runs of ASCII letters and digits and other non-ASCII characters; null and empty texts and items have no passages; equal items are found each under its
+Defined results: items may be of any length, longer ones than a window are held against as much of the text; case and punctuation don't count, words are runs of ASCII letters and digits and other non-ASCII characters; null and empty texts and items have no passages; equal items are found each under its
 own id; rows that repeat are answered as often as they come; null ids are answered with a null id; with an empty table or benchmark nothing is found;
 extra columns are ignored (`contaminated`) or stay as they are (`clean`).
 """
@@ -396,7 +396,9 @@ def _passage(at: np.ndarray, term: np.ndarray, j: int, member: np.ndarray, bench
     begin, p, q = begin[left], p[left], q[left]
     inside = np.searchsorted(places, begin + size) - np.searchsorted(places, begin)
     best = None
-    for k in np.argsort(-inside, kind="stable").tolist():
+    by = np.argsort(-inside, kind="stable")
+    # Passages with the same words of the item are one: long items stand in many.
+    for k in by[np.sort(np.unique((p * (len(words) + 1) + q)[by], return_index=True)[1])].tolist():
         passage = words[p[k] : q[k]]
         share, answer = lcs(item, passage) / n, float(np.isin(telling, passage).mean())
         if (share >= s.verbatim or share >= s.paraphrase and answer >= s.answer) and (best is None or (share, answer) > best[:2]):

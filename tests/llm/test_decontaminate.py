@@ -106,3 +106,19 @@ def test_all_pairs_that_the_rule_takes_are_found(spark):
         want |= {(d, k) for d, words in rows if len(set(item) & set(words)) >= len(set(item)) / 3 and by_rule(words, item, telling, s)}
     assert len(want) > 100
     assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench).collect()} == want
+
+
+def test_items_longer_than_a_passage(spark):
+    """Verbatim, and with a tenth of the words replaced."""
+    r = random.Random(8)
+    rare = [f"term{k}" for k in range(6000)]
+    items = [(n, r.sample(rare, n)) for n in (200, 400, 900, 2500)]
+    rows = []
+    for n, item in items:
+        around = [r.choice(rare) for _ in range(300)]
+        rows += [(n, around[:150] + item + around[150:]), (n + 1, around[:150] + [w if k % 10 else "other" for k, w in enumerate(item)] + around[150:]), (n + 2, around)]
+        rows.append((n + 3, item[: n // 2] + around))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(n + k, n) for n, _ in items for k in (0, 1)}
