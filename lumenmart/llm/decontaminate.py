@@ -16,7 +16,8 @@ rule takes for any passage; a pair that both ways find is answered by the passag
 The subsequence is exact: words outside the benchmark can't be part of one, so positions of terms are all that it needs.
 Nothing of a document's is collected; a document's passages are compared where it lies.
 
-Defined results: items may be of any length, longer ones than a window are held against as much of the text; case and punctuation don't count, words are runs of ASCII letters and digits and other non-ASCII characters; null and empty texts and items have no passages; equal items are found each under its
+Defined results: items may be of any length, longer ones than a window are held against as much of the text, those of fewer than three different words are found
+where they stand word for word; case and punctuation don't count, words are runs of ASCII letters and digits and other non-ASCII characters; null and empty texts and items have no passages; equal items are found each under its
 own id; rows that repeat are answered as often as they come; null ids are answered with a null id; with an empty table or benchmark nothing is found;
 extra columns are ignored (`contaminated`) or stay as they are (`clean`).
 """
@@ -38,13 +39,14 @@ from lumenmart.llm.near_dedup import AT_ONCE, _pieces, word_hashes
 
 @dataclass(frozen=True)
 class Settings:
-    """rank, oversampling: of the SVD; max_terms bounds what is broadcast (the rarest terms stay)."""
+    """rank, oversampling: of the SVD; max_terms bounds the terms that carry weight besides those `weighted` of each item (the rarest stay); least: different words, fewer make an item short."""
 
     block: int = 16
     blocks: int = 2
     common: float = 0.005
     telling: int = 5
     weighted: int = 10
+    least: int = 3
     rank: int = 128
     oversampling: int = 16
     max_terms: int = 50_000
@@ -202,8 +204,8 @@ def _product(hits: DataFrame, weight: np.ndarray, q: np.ndarray, s: Settings) ->
     return out
 
 
-def _rows(b: pa.RecordBatch, weight: np.ndarray, s: Settings, apart: bool, least: int = 3, at_once: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """window, term, value of unit-length TF-IDF rows with at least `least` different weighted terms, some whole windows at a time."""
+def _rows(b: pa.RecordBatch, weight: np.ndarray, s: Settings, apart: bool, at_once: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """window, term, value of unit-length TF-IDF rows with at least s.least different weighted terms, some whole windows at a time."""
     _, block, term = _flat(b, s)
     heavy = weight[term] > 0
     window, t, n = _windows(block[heavy], term[heavy], s, apart)
@@ -213,7 +215,7 @@ def _rows(b: pa.RecordBatch, weight: np.ndarray, s: Settings, apart: bool, least
     size = np.diff(np.r_[first, len(window)])
     v = weight[t] * (1 + np.log(n, dtype=np.float32))
     length = np.sqrt(np.add.reduceat(v * v, first))
-    keep = np.repeat(size >= least, size)
+    keep = np.repeat(size >= s.least, size)
     window, t, v = window[keep], t[keep], (v / np.repeat(length, size))[keep]
     a = 0
     while a < len(window):
@@ -239,6 +241,7 @@ class Rare:
     all: np.ndarray
     told: np.ndarray
     length: np.ndarray
+    short: np.ndarray
 
     def enough(self, j: np.ndarray | int, present: np.ndarray, told: np.ndarray, s: Settings) -> np.ndarray:
         """Whether so many of item j's rarest words allow its acceptance; false only where the rule can't hold."""
@@ -258,8 +261,9 @@ def rarest_words(bench: Benchmark, idf: np.ndarray, s: Settings) -> Rare:
     item, term, times, tells = (np.concatenate(x) for x in zip(*rows, strict=True))
     order = np.argsort(term, kind="stable")
     count = len(bench.items)
+    short = np.array([len(set(i.tolist())) < s.least for i in bench.items])
     return Rare(
-        item, term, times, tells, np.searchsorted(term[order], np.arange(len(bench.terms) + 1)), order, np.bincount(item, times, count), np.bincount(item, tells, count), np.array([len(i) for i in bench.items])
+        item, term, times, tells, np.searchsorted(term[order], np.arange(len(bench.terms) + 1)), order, np.bincount(item, times, count), np.bincount(item, tells, count), np.array([len(i) for i in bench.items]), short
     )
 
 
@@ -294,13 +298,14 @@ def fit(hits: DataFrame, bench: Benchmark, s: Settings) -> Space:
     df, passages = document_frequencies(hits, s)
     n = np.array([df.get(k, 0) for k in range(len(bench.terms))], float)
     idf = np.log((passages + 1) / (n + 1)) + 1e-3
-    weight, telling = np.where(n <= s.common * max(1, passages), idf, 0.0), []
+    weight, telling, held = np.where(n <= s.common * max(1, passages), idf, 0.0), [], np.zeros(len(n), bool)
     for item in bench.items:
         rarest = sorted(set(item.tolist()), key=lambda t: (-idf[t], t))
         telling.append(np.array(rarest[: s.telling], np.int32))
-        weight[rarest[: s.weighted]] = idf[rarest[: s.weighted]]
+        held[rarest[: s.weighted]] = True
     if (weight > 0).sum() > s.max_terms:
         weight[weight < np.sort(weight)[-s.max_terms]] = 0
+    weight[held] = idf[held]
     keys, values = [], []
     for k, item in enumerate(bench.items):
         t, c = np.unique(item, return_counts=True)
@@ -416,10 +421,26 @@ def _cosine(at: np.ndarray, term: np.ndarray, begin: int, j: int, space: Space,
     return float(latent @ space.items[j] / max(np.linalg.norm(latent), 1e-6))
 
 
+def _short(row: np.ndarray, at: np.ndarray, term: np.ndarray, first: np.ndarray, bench: Benchmark, space: Space, s: Settings) -> Iterator[tuple]:
+    """Where short items stand word for word: row, item and the answer, the first place of each document."""
+    order = np.argsort(term, kind="stable")
+    ordered = term[order]
+    for j in np.flatnonzero(space.rare.short).tolist():
+        item = bench.items[j]
+        i = order[slice(*np.searchsorted(ordered, [item[0], item[0] + 1]))]
+        for d, t in enumerate(item[1:].tolist(), 1):
+            i = i[i + d < len(term)]
+            i = i[(term[i + d] == t) & (at[i + d] == at[i] + d) & (row[i + d] == row[i])]
+        for k, f in zip(*np.unique(row[i], return_index=True), strict=True):
+            a, z = first[k], first[k + 1]
+            begin = int(at[i[f]])
+            yield int(k), j, (1.0, 1.0, _cosine(at[a:z], term[a:z], begin // s.block * s.block, j, space, s), begin)
+
+
 def _rest(row: np.ndarray, at: np.ndarray, term: np.ndarray, first: np.ndarray, found: set, of_item: dict, bench: Benchmark, space: Space, s: Settings) -> Iterator[tuple]:
     """What the latent space did not bring up, found exactly: row, item and what `_passage` gives."""
     for k, j in _near(row, term, len(first) - 1, space.rare, s):
-        if (k, j) not in found:
+        if (k, j) not in found and not space.rare.short[j]:
             a, z = first[k], first[k + 1]
             got = _passage(at[a:z], term[a:z], j, of_item[j], bench, space, s)
             if got:
@@ -444,6 +465,8 @@ def _search(b: pa.RecordBatch, bench: Benchmark, space: Space, s: Settings) -> l
         terms = np.repeat(starts[near] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
         full = np.bincount(np.repeat(np.arange(len(near)), sizes), v[terms] * space.value(np.repeat(which, sizes), t[terms]), minlength=len(near)) if len(near) else np.empty(0)
         for i, j in zip(near[full >= s.full_cosine].tolist(), which[full >= s.full_cosine].tolist(), strict=True):
+            if space.rare.short[j]:
+                continue
             w, item = int(window[starts[i]]), bench.items[j]
             # The document of the window, and its terms from one item before the window to one after.
             k = int(row[min(np.searchsorted(block, w), len(row) - 1)])
@@ -463,6 +486,8 @@ def _search(b: pa.RecordBatch, bench: Benchmark, space: Space, s: Settings) -> l
                     best[k, int(j)] = max(found, best.get((k, int(j)), found))
     for k, j, (share, answer, cosine, begin) in list(_rest(row, at_all, term_all, first_of_row, set(best), of_item, bench, space, s)):
         best[k, j] = share, answer, cosine, -begin
+    for k, j, (share, answer, cosine, begin) in _short(row, at_all, term_all, first_of_row, bench, space, s):
+        best[k, j] = share, answer, cosine, -begin
     return [(k, j, c, x, y, -m) for (k, j), (x, y, c, m) in sorted(best.items())]
 
 

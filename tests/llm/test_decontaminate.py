@@ -122,3 +122,26 @@ def test_items_longer_than_a_passage(spark):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench).collect()}
     assert got == {(n + k, n) for n, _ in items for k in (0, 1)}
+
+
+def test_short_items_and_more_terms_than_the_bound(spark):
+    r = random.Random(9)
+    rows = [(1, "we say hello world here"), (2, "hello there world"), (3, "so ha ha ha it goes"), (4, "ha ha"), (5, "xylophone"), (6, "none of it")]
+    items = [(1, "Hello, world!"), (2, "ha ha ha"), (3, "xylophone")]
+    for k in range(10, 50):
+        item = " ".join(f"w{r.randrange(10_000)}" for _ in range(20))
+        items.append((k, item))
+        rows.append((k, "first " + item))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench, settings=decontaminate.Settings(max_terms=20)).collect())
+    assert got == [(1, 1), (3, 2), (5, 3)] + [(k, k) for k in range(10, 50)]
+
+
+def test_the_bound_on_terms_leaves_each_item_its_rarest(spark):
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(20))) for k in range(30)]
+    bench = decontaminate.read_benchmark(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")
+    docs = spark.createDataFrame([i for i in items for _ in range(i[0] + 1)], "id long, text string").selectExpr("id", "id AS content", "text")
+    s = decontaminate.Settings(max_terms=20)
+    space = decontaminate.fit(decontaminate.kept(decontaminate.positions(docs, bench.terms), "positions"), bench, s)
+    assert all((space.weight[item] > 0).sum() >= s.weighted for item in bench.items)
