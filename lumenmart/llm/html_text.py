@@ -10,7 +10,7 @@ their column, preformatted text as it stands. All text that is visible comes out
 Each page is rendered on its own, within one pass over the table; Spark deals the pages and nothing is shuffled.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as it goes (an unclosed comment or script
-hides the rest); nesting beyond 200 levels stays at that level, its text is kept; repeated rows are rendered alike; an empty
+hides the rest); nesting beyond 200 levels (2000 where hidden) stays at that level, its text is kept; repeated rows are rendered alike; an empty
 table gives an empty result; null ids are passed on; extra columns are ignored.
 """
 
@@ -41,7 +41,7 @@ ENDS = {
 }
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 SCOPES = frozenset("table td th button".split())
-DEEPEST = 200
+DEEPEST, DEEPEST_HIDDEN = 200, 2000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 HIDES = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
@@ -50,10 +50,10 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Box:
-    __slots__ = ("children", "start", "tag")
+    __slots__ = ("children", "shown", "start", "tag")
 
-    def __init__(self, tag: str, start: int = 1):
-        self.tag, self.children, self.start = tag, [], start
+    def __init__(self, tag: str, start: int = 1, shown: bool = True):
+        self.tag, self.children, self.start, self.shown = tag, [], start, shown
 
 
 def parse(html: str) -> Box:
@@ -86,7 +86,7 @@ def parse(html: str) -> Box:
             outer = frozenset() if tag in SCOPES or tag in ("tr", "tbody", "thead", "tfoot") else SCOPES if tag in BLOCKS else SCOPES | BLOCKS
             close(frozenset((tag,)), outer)
             continue
-        if tag in UNSEEN and tag != "head" or tag not in VOID and HIDES.search(attributes) or tag == "dialog" and not re.search(r"(?:^|\s)open", attributes):
+        if tag in RAW or tag in UNSEEN & VOID:
             if tag not in VOID and not attributes.rstrip().endswith("/"):
                 at = _past(html, at, tag)
             continue
@@ -99,9 +99,12 @@ def parse(html: str) -> Box:
             root.children.append(stack[-1])
             continue
         start = START.search(attributes) if tag == "ol" else None
-        box = Box(tag, int(start[1]) if start else 1)
-        stack[-1].children.append(box)
-        if tag not in VOID and len(stack) < DEEPEST:
+        hides = tag in UNSEEN or tag not in VOID and HIDES.search(attributes) or tag == "dialog" and not re.search(r"(?:^|\s)open", attributes)
+        box = Box(tag, int(start[1]) if start else 1, stack[-1].shown and not hides)
+        if box.shown:
+            stack[-1].children.append(box)
+        # What is hidden is not rendered, but tags are matched in it as elsewhere, so that it ends where it should.
+        if tag not in VOID and len(stack) < (DEEPEST if box.shown else DEEPEST_HIDDEN):
             stack.append(box)
     return root
 

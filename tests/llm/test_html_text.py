@@ -36,6 +36,14 @@ def test_pre_entities_and_broken():
     assert render("<div>" * 5000 + "deep") == "deep"
 
 
+def test_hidden_elements_end_where_shown_ones_do():
+    assert render("<ul><li hidden>a<li>b<li>c</ul><p>rest</p>") == "- b\n- c\n\nrest"
+    assert render("<p style=display:none>x<p>visible <b>too</b>") == "visible too"
+    assert render("<table><tr hidden><td>a<tr><td hidden>b<td>c</table><dl><dt hidden>d<dd>e</dl>f") == "c\n\ne\n\nf"
+    assert render("<div><span hidden>a<b>x</div>b") == "b" and render("<div><canvas>a</div>b") == "b"
+    assert render("<div hidden><div>a</div>b<p>c</div>d") == "d" and render("<div>" * 300 + "<div hidden>a<div>b</div>c</div>d") == "d"
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "</table>", "<b>", "</b>", "<div>", "</div>", "<br>", "<pre>", "</pre>", "x1 ", "y2", " z3"]), max_size=40))
 def test_all_visible_text_comes_out_once(parts):
