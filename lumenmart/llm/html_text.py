@@ -3,7 +3,8 @@
 A page is read tag by tag into a tree of boxes: tags that authors leave out are implied (a new paragraph, list item, row, cell
 or option ends the one that is open; blocks end paragraphs; end tags close what is open inside them), and subtrees that a
 browser does not show are left out (scripts, styles, head matter, templates, comments, `hidden`, `aria-hidden`, display:none,
-visibility:hidden, closed dialogs). The tree is then laid out as plain text: blocks on lines of their own, one empty line
+visibility:hidden but for what is visible in it, closed dialogs, options that a drop-down list does not show, what media, objects
+and canvases hold for browsers without them, annotations of formulas, titles and definitions of drawings). The tree is then laid out as plain text: blocks on lines of their own, one empty line
 around paragraphs, headings, lists and tables, items with bullets or numbers by depth, cells of a table padded to the width of
 their column, preformatted text as it stands. All text that is visible comes out, menus and footers included.
 
@@ -27,8 +28,14 @@ from pyspark.sql import functions as F
 
 #: HTML's elements by how they are shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title meta link iframe object svg math canvas audio video select datalist textarea".split())
-RAW = frozenset("script style textarea title template iframe noscript svg math".split())
+UNSEEN = frozenset("head script style template noscript title meta link iframe object canvas audio video datalist".split())
+RAW = frozenset("script style title template iframe noscript".split())
+#: In drawings and formulas, what is not shown, what holds HTML, and the tags of HTML that end them elsewhere.
+UNSEEN_THERE = frozenset("desc metadata defs symbol clippath mask annotation annotation-xml".split())
+HTML_INSIDE = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset".split())
 BLOCKS = PARAGRAPHS | frozenset(
     "html body address article aside details summary dialog dd div dt figcaption footer form header hgroup hr li main menu nav option section tr thead tbody tfoot caption center legend".split()
@@ -36,24 +43,54 @@ BLOCKS = PARAGRAPHS | frozenset(
 #: What a start tag ends, and within which elements it looks for it.
 ENDS = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
-    "thead": ("thead tbody tfoot", "table"), "tbody": ("thead tbody tfoot caption colgroup", "table"), "tfoot": ("thead tbody tfoot", "table"), "option": ("option", "select"),
+    "thead": ("thead tbody tfoot", "table"), "tbody": ("thead tbody tfoot caption colgroup", "table"), "tfoot": ("thead tbody tfoot", "table"), "option": ("option", "select datalist"), "optgroup": ("option optgroup", "select"),
     "body": ("head", "html"),
 }
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 SCOPES = frozenset("table td th button".split())
+#: Inline elements whose end tag ends blocks in them too.
+HOLDERS = frozenset("select datalist svg math object canvas audio video".split())
 DEEPEST, DEEPEST_HIDDEN = 200, 2000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-HIDES = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+ATTRIBUTE = re.compile(r"([^\s/=][^\s/=>]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: Tags without these letters have no attribute that matters here.
+MAY_MATTER = re.compile(r"hidden|style|open|selected|disabled|multiple|size", re.I)
+DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*\"|'[^']*'|\([^)]*\))+")
 START = re.compile(r"(?:^|\s)start\s*=\s*[\"']?(\d{1,9})", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Box:
-    __slots__ = ("children", "shown", "start", "tag")
+    """shown: in the tree; visible: as CSS says, which boxes inside may change; foreign: of a drawing or formula."""
+
+    __slots__ = ("attributes", "children", "foreign", "shown", "start", "tag", "visible")
+
+    def __init__(self, tag: str, start: int = 1, attributes: dict | None = None):
+        self.tag, self.children, self.start, self.attributes = tag, [], start, attributes or {}
+        self.shown = self.visible = True
+        self.foreign = False
+
 
-    def __init__(self, tag: str, start: int = 1, shown: bool = True):
-        self.tag, self.children, self.start, self.shown = tag, [], start, shown
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes by name in small letters; of equal names the first counts."""
+    found: dict[str, str] = {}
+    if MAY_MATTER.search(text):
+        for m in ATTRIBUTE.finditer(text):
+            value = m[2] or ""
+            found.setdefault(m[1].lower(), unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    return found
+
+
+def styles_of(style: str) -> dict[str, str]:
+    """display and visibility as a style attribute leaves them."""
+    found: dict[str, tuple[bool, str]] = {}
+    for m in DECLARATION.finditer(re.sub(r"/\*.*?(?:\*/|\Z)", "", style, flags=re.S)):
+        name, _, value = m[0].partition(":")
+        name, (value, bang, _) = name.strip().lower(), value.strip().lower().partition("!")
+        if name in ("display", "visibility") and value and (bang or not found.get(name, (False,))[0]):
+            found[name] = bool(bang), value.strip()
+    return {k: v for k, (_, v) in found.items()}
 
 
 def parse(html: str) -> Box:
@@ -69,13 +106,17 @@ def parse(html: str) -> Box:
             if stack[k].tag in within:
                 return
 
+    def text(raw: str) -> None:
+        if stack[-1].visible:
+            stack[-1].children.append(unescape(raw))
+
     while at < len(html):
         m = TOKEN.search(html, at)
         if m is None:
-            stack[-1].children.append(unescape(html[at:]))
+            text(html[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(unescape(html[at : m.start()]))
+            text(html[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
@@ -83,13 +124,16 @@ def parse(html: str) -> Box:
         if m[1]:
             if tag == "p" and all(b.tag != "p" for b in stack):
                 stack[-1].children.append(Box("p"))
-            outer = frozenset() if tag in SCOPES or tag in ("tr", "tbody", "thead", "tfoot") else SCOPES if tag in BLOCKS else SCOPES | BLOCKS
-            close(frozenset((tag,)), outer)
+            outer = SCOPES if tag in HOLDERS else frozenset() if tag in SCOPES or tag in ("tr", "tbody", "thead", "tfoot") else SCOPES if tag in BLOCKS else SCOPES | BLOCKS
+            close(frozenset((tag, "svg " + tag)), outer)
             continue
         if tag in RAW or tag in UNSEEN & VOID:
             if tag not in VOID and not attributes.rstrip().endswith("/"):
                 at = _past(html, at, tag)
             continue
+        if stack[-1].foreign and tag in BREAKS_OUT:
+            while stack[-1].foreign:
+                stack.pop()
         if tag in BLOCKS:
             close(frozenset("p"), SCOPES)
         if tag in ENDS:
@@ -99,10 +143,32 @@ def parse(html: str) -> Box:
             root.children.append(stack[-1])
             continue
         start = START.search(attributes) if tag == "ol" else None
-        hides = tag in UNSEEN or tag not in VOID and HIDES.search(attributes) or tag == "dialog" and not re.search(r"(?:^|\s)open", attributes)
-        box = Box(tag, int(start[1]) if start else 1, stack[-1].shown and not hides)
+        if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
+            row = Box("tr")
+            row.shown, row.visible = stack[-1].shown, stack[-1].visible
+            stack[-1].children.append(row)
+            if len(stack) < DEEPEST:
+                stack.append(row)
+        known, above = attributes_of(attributes), stack[-1]
+        style = styles_of(known.get("style", ""))
+        box = Box(tag, int(start[1]) if start else 1, known)
+        box.foreign = tag in ("svg", "math") or above.foreign and tag not in HTML_INSIDE
+        if box.foreign and tag == "text":
+            box.tag = "svg text"
+        hides = tag in UNSEEN or above.foreign and tag in UNSEEN_THERE or known.get("aria-hidden", "").strip().lower() == "true"
+        hides = hides or style.get("display", "none" if "hidden" in known and tag != "option" else "") == "none" or tag == "dialog" and "open" not in known
+        box.shown = above.shown and not hides
+        box.visible = style["visibility"] == "visible" if style.get("visibility") in ("visible", "hidden", "collapse") else above.visible
         if box.shown:
-            stack[-1].children.append(box)
+            above.children.append(box)
+        if tag == "textarea":
+            end = re.compile(r"</textarea(?=[\s/>])[^>]*>", re.I).search(html, at)
+            if box.visible:
+                box.children.append(unescape(html[at : end.start() if end else len(html)].removeprefix("\n")))
+            at = end.end() if end else len(html)
+            continue
+        if (box.foreign or above.foreign) and attributes.endswith("/"):
+            continue
         # What is hidden is not rendered, but tags are matched in it as elsewhere, so that it ends where it should.
         if tag not in VOID and len(stack) < (DEEPEST if box.shown else DEEPEST_HIDDEN):
             stack.append(box)
@@ -204,12 +270,33 @@ def _lines(box: Box, depth: int) -> list[str]:
     return inner.lines
 
 
+def _is_list(select: Box) -> bool:
+    """Whether all options are shown, not only the chosen one."""
+    size = select.attributes.get("size", "").strip()
+    return "multiple" in select.attributes or size.isdecimal() and int(size) > 1
+
+
+def _options(select: Box) -> list[Box]:
+    """The options that are shown."""
+    found = []
+    for child in select.children:
+        if isinstance(child, Box):
+            off = child.tag == "optgroup" and "disabled" in child.attributes
+            found += [(o, off or "disabled" in o.attributes) for o in ([child] if child.tag == "option" else child.children) if isinstance(o, Box) and o.tag == "option"]
+    if _is_list(select):
+        return [o for o, _ in found if "hidden" not in o.attributes]
+    chosen = [o for o, _ in found if "selected" in o.attributes][-1:]
+    return chosen or [o for o, off in found if not off][:1]
+
+
 def _render(box: Box, out: Layout, pre: bool, depth: int) -> None:
     tag = box.tag
     if tag == "br":
         out.lines.append("".join(out.line).rstrip()) if out.line else None
         out.line, out.space = [], False
         return
+    if tag in ("svg text", "textarea") or tag == "select" and _is_list(box):
+        out.end()
     gap = (1 if tag in PARAGRAPHS and not (depth and tag in ("ul", "ol", "p")) else 0) if tag in BLOCKS else -1
     if gap >= 0:
         out.end(gap)
@@ -228,14 +315,22 @@ def _render(box: Box, out: Layout, pre: bool, depth: int) -> None:
                     out.end()
             else:
                 _render(child, out, pre, depth + 1)
+    elif tag == "select":
+        out.space = True
+        for option in _options(box):
+            for child in option.children:
+                _render(child, out, pre, depth) if isinstance(child, Box) else out.text(child, pre)
+            if _is_list(box):
+                out.end()
+        out.space = True
     else:
-        pre = pre or tag == "pre"
+        pre = pre or tag in ("pre", "textarea")
         for child in box.children:
             _render(child, out, pre, depth) if isinstance(child, Box) else out.text(child, pre)
         if tag in ("td", "th"):
             out.space = True
-    if gap >= 0:
-        out.end(gap)
+    if gap >= 0 or tag in ("svg text", "textarea"):
+        out.end(max(gap, 0))
 
 
 def render(html: str | None) -> str:

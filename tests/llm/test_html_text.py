@@ -44,6 +44,28 @@ def test_hidden_elements_end_where_shown_ones_do():
     assert render("<div hidden><div>a</div>b<p>c</div>d") == "d" and render("<div>" * 300 + "<div hidden>a<div>b</div>c</div>d") == "d"
 
 
+def test_only_attributes_that_hide_hide():
+    assert render('<p class="btn hidden md">a</p><p title="a hidden gem">b</p><p data-x="display:none" title=\'aria-hidden="true"\'>c</p>') == "a\n\nb\n\nc"
+    assert render("a<b HIDDEN=''>no</b><b style='DISPLAY : none !important; display:block'>no</b><b aria-hidden='TRUE'>no</b><b aria-hidden=false>b</b>") == "ab"
+    assert render('<p style="background:url(x;display:none)">a<p style="display:none;display:inline">b<p style="x-display:none">c<p hidden style="display:block">d') == "a\n\nb\n\nc\n\nd"
+    assert render("<div style='visibility:hidden'>no<b style='visibility:visible'>a</b>no</div>b") == "a\nb"
+    assert render("<dialog class=open>no</dialog><dialog open>a</dialog>") == "a"
+
+
+def test_formulas_drawings_and_forms():
+    assert render("so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math> holds") == "so x=1 holds"
+    assert render("<svg><title>no</title><defs><text>no</text></defs><path d='M0'/><text>a</text><text>b <tspan>c</tspan></text></svg><p>d") == "a\nb c\n\nd"
+    assert render("<svg><path d='M0'><p>a</p>") == "a" and render("<svg><foreignObject><p>a</p></foreignObject><text>b</text></svg>") == "a\n\nb"
+    assert render("x<textarea>\na &lt;b> <i>\n c</textarea>y") == "x\na <b> <i>\n c\ny"
+    assert render("In <select><option>a<option selected>b<option>c</select> now") == "In b now" and render("<select><option disabled>a<optgroup><option>b</select>") == "b"
+    assert render("a<datalist><option>no<option>no</datalist>b<video><p>no</video>c") == "abc"
+    assert render("<select multiple><option>a<option hidden>no<option>c</select>d") == "a\nc\nd" and render("<select><option hidden selected>a<option>b</select>") == "a"
+
+
+def test_cells_without_a_row():
+    assert render("<table><td>a<td>b<tr><td>c</table>d") == "a  b\nc\n\nd"
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "</table>", "<b>", "</b>", "<div>", "</div>", "<br>", "<pre>", "</pre>", "x1 ", "y2", " z3"]), max_size=40))
 def test_all_visible_text_comes_out_once(parts):
