@@ -4,8 +4,9 @@ Training counts words and character n-grams (lengths 1 to 5, words marked at bot
 its log frequency in each language. An unseen word scores the mean log frequency of its known n-grams of the greatest length
 that has any; then of the next shorter length. The sums over the whole text, with equal priors, give the posterior.
 
-The model is fitted on at most about `train_rows` labelled rows, drawn by a hash of their ids, and holds at most `max_words`
-words and `max_grams` n-grams of each length (the most frequent); both bounds keep what is broadcast at a fixed size. Rarer
+The model is fitted on at most about `train_rows` labelled rows, drawn by a hash of their ids up to an equal quota for each
+language (rare languages are taken whole), and holds at most `max_words` words and `max_grams` n-grams of each length (by their
+rank within a language, so that each has its own); both bounds keep what is broadcast at a fixed size. Rarer
 words are what the back-off is for. Prediction reads every whole text; batches are split by Spark, and workers
 remember the scores of recent words in a table of bounded size.
 
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenmart.llm.common import kept
@@ -131,21 +132,34 @@ class Model:
         return self.langs[best], float(p[best])
 
 
+def quota(sizes: list[int], rows: int) -> float:
+    """The most that each language may give so that all together give `rows`."""
+    left, count = rows, len(sizes)
+    for n in sorted(sizes):
+        if n * count > left:
+            return left / count
+        left, count = left - n, count - 1
+    return float(max(sizes))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings | None = None) -> Model:
     """docs: the rows to learn from; those without text or label are left out."""
     s = settings or Settings()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    total = rows.count()
-    if total > s.train_rows:
-        share = int(s.train_rows / total * 1_000_000)
-        rows = rows.filter(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1_000_000)) < share)
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    if sum(sizes.values()) > s.train_rows:
+        q = quota(list(sizes.values()), s.train_rows)
+        shares = rows.sparkSession.createDataFrame([(k, int(q / n * 1_000_000_000)) for k, n in sizes.items() if n > q], f"lang {rows.schema['lang'].dataType.simpleString()}, share long")
+        draw = F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1_000_000_000))
+        rows = rows.join(F.broadcast(shares), "lang", "left").filter(F.col("share").isNull() | (draw < F.col("share"))).select("id", "text", "lang")
     counts = kept(
         rows.select("lang", "text").mapInPandas(_count, "lang string, n int, gram string, count long")
         .groupBy("n", "gram", "lang").agg(F.sum("count").alias("count"))
-        .groupBy("n", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"), F.sum("count").alias("all")),
+        .withColumn("rank", F.row_number().over(Window.partitionBy("n", "lang").orderBy(F.desc("count"), "gram")))
+        .groupBy("n", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"), F.sum("count").alias("all"), F.min("rank").alias("rank")),
         "counts",
     )
-    found = {n: counts.filter(F.col("n") == n).orderBy(F.desc("all"), "gram").limit(s.max_grams if n else s.max_words).select("gram", "by").collect() for n in (0, *LENGTHS)}
+    found = {n: counts.filter(F.col("n") == n).orderBy("rank", F.desc("all"), "gram").limit(s.max_grams if n else s.max_words).select("gram", "by").collect() for n in (0, *LENGTHS)}
     langs = sorted({lang for r in found[0] for lang in r["by"]})
     index, scores, at = {}, [np.zeros((0, len(langs)))], 0
     for n, top in found.items():

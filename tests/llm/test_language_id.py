@@ -50,3 +50,13 @@ def test_untrained_and_empty(spark):
     docs = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert language_id.identify(docs).first().lang_pred == "und"
     assert language_id.identify(docs.limit(0)).count() == 0
+
+
+def test_a_rare_language_keeps_its_rows_and_words_within_the_bounds(spark):
+    assert language_id.quota([5, 100, 1000], 105) == 50 and language_id.quota([5, 5], 4) == 2
+    rows = corpus(spark) + [(1000 + i, "ketola isumi narvo", "dd", "s") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language_id.train(docs, settings=language_id.Settings(train_rows=24, max_words=8, max_grams=40))
+    assert model.langs == ["aa", "bb", "cc", "dd"]
+    out = language_id.predict(docs, model, carry=[docs.lang]).groupBy("lang", "lang_pred").count().collect()
+    assert sum(r["count"] for r in out if r.lang == r.lang_pred) == len(rows)
