@@ -1,7 +1,8 @@
 """Business metrics: what is asked (`Kpi`), how the common wordings read, and the DataFrame that answers it.
 
 A metric is an aggregate over a frame that is joined already. Shares, running and moving values and ranks are computed over the
-grouped rows, never over the raw ones, so the one large shuffle is that of the grouping, after partial aggregation.
+grouped rows, never over the raw ones, so the one large shuffle is that of the grouping, after partial aggregation. An exact median keeps the
+different values of a group in one task; approx_median stands for it where groups are large.
 """
 
 from __future__ import annotations
@@ -13,16 +14,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenmart.functions import columns as c
+from lumenmart.plans.names import resolve, resolve_group, safe_expr, words
 
 #: Other names of the aggregates.
 ALIASES = {"mean": "avg", "average": "avg", "std": "stddev", "var": "variance", "total": "sum", "number": "count"}
 AGGREGATES = {
     "sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max, "median": lambda x: F.percentile(x, F.lit(0.5)), "stddev": F.stddev_samp, "variance": F.var_samp,
-    "count_distinct": F.count_distinct,
+    "count_distinct": F.count_distinct, "approx_median": lambda x: F.percentile_approx(x, F.lit(0.5), F.lit(10_000)), "approx_count_distinct": F.approx_count_distinct,
 }
+ROUNDED = ("sum", "avg", "median", "stddev", "variance", "approx_median")
 UNITS = ("year", "quarter", "month", "week", "day")
 #: How prose asks for a grain, and for the largest.
 GRAINS = {"yearly": "year", "annual": "year", "quarterly": "quarter", "monthly": "month", "weekly": "week", "daily": "day"}
+UNIT = "(year|quarter|month|week|day)"
+GRAIN = re.compile(rf"\b(?:each|per|every|by) {UNIT}\b|\b{UNIT} over (?:the )?(?:year|time)\b|\b({'|'.join(GRAINS)})\b")
+#: A bound in prose: of a measure after with or having or before a noun, of an age otherwise.
+BOUND = re.compile(r"(?:\b(with|having) )?(at least|more than|over|above|older than|greater than|>=|>) ?([\d.]+)(?: (years?|[a-z_]+))?")
+EXTRA = (
+    ("count", re.compile(r"(?:\band|\bwith|,) (?:the )?(?:number of times|number of them|how many times|times they were)\b()")),
+    ("avg", re.compile(r"(?:\band|\bwith|,) (?:the )?(?:average|avg|mean) ([a-z][a-z0-9_ ]*?)(?: (?:for|per|of|each|by|and)\b|[.?]|$)")),
+    ("sum", re.compile(r"(?:\band|\bwith|,) (?:the )?total ([a-z][a-z0-9_ ]*?)(?: (?:for|per|of|each|by|and)\b|[.?]|$)")),
+)
 MOST = ("most", "highest", "largest", "greatest", "maximum")
 
 
@@ -47,11 +59,11 @@ class Measure:
         return self.function in ("sum", "count")
 
     def raw(self) -> Column:
-        value = F.lit(1) if self.column == "*" else F.expr(self.column)
-        return AGGREGATES[self.function](F.when(F.expr(self.where), value) if self.where else value)
+        value = F.lit(1) if self.column == "*" else safe_expr(self.column)
+        return AGGREGATES[self.function](F.when(safe_expr(self.where), value) if self.where else value)
 
-    def shown(self) -> Column:
-        return F.round(self.raw(), 2) if self.function in ("sum", "avg", "median", "stddev", "variance") else self.raw()
+    def shown(self, value: Column) -> Column:
+        return F.round(value, 2) if self.function in ROUNDED else value
 
 
 @dataclass(frozen=True)
@@ -132,82 +144,162 @@ def read_dim(text: str, as_of: str | None = None) -> Dim:
     return Dim(column, kinds[kind], as_of)
 
 
-def read(metric: str, cuts: str = "", question: str = "", as_of: str | None = None, time_column: str | None = None) -> Kpi:
-    """The metric, cuts and question as a Kpi. Wordings are tried in order; the first that fits decides."""
-    text, kpi = metric.strip(), None
-    dims = tuple(read_dim(x, as_of) for x in re.split(r",(?![^()]*\))", cuts) if x.strip())
-    said = f"{text} {question}".lower()
+def _shape(text: str) -> Kpi:
+    """What the metric computes. Wordings are tried in order; the first that fits decides."""
+    if m := re.match(r"(?:percent(?:age)?|share)\s+of\s+(.*?)\s*/.*\bfor\s+(\w+)\s*$", text, re.I):  # of each cell in the whole, or in its group or period
+        return Kpi((_measure(re.sub(r"(?i)^(total|group)\s+(of\s+)?", "", m[1])),), share="scope", within=(m[2],))
     if m := re.match(r"(?:percent(?:age)?|share)\s+of\s+(total|group)?\s*(.*)", text, re.I):
-        rest = re.sub(r"(?i)^of\s+", "", m[2]).split("/")[0]
-        kpi = Kpi((_measure(rest),), share=(m[1] or "total").lower())
-    elif m := re.match(r"running total of (.*)", text, re.I):
-        kpi = Kpi((_measure(m[1]),), window="running")
-    elif m := re.match(r"(\d+)[- ](?:\w+ )?moving average of (.*)", text, re.I):
-        kpi = Kpi((_measure(m[2]),), window="moving", span=int(m[1]))
-    elif m := re.match(r"rank of (.*?) within (\w+)", text, re.I):
-        kpi = Kpi((_measure(m[1]),), window="rank", within=(m[2],))
-    elif "/" in text:
-        kpi = Kpi(tuple(_measure(x) for x in text.split("/")), ratio=True)
-    else:
-        kpi = Kpi(tuple(_measure(x) for x in re.split(r",(?![^()]*\))", text)))
-    for word, unit in GRAINS.items():
-        if time_column and (word in said or f"each {unit}" in said) and not any(d.kind == "time" for d in dims):
-            dims = (Dim(time_column, "time", unit), *dims)
-    if m := re.search(r"(at least|>=|more than|over|>)\s*([\d.]+)\s*(?:orders|rows|in total)", said):
-        kpi = replace(kpi, having=(">=" if m[1] in ("at least", ">=") else ">", float(m[2])))
-    if m := re.search(r"top (\d+)", said):
-        kpi = replace(kpi, top=int(m[1]))
-    elif any(re.search(rf"\b{w}\b", said) for w in MOST):
-        kpi = replace(kpi, top=20)
+        return Kpi((_measure(re.sub(r"(?i)^of\s+", "", m[2]).split("/")[0]),), share=(m[1] or "total").lower())
+    if m := re.match(r"rank of (.*?) within (\w+)", text, re.I):
+        return Kpi((_measure(m[1]),), window="rank", within=(m[2],))
+    if m := re.match(r"running total of (.*)", text, re.I):
+        return Kpi((_measure(m[1]),), window="running")
+    if m := re.match(r"(\d+)[- ](?:\w+ )?moving average of (.*)", text, re.I):
+        return Kpi((_measure(m[2]),), window="moving", span=int(m[1]))
+    if "/" in text:
+        return Kpi(tuple(_measure(x) for x in text.split("/")), ratio=True)
+    return Kpi(tuple(_measure(x) for x in re.split(r",(?![^()]*\))", text)))
+
+
+def _references(column: str) -> set[str]:
+    """What a question may call a column: its name, and the first letters of its words."""
+    short = "".join(w[0] for w in words(column))
+    return {column.lower()} | ({short} if len(short) > 1 else set())
+
+
+def _quoted(text: object) -> str:
+    return "'" + str(text).replace("'", "''") + "'"
+
+
+def _filters(question: str, cuts: str, dims: tuple[Dim, ...]) -> list[str]:
+    """Filters that prose holds: "for Emea region" or its abbreviation, and short quoted values where a cut is named beside them."""
+    out = []
+    columns = [d for d in dims if d.kind == "column"]
+    for d in columns:
+        for ref in sorted(_references(d.column)):
+            if m := re.search(rf"\b(?:for|in)\s+([A-Za-z]\w*)\s+{re.escape(ref)}\b", question, re.I):
+                out.append(f"{d.column} = {_quoted(m[1].title())}")
+                break
+    for text in (cuts, question):
+        if re.search(r"[<>=]", text):
+            continue
+        anchor = next((d for d in columns if d.name.lower() in text.lower()), None)
+        for value in re.findall(r"['\"]([^'\"]{1,40})['\"]", text):
+            if anchor and len(value.split()) <= 2 and not any(f.lower().endswith(_quoted(value.strip()).lower()) for f in out):
+                out.append(f"{anchor.column} = {_quoted(value.strip())}")
+    return out
+
+
+def _extra(question: str, first: Measure, labels: dict[str, str]) -> list[Measure]:
+    """A second measure that only the question asks for; its column must be known."""
+    for function, pattern in EXTRA:
+        if first.function != function and (m := pattern.search(question)):
+            column = "*" if function == "count" else resolve(m[1].strip(), labels)
+            if column:
+                return [Measure(function, column)]
+    return []
+
+
+def read(
+    metric: str, cuts: str = "", question: str = "", as_of: str | None = None, time_column: str | None = None, labels: dict[str, str] | None = None, denominator: str | None = None,
+) -> Kpi:
+    """The metric, cuts and question as a Kpi.
+
+    labels: columns by what they are called, for measures that only prose names. denominator: grand_total, within_group or within_period overrules what
+    a share is of. A threshold or grain that can't be placed is an error, never dropped."""
+    kpi, said = _shape(metric.strip()), f"{metric} {question}".lower()
+    tokens = [x.strip() for x in re.split(r",(?![^()]*\))", cuts) if x.strip()]
+    compared = [t for t in tokens if re.match(r"\w+\s*(<=|>=|!=|=|<|>)\s*('[^']*'|[\w.]+)$", t)]
+    dims = tuple(read_dim(x, as_of) for x in tokens if x not in compared and not re.fullmatch(r"'.*'", x))
+    if (m := GRAIN.search(said)) and not any(d.kind == "time" for d in dims):
+        unit = next(g for g in m.groups() if g)
+        if time_column is None:
+            raise Ambiguous(f"{m[0]!r} needs a time column")
+        dims = (Dim(time_column, "time", GRAINS.get(unit, unit)), *dims)
+    filters = [f for t in compared for f in (re.sub(r"(=|<|>)\s*([A-Za-z_]\w*)$", lambda v: f"{v[1]} {_quoted(v[2])}", t),)] + _filters(question, ", ".join(tokens), dims)
+    having = None
+    for m in BOUND.finditer(question.lower()):
+        years = (m[4] or "years").startswith("year")
+        age = next((d for d in dims if d.kind == "age"), None)
+        if years and not m[1] and age:
+            filters.append(f"year({_as_of(age)}) - year({age.column}) {'>=' if m[2] in ('at least', '>=') else '>'} {float(m[3]):g}")
+        elif not m[4] and not m[1]:
+            raise Ambiguous(f"{m[0]!r}: a bound of what?")
+        else:
+            having = (">=" if m[2] in ("at least", ">=") else ">", float(m[3]))
+    top = int(m[1]) if (m := re.search(r"\btop (\d+)", said)) else 20 if any(re.search(rf"\b{w}\b", said) for w in MOST) else None
+    kpi = replace(kpi, filters=tuple(filters), having=having, top=top, measures=kpi.measures + (() if kpi.share or kpi.ratio or kpi.window else tuple(_extra(question.lower(), kpi.measures[0], labels or {}))))
+    if kpi.share == "scope":
+        if kpi.within[0].lower() in UNITS:
+            kpi = replace(kpi, share="period", within=())
+        else:
+            group = resolve_group(kpi.within[0], {d.name: d.name for d in dims} | {k: v for k, v in (labels or {}).items() if v in {d.name for d in dims}}, cuts=[d.name for d in dims])
+            kpi = replace(kpi, share="group" if group and denominator in (None, "within_group") and len(dims) > 1 else "total", within=(group,) if group else ())
+    if denominator and kpi.share:
+        kpi = replace(kpi, share={"grand_total": "total", "global_total": "total", "within_group": "group", "within_period": "period"}[denominator])
     # A measure's own input is no cut.
     inputs = {m.column for m in kpi.measures}
     return replace(kpi, dims=tuple(d for d in dims if not (d.kind == "column" and d.column in inputs and len(dims) > 1)))
 
 
-def answer(df: DataFrame, kpi: Kpi) -> DataFrame:
-    """The frame that the Kpi asks for."""
+def _as_of(d: Dim) -> str:
+    return f"DATE '{d.by}'" if re.match(r"\d{4}-", str(d.by)) else str(d.by)
+
+
+def _where_last(df: DataFrame, kpi: Kpi, dims: list[str]) -> DataFrame:
+    """One row an entity, where it was last: the greatest of the latest columns, combined before the shuffle. Of equal ones, the greatest cuts."""
+    used = {w for m in kpi.measures for w in re.findall(r"\w+", f"{m.column} {m.where or ''}")} & set(df.columns)
+    row = F.struct(*dims, *sorted(used - {kpi.entity}))
+    return df.groupBy(kpi.entity).agg(F.max_by(row, F.struct(*kpi.latest, *dims)).alias("_last")).select(kpi.entity, "_last.*")
+
+
+def answer(df: DataFrame, kpi: Kpi, by_grain: bool = False) -> DataFrame:
+    """The frame that the Kpi asks for; having applies to groups before shares and windows, top to what comes out, by values that are not rounded yet.
+
+    by_grain: where no top is asked for, the rows come in order of the cuts."""
     if kpi.share and any(d.continuous for d in kpi.dims):
         raise Ambiguous("a share by a continuous value needs bands")
+    first, names = kpi.measures[0], [d.name for d in kpi.dims]
+    if kpi.share == "total" and kpi.filters and not kpi.dims:  # the filters make the part, not the whole
+        part = replace(first, where=" AND ".join(f"({f})" for f in [*kpi.filters, *([first.where] if first.where else [])]))
+        out = df.agg(part.raw().alias(first.name), first.raw().alias("_whole"))
+        return out.select(first.shown(F.col(first.name)).alias(first.name), F.round(c.safe_ratio(F.col(first.name), F.col("_whole")) * 100, 2).alias("share"))
     for test in kpi.filters:
-        df = df.filter(F.expr(test))
-    names = [d.name for d in kpi.dims]
+        df = df.filter(safe_expr(test))
     df = df.select("*", *[d.value().alias(f"_d{k}") for k, d in enumerate(kpi.dims)])
     keys = [F.col(f"_d{k}").alias(n) for k, n in enumerate(names)]
     if kpi.entity:
-        order = [F.desc(x) for x in kpi.latest] + [F.col(f"_d{k}") for k in range(len(names))]
-        df = df.withColumn("_nth", F.row_number().over(Window.partitionBy(kpi.entity).orderBy(*order))).filter("_nth = 1")
-    first = kpi.measures[0]
-    if kpi.ratio:
-        a, b = kpi.measures
-        out = df.groupBy(*keys).agg(F.round(c.safe_ratio(a.raw(), b.raw()), 4).alias("ratio"))
-        return _ordered(out, names, "ratio", kpi)
-    if kpi.share:
-        out = df.groupBy(*keys).agg(first.raw().alias("_m"))
-        times = [d.name for d in kpi.dims if d.kind == "time"]
-        scope = {"total": [], "group": list(kpi.within) or names[:1], "period": times}[kpi.share]
-        whole = F.sum("_m").over(Window.partitionBy(*scope))
-        out = out.select(*names, F.round(c.safe_ratio(F.col("_m"), whole) * 100, 2).alias("share"))
-        return _ordered(out, names, "share", kpi)
-    out = df.groupBy(*keys).agg(*[m.raw().alias(m.name) for m in kpi.measures])
+        df = _where_last(df, kpi, [f"_d{k}" for k in range(len(names))])
+    out = df.groupBy(*keys).agg(*[m.raw().alias(f"_m{k}") for k, m in enumerate(kpi.measures)])
     if kpi.having:
         op, bound = kpi.having
-        out = out.filter(F.expr(f"`{first.name}` {op} {bound}"))
-    if kpi.window:
-        times = [d.name for d in kpi.dims if d.kind == "time"]
-        if kpi.window == "rank":
-            w = Window.partitionBy(*kpi.within).orderBy(F.desc(first.name), *names)
-            return out.select(*names, F.round(first.name, 2).alias(first.name), F.row_number().over(w).alias("rank"))
+        out = out.filter(F.col("_m0") >= bound if op == ">=" else F.col("_m0") > bound)
+    times = [d.name for d in kpi.dims if d.kind == "time"]
+    if kpi.ratio:
+        value, shown = c.safe_ratio(F.col("_m0"), F.col("_m1")), [F.round("_v", 4).alias("ratio")]
+    elif kpi.share:
+        scope = {"total": [], "group": list(kpi.within) or names[:1], "period": times}[kpi.share]
+        if scope:
+            whole = F.sum("_m0").over(Window.partitionBy(*scope))
+        else:  # one row
+            out, whole = out.join(F.broadcast(out.agg(F.sum("_m0").alias("_whole")))), F.col("_whole")
+        value, shown = c.safe_ratio(F.col("_m0"), whole) * 100, [F.round("_v", 2).alias("share")]
+    elif kpi.window == "rank":
+        nth = F.row_number().over(Window.partitionBy(*kpi.within).orderBy(F.desc("_m0"), *names))
+        value, shown = F.col("_m0"), [F.round("_m0", 2).alias(first.name), F.col("_nth").alias("rank")]
+        out = out.withColumn("_nth", nth)
+    elif kpi.window:
         w = Window.partitionBy(*[n for n in names if n not in times]).orderBy(*times)
-        if kpi.window == "running":
-            return out.select(*names, F.round(F.sum(first.name).over(w.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running_total"))
-        return out.select(*names, F.round(F.avg(first.name).over(w.rowsBetween(1 - kpi.span, 0)), 2).alias("moving_average"))
-    out = _ordered(out, names, first.name, kpi)
-    rounded = [F.round(m.name, 2).alias(m.name) if m.function in ("sum", "avg", "median", "stddev", "variance") else F.col(m.name) for m in kpi.measures]
-    return out.select(*names, *rounded)
-
-
-def _ordered(out: DataFrame, names: list[str], value: str, kpi: Kpi) -> DataFrame:
-    return out.orderBy(F.desc_nulls_last(value), *names).limit(kpi.top) if kpi.top else out
+        value = F.sum("_m0").over(w.rowsBetween(Window.unboundedPreceding, 0)) if kpi.window == "running" else F.avg("_m0").over(w.rowsBetween(1 - kpi.span, 0))
+        shown = [F.round("_v", 2).alias("running_total" if kpi.window == "running" else "moving_average")]
+    else:
+        value, shown = F.col("_m0"), [m.shown(F.col(f"_m{k}")).alias(m.name) for k, m in enumerate(kpi.measures)]
+    out = out.withColumn("_v", value)
+    if kpi.top:
+        out = out.orderBy(F.desc_nulls_last("_v"), *names).limit(kpi.top)
+    elif by_grain and names:
+        out = out.orderBy(*names)
+    return out.select(*names, *shown)
 
 
 # Values that are aggregated again
