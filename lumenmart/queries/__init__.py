@@ -1,3 +1,3 @@
 """One module for each family of queries; importing them registers the queries."""
 
-from lumenmart.queries import analysis, joins, kpi, layers, scalars, semantic, wording  # noqa: F401
+from lumenmart.queries import analysis, joins, kpi, layers, scalars, semantic, trust, wording  # noqa: F401
