@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenmart.functions import columns as c
+from lumenmart.plans.names import safe_expr
 
 
 def with_provenance(df: DataFrame, system: str, loaded_at: str) -> DataFrame:
@@ -56,10 +59,10 @@ def clean(df: DataFrame, contract: Contract) -> DataFrame:
     out = df.select(*[value(f) for f in contract.fields])
     if needed := [f.name for f in contract.fields if f.nulls == "drop"]:
         out = out.dropna(subset=needed)
-    out = out.withColumns({n: F.expr(e) for n, e in contract.derived.items()})
-    if contract.latest:
-        order = [F.desc_nulls_last(x) for x in contract.latest]
-        out = out.withColumn("_nth", F.row_number().over(Window.partitionBy(*contract.keys).orderBy(*order))).filter("_nth = 1").drop("_nth")
+    out = out.withColumns({n: safe_expr(e) for n, e in contract.derived.items()})
+    if contract.latest:  # the greatest row of each key, combined before the shuffle
+        rest = [c for c in out.columns if c not in contract.keys]
+        out = out.groupBy(*contract.keys).agg(F.max_by(F.struct(*rest), F.struct(*contract.latest)).alias("_r")).select(*contract.keys, "_r.*").select(*out.columns)
     return out
 
 
@@ -76,15 +79,15 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], full_refresh:
 
 
 def history(current: DataFrame, source: DataFrame, key: str, tracked: list[str], at: str) -> DataFrame:
-    """Type 2 history: changed rows are closed at `at` and opened anew; equal rows stay, so a second run changes nothing."""
+    """Type 2 history: changed rows are closed at `at` and opened anew; equal rows stay, so a second run changes nothing. Null keys match each other."""
     now = F.lit(at).cast("date")
-    new = source.select(F.col(key).alias("_k"), *[F.col(t).alias(f"_n_{t}") for t in tracked])
-    both = current.filter("valid_to IS NULL").join(new, F.col(key) == F.col("_k"), "left")
-    changed = F.col("_k").isNotNull() & ~c.all_of([F.col(t).eqNullSafe(F.col(f"_n_{t}")) for t in tracked])
+    new = source.select(F.lit(True).alias("_there"), F.col(key).alias("_k"), *[F.col(t).alias(f"_n_{t}") for t in tracked])
+    both = current.filter("valid_to IS NULL").join(new, F.col(key).eqNullSafe(F.col("_k")), "left")
+    changed = F.col("_there").isNotNull() & ~c.all_of([F.col(t).eqNullSafe(F.col(f"_n_{t}")) for t in tracked])
     kept_rows = both.select(key, *tracked, "valid_from", F.when(changed, now).alias("valid_to"))
     closed = current.filter("valid_to IS NOT NULL").select(key, *tracked, "valid_from", "valid_to")
-    same = both.filter(F.col("_k").isNotNull() & ~changed).select(F.col(key).alias("_same"))
-    opened = source.join(same, F.col(key) == F.col("_same"), "left_anti").select(key, *tracked, now.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    same = both.filter(F.col("_there").isNotNull() & ~changed).select(F.col(key).alias("_same"))
+    opened = source.join(same, F.col(key).eqNullSafe(F.col("_same")), "left_anti").select(key, *tracked, now.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
     return closed.unionByName(kept_rows).unionByName(opened)
 
 
@@ -94,11 +97,63 @@ def inferred_members(dimension: DataFrame, fact: DataFrame, column: str, key: st
     return dimension.withColumn("is_inferred", F.lit(False)).unionByName(missing.withColumn("is_inferred", F.lit(True)), allowMissingColumns=True)
 
 
+def resolve_members(dimension: DataFrame, arrived: DataFrame, key: str) -> DataFrame:
+    """Members that have come take the place of those that were inferred; no member becomes inferred again."""
+    return upsert(dimension, arrived.withColumn("is_inferred", F.lit(False)).select(*dimension.columns), [key])
+
+
 def lookback(df: DataFrame, event: str, latest, days: int = 3) -> DataFrame:
     """What may have changed since `latest`: the filter stands on the scan, below any aggregation."""
     return df.filter(F.col(event) >= F.date_sub(F.lit(latest).cast("date"), days))
 
 
+def refresh(mart: DataFrame, facts: DataFrame, event: str, group: Callable[[DataFrame], DataFrame], keys: list[str], latest, days: int = 3) -> DataFrame:
+    """An incremental mart: only facts since `days` before the latest event are read and grouped, and their groups take the place of the mart's."""
+    return mart if latest is None else upsert(mart, group(lookback(facts, event, latest, days)), keys)
+
+
+class Refused(ValueError):
+    """What was asked for needs someone's word first."""
+
+
+def backfill(target: DataFrame, source: DataFrame, event: str, first: str, last: str, most_days: int = 31, confirmed: bool = False) -> DataFrame:
+    """target with its rows of the days first to last replaced by source's; longer spans than most_days must be confirmed."""
+    span = (date.fromisoformat(last) - date.fromisoformat(first)).days + 1
+    if span < 1:
+        raise ValueError(f"{last} is before {first}")
+    if span > most_days and not confirmed:
+        raise Refused(f"{span} days are more than {most_days}")
+    inside = F.col(event).cast("date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    return target.filter(~F.coalesce(inside, F.lit(False))).unionByName(source.filter(inside))
+
+
+def append_once(df: DataFrame, path: str, marks: str, job: str) -> bool:
+    """Appends df to path, unless a marker says that the job has done so; then nothing happens and the result is False."""
+    spark = df.sparkSession
+    if exists(spark, marks) and not spark.read.parquet(marks).filter(F.col("job") == job).isEmpty():
+        return False
+    df.write.mode("append").option("compression", "zstd").parquet(path)
+    spark.createDataFrame([(job, path)], "job string, path string").write.mode("append").parquet(marks)
+    return True
+
+
+def pull(target: DataFrame | None, since: Callable[[object], DataFrame], keys: list[str], mark: str) -> DataFrame:
+    """Rows above the target's high-water mark, merged by key: a second pull changes nothing. since(mark) reads them; None reads all."""
+    if target is None:
+        return since(None)
+    return upsert(target, since(target.agg(F.max(mark)).first()[0]), keys)
+
+
+def append_bronze(df: DataFrame, path: str) -> None:
+    """Loaded rows join those that are there; their columns may be other ones."""
+    df.write.mode("append").option("compression", "zstd").parquet(path)
+
+
+def read_bronze(spark: SparkSession, path: str) -> DataFrame:
+    """All that was loaded, with the columns of all loads; those that a load lacked are null."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
 def plan_increment(current: dict[str, str], before: dict[str, str], feeds: dict[str, list[str]]) -> dict[str, str]:
     """build or skip for each table, in order: a changed fingerprint or a built input builds it."""
     out: dict[str, str] = {}
@@ -111,21 +166,55 @@ def fingerprint(spec: object) -> str:
     return hashlib.sha256(json.dumps(spec, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def publish(df: DataFrame, path: str, checks: list[DataFrame]) -> int:
-    """Write, audit, publish: df goes beside path; where all checks are empty it takes path's place. Returns failing rows."""
-    spark: SparkSession = df.sparkSession
-    staged = f"{path}__staged"
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _fs(spark, path)
+    return fs.exists(at)
+
+
+def swap(spark: SparkSession, staged: str, path: str) -> None:
+    """What is staged takes path's place. The old table is moved aside first and comes back if the new one can't be moved; readers find one or the other."""
+    fs, to = _fs(spark, path)
+    at, aside = (_fs(spark, p)[1] for p in (staged, f"{path}__before"))
+    fs.delete(aside, True)
+    had = fs.exists(to)
+    if had and not fs.rename(to, aside):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(at, to):
+        if had:
+            fs.rename(aside, to)
+        raise OSError(f"{staged} could not take the place of {path}")
+    fs.delete(aside, True)
+
+
+def publish(df: DataFrame, path: str, checks: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> int:
+    """Write, audit, publish: df goes beside path and is read back; where none of its checks finds a row, it takes path's place. Returns failing rows."""
+    spark, staged = df.sparkSession, f"{path}__staged"
     df.write.mode("overwrite").option("compression", "zstd").parquet(staged)
-    failing = sum(x.count() for x in checks)
+    written = spark.read.schema(df.schema).parquet(staged)
+    failing = sum(check(written).count() for check in checks)
     if failing == 0:
-        jvm = spark.sparkContext._jvm
-        at, to = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
-        fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(to, True)
-        fs.rename(at, to)
+        swap(spark, staged, path)
     return failing
 
 
+def compact(spark: SparkSession, path: str, target_bytes: int = 256 << 20) -> int:
+    """The table rewritten in files of about target_bytes; returns their number. Rows are moved without a shuffle by key."""
+    held = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).agg(F.sum("length")).first()[0] or 0
+    files = max(1, -(-int(held) // target_bytes))
+    publish(spark.read.parquet(path).coalesce(files), path)
+    return files
+
+
+def put(spark: SparkSession, path: str, rows: DataFrame, keys: list[str]) -> None:
+    """Documents in a table of documents, by their keys: those with the same keys are replaced."""
+    publish(upsert(spark.read.parquet(path), rows, keys) if exists(spark, path) else rows, path)
+
+
 # Assertions: the rows that fail
 def nulls(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNull())

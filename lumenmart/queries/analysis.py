@@ -1,7 +1,5 @@
 """Profiles, samples, drift, importance, cross-filters, verification, sources and streams."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from lumenmart.operators import kpi, layers, profiling, verify
@@ -188,7 +186,7 @@ def verify_lineage(spark, sf_dir):
 def _fresh(spark, what):
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenmart-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/lumenmart-{what}-{uuid.uuid4().hex}"
 
 
@@ -205,9 +203,9 @@ def source_csv_json_union(spark, sf_dir):
 @register("source_bronze_new_files", "SELECT s_suppkey, 'erp' AS _source_system FROM supplier WHERE s_suppkey % 2 = 1")
 def source_bronze_new_files(spark, sf_dir):
     base, supplier = _fresh(spark, "bronze"), table(spark, sf_dir, "supplier").select("s_suppkey")
-    supplier.filter("s_suppkey % 2 = 0").coalesce(1).write.parquet(base)
+    supplier.filter("s_suppkey % 2 = 0").write.parquet(base)
     ledger = spark.read.parquet(base).select(F.col("_metadata.file_name").alias("file")).distinct().collect()
-    supplier.filter("s_suppkey % 2 = 1").coalesce(1).write.mode("append").parquet(base)
+    supplier.filter("s_suppkey % 2 = 1").write.mode("append").parquet(base)
     loaded = layers.with_provenance(spark.read.parquet(base), "erp", "2024-01-01 00:00:00")
     return files.not_loaded(loaded, spark.createDataFrame(ledger, "file string")).select("s_suppkey", "_source_system")
 
@@ -221,22 +219,14 @@ def stream_files_append(spark, sf_dir):
     return spark.read.schema(events.schema).parquet(f"{base}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@register("stream_upsert_latest", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+@register("stream_upsert_latest", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def stream_upsert_latest(spark, sf_dir):
-    base, events = _fresh(spark, "upsert"), table(spark, sf_dir, "events").select("event_id", "user_id")
-    for k in range(3):
-        lo, hi = f"event_id >= {k} * (SELECT max(event_id) + 1 FROM e) / 3", f"event_id < {k + 1} * (SELECT max(event_id) + 1 FROM e) / 3"
-        events.createOrReplaceTempView("e")
-        events.filter(f"{lo} AND {hi}").coalesce(1).write.mode("append").parquet(f"{base}/in")
-    state = {}
-
-    def write(df, number):
-        df.write.mode("overwrite").parquet(f"{base}/state-{number}")
-        state["path"] = f"{base}/state-{number}"
-
-    stream = streams.files(spark, f"{base}/in", events.schema, per_batch=1)
-    streams.upsert_batches(stream, lambda: spark.read.parquet(state["path"]) if state else None, write, ["user_id"], "event_id", f"{base}/checkpoint")
-    return spark.read.parquet(state["path"]).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    """Later events come in the first files and earlier ones after them, so late rows must not win; the table has one row a user as it is."""
+    base, events = _fresh(spark, "upsert"), table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    for k in (2, 0, 1):
+        events.filter(F.pmod(F.floor(F.col("event_id") / 100), F.lit(3)) == k).write.mode("append").parquet(f"{base}/in")
+    streams.upsert_batches(streams.files(spark, f"{base}/in", events.schema, per_batch=2), f"{base}/state", ["user_id"], "event_id", f"{base}/checkpoint")
+    return spark.read.parquet(streams.current(spark, f"{base}/state"))
 
 
 @register("stream_event_time_windows", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -54,8 +54,8 @@ def merge_inferred_members(spark, sf_dir):
 @register("merge_lookback", "SELECT ts::DATE AS day, count(*) AS n FROM events WHERE ts >= (SELECT max(ts)::DATE - 3 FROM events) GROUP BY 1")
 def merge_lookback(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    latest = events.agg(F.max("ts")).first()[0]
-    return layers.lookback(events, "ts", latest.date().isoformat()).groupBy(F.col("ts").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    latest = events.agg(F.max("ts").cast("date").cast("string")).first()[0]  # null, and no rows, where the table is empty
+    return layers.lookback(events, "ts", latest).groupBy(F.col("ts").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 CONTRACT = layers.Contract(

@@ -194,8 +194,8 @@ def quality_parameters(spark, sf_dir):
     ])
 
 
-@register("quality_repeated_keys", "SELECT code, count(*) AS times FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN ' ' WHEN o_orderkey % 7 <> 0 THEN 'k' || o_custkey END AS code FROM orders) WHERE code IS NOT NULL AND trim(code) <> '' GROUP BY 1 HAVING count(*) > 1")
-def quality_repeated_keys(spark, sf_dir):
+@register("quality_duplicate_codes", "SELECT code, count(*) AS times FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN ' ' WHEN o_orderkey % 7 <> 0 THEN 'k' || o_custkey END AS code FROM orders) WHERE code IS NOT NULL AND trim(code) <> '' GROUP BY 1 HAVING count(*) > 1")
+def quality_duplicate_codes(spark, sf_dir):
     code = F.when(F.col("o_orderkey") % 3 == 0, " ").when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("k"), "o_custkey"))
     return quality.repeated_keys(orders(spark, sf_dir).select(code.alias("code")), "code")
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenmart.operators.profiling import profile
+from lumenmart.plans.names import identifier, safe_text
+
 SUFFIXES = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".ndjson": "json", ".jsonl": "json", ".orc": "orc", ".txt": "text", ".avro": "avro"}
 
 
@@ -48,9 +55,17 @@ def not_loaded(files: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def since(spark: SparkSession, reader_options: dict, table: str, column: str, mark: object) -> DataFrame:
-    """Rows of a JDBC table above a high-water mark; the database filters."""
-    literal = f"'{str(mark).replace(chr(39), chr(39) * 2)}'"
-    return spark.read.format("jdbc").options(**reader_options).option("dbtable", f"(SELECT * FROM {table} WHERE {column} > {literal}) AS t").load()
+    """Rows of a JDBC table above a high-water mark (all of them if it is None); the database filters."""
+    return spark.read.format("jdbc").options(**reader_options).option("dbtable", since_sql(table, column, mark)).load()
+
+
+def since_sql(table: str, column: str, mark: object) -> str:
+    """What the database is asked: plain names only, and the mark as a literal."""
+    source = ".".join(identifier(part) for part in table.split("."))
+    if mark is None:
+        return source
+    literal = str(mark) if isinstance(mark, (int, float)) and not isinstance(mark, bool) else "'" + str(mark).replace("'", "''") + "'"
+    return f"(SELECT * FROM {source} WHERE {identifier(column)} > {literal}) AS t"
 
 
 def write_table(df: DataFrame, path: str, by: str | None = None, bytes_there: int = 0, floor: int = 1 << 30) -> None:
@@ -63,11 +78,152 @@ def write_table(df: DataFrame, path: str, by: str | None = None, bytes_there: in
     out.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def listed(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """path, length and modified of each file below path, without its content."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    return found.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def detect(spark: SparkSession, path: str) -> str:
+    """The format of a file or of most files below a folder, by suffix."""
+    try:
+        return format_of(path)
+    except ValueError:
+        suffix = F.concat(F.lit("."), F.lower(F.substring_index("path", ".", -1)))
+        most = listed(spark, path).groupBy(suffix.alias("suffix")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("suffix").isin(*SUFFIXES)).orderBy(F.desc("n"), "suffix").first()
+        if most is None:
+            raise
+        return SUFFIXES[most["suffix"]]
+
+
+def available(spark: SparkSession, kind: str) -> bool:
+    """Whether this session has a reader for the format."""
+    try:
+        spark.read.format(kind).schema("x int").load([])
+        return True
+    except Exception as e:
+        if "DATA_SOURCE_NOT_FOUND" in str(e) or "Failed to find" in str(e):
+            return False
+        return True
+
+
+def read_layer(spark: SparkSession, path: str) -> DataFrame:
+    """A layer's table: through Delta where its log is there, which needs the package; else Parquet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_delta_log")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.read.parquet(path)
+    if not available(spark, "delta"):
+        raise RuntimeError(f"{path} is a Delta table and this session has no package for Delta")
+    return spark.read.format("delta").load(path)
+
+
+def run_mode(sources: dict[str, set[str]], prefer: str = "bronze") -> str:
+    """raw or bronze for all sources of a query: the preferred one if every source has it; never some of each."""
+    for mode in (prefer, *({"raw", "bronze"} - {prefer})):
+        if all(mode in held for held in sources.values()):
+            return mode
+    raise ValueError(f"no one mode for all of {sorted(sources)}")
+
+
+def staged(spark: SparkSession, tables: dict[str, dict[str, str]], mode: str, columns: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """The tables of a query, all by one mode, with the columns that it needs: a path is read, any other text is a table of the catalog."""
+    out = {}
+    for name, places in tables.items():
+        where = places[mode]
+        df = read(spark, where) if "/" in where else spark.table(".".join(identifier(p) for p in where.split(".")))
+        out[name] = df.select(*columns[name])
+    return out
+
+
+def load_new(spark: SparkSession, path: str, target: str, ledger: str, kind: str, schema=None) -> int:
+    """Appends the files below path that the ledger does not name to target, and then names them. A run that breaks between the two loads them again:
+    each file's rows are a partition, which the next run writes anew."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    there = lambda p: fs_path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path(p))
+    names = listed(spark, path, f"*.{kind}*").select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    known = spark.read.parquet(ledger) if there(ledger) else None
+    new = names if known is None else names.join(known, "file", "left_anti")
+    files = sorted(r["file"] for r in new.collect())  # the new files' names
+    if files:
+        df = read(spark, path, kind, schema).withColumn("_source_file", F.col("_metadata.file_name")).filter(F.col("_source_file").isin(files))
+        df.withColumn("_file", F.col("_source_file")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_file").parquet(target)
+        spark.createDataFrame([(f,) for f in files], "file string").write.mode("append").parquet(ledger)
+    return len(files)
+
+
+def fetched(spark: SparkSession, fetch: Callable[[int], list[dict]], pages: int, schema: str, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pages 0 to pages - 1 of a web source, fetched inside tasks: (rows, pages that failed, with the error). Pages that `done` (page) names are not
+    fetched again. fetch(page) gives rows; what it raises puts the page aside and stops nothing else."""
+    asked = spark.range(pages).select(F.col("id").alias("page"))
+    asked = asked if done is None else asked.join(done.select("page").distinct(), "page", "left_anti")
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+
+    def run(batches):
+        for batch in batches:
+            for page in batch["page"].tolist():
+                try:
+                    rows, error = fetch(page), None
+                except Exception as e:
+                    rows, error = [], f"{type(e).__name__}: {e}"
+                out = pd.DataFrame([{n: r.get(n) for n in names} for r in rows] or [dict.fromkeys(names)], columns=names)
+                yield out.assign(_page=page, _error=error, _empty=not rows)
+
+    got = asked.repartition(max(1, min(pages, spark.sparkContext.defaultParallelism))).mapInPandas(run, f"{schema}, _page long, _error string, _empty boolean")
+    return got.filter("NOT _empty").select("_page", *names), got.filter("_error IS NOT NULL").select(F.col("_page").alias("page"), F.col("_error").alias("error"))
+
+
+def process(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """A source staged as Parquet, and its profile."""
+    read(spark, path, detect(spark, path)).write.mode("overwrite").option("compression", "zstd").parquet(out)
+    return profile(spark.read.parquet(out))
+
+
+def write_rows(spark: SparkSession, rows: list[dict], schema: str, path: str) -> int:
+    """A few rows of the driver as a table: they go as one JSON parameter and are unpacked by Spark."""
+    text = spark.createDataFrame([(json.dumps(rows, default=str),)], "j string")
+    text.select(F.explode(F.from_json("j", f"array<struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in T._parse_datatype_string(schema).fields)}>>")).alias("r")).select("r.*").write.mode("append").parquet(path)
+    return len(rows)
+
+
+class Warehouse:
+    """Facts and dimensions under names, and SELECTs over them."""
+
+    def __init__(self, spark: SparkSession, facts: dict[str, DataFrame], dimensions: dict[str, DataFrame]):
+        self.spark, self.names = spark, []
+        for prefix, tables in (("fact", facts), ("dim", dimensions)):
+            for name, df in tables.items():
+                self.names.append(f"{prefix}_{identifier(name)}")
+                df.createOrReplaceTempView(self.names[-1])
+
+    def query(self, sql: str, **values: object) -> DataFrame:
+        """One SELECT; values are bound, not pasted."""
+        if not safe_text(sql).lstrip().lower().startswith(("select", "with")):
+            raise ValueError("only a SELECT can be asked")
+        return self.spark.sql(sql, args=values)
+
+
 def storage(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """layer, files, bytes of each directory, listed by Spark's own reader."""
+    """layer, files, bytes, rows of each directory, listed by Spark's own reader."""
     out = None
     for layer, path in paths.items():
-        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("length")
-        one = listed.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")).select(F.lit(layer).alias("layer"), "files", "bytes")
+        held = listed(spark, path, "*.parquet").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+        rows = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
+        one = held.join(F.broadcast(rows)).select(F.lit(layer).alias("layer"), "files", "bytes", "rows")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def as_of(spark: SparkSession, path: str, stale_hours: float, now: str) -> DataFrame:
+    """One row: files, as_of (the time of the newest file), hours old at `now`, and whether that is stale."""
+    held = listed(spark, path, "*.parquet").agg(F.count(F.lit(1)).alias("files"), F.max("modified").alias("as_of"))
+    hours = F.round((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("as_of")) / 3600, 2)
+    return held.select("files", "as_of", hours.alias("hours"), (hours > stale_hours).alias("stale"))
+
+
+def tagged_union(frames: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several systems with the system's name; columns meet by name."""
+    out = None
+    for system, df in frames.items():
+        one = df.withColumn("source_system", F.lit(system))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out

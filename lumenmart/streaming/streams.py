@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 
-from lumenmart.operators.layers import upsert
+def files(spark: SparkSession, path: str, schema, kind: str = "parquet", per_batch: int = 1000, rescued: bool = False) -> DataFrame:
+    """A stream of the files below path; the schema is given, so it can't change unseen. rescued: csv and json rows that don't fit it come in _rescued."""
+    reader = spark.readStream.format(kind).option("maxFilesPerTrigger", per_batch)
+    if rescued and kind in ("csv", "json"):
+        schema = T.StructType([*schema.fields, T.StructField("_rescued", T.StringType())])
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_rescued")
+    return reader.schema(schema).load(path)
 
 
-def files(spark: SparkSession, path: str, schema, kind: str = "parquet", per_batch: int = 1000) -> DataFrame:
-    """A stream of the files below path; the schema is given, so it can't change unseen."""
-    return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", per_batch).load(path)
+def evolved(before: T.StructType, now: T.StructType) -> T.StructType:
+    """The schema for the next start of a stream: what was there, then new columns, nullable. A column of another type is an error."""
+    held = {f.name: f for f in before.fields}
+    for f in now.fields:
+        if f.name in held and held[f.name].dataType != f.dataType:
+            raise ValueError(f"{f.name} was {held[f.name].dataType.simpleString()} and is {f.dataType.simpleString()}")
+    return T.StructType([*before.fields, *(T.StructField(f.name, f.dataType, True) for f in now.fields if f.name not in held)])
 
 
 def kafka(spark: SparkSession, servers: str, topic: str, per_batch: int = 1_000_000) -> DataFrame:
@@ -26,16 +36,40 @@ def append_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
-def upsert_batches(stream: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], keys: list[str], order: str, checkpoint: str) -> None:
-    """Each micro-batch's latest rows take the place of the table's. write gets the batch's number, so a batch that runs again replaces itself."""
+def current(spark: SparkSession, path: str) -> str | None:
+    """The last complete state below path: the folder with the greatest number that Spark has marked as written. It is found anew at each start."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    numbers = [int(n) for s in fs.listStatus(at) if (n := s.getPath().getName()).isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return f"{path}/{max(numbers)}" if numbers else None
+
+
+def newest(before: DataFrame | None, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row a key, the one that is last in order, of what was there and what has come: late rows don't win. Combined before the shuffle."""
+    rows = batch if before is None else before.unionByName(batch)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+
+def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str) -> None:
+    """Keeps the newest row of each key below path, a state for each micro-batch. A batch that runs again starts from the state before it and writes its own again."""
     def one(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        before = read()
-        write(latest if before is None else upsert(before, latest, keys), number)
+        spark = batch.sparkSession
+        last = current(spark, path)
+        if last is not None and int(last.rpartition("/")[2]) >= number:  # this batch, run again
+            return
+        before = None if last is None else spark.read.schema(batch.schema).parquet(last)
+        newest(before, batch, keys, order).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{number}")
 
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def append_windows(stream: DataFrame, event: str, length: str, late: str, path: str, checkpoint: str, *by: str) -> None:
+    """Counts by event-time window, each written once, when the watermark has passed it; rows that come later than that are dropped."""
+    windows(stream, event, length, late, *by).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+
+
 def windows(df: DataFrame, event: str, length: str, late: str = "1 day", *by: str) -> DataFrame:
     """Counts by event-time window; late rows are awaited."""
     seen = df.withWatermark(event, late) if df.isStreaming else df

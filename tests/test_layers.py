@@ -41,8 +41,50 @@ def test_increment_cascades():
     assert layers.plan_increment(changed, before, feeds) == {"bronze": "build", "silver": "build", "other": "skip", "gold": "build"}
 
 
+def test_history_with_null_keys(spark):
+    current = spark.createDataFrame([(None, "free")], "user_id int, plan string").select("*", F.lit("2020-01-01").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    source = spark.createDataFrame([(None, "free")], "user_id int, plan string")
+    assert layers.history(current, source, "user_id", ["plan"], "2024-01-01").count() == 1
+
+
 def test_publish_only_what_passes(spark, tmp_path):
-    good, path = spark.range(3), str(tmp_path / "t")
-    assert layers.publish(good, path, [layers.nulls(good, "id")]) == 0 and spark.read.parquet(path).count() == 3
-    assert layers.publish(spark.range(9), path, [layers.outside(spark.range(9), "id", high=4)]) == 4
+    path = str(tmp_path / "t")
+    assert layers.publish(spark.range(3), path, [lambda t: layers.nulls(t, "id")]) == 0 and spark.read.parquet(path).count() == 3
+    assert layers.publish(spark.range(9), path, [lambda t: layers.outside(t, "id", high=4)]) == 4
+    assert spark.read.parquet(path).count() == 3
+    assert layers.publish(spark.read.parquet(path).filter("id > 0"), path) == 0 and spark.read.parquet(path).count() == 2
+    with pytest.raises(OSError):
+        layers.swap(spark, str(tmp_path / "none"), path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_backfill_is_bounded(spark):
+    days = spark.sql("SELECT date_add(DATE '2024-01-01', cast(id AS int)) AS d, 'old' AS v FROM range(60)")
+    new = days.withColumn("v", F.lit("new"))
+    got = layers.backfill(days, new, "d", "2024-01-10", "2024-01-12")
+    assert got.count() == 60 and got.filter("v = 'new'").count() == 3
+    with pytest.raises(layers.Refused):
+        layers.backfill(days, new, "d", "2024-01-01", "2024-02-15")
+    assert layers.backfill(days, new, "d", "2024-01-01", "2024-02-15", confirmed=True).filter("v = 'new'").count() == 46
+
+
+def test_append_once_and_pull(spark, tmp_path):
+    path, marks = str(tmp_path / "t"), str(tmp_path / "m")
+    assert layers.append_once(spark.range(3), path, marks, "job") and not layers.append_once(spark.range(3), path, marks, "job")
     assert spark.read.parquet(path).count() == 3
+    source = spark.createDataFrame([(1, 5, "a"), (2, 9, "b"), (None, 7, "n")], "id int, at int, v string")
+    since = lambda mark: source if mark is None else source.filter(F.col("at") > mark)
+    once = layers.pull(None, since, ["id"], "at")
+    assert pairs(layers.pull(once, since, ["id"], "at"), "id", "v") == pairs(source, "id", "v")
+
+
+def test_late_rows_do_not_win(spark, tmp_path):
+    from lumenmart.streaming import streams
+
+    base, schema = str(tmp_path), "user int, at int, v string"
+    for k, rows in enumerate(([(1, 5, "first"), (2, 1, "x")], [(1, 3, "late"), (2, 8, "new"), (None, 1, "n")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{base}/in{k}")
+    for k in range(2):  # two starts of the stream: the second finds the state of the first
+        folder = f"{base}/in{k}"
+        streams.upsert_batches(streams.files(spark, folder, spark.read.parquet(folder).schema), f"{base}/state{k}" if k == 0 else f"{base}/state0", ["user"], "at", f"{base}/checkpoint")
+    assert streams.current(spark, f"{base}/state0") is not None
