@@ -9,8 +9,9 @@ arithmetic difference cover.) The steps:
 1. each document is scanned once: its buckets, and the repeats within pieces of it, found by sorting the hashes of its suffixes;
 2. buckets that occur once are dropped by a count; the others go back to their documents by a join;
 3. those documents' runs get a digest of their bytes. Of equal runs all but the first are covered;
-4. where one bucket holds several different runs (the edges of a repeat), their suffixes are compared one by one: small buckets are
-   sorted in place, one after another, and the suffixes of large buckets are grouped by digest, so that no bucket is gathered;
+4. where one bucket holds several different runs (the edges of a repeat), their suffixes are sorted, one bucket after another. A bucket
+   is dealt in salted parts of about `part` runs, so that no task holds a whole hot one; of equal suffixes of a part all but the first are
+   covered, and the first ones of the parts of one bucket are combined by digest, at most one a part;
 5. covered starts go back to their documents and the union of what they cover is cut out.
 
 Counts and minima combine before they are shuffled; joins are plain equi-joins, which Spark splits at a hot key. Digests have 128
@@ -36,17 +37,18 @@ from pyspark.sql import functions as F
 from lumenmart.llm.common import kept, kept_by
 from lumenmart.llm.near_dedup import _power, mixed
 
-PIECE = 1 << 20
+#: Bytes of a piece of a text, and bytes of runs that are sorted together.
+PIECE, AT_ONCE = 1 << 20, 1 << 18
 LAST = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
 class Settings:
-    """small_bucket: up to so many different runs, a bucket is sorted by one task; larger ones are spread."""
+    """part: different runs of a bucket that are sorted together, about."""
 
     length: int = 100
     gram: int = 28
-    small_bucket: int = 64
+    part: int = 4096
 
 
 def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
@@ -233,60 +235,80 @@ def _contexts(asked: DataFrame, s: Settings) -> DataFrame:
     return asked.mapInArrow(run, "bucket long, oid long, content long, start long, bytes binary")
 
 
-COVERED = "oid long, content long, start long, n long"
-
-
-def _pieces_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["oid", "content", "start", "n"])
+SETTLED = "bucket long, suffix binary, oid long, content long, start long, n long"
+
+
+def _repeated(a: np.ndarray, pos: np.ndarray, of: np.ndarray, length: int) -> np.ndarray:
+    """Whether the string at each of the positions is also at an earlier one with the same `of`."""
+    up, down = _power(len(a) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)])])
+    h = mixed(mixed((sums[pos + length] - sums[pos]) * down[pos]) + of.astype(np.uint64))
+    order = np.argsort(h, kind="stable")
+    pair = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    later, earlier, again = order[pair + 1], order[pair], np.zeros(len(pos), bool)
+    for k in range(0, len(pair), 20_000):
+        x, y = later[k : k + 20_000], earlier[k : k + 20_000]
+        same = (of[x] == of[y]) & (a[pos[x, None] + np.arange(length)] == a[pos[y, None] + np.arange(length)]).all(axis=1)
+        if not same.all():  # two strings with one hash: compare the strings themselves
+            seen: set[tuple[int, bytes]] = set()
+            raw = a.tobytes()
+            return np.array([(w := (o, raw[p : p + length])) in seen or bool(seen.add(w)) for o, p in zip(of.tolist(), pos.tolist(), strict=True)])
+        again[x] = True
+    return again
+
+
+def _settle(rows: list[tuple], s: Settings) -> pa.RecordBatch:
+    """rows: bucket, salt, parts, oid, content, start, bytes of whole parts. Covered starts as runs; of buckets of several parts, also the suffixes not covered."""
+    rows.sort(key=lambda r: (r[0], r[1], r[3], r[4], r[5]))
+    sizes = np.array([len(r[6]) for r in rows], np.int64)
+    begins, many = np.cumsum(sizes) - sizes, sizes - s.length + 1
+    raw = b"".join(r[6] for r in rows)
+    row = np.repeat(np.arange(len(rows)), many)
+    pos = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + begins[row]
+    new = [k == 0 or rows[k][:2] != rows[k - 1][:2] for k in range(len(rows))]
+    again = _repeated(np.frombuffer(raw, np.uint8), pos, np.cumsum(new)[row], s.length)
+    at = np.flatnonzero(again)
+    first = at[np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])][: len(at)])]
+    n = np.diff(np.append(np.searchsorted(at, first), len(at)))
+    open_ = np.flatnonzero(~again & np.array([r[2] > 1 for r in rows], bool)[row])
+    k = np.concatenate([first, open_])
+    of = row[k]
+    column = lambda c: pa.array(np.array([r[c] for r in rows], np.int64)[of])
+    digests = [None] * len(first) + [xxhash.xxh3_128_digest(raw[p : p + s.length]) for p in pos[open_].tolist()]
+    starts = np.array([r[5] for r in rows], np.int64)[of] + pos[k] - begins[of]
+    return pa.RecordBatch.from_arrays(
+        [column(0), pa.array(digests, pa.binary()), column(3), column(4), pa.array(starts), pa.array(np.concatenate([n, np.ones(len(open_), np.int64)]))],
+        names=["bucket", "suffix", "oid", "content", "start", "n"],
+    )
 
 
 def _sort_buckets(contexts: DataFrame, s: Settings) -> DataFrame:
-    """Covered starts of small buckets: a partition has whole buckets, in order, and one bucket at a time is held."""
-
-    def settle(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-        seen: set[bytes] = set()
-        for _, oid, content, start, raw in sorted(rows, key=lambda r: r[1:4]):
-            again = [start + i for i in range(len(raw) - s.length + 1) if (w := raw[i : i + s.length]) in seen or seen.add(w)]
-            for a, n in _starts(np.array(again, np.int64)):
-                yield oid, content, a, n
+    """contexts: bucket, different, oid, content, start, bytes. The covered starts: oid, content, start, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        size, closed = 0, 0
         for b in batches:
-            out = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    out += settle(held)
-                    held = []
+                if held and held[-1][:2] != row[:2]:
+                    closed = len(held)
+                    if size > AT_ONCE:
+                        yield _settle(held[:closed], s)
+                        held, size = [], 0
                 held.append(row)
-            yield _pieces_batch(out)
-        yield _pieces_batch(list(settle(held)))
-
-    return contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, COVERED)
-
-
-def _suffixes(contexts: DataFrame, s: Settings) -> DataFrame:
-    """A row for each suffix of each run: suffix (digest of its first bytes), oid, content, start."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a in range(0, b.num_rows, 500):
-                rows = [
-                    (xxhash.xxh3_128_digest(raw[i : i + s.length]), oid, content, start + i)
-                    for _, oid, content, start, raw in zip(*(c.to_pylist() for c in b.slice(a, 500).columns), strict=True) for i in range(len(raw) - s.length + 1)
-                ]
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["suffix", "oid", "content", "start"])
-
-    return contexts.mapInArrow(run, "suffix binary, oid long, content long, start long")
-
-
-def _spread_buckets(contexts: DataFrame, s: Settings) -> DataFrame:
-    """Covered starts of large buckets: all but the first of the suffixes with one digest."""
-    each = kept(_suffixes(contexts, s), "suffixes")
-    first = each.groupBy("suffix").agg(F.min(F.struct("oid", "content", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("suffix", "first")
-    return each.join(first, "suffix").filter(F.struct("oid", "content", "start") != F.col("first")).select("oid", "content", "start", F.lit(1).cast("long").alias("n"))
+                size += len(row[6])
+        if held:
+            yield _settle(held, s)
+
+    parts = F.ceil(F.col("different") / F.lit(s.part))
+    dealt = contexts.withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("bytes"), F.col("parts")))
+    dealt = dealt.select("bucket", "salt", "parts", "oid", "content", "start", "bytes").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
+    settled = kept(dealt.mapInArrow(run, SETTLED), "settled")
+    winners = settled.filter("suffix IS NOT NULL")
+    here = F.struct("oid", "content", "start")
+    first = winners.groupBy("bucket", "suffix").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("bucket", "suffix", "first")
+    again = winners.join(first, ["bucket", "suffix"]).filter(here != F.col("first"))
+    return settled.filter("suffix IS NULL").select("oid", "content", "start", "n").unionByName(again.select("oid", "content", "start", "n"))
 
 
 def _cut(suspects: DataFrame, s: Settings) -> DataFrame:
@@ -308,7 +330,10 @@ def _cut(suspects: DataFrame, s: Settings) -> DataFrame:
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of docs."""
     s = settings or Settings()
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("oid"), F.xxhash64(docs[text_col]).alias("content"), docs[text_col].alias("text"))
+    oid, content = docs[id_col].cast("long"), F.xxhash64(docs[text_col])
+    # The sign tells rows without an id from those with the largest one, and puts them last.
+    content = F.when(oid.isNull(), content.bitwiseAND(F.lit(LAST))).otherwise(content.bitwiseOR(F.lit(-LAST - 1)))
+    rows = docs.select(F.coalesce(oid, F.lit(LAST)).alias("oid"), content.alias("content"), docs[text_col].alias("text"))
     scanned = kept(_scan_documents(rows, s), "scanned")
     each = scanned.select("oid", "content", F.explode("buckets").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("bucket")
@@ -323,13 +348,10 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sett
     asked = firsts.select("first.*").join(ragged, "bucket").groupBy("oid", "content").agg(F.collect_list(F.struct("bucket", "start", "n")).alias("asked"))
     texts = suspects.select("oid", "content", "text").join(asked, ["oid", "content"]).select("oid", "content", "text", "asked")
     contexts = kept(_contexts(texts, s).distinct().join(ragged, "bucket"), "contexts")
-    columns = ["bucket", "oid", "content", "start", "bytes"]
-    small = _sort_buckets(contexts.filter(F.col("different") <= s.small_bucket).select(*columns), s)
-    large = _spread_buckets(contexts.filter(F.col("different") > s.small_bucket).select(*columns), s)
-    covered = copies.unionByName(small).unionByName(large).groupBy("oid", "content").agg(F.collect_list(F.struct("start", "n")).alias("covered"))
+    covered = copies.unionByName(_sort_buckets(contexts, s)).groupBy("oid", "content").agg(F.collect_list(F.struct("start", "n")).alias("covered"))
     final = _cut(suspects.select("oid", "content", "text").join(covered, ["oid", "content"]), s)
     final = final.groupBy("oid", "content").agg(F.first("removed").alias("removed"), F.first("spans").alias("spans"), F.first("sha").alias("sha"))
     return scanned.drop("buckets").join(final, ["oid", "content"], "left").select(
-        F.when(F.col("oid") != LAST, F.col("oid")).alias("doc_id"), "n_bytes", F.coalesce("removed", "n_removed").alias("n_removed"),
+        F.when((F.col("oid") != LAST) | (F.col("content") < 0), F.col("oid")).alias("doc_id"), "n_bytes", F.coalesce("removed", "n_removed").alias("n_removed"),
         F.coalesce("spans", "n_spans").alias("n_spans"), F.coalesce("sha", "kept_sha256").alias("kept_sha256"),
     )

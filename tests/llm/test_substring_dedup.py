@@ -53,25 +53,39 @@ def test_sliding_minimum():
     assert sd.sliding_minimum(x, 37).tolist() == [int(x[i : i + 37].min()) for i in range(464)]
 
 
-@pytest.mark.parametrize(("seed", "piece", "small"), [(1, 1 << 20, 64), (2, 150, 64), (3, 1 << 20, 2)])
-def test_equals_brute_force(spark, monkeypatch, seed, piece, small):
-    monkeypatch.setattr(sd, "PIECE", piece)
-    if piece < 1000:  # workers have the module as it is; here the pieces are tried without them
-        rows = corpus(seed)
-        for _, text in rows:
-            raw = (text or "").encode()
-            covered, _ = sd._own_repeats([raw], sd.Settings())
-            assert sd.cut(raw, covered[0], 100)[0] <= brute([(0, text)], 100)[0][2]
-        return
+@pytest.mark.parametrize(("seed", "part"), [(1, 4096), (3, 2)])
+def test_equals_brute_force(spark, seed, part):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(map(tuple, sd.remove(docs, settings=sd.Settings(small_bucket=small)).collect()))
+    got = sorted(map(tuple, sd.remove(docs, settings=sd.Settings(part=part)).collect()))
+    assert got == brute(rows, 100)
+
+
+def test_texts_longer_than_a_piece(spark):
+    """Repeats within a piece, across the border of two pieces, and between texts of several pieces."""
+    r = random.Random(9)
+    prose = "".join(r.choice("abcdefgh ") for _ in range(sd.PIECE + 400_000))
+    border = prose[sd.PIECE - 150 : sd.PIECE + 150]
+    rows = [(1, prose + border), (2, "x" + border), (3, prose[500_000 : 500_000 + sd.PIECE + 7])]
+    got = sorted(map(tuple, sd.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows, 100)
+
+
+def test_edited_copies_of_one_text(spark):
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    base, rows = [r.choice(words) for _ in range(60)], []
+    for i in range(500):
+        w = [r.choice(words) if r.random() < 0.05 else x for x in base]
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(map(tuple, sd.remove(docs, settings=sd.Settings(part=50)).collect()))
     assert got == brute(rows, 100)
 
 
 def test_null_and_repeated_ids_empty(spark):
     text = "".join(chr(97 + (k * k) % 26) for k in range(400)) + "é" * 10
-    docs = spark.createDataFrame([(None, text), (5, "z" + text), (7, "short"), (7, "short")], "doc_id long, text string")
+    docs = spark.createDataFrame([(None, text), (2**63 - 1, text[3:]), (5, "z" + text), (7, "short"), (7, "short")], "doc_id long, text string")
     got = sorted(map(tuple, sd.remove(docs).collect()), key=str)
-    assert got == sorted(brute([(None, text), (5, "z" + text), (7, "short"), (7, "short")], 100), key=str)
+    assert got == sorted(brute([(None, text), (2**63 - 1, text[3:]), (5, "z" + text), (7, "short"), (7, "short")], 100), key=str)
     assert sd.remove(docs.limit(0)).count() == 0
