@@ -109,16 +109,41 @@ def surrogate_key(*keys: Column) -> Column:
 
 
 # Values
-#: Shapes of codes and dates.
-SHAPES = {
-    "currency_2dp": r"^-?\d+\.\d{2}$", "iso_date": r"^\d{4}-\d{2}-\d{2}", "prefixed_code": r"^[A-Za-z]+[#_-]\d+$", "fixed_alnum": r"^[A-Za-z0-9]{6,}$",
-    "uuid_or_hex": r"^[0-9a-fA-F]{8}-[0-9a-fA-F-]{27}$|^[0-9a-fA-F]{16,}$",
-}
+#: Shapes of values, tried in this order; those of identifiers and codes, that say nothing to a reader; and of dates with a time.
+SHAPES = {"currency_2dp": r"^-?\d+\.\d{2}$", "iso_date": r"^\d{4}-\d{2}-\d{2}$", "prefixed_numeric_code": r"^[A-Za-z]+[-_]?\d+$", "fixed_length_alnum": r"^[A-Za-z0-9]{6,12}$"}
+IDENTIFIER, HEX = r"(?i)^[0-9a-f]{6,}-[0-9a-f-]{6,}", r"(?i)^[0-9a-f]{12,}$"
+CODE = r"^([A-Za-z]{0,8}[-_#]?)?\d[\d.-]*$"
+DATE_OR_TIME = r"^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2})?(\.\d+)?(Z|[+-]\d{2}:?\d{2})?)?\s*$"
+SHAPE_SHARE, KIND_SHARE, LEAST_VALUES, LONG_LABEL = 0.8, 0.6, 3, 16
 
 
-def shape_share(c: Column, shape: str) -> Column:
+def has_shape(c: Column, kind: T.DataType, shape: str) -> Column:
+    """Whether a value has the shape. Money as a number is one that two decimals hold; whole numbers are no money."""
+    if shape == "currency_2dp" and not isinstance(kind, T.StringType):
+        return F.abs(F.round(c, 2) - c) < 1e-9 if isinstance(kind, (T.FractionalType, T.DecimalType)) else F.lit(False)
+    return c.cast("string").rlike(SHAPES[shape])
+
+
+def _there(c: Column) -> Column:
+    return c.isNotNull() & (F.trim(c.cast("string")) != "")
+
+
+def shape_share(c: Column, shape: str, kind: T.DataType | None = None) -> Column:
     """Aggregate: share of the values that are there which have the shape."""
-    return F.avg(F.when(c.isNotNull(), c.cast("string").rlike(SHAPES[shape]).cast("int")))
+    return F.avg(F.when(_there(c), has_shape(c, kind or T.StringType(), shape).cast("int")))
+
+
+def shape_of(c: Column, kind: T.DataType) -> Column:
+    """Aggregate: the first shape that four of five values have, or null."""
+    return F.coalesce(*[F.when(shape_share(c, s, kind) >= SHAPE_SHARE, s) for s in SHAPES])
+
+
+def value_kind(c: Column) -> Column:
+    """Aggregate: identifier, temporal, code, long_label or label, by three of five values or the mean length; null with fewer than three values."""
+    text = c.cast("string")
+    share = lambda *patterns: F.avg(F.when(_there(c), reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns]).cast("int")))
+    kind = F.when(share(IDENTIFIER, HEX) >= KIND_SHARE, "identifier").when(share(DATE_OR_TIME) >= KIND_SHARE, "temporal").when(share(CODE) >= KIND_SHARE, "code")
+    return F.when(F.count(c) >= LEAST_VALUES, kind.when(F.avg(F.length(text)) > LONG_LABEL, "long_label").otherwise("label"))
 
 
 def json_leaf(c: Column, path: str) -> Column:

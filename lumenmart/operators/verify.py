@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,11 +42,58 @@ def signature(df: DataFrame) -> DataFrame:
     return df.agg(*out)
 
 
+def same_result(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: whether two runs gave the same columns, rows and checksums; the signatures are compared, not the rows."""
+    if [c.lower() for c in sorted(before.columns, key=str.lower)] != [c.lower() for c in sorted(after.columns, key=str.lower)]:
+        return before.sparkSession.createDataFrame([(False,)], "same boolean")
+    a, b = signature(before), signature(after)
+    both = a.select(F.struct(*a.columns).alias("a")).join(F.broadcast(b.select(F.struct(*b.columns).alias("b"))))  # one row each
+    return both.select(F.col("a").eqNullSafe(F.col("b")).alias("same"))
+
+
 def reproduces(full: DataFrame, gold: DataFrame, keys: list[str], measure: str, tolerance: float = 1e-6) -> bool:
-    """Whether both have the same groups with the same values, and so the same total."""
-    both = full.select(*keys, F.col(measure).alias("_a")).join(gold.select(*keys, F.col(measure).alias("_b")), keys, "full")
+    """Whether both have the same groups (null is one) with the same values, and so the same total."""
+    left = full.select(*[F.col(k).alias(f"_l{n}") for n, k in enumerate(keys)], F.col(measure).alias("_a"), F.lit(1).alias("_in_a"))
+    right = gold.select(*[F.col(k).alias(f"_r{n}") for n, k in enumerate(keys)], F.col(measure).alias("_b"), F.lit(1).alias("_in_b"))
+    same = F.lit(True)
+    for n in range(len(keys)):
+        same &= F.col(f"_l{n}").eqNullSafe(F.col(f"_r{n}"))
     near = F.abs(F.col("_a") - F.col("_b")) <= F.greatest(F.lit(0.01), F.abs("_b") * tolerance)
-    return both.filter(~F.coalesce(near, F.lit(False))).isEmpty()
+    fits = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull() & F.coalesce(near, F.col("_a").isNull() & F.col("_b").isNull())
+    return left.join(right, same, "full").filter(~fits).isEmpty()
+
+
+def column_lineage(df: DataFrame) -> list[tuple[str, str]]:
+    """(source.column, output column): what each output column is read from, keys and filters included. Each column's own plan is asked what it scans, so it
+    does not matter whether SQL or DataFrames made it."""
+    out = set()
+    for name in df.columns:
+        plan = df.select(f"`{name}`")._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        for path, schema in re.findall(r"Location: \w+\s*\[([^\]]*)\].*?ReadSchema: struct<(.*)>", re.sub(r"\n(?!\()", " ; ", plan)):
+            source = path.split(",")[0].rstrip("/").rpartition("/")[2].removesuffix(".parquet")
+            out |= {(f"{source}.{c}", name) for c in re.findall(r"(?:^|,)([A-Za-z_]\w*):", schema)}
+    return sorted(out)
+
+
+def coverage(kpi, df: DataFrame) -> list[str]:
+    """What a result lacks of what was asked for: cuts, dates where time is cut, measures, filters in its plan, rows beyond the top."""
+    found, columns = [], {f.name: f.dataType for f in df.schema.fields}
+    for d in kpi.dims:
+        if d.name not in columns:
+            found.append(f"grain: {d.name} lacks")
+        elif d.kind == "time" and not isinstance(columns[d.name], (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            found.append(f"time: {d.name} is no date")
+    shown = {"ratio"} if kpi.ratio else {"share"} if kpi.share else {"running": {"running_total"}, "moving": {"moving_average"}, "rank": {"rank"}}.get(kpi.window) or {m.name for m in kpi.measures}
+    found += [f"measure: {m} lacks" for m in sorted(shown - set(columns))]
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()  # no public way to a plan's text
+    tests = " ".join(line for line in plan.split("\n") if "filter" in line)
+    for test in kpi.filters:
+        named = [w for w in re.findall(r"[a-z_]\w*", re.sub(r"'[^']*'", "", test.lower())) if w not in ("and", "or", "not", "in", "is", "null", "year", "date", "between")]
+        if not all(w in tests for w in named):
+            found.append(f"filter: {test} lacks")
+    if kpi.top and "limit" not in plan:
+        found.append(f"shape: not limited to {kpi.top}")
+    return found
 
 
 def heavy_operators(df: DataFrame) -> list[str]:
@@ -53,14 +102,23 @@ def heavy_operators(df: DataFrame) -> list[str]:
     return [name for name in ("CartesianProduct", "BroadcastNestedLoopJoin") if name in plan]
 
 
-def lineage(edges: DataFrame, start: str, rounds: int = 32) -> DataFrame:
-    """All columns that `start` comes from, with the distance: source -> target edges walked back, a join a step."""
-    spark, found, at = edges.sparkSession, None, None
-    at = spark.createDataFrame([(start, 0)], "name string, distance int")
-    found = at
+def settled(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the folder that the session names for checkpoints; as it is where none is named."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
+def walk(edges: DataFrame, start: str, came: str, goes: str, rounds: int = 32) -> DataFrame:
+    """name, distance of all that edges lead to from start, from column `came` to column `goes`: a join a step, each name once."""
+    at = found = edges.sparkSession.createDataFrame([(start, 0)], "name string, distance int")
     for step in range(1, rounds + 1):
-        new = edges.join(at, edges["target"] == at["name"]).select(edges["source"].alias("name")).distinct().join(found, "name", "left_anti").withColumn("distance", F.lit(step))
-        if new.isEmpty():
+        near = edges.join(at.select("name"), edges[came] == at["name"], "left_semi").select(F.col(goes).alias("name")).distinct()
+        at = settled(near.join(found, "name", "left_anti").withColumn("distance", F.lit(step)))
+        if at.isEmpty():
             break
-        found, at = found.unionByName(new), new
+        found = settled(found.unionByName(at))
     return found
+
+
+def lineage(edges: DataFrame, start: str, rounds: int = 32) -> DataFrame:
+    """All columns that `start` comes from, with the distance: source -> target edges walked back."""
+    return walk(edges, start, "target", "source", rounds)

@@ -5,6 +5,7 @@ The checks are DataFrame jobs that return a row; the graph that they prove is a
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from dataclasses import dataclass
 
@@ -106,6 +107,37 @@ def base_scores(edges: list[Edge], needed: dict[str, int], rows: dict[str, int],
     return sorted(scored, key=lambda s: (-s[1], -rows.get(s[0], 0), s[0]))
 
 
+#: Scores nearer than this are a tie; bytes of a table that may be broadcast.
+NEAR_TIE, SMALL = 0.35, 10 << 20
+
+
+def choose_base(scores: list[tuple[str, float]], rows: dict[str, int], pinned: str | None = None) -> tuple[str, list[str]]:
+    """(where to start, tables that would do as well). A pinned table wins; among near ties the one with most rows does."""
+    if pinned is not None:
+        if pinned not in dict(scores):
+            raise NoJoinPath(f"{pinned} is none of the tables")
+        return pinned, []
+    best = max(s for _, s in scores)
+    tied = sorted((t for t, s in scores if best - s < NEAR_TIE), key=lambda t: (-rows.get(t, 0), t))
+    exact = sorted((t for t, s in scores if s == best), key=lambda t: (-rows.get(t, 0), t))
+    return exact[0], [t for t in tied if t != exact[0]]
+
+
+def edge_between(edges: list[Edge], left: str, right: str) -> tuple[Edge, bool] | None:
+    """The executable edge of two tables, asked for either way round; and whether it is the other way."""
+    for e in edges:
+        if e.executable and {e.many, e.one} == {left, right}:
+            return e, e.many == right
+    return None
+
+
+def formula_tables(formula: str, base: str, columns: dict[str, list[str]]) -> list[str]:
+    """The other tables that a formula's bare columns need. Columns within EXISTS (...) or with their table's name before them ask for no join."""
+    bare = re.sub(r"(?i)\bexists\s*\((?:[^()]|\([^()]*\))*\)", "", re.sub(r"'[^']*'", "", formula))
+    named = set(re.findall(r"(?<![\w.])([A-Za-z_]\w*)(?!\s*[(.]|\w)", bare))
+    return sorted(t for t, cs in columns.items() if t != base and named & set(cs) - set(columns[base]))
+
+
 def fan_traps(edges: list[Edge]) -> list[tuple[str, str, str]]:
     """Dimensions that two tables refer to: joined through it, their rows multiply."""
     by_one: dict[str, set[str]] = {}
@@ -115,8 +147,10 @@ def fan_traps(edges: list[Edge]) -> list[tuple[str, str, str]]:
     return sorted((one, a, b) for one, many in by_one.items() for a in many for b in many if a < b)
 
 
-def star(tables: dict[str, DataFrame], edges: list[Edge], base: str, needed: list[str]) -> DataFrame:
-    """base with the needed tables left-joined along proven edges, many to one, so that base's rows stay as many. Columns whose names clash get `<table>_` before."""
+def star(tables: dict[str, DataFrame], edges: list[Edge], base: str, needed: list[str], sizes: dict[str, int] | None = None) -> DataFrame:
+    """base with the needed tables left-joined along proven edges, many to one, so that base's rows stay as many. Columns whose names clash get `<table>_` before.
+
+    sizes: bytes of tables, where they are known; only tables known to be small are broadcast, the rest is left to adaptive execution."""
     out, have = tables[base], {base}
     for goal in needed:
         if goal in have:
@@ -131,6 +165,7 @@ def star(tables: dict[str, DataFrame], edges: list[Edge], base: str, needed: lis
             for clash in set(right.columns) & set(out.columns):
                 right = right.withColumnRenamed(clash, f"{e.one}_{clash}")
             key = e.key if e.key in right.columns else f"{e.one}_{e.key}"
-            out = out.join(right, out[e.column] == right[key], "left")
+            known_small = (sizes or {}).get(e.one, SMALL + 1) <= SMALL
+            out = out.join(F.broadcast(right) if known_small else right, out[e.column] == right[key], "left")
             have.add(e.one)
     return out

@@ -71,13 +71,13 @@ def masks(spark, sf_dir):
 
 @register(
     "scalar_shapes",
-    r"""SELECT round(avg(regexp_matches(o_totalprice::DECIMAL(18,2)::VARCHAR, '^-?\d+\.\d{2}$')::INTEGER), 4) AS currency, round(avg(regexp_matches(o_orderdate::DATE::VARCHAR, '^\d{4}-\d{2}-\d{2}')::INTEGER), 4) AS iso_date,
-    round(avg(regexp_matches(o_orderpriority, '^[A-Za-z]+[#_-]\d+$')::INTEGER), 4) AS code FROM orders""",
+    r"""SELECT round(avg(regexp_matches(o_totalprice::DECIMAL(18,2)::VARCHAR, '^-?\d+\.\d{2}$')::INTEGER), 4) AS currency, round(avg(regexp_matches(o_orderdate::DATE::VARCHAR, '^\d{4}-\d{2}-\d{2}$')::INTEGER), 4) AS iso_date,
+    round(avg(regexp_matches(o_orderpriority, '^[A-Za-z]+[-_]?\d+$')::INTEGER), 4) AS code FROM orders""",
 )
 def shapes(spark, sf_dir):
     return table(spark, sf_dir, "orders").agg(
         F.round(c.shape_share(F.col("o_totalprice").cast("decimal(18,2)"), "currency_2dp"), 4).alias("currency"), F.round(c.shape_share(F.col("o_orderdate").cast("date"), "iso_date"), 4).alias("iso_date"),
-        F.round(c.shape_share(F.col("o_orderpriority"), "prefixed_code"), 4).alias("code"),
+        F.round(c.shape_share(F.col("o_orderpriority"), "prefixed_numeric_code"), 4).alias("code"),
     )
 
 
