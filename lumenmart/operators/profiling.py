@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenmart.operators import sampling
+from lumenmart.plans.names import identifier
+
 #: Bounds of whole-number types, smallest first.
 WHOLE = (("tinyint", -(1 << 7), (1 << 7) - 1), ("smallint", -(1 << 15), (1 << 15) - 1), ("int", -(1 << 31), (1 << 31) - 1))
 
@@ -25,7 +28,7 @@ def leaves(schema: T.StructType, before: str = "", depth: int = 8) -> list[tuple
 def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
     """column_name, rows, nulls, distinct_values, least, greatest (as text) of each column: one pass."""
     columns = columns or [n for n, _ in leaves(df.schema) if not n.endswith("[]")]
-    count = F.count_distinct if exact else F.approx_count_distinct
+    count = F.count_distinct if exact else F.approx_count_distinct  # exact: each row is read once more for each column; not for wide tables
     stats = [
         F.struct(
             F.lit(n).alias("column_name"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(n).isNull()).alias("nulls"), count(F.col(n)).alias("distinct_values"),
@@ -85,11 +88,8 @@ def anomalies(points: DataFrame, series: str, order: str, value: str, limit: flo
 
 
 def stratified(df: DataFrame, stratum: str, key: str, fraction: float, least: int = 1, seed: int = 42) -> DataFrame:
-    """Of each stratum round(n * fraction) rows, `least` at least: those whose keys' hashes come first, so the sample repeats."""
-    hashed = df.withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
-    w = Window.partitionBy(stratum)
-    quota = F.greatest(F.round(F.count(F.lit(1)).over(w) * fraction), F.lit(least))
-    return hashed.withColumn("_n", quota).withColumn("_k", F.row_number().over(w.orderBy("_h", key))).filter("_k <= _n").drop("_h", "_n", "_k")
+    """Of each stratum round(n * fraction) rows, `least` at least; no stratum is sorted whole (`sampling.quotas`)."""
+    return sampling.quotas(df, [stratum], key, fraction, least, seed)
 
 
 def hashed_sample(df: DataFrame, key: str, per_mille: int, seed: int = 42) -> DataFrame:
@@ -117,3 +117,35 @@ def concentration(df: DataFrame, dimension: str, measure: str) -> DataFrame:
     totals = df.groupBy(dimension).agg(F.sum(measure).alias("t")).filter("t > 0")
     p = totals.select((F.col("t") / F.sum("t").over(Window.partitionBy())).alias("p"))
     return p.agg(F.round(1 + F.try_divide(F.sum(F.col("p") * F.ln("p")), F.ln(F.count(F.lit(1)))), 4).alias("concentration"), F.round(F.max("p"), 4).alias("top_share"))
+
+
+def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...] = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99), by: tuple[str, ...] = (), approximate: bool = False) -> DataFrame:
+    """by, column_name, mean, std and a column for each quantile: one aggregation. approximate: for groups whose different values don't fit one task."""
+    quantile = (lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(10_000))) if approximate else (lambda c, q: F.percentile(c, F.lit(q)))
+    each = [
+        F.struct(F.lit(c).alias("column_name"), F.round(F.avg(c), 4).alias("mean"), F.round(F.stddev_samp(c), 4).alias("std"), *[F.round(quantile(c, q).cast("double"), 4).alias(f"p{round(q * 100):02d}") for q in at])
+        for c in columns
+    ]
+    return df.groupBy(*by).agg(F.array(*each).alias("q")).select(*by, F.inline("q"))
+
+
+def footer_profile(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """column_name, rows, filled, least, greatest of numeric columns from the footers of Parquet files, no data read: a session of its own pushes the aggregates down."""
+    apart = spark.newSession()
+    apart.conf.set("spark.sql.sources.useV1SourceList", "")
+    apart.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    stats = [x for k, c in enumerate(columns) for x in (F.count(c).alias(f"c{k}"), F.min(c).alias(f"a{k}"), F.max(c).alias(f"z{k}"))]
+    row = apart.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), *stats)
+    each = [F.struct(F.lit(c).alias("column_name"), F.col("n").alias("rows"), F.col(f"c{k}").alias("filled"), F.col(f"a{k}").cast("double").alias("least"), F.col(f"z{k}").cast("double").alias("greatest")) for k, c in enumerate(columns)]
+    return row.select(F.inline(F.array(*each)))
+
+
+def table_profile(spark: SparkSession, name: str) -> DataFrame:
+    """column_name, nulls and distinct_values that the catalog holds for a table, which it counts once and keeps."""
+    table = ".".join(f"`{identifier(p)}`" for p in name.split("."))
+    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+    out = []
+    for f in spark.table(name).schema.fields:  # a few facts a column
+        held = {r["info_name"]: r["info_value"] for r in spark.sql(f"DESCRIBE EXTENDED {table} `{f.name}`").collect()}
+        out.append((f.name, int(held["num_nulls"]), int(held["distinct_count"])))
+    return spark.createDataFrame(out, "column_name string, nulls long, distinct_values long")

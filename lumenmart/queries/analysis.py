@@ -42,8 +42,41 @@ def profile_downcast(spark, sf_dir):
     + ", ".join(f"round(quantile_cont(l_quantity, {q / 100}), 4) AS p{q:02d}" for q in (1, 25, 50, 75, 99)) + " FROM lineitem GROUP BY 1",
 )
 def profile_quantiles(spark, sf_dir):
-    q = [F.round(F.percentile("l_quantity", F.lit(k / 100)), 4).alias(f"p{k:02d}") for k in (1, 25, 50, 75, 99)]
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg("l_quantity"), 4).alias("mean"), F.round(F.stddev_samp("l_quantity"), 4).alias("std"), *q)
+    return profiling.quantiles(table(spark, sf_dir, "lineitem"), ["l_quantity"], (0.01, 0.25, 0.5, 0.75, 0.99), ("l_returnflag",)).drop("column_name")
+
+
+@register("profile_footers", "SELECT 'o_orderkey' AS column_name, count(*) AS rows, count(o_orderkey) AS filled, min(o_orderkey)::DOUBLE AS least, max(o_orderkey)::DOUBLE AS greatest FROM orders UNION ALL SELECT 'o_totalprice', count(*), count(o_totalprice), min(o_totalprice), max(o_totalprice) FROM orders")
+def profile_footers(spark, sf_dir):
+    return profiling.footer_profile(spark, f"{sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice"])
+
+
+@register("profile_catalog_table", "SELECT 'n_nationkey' AS column_name, 0 AS nulls, count(DISTINCT n_nationkey) AS distinct_values FROM nation UNION ALL SELECT 'region', count(*) FILTER (n_regionkey = 1), 4 FROM nation")
+def profile_catalog_table(spark, sf_dir):
+    import uuid
+
+    name = f"nation_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "nation").select("n_nationkey", F.expr("nullif(n_regionkey, 1)").alias("region")).write.saveAsTable(name)
+    out = profiling.table_profile(spark, name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+@register("profile_approximate", "SELECT 'o_custkey' AS column_name, true AS near UNION ALL SELECT 'o_orderkey', true")
+def profile_approximate(spark, sf_dir):
+    """Approximate numbers of different values lie within a tenth of the exact ones."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    exact = profiling.profile(orders).select("column_name", F.col("distinct_values").alias("exact"))
+    return profiling.profile(orders, exact=False).join(exact, "column_name").select("column_name", (F.abs(F.col("distinct_values") / F.col("exact") - 1) < 0.1).alias("near"))
+
+
+@register("profile_freshness_lag", "SELECT event_type, date_diff('hour', max(ts), TIMESTAMP '2024-02-01') - CASE WHEN date_part('minute', max(ts)) * 60 + date_part('second', max(ts)) > 0 THEN 1 ELSE 0 END AS hours, max(ts) < TIMESTAMP '2024-02-01' - INTERVAL 36 HOUR AS late FROM events GROUP BY 1")
+def profile_freshness_lag(spark, sf_dir):
+    """Whole hours since the last event of each kind, by a clock that is given, and whether that is over a day and a half."""
+    from lumenmart.functions.columns import lag_hours
+
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    latest = table(spark, sf_dir, "events").groupBy("event_type").agg(F.max("ts").alias("latest"))
+    return latest.select("event_type", lag_hours(F.col("latest"), now).alias("hours"), (F.col("latest") < now - F.expr("INTERVAL 36 HOUR")).alias("late"))
 
 
 HASH = "('0x' || substr(md5({k}::VARCHAR || '|42'), 1, 8))::BIGINT"
