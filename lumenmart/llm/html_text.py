@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -52,7 +53,7 @@ SCOPES = frozenset("table td th button".split())
 HOLDERS = frozenset("select datalist svg math object canvas audio video".split())
 DEEPEST, DEEPEST_HIDDEN = 200, 2000
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME_END, CLOSERS = re.compile(r"[\s/>]"), re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"([^\s/=][^\s/=>]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 #: Tags without these letters have no attribute that matters here.
 MAY_MATTER = re.compile(r"hidden|style|open|selected|disabled|multiple|size", re.I)
@@ -61,6 +62,57 @@ START = re.compile(r"(?:^|\s)start\s*=\s*[\"']?(\d{1,9})", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+class Tags:
+    """Comments, declarations and tags of a page, one after another. What can't be one is text; each quote or > is walked over once in vain at most, so a
+    page takes time in proportion to its length."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.closers = [m.start() for m in CLOSERS.finditer(html)]
+        self.vain: set[int] = set()
+        self.name_end = 0
+
+    def _end(self, at: int) -> int:
+        """The > that ends a tag, outside of quotes; -1 if none does."""
+        k, walked = bisect_left(self.closers, at), []
+        while k < len(self.closers) and k not in self.vain:
+            walked.append(k)
+            p = self.closers[k]
+            if self.html[p] == ">":
+                return p
+            p = self.html.find(self.html[p], p + 1)
+            if p < 0:
+                break
+            k = bisect_left(self.closers, p + 1)
+        self.vain.update(walked)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, whether it is an end tag, name or None, attributes) of the first one from `at` on."""
+        html, p = self.html, self.html.find("<", at)
+        while p >= 0:
+            after = html[p + 1 : p + 2]
+            if html.startswith("!--", p + 1):
+                end = html.find("-->", p + 4)
+                return p, end + 3 if end >= 0 else len(html), False, None, ""
+            if p > self.last:
+                p = html.find("<!--", p)
+                continue
+            if after in ("!", "?"):
+                return p, html.find(">", p) + 1, False, None, ""
+            first = p + 1 + (after == "/")
+            letter = html[first : first + 1]
+            if letter.isascii() and letter.isalpha():
+                if first >= self.name_end:
+                    m = NAME_END.search(html, first)
+                    self.name_end = m.start() if m else len(html)
+                end = self._end(self.name_end)
+                if end >= 0:
+                    return p, end + 1, after == "/", html[first : self.name_end].lower(), html[self.name_end : end]
+            p = html.find("<", p + 1)
+        return None
+
+
 class Box:
     """shown: in the tree; visible: as CSS says, which boxes inside may change; foreign: of a drawing or formula."""
 
@@ -95,7 +147,7 @@ def styles_of(style: str) -> dict[str, str]:
 
 def parse(html: str) -> Box:
     """The tree of what is visible; strings are text."""
-    root = Box("html")
+    root, tags = Box("html"), Tags(html)
     stack, at = [root], 0
 
     def close(tags: frozenset, within: frozenset) -> None:
@@ -111,17 +163,17 @@ def parse(html: str) -> Box:
             stack[-1].children.append(unescape(raw))
 
     while at < len(html):
-        m = TOKEN.search(html, at)
-        if m is None:
+        found = tags.next(at)
+        if found is None:
             text(html[at:])
             break
-        if m.start() > at:
-            text(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        begin, end, closing, tag, attributes = found
+        if begin > at:
+            text(html[at:begin])
+        at = end
+        if tag is None:
             continue
-        tag, attributes = m[2].lower(), m[3] or ""
-        if m[1]:
+        if closing:
             if tag == "p" and all(b.tag != "p" for b in stack):
                 stack[-1].children.append(Box("p"))
             outer = SCOPES if tag in HOLDERS else frozenset() if tag in SCOPES or tag in ("tr", "tbody", "thead", "tfoot") else SCOPES if tag in BLOCKS else SCOPES | BLOCKS

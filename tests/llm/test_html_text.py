@@ -3,6 +3,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lumenmart.llm import html_text
 from lumenmart.llm.html_text import extract, render
 
 
@@ -78,3 +79,27 @@ def test_query(spark):
     rows = sorted(extract(pages).collect(), key=lambda r: (r.page_id or 0, r.n_chars))
     assert [(r.page_id, r.n_lines, r.n_chars) for r in rows] == [(None, 0, 0), (1, 1, 1), (1, 1, 1), (3, 1, 399_999)]
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_long_pages_take_time_in_proportion():
+    """Tags that never end, quotes that never close, names without an end: each a megabyte."""
+    import time
+
+    for page in ("<a " * 350_000, "<a x" * 250_000 + "'", "<a '\" " * 150_000 + ">", "<a<b" * 250_000 + " 'x>", "<!x" * 300_000):
+        began = time.monotonic()
+        html_text.parse(page)
+        assert time.monotonic() - began < 20
+
+
+def test_tags_are_found_as_browsers_do():
+    found = lambda page: [(t, c, a) for _, _, c, t, a in _all(html_text.Tags(page))]
+    assert found("a<b c='>'>x</B ><!-- <i> --><?x><1><br/>") == [("b", False, " c='>'"), ("b", True, " "), (None, False, ""), (None, False, ""), ("br", False, "/")]
+    assert found("<a href=\"x") == [] and found("1 < 2 <i>") == [("i", False, "")]
+
+
+def _all(tags):
+    at, out = 0, []
+    while (token := tags.next(at)) is not None:
+        out.append(token)
+        at = token[1]
+    return out
