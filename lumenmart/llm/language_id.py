@@ -149,8 +149,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if sum(sizes.values()) > s.train_rows:
         q = quota(list(sizes.values()), s.train_rows)
-        shares = rows.sparkSession.createDataFrame([(k, int(q / n * 1_000_000_000)) for k, n in sizes.items() if n > q], f"lang {rows.schema['lang'].dataType.simpleString()}, share long")
-        draw = F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1_000_000_000))
+        shares = rows.sparkSession.createDataFrame([(k, int(q / n * 2.0**63)) for k, n in sizes.items() if n > q], f"lang {rows.schema['lang'].dataType.simpleString()}, share long")
+        draw = F.shiftrightunsigned(F.xxhash64("id", F.lit("train")), 1)
         rows = rows.join(F.broadcast(shares), "lang", "left").filter(F.col("share").isNull() | (draw < F.col("share"))).select("id", "text", "lang")
     counts = kept(
         rows.select("lang", "text").mapInPandas(_count, "lang string, n int, gram string, count long")

@@ -60,3 +60,46 @@ def test_a_rare_language_keeps_its_rows_and_words_within_the_bounds(spark):
     assert model.langs == ["aa", "bb", "cc", "dd"]
     out = language_id.predict(docs, model, carry=[docs.lang]).groupBy("lang", "lang_pred").count().collect()
     assert sum(r["count"] for r in out if r.lang == r.lang_pred) == len(rows)
+
+
+def test_scores_by_hand(spark):
+    """Known words by their log frequency, unseen ones by the mean of their longest known n-grams, step by step."""
+    import math
+    from collections import Counter
+
+    texts = {"aa": ["bora bora tane", "tane mil bora"], "bb": ["sker skol vin", "vin vin skara"]}
+    rows = [(i, t, lang) for lang, ts in texts.items() for i, t in enumerate(ts)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counted = {lang: Counter(w for t in ts for w in t.split()) for lang, ts in texts.items()}
+    half = language_id.Settings().smoothing
+
+    def table(n):
+        each = {lang: Counter() for lang in texts}
+        for lang, words in counted.items():
+            for w, c in words.items():
+                for g in language_id.grams(w, n) if n else [w]:
+                    each[lang][g] += c
+        kinds = set().union(*each.values())
+        return {g: [math.log(each[x][g] + half) - math.log(sum(each[x].values()) + half * len(kinds)) for x in ("aa", "bb")] for g in kinds}
+
+    tables = {n: table(n) for n in (0, *language_id.LENGTHS)}
+
+    def word(w):
+        if w in tables[0]:
+            return tables[0][w]
+        for n in language_id.LENGTHS:
+            if found := [tables[n][g] for g in language_id.grams(w, n) if g in tables[n]]:
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+        return [0.0, 0.0]
+
+    for text in ("bora vin", "skarl", "boravin tan", "zzz", "vin vin bora mila"):
+        total = [sum(x) for x in zip(*map(word, text.split()), strict=True)]
+        p = [math.exp(t - max(total)) for t in total]
+        got = model.predict(text)
+        assert got[0] == ("aa" if p[0] >= p[1] else "bb") and abs(got[1] - max(p) / sum(p)) < 1e-9, text
+
+
+def test_a_tie_goes_to_the_first_language(spark):
+    rows = [(1, "mil tane bora", "bb"), (2, "mil tane bora", "aa")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.predict("bora mil nato") == ("aa", 0.5)
