@@ -3,19 +3,20 @@
 The text is cut into units that no piece of the model spans (a space opens a unit; within it, letters, digits and other
 characters part where no piece joins them). Encoding is worked out once for each different unit of the corpus:
 
-1. units are counted within tasks and then by a grouping;
-2. every substring of at most the longest piece's length is exploded and equi-joined to the piece table (fixed size, broadcast);
-   the matches are the edges of the unit's lattice and are grouped by unit;
-3. a higher-order `aggregate` folds the lattice from left to right and keeps, for each prefix, the edge that its segmentation
-   ends with.
+1. one pass over the texts gives a row for each chunk of them: its different units, and for each text the numbers of its units;
+2. units are grouped; every substring of at most the longest piece's length is exploded and equi-joined to the piece table (fixed
+   size, broadcast). Units longer than `block` are exploded in blocks that overlap, and go by a digest of their text from there on;
+3. the matches are the edges of the unit's lattice and are grouped by unit;
+4. a higher-order `aggregate` folds the lattice from left to right, Viterbi's way: for each prefix it keeps the best edge to end with,
+   by the sum of scores of the prefix that the edge starts from, of the edge, and of their meeting.
 
-A unigram model's fold takes the best sum of scores. The model here is a BPE model, for which the best sum gives other segmentations than its merges do.
-Its fold takes the edge that is compatible with the edge before it: merging never joins across the border of two pieces exactly
-when the pair encodes to itself, and a prefix has one such chain of pieces, its BPE segmentation. Compatibility follows from the order in which
-the two pieces were merged (`Merges.compatible`).
+A unigram model's edges always may meet. The model here is a BPE model, for which the best sum of its scores alone is not what its merges give:
+two of its pieces may meet only if merging never joins across their border, which is so exactly when the pair encodes to itself.
+Where they may not, the meeting costs more than any sum of scores. A prefix has exactly one chain of pieces without such a cost, its BPE
+segmentation. Whether two may meet follows from the order in which they were merged (`Merges.compatible`).
 
-Documents then take their units' ids: the most frequent units come as a broadcast table of bounded size, a document's other
-units by a join. Decoding maps ids to pieces, joins bytes, and turns the marks back into spaces.
+Chunks then take their units' ids: the most frequent units come as a broadcast table of bounded size, a chunk's other units by a join, and texts
+are not shuffled. Decoding maps ids to pieces, joins bytes, and turns the marks back into spaces.
 
 Defined results: null texts are empty and have no ids; a character without a piece becomes its bytes; all white space but the space
 is a character like others; the mark U+2581 in a text reads as a space, as the model has it; null ids are passed on and rows that repeat
@@ -24,32 +25,36 @@ are encoded alike; an empty table gives an empty result; extra columns are ignor
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lumenmart.llm.common import kept
+from lumenmart.llm.common import kept, kept_by
 
 SPACE = "▁"
+#: Characters of a unit that goes by itself.
+NAME = 64
 PAIR_BITS = 22
 
 
 @dataclass(frozen=True)
 class Settings:
-    """frequent: units in the broadcast table; block: positions that the fold holds in one array; remembered: words a worker keeps."""
+    """frequent: units in the broadcast table; block: positions that the fold holds in one array; chunk: characters of texts in one row, about."""
 
     frequent: int = 120_000
     block: int = 256
-    remembered: int = 200_000
+    chunk: int = 3 << 21
 
 
 @lru_cache(maxsize=2)
@@ -61,6 +66,14 @@ def _kind(c: str) -> str:
     return "S" if c == SPACE else {"L": "L", "M": "L", "N": "D"}.get(unicodedata.category(c)[0], "P")
 
 
+class Kinds(dict):
+    """The kind of each character that was asked for, as str.translate asks."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = kind = _kind(chr(code))
+        return kind
+
+
 class Merges:
     """A BPE model's pieces, and which two may stand side by side."""
 
@@ -75,23 +88,25 @@ class Merges:
         self.pieces = {i: p for p, i in self.ids.items()}
         self.raw = {i: bytes([b]) for b, i in self.bytes.items()} | {i: p.replace(SPACE, " ").encode() for i, p in self.pieces.items()}
         self.longest = max(map(len, self.ids))
+        each = [self.raw.get(i, b"") for i in range(n)]
+        self.flat, self.places = np.frombuffer(b"".join(each), np.uint8), np.append(0, np.cumsum([len(x) for x in each])).astype(np.int64)
+        self.scores = np.array([model.get_score(i) for i in range(n)])
         self.joined = {_kind(a) + _kind(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
-        self.plain = {"SL", "LL"} <= self.joined
+        self.kinds, self.cuts = Kinds(), {}
         self.spines: dict[int, tuple[list, list]] = {}
         # Answers of `compatible` by a hash of the pair; a later pair takes an earlier one's place.
         self.pair_keys, self.pair_fits = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
 
-    @lru_cache(maxsize=200_000)  # noqa: B019  one model lives as long as its worker
-    def kind(self, c: str) -> str:
-        return _kind(c)
-
     def units(self, word: str) -> list[str]:
         """word, cut where no piece joins two neighbouring kinds of character."""
-        if self.plain and word[1:].isalpha() and word[0] == SPACE:
-            return [word]
-        kinds = [self.kind(c) for c in word]
-        cuts = [0, *(k for k in range(1, len(word)) if kinds[k - 1] + kinds[k] not in self.joined), len(word)]
-        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        kinds = word.translate(self.kinds)
+        cuts = self.cuts.get(kinds)
+        if cuts is None:
+            at = [0, *(k for k in range(1, len(word)) if kinds[k - 1 : k + 1] not in self.joined), len(word)]
+            cuts = list(zip(at, at[1:], strict=False))
+            if len(kinds) <= NAME and len(self.cuts) < 100_000:
+                self.cuts[kinds] = cuts
+        return [word] if len(cuts) == 1 else [word[a:b] for a, b in cuts]
 
     def spine(self, i: int) -> tuple[list, list]:
         """Parts of piece i at its right and left border, outermost first: (id, born, gone) as merging goes."""
@@ -142,18 +157,17 @@ class Merges:
             fits[new] = found[back]
         return fits
 
-    def ends(self, units: pa.Array, edges: pa.ListArray, block: int) -> pa.ListArray:
-        """For each unit its edges by end position, in blocks: length, id, and as bits the lengths of left neighbours that they get on with.
+    def ends(self, edges: pa.ListArray, block: int) -> pa.ListArray:
+        """For each unit its edges by end position, in blocks: length, id, score, and as bits the lengths of left neighbours that they may meet.
 
-        edges: start, length and id of each unit, among them one of length 1 at each position, whose id is null if there is no piece."""
+        edges: as `edges_of` packs them, among them one at each position that is a character long."""
         cuts = np.asarray(edges.offsets).astype(np.int64) - edges.offsets[0].as_py()
-        start, length, i = edges.flatten().flatten()
-        no_piece = np.flatnonzero(i.is_null())
-        start, length, i = start.to_numpy().astype(np.int64), length.to_numpy().astype(np.int64), i.fill_null(0).to_numpy().astype(np.int64)
-        of = np.repeat(np.arange(len(units)), np.diff(cuts))
-        if len(no_piece):  # its bytes
-            i[no_piece] = [-1 - ord(units[u].as_py()[k]) for u, k in zip(of[no_piece].tolist(), start[no_piece].tolist(), strict=True)]
-        sizes = np.bincount(of[length == 1], minlength=len(units))
+        packed = edges.flatten().to_numpy()
+        start, length, i = packed >> 32, (packed >> 24) & 0xFF, packed & 0xFFFFFF
+        i = np.where(length > 0, i, -1 - i)  # a character without a piece becomes its bytes
+        length = np.maximum(length, 1)
+        of = np.repeat(np.arange(len(edges)), np.diff(cuts))
+        sizes = np.bincount(of[length == 1], minlength=len(edges))
         base = np.cumsum(sizes + 1) - sizes - 1  # positions count through the units, with one between them
         begin = base[of] + start
         order = np.argsort(begin + length, kind="stable")
@@ -167,10 +181,13 @@ class Merges:
         ok = np.zeros(len(end), np.int64)
         if len(bits):
             ok[left > 0] = np.add.reduceat(bits, (np.cumsum(left) - left)[left > 0])
+        ok |= 1  # the start of the unit
+        score = np.where(i >= 0, self.scores[np.maximum(i, 0)], self.scores.min())
         first = np.cumsum(sizes) - sizes
         positions = np.arange(sizes.sum()) - np.repeat(first - base - 1, sizes)
         offsets = np.append(np.searchsorted(end, positions), len(end)).astype(np.int32)
-        found = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (length, i, ok)], ["length", "id", "ok"])
+        cols = [pa.array(x.astype(np.int32)) for x in (length, i, ok)] + [pa.array(score)]
+        found = pa.StructArray.from_arrays(cols, ["length", "id", "ok", "score"])
         blocks = -(-sizes // block)
         nth = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         of_block = np.append(np.repeat(first, blocks) + nth * block, sizes.sum()).astype(np.int32)
@@ -200,78 +217,132 @@ def pieces(spark: SparkSession, model: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"piece": list(_load(model).ids), "id": pa.array(_load(model).ids.values(), pa.int32())}))
 
 
-def count_units(texts: DataFrame, model: str) -> DataFrame:
-    """unit, times over all texts (one column)."""
+def _name(unit: str) -> str:
+    """What a unit goes by: itself, or a digest where it is long."""
+    return unit if len(unit) <= NAME else "#" + hashlib.sha256(unit.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What follows the mark in each word of each text, and the number of words of each text."""
+    texts = pc.replace_substring(pc.fill_null(texts, ""), SPACE, " ")
+    odd = pc.or_(pc.equal(texts, ""), pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))))
+    if not pc.any(odd).as_py():
+        words = pc.split_pattern(texts, " ")
+        return words.flatten(), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = [[w[1:] for w in words_of(t)] for t in texts.to_pylist()]
+    return pa.array([w for x in words for w in x], pa.string()), np.array([len(x) for x in words], np.int64)
+
+
+def _expanded(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The places of all that each code stands for, offsets[code] to offsets[code + 1], one after another."""
+    many = np.diff(offsets)[codes]
+    return np.repeat(offsets[codes] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
+def _chunks(rows: DataFrame, model: str, s: Settings) -> DataFrame:
+    """rows: id, text. A row for each chunk: ids; sizes (units of each text); codes (of the units of all its texts); units, their full texts where those are long, and times."""
+
+    def coded(merges: Merges, ids: list, parts: list[pa.Array], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        words = pa.chunked_array(parts, pa.string()).combine_chunks().dictionary_encode()
+        units: dict[str, int] = {}
+        flat, offsets = [], [0]
+        for w in words.dictionary.to_pylist():
+            flat += [units.setdefault(u, len(units)) for u in merges.units(SPACE + w)]
+            offsets.append(len(flat))
+        offsets, flat, w = np.array(offsets, np.int64), np.array(flat, np.int64), words.indices.to_numpy().astype(np.int64)
+        codes = flat[_expanded(w, offsets)].astype(np.int32) if len(w) else np.empty(0, np.int32)
+        ends = np.append(0, np.cumsum(np.diff(offsets)[w]))[np.append(0, np.cumsum(np.concatenate(sizes)))]
+        times, names = np.bincount(codes, minlength=len(units)), [_name(u) for u in units]
+        one = lambda x, kind: pa.array([x], pa.list_(kind))
+        return pa.RecordBatch.from_arrays(
+            [one(ids, id_type), one(np.diff(ends), pa.int32()), one(codes, pa.int32()), one(names, pa.string()), one([u if len(u) > NAME else None for u in units], pa.string()), one(times, pa.int64())],
+            names=["ids", "sizes", "codes", "units", "texts", "times"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, words = _load(model), Counter()
-
-        def out() -> pa.RecordBatch:
-            units = Counter()
-            for w, n in words.items():
-                for u in merges.units(w):
-                    units[u] += n
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(units.keys(), pa.string()), pa.array(units.values(), pa.int64())], names=["unit", "times"])
-
+        merges, ids, parts, sizes, size = _load(model), [], [], [], 0
         for b in batches:
-            for t in b.column(0):
-                words.update(words_of(t.as_py()))
-                if len(words) > 300_000:
-                    yield out()
-        yield out()
-
-    return texts.mapInArrow(run, "unit string, times long").groupBy("unit").agg(F.sum("times").alias("times"))
-
-
-EDGE = "struct<length:int,id:int,ok:int>"
+            lengths = pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            a = 0
+            while a < b.num_rows:
+                z = min(b.num_rows, a + 1 + int(np.searchsorted(np.cumsum(lengths[a:]), s.chunk - size)))
+                p, n = _parts(b.column(1).slice(a, z - a))
+                ids += b.column(0).slice(a, z - a).to_pylist()
+                parts.append(p), sizes.append(n)
+                size += int(lengths[a:z].sum())
+                a = z
+                if size >= s.chunk:
+                    yield coded(merges, ids, parts, sizes)
+                    ids, parts, sizes, size = [], [], [], 0
+        if ids:
+            yield coded(merges, ids, parts, sizes)
+
+    kind = rows.schema["id"].dataType
+    id_type = to_arrow_type(kind)
+    return rows.mapInArrow(run, f"ids array<{kind.simpleString()}>, sizes array<int>, codes array<int>, units array<string>, texts array<string>, times array<long>")
+
+
+EDGE = "struct<length:int,id:int,ok:int,score:double>"
+BEST = "struct<score:double,length:int,id:int>"
+
+
+def edges_of(units: DataFrame, model: str, s: Settings) -> DataFrame:
+    """units: name, text, times. name, times, edges: the lattice of each unit. An edge is a long: 32 bits of start, 8 of length, 24 of id; or length 0 and
+    the code point of a character without a piece."""
+    longest = _load(model).longest
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{s.block}}}"), F.lit(0))
+    part = lambda i: F.concat(F.get("cut", i), F.coalesce(F.substring(F.get("cut", i + 1), 1, longest - 1), F.lit("")))
+    blocks = F.transform(F.sequence(F.lit(0), F.size("cut") - 1), lambda i: F.struct((i * s.block).alias("base"), part(i).alias("part"), F.length(F.get("cut", i)).alias("own")))
+    whole = F.array(F.struct(F.lit(0).alias("base"), F.col("text").alias("part"), F.length("text").alias("own")))
+    short = units.filter(F.length("text") <= s.block).select("name", "times", F.inline(whole))
+    long = units.filter(F.length("text") > s.block).select("name", "times", cut.alias("cut")).select("name", "times", F.inline(blocks))
+    starts = short.unionByName(long).select("name", "times", "base", "part", F.explode(F.sequence(F.lit(1), "own")).alias("at"))
+    reach = F.least(F.lit(longest), F.length("part") - F.col("at") + 1)
+    spans = starts.select("name", "times", "base", "part", "at", F.explode(F.sequence(F.lit(1), reach)).alias("n"))
+    spans = spans.select("name", "times", (F.col("base") + F.col("at") - 1).alias("start"), "n", F.col("part").substr(F.col("at"), F.col("n")).alias("piece"))
+    found = spans.join(F.broadcast(pieces(units.sparkSession, model)), "piece", "left").filter("id IS NOT NULL OR n = 1")
+    edge = F.when(F.col("id").isNull(), F.ascii("piece").cast("long")).otherwise(F.shiftleft(F.col("n").cast("long"), 24) + F.col("id"))
+    packed = F.shiftleft(F.col("start").cast("long"), 32) + edge
+    return found.groupBy("name", "times").agg(F.collect_list(packed).alias("edges"))
 
 
 def segment(units: DataFrame, model: str, s: Settings) -> DataFrame:
-    """units: unit, times. Adds tokens: the ids of the unit, as little-endian 32 bits."""
-    longest, spark = _load(model).longest, units.sparkSession
-    begins = F.sequence(F.lit(1), F.length("unit"))
-    lengths = lambda at: F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - at + 1))
-    spans = F.flatten(F.transform(begins, lambda at: F.transform(lengths(at), lambda n: F.struct((at - 1).alias("start"), F.substring(F.col("unit"), at, n).alias("piece")))))
-    edges = (
-        units.filter("unit <> ''").select("unit", "times", F.explode(spans).alias("span")).select("unit", "times", "span.start", "span.piece")
-        .join(F.broadcast(pieces(spark, model)), "piece", "left")
-        .filter("id IS NOT NULL OR length(piece) = 1")
-        .groupBy("unit", "times").agg(F.collect_list(F.struct("start", F.length("piece").alias("length"), "id")).alias("edges"))
-    )
-
+    """units: name, text, times. name, times, tokens: the ids of each unit, as little-endian 32 bits."""
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _load(model)
         for b in batches:
             for a in range(0, b.num_rows, 2000):
                 part = b.slice(a, 2000)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), merges.ends(part.column(0), part.column(2), s.block)], names=["unit", "times", "blocks"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), merges.ends(part.column(2), s.block)], names=["name", "times", "blocks"])
 
-    ordered = edges.mapInArrow(order, f"unit string, times long, blocks array<array<array<{EDGE}>>>")
-    # State of the inner fold: (length, id) of the last edge of each prefix in reach, then of the block's prefixes.
-    reach = longest
+    ordered = edges_of(units, model, s).mapInArrow(order, f"name string, times long, blocks array<array<array<{EDGE}>>>")
+    # State of the inner fold: the best last edge of each prefix in reach, then of the block's prefixes.
+    reach, forbidden = _load(model).longest, -1e15
+    state_of = lambda score, length, i: F.struct(score.alias("score"), length.alias("length"), i.alias("id"))
 
     def position(last, here):
-        n = F.size(last)
-        left = lambda e: F.get(last, n - e["length"])["length"]
-        fits = F.filter(here, lambda e: (left(e) == 0) | (F.coalesce(F.call_function("shiftright", e["ok"], left(e)), F.lit(0)).bitwiseAND(F.lit(1)) == 1))
-        return F.concat(last, F.array(F.struct(F.get(fits, 0)["length"].alias("length"), F.get(fits, 0)["id"].alias("id"))))
+        before = lambda e: F.get(last, F.size(last) - e["length"])
+        fits = lambda e: F.coalesce(F.call_function("shiftright", e["ok"], before(e)["length"]), F.lit(0)).bitwiseAND(F.lit(1)) == 1
+        total = lambda e: F.coalesce(before(e)["score"], F.lit(forbidden)) + e["score"] + F.when(fits(e), F.lit(0.0)).otherwise(F.lit(forbidden))
+        return F.concat(last, F.array(F.array_max(F.transform(here, lambda e: state_of(total(e), e["length"], e["id"])))))
 
-    none = F.struct(F.lit(-1).alias("length"), F.lit(0).alias("id"))
-    start = F.concat(F.array_repeat(none, reach - 1), F.array(F.struct(F.lit(0).alias("length"), F.lit(0).alias("id"))))
-    state = F.struct(start.cast("array<struct<length:int,id:int>>").alias("tail"), F.array().cast("array<array<struct<length:int,id:int>>>").alias("done"))
+    none, origin = state_of(F.lit(forbidden), F.lit(31), F.lit(0)), state_of(F.lit(0.0), F.lit(0), F.lit(0))
+    start = F.concat(F.array_repeat(none, reach - 1), F.array(origin)).cast(f"array<{BEST}>")
+    state = F.struct(start.alias("tail"), F.array().cast(f"array<array<{BEST}>>").alias("done"))
 
     def one_block(acc, block):
         folded = F.aggregate(block, acc["tail"], position)
         return F.struct(F.slice(folded, -reach, reach).alias("tail"), F.concat(acc["done"], F.array(F.slice(folded, reach + 1, F.size(block)))).alias("done"))
 
-    folded = ordered.select("unit", "times", F.aggregate("blocks", state, one_block, lambda acc: F.flatten(acc["done"])).alias("last"))
+    alone = F.slice(F.aggregate(F.get("blocks", F.lit(0)), start, position), F.lit(reach + 1), F.size(F.get("blocks", F.lit(0))))
+    many = F.aggregate("blocks", state, one_block, lambda acc: F.flatten(acc["done"]))
+    folded = ordered.select("name", "times", F.when(F.size("blocks") == 1, alone).otherwise(many).alias("last"))
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _load(model)
         for b in batches:
             tokens, last = [], b.column(2)
-            lengths, ids = (c.to_pylist() for c in last.flatten().flatten())
+            _, lengths, ids = (c.to_pylist() for c in last.flatten().flatten())
             cuts = (np.asarray(last.offsets) - last.offsets[0].as_py()).tolist()
             for begin, at in zip(cuts, cuts[1:], strict=False):
                 back = []
@@ -279,105 +350,81 @@ def segment(units: DataFrame, model: str, s: Settings) -> DataFrame:
                     back.append(ids[at - 1])
                     at -= lengths[at - 1]
                 tokens.append(merges.expand(back[::-1]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens, pa.binary())], names=["unit", "times", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens, pa.binary())], names=["name", "times", "tokens"])
 
-    return folded.mapInArrow(walk, "unit string, times long, tokens binary")
+    return folded.mapInArrow(read_out, "name string, times long, tokens binary")
 
 
-def _first_pass(rows: DataFrame, model: str, frequent, s: Settings) -> DataFrame:
-    """rows: id, content, text. Adds tokens (but for units that are not frequent), holes (where those are) and missing (those units, once each)."""
+def _fill(chunks: DataFrame, frequent, kind, model: str, check: bool) -> DataFrame:
+    """chunks: ids, sizes, codes, units, found (of no, tokens). For each text doc_id, n_tokens, ids_crc32, and ids, or with `check` the checksum of the text that they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, table, known = _load(model), frequent.value, {}
+        table, merges = frequent.value, _load(model)
         for b in batches:
-            for a in range(0, b.num_rows, 500):
-                part, tokens, missing, holes = b.slice(a, 500), [], [], []
-                for t in part.column(2):
-                    words, out, units, where, size = words_of(t.as_py()), [], {}, [], 0
-                    for w in words:
-                        got = known.get(w)
-                        if got is None:
-                            each = [table.get(u, u) for u in merges.units(w)]
-                            got = b"".join(each) if all(type(x) is bytes for x in each) else each
-                            if type(got) is bytes:  # rare words don't drive out frequent ones
-                                if len(known) >= s.remembered:
-                                    known.clear()
-                                known[w] = got
-                        if type(got) is bytes:
-                            out.append(got)
-                            size += len(got)
-                        else:
-                            for x in got:
-                                if type(x) is bytes:
-                                    out.append(x)
-                                    size += len(x)
-                                else:
-                                    where += [size // 4, units.setdefault(x, len(units))]
-                    tokens.append(b"".join(out)), missing.append(list(units)), holes.append(np.array(where, "<i4").tobytes())
-                cols = [part.column(0), part.column(1), pa.array(tokens, pa.binary()), pa.array(holes, pa.binary()), pa.array(missing, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "content", "tokens", "holes", "missing"])
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, content long, tokens binary, holes binary, missing array<string>")
-
-
-def _fill(rows: DataFrame) -> DataFrame:
-    """rows: id, tokens, holes, found (of no, tokens). The holes filled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a in range(0, b.num_rows, 500):
-                part, out = b.slice(a, 500), []
-                for tokens, holes, found in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                    unit = {f["no"]: f["tokens"] for f in found}
-                    at, parts = 0, []
-                    for place, no in np.frombuffer(holes, "<i4").reshape(-1, 2).tolist():
-                        parts += [tokens[at * 4 : place * 4], unit[no]]
-                        at = place
-                    out.append(b"".join([*parts, tokens[at * 4 :]]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["id", "tokens"])
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, tokens binary")
-
-
-def encode_texts(texts: DataFrame, model: str, s: Settings) -> DataFrame:
-    """texts: id, content (a hash of the text), text. id, tokens (little-endian 32 bits) for each row."""
+            for k in range(b.num_rows):
+                ids, sizes, codes, units, found = (c[k].values for c in b.columns)
+                tokens = [table.get(u) for u in units.to_pylist()]
+                if found is not None:
+                    for no, t in zip(*(found.field(x).to_pylist() for x in ("no", "tokens")), strict=True):
+                        tokens[no] = t
+                places = np.append(0, np.cumsum([len(t) // 4 for t in tokens])).astype(np.int64)
+                flat, codes, ends = np.frombuffer(b"".join(tokens), "<i4"), codes.to_numpy(), np.append(0, np.cumsum(sizes.to_numpy()))
+                del tokens
+                for a in range(0, len(ids), 200):
+                    z = min(len(ids), a + 200)
+                    some = codes[ends[a] : ends[z]]
+                    out = flat[_expanded(some, places)] if len(some) else np.empty(0, "<i4")
+                    cuts = np.append(0, np.cumsum(np.diff(places)[some]))[ends[a : z + 1] - ends[a]]
+                    each = [out[i:j] for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+                    crc = pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())
+                    if check:
+                        last = pa.array([zlib.crc32(decode(x, merges).encode("utf-8", "surrogatepass")) for x in each], pa.int64())
+                    else:
+                        last = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(out))
+                    yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array(np.diff(cuts)), crc, last], names=["doc_id", "n_tokens", "ids_crc32", "text_crc32" if check else "ids"])
+
+    return chunks.mapInArrow(run, f"doc_id {kind.simpleString()}, n_tokens long, ids_crc32 long, {'text_crc32 long' if check else 'ids array<int>'}")
+
+
+def _lexicon(units: DataFrame, model: str, s: Settings) -> DataFrame:
+    """`segment` of all units, kept. A task groups the edges of thousands of units: they are held in a map, not sorted anew, up to a million."""
+    conf, key = units.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = conf.get(key)
+    conf.set(key, str(1 << 20))
+    try:
+        return kept(segment(units, model, s), "units")
+    finally:
+        conf.set(key, before)
+
+
+def _encoded(docs: DataFrame, model: str, id_col: str, text_col: str, s: Settings, check: bool) -> DataFrame:
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     spark = texts.sparkSession
     # Few bytes make much work here, so there are more partitions than their size asks for; grouping edges by unit needs no other.
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    units = kept(segment(count_units(texts.select("text"), model).repartition(parts, "unit"), model, s), "units")
-    top = units.orderBy(F.desc("times"), "unit").limit(s.frequent).select("unit", "tokens").toArrow()
+    chunks = kept_by(_chunks(texts, model, s).withColumn("chunk", F.monotonically_increasing_id()), "chunks", "chunk")
+    each = chunks.select(F.inline(F.arrays_zip("units", "texts", "times"))).select(F.col("units").alias("name"), F.col("texts").alias("text"), "times")
+    units = each.repartition(parts, "name").groupBy("name").agg(F.max("text").alias("text"), F.sum("times").alias("times"))
+    units = units.select("name", F.coalesce("text", "name").alias("text"), "times")
+    lexicon = _lexicon(units, model, s)
+    top = lexicon.orderBy(F.desc("times"), "name").limit(s.frequent).select("name", "tokens").toArrow()
+    names = spark.createDataFrame(top.select(["name"]))
     frequent = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
-    first = kept(_first_pass(texts, model, frequent, s), "first-pass")
-    whole, rest = first.filter("size(missing) = 0").select("id", "tokens"), first.filter("size(missing) > 0")
-    # Rows with the same id and content are the same text and ask for the same units.
-    asked = rest.select("id", "content", F.posexplode("missing").alias("no", "unit")).join(units.select("unit", F.col("tokens").alias("t")), "unit")
-    found = asked.groupBy("id", "content").agg(F.collect_set(F.struct("no", F.col("t").alias("tokens"))).alias("found"))
-    found = found.withColumnsRenamed({"id": "found_id", "content": "found_content"})
-    same = F.col("id").eqNullSafe(F.col("found_id")) & (F.col("content") == F.col("found_content"))
-    return whole.unionByName(_fill(rest.join(found, same).select("id", "tokens", "holes", "found")))
+    asked = chunks.select("chunk", F.posexplode("units").alias("no", "name")).join(F.broadcast(names), "name", "left_anti")
+    found = asked.join(lexicon.select("name", "tokens"), "name").groupBy("chunk").agg(F.collect_list(F.struct("no", "tokens")).alias("found"))
+    whole = chunks.join(found, "chunk", "left").select("ids", "sizes", "codes", "units", "found")
+    return _fill(whole, frequent, texts.schema["id"].dataType, model, check)
 
 
-def decode(tokens: bytes, merges: Merges) -> str:
+def decode(ids: np.ndarray, merges: Merges) -> str:
     """The text of ids, without the space that encoding put before it."""
-    raw = merges.raw
-    out = b"".join([raw[i] for i in np.frombuffer(tokens, "<i4").tolist()])
-    return out.decode("utf-8", "replace").removeprefix(" ")
+    raw = merges.flat[_expanded(ids, merges.places)].tobytes() if len(ids) else b""
+    return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
     """doc_id, ids (array of int), n_tokens, ids_crc32 (of the ids as little-endian 32 bits): one row for each row of docs."""
-    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("content"), docs[text_col].alias("text"))
-    done = encode_texts(rows, model, settings or Settings())
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [np.frombuffer(t.as_py(), "<i4") for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())],
-                names=["doc_id", "ids", "n_tokens", "ids_crc32"],
-            )
-
-    return done.mapInArrow(read, f"doc_id {rows.schema['id'].dataType.simpleString()}, ids array<int>, n_tokens long, ids_crc32 long")
+    return _encoded(docs, model, id_col, text_col, settings or Settings(), check=False).select("doc_id", "ids", "n_tokens", "ids_crc32")
 
 
 def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
@@ -386,20 +433,11 @@ def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _load(model)
         for b in batches:
-            texts = [decode(x.values.to_numpy().astype("<i4").tobytes(), merges) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode(x.values.to_numpy(), merges) for x in b.column(1)], pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def encode_and_check(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, text_crc32 (of the decoded text as UTF-8): the digest columns of a round trip, one row for each row of docs."""
-    encoded = encode(docs, model, id_col, text_col, settings)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = _load(model)
-        for b in batches:
-            crc = [zlib.crc32(decode(x.values.to_numpy().astype("<i4").tobytes(), merges).encode()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(crc, pa.int64())], names=["doc_id", "n_tokens", "ids_crc32", "text_crc32"])
-
-    return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_crc32 long, text_crc32 long")
+    return _encoded(docs, model, id_col, text_col, settings or Settings(), check=True)

@@ -29,7 +29,7 @@ def test_equals_the_library(spark):
     rows = [(i, t, "x") for i, t in enumerate(texts())]
     docs = spark.createDataFrame([*rows, rows[0], (None, "no id", "x")], "doc_id long, text string, unit string").repartition(3)
     for frequent in (10_000, 50):  # few frequent units: most come by the join
-        got = piece_lattice.encode(docs, PATH, settings=piece_lattice.Settings(frequent=frequent, block=64)).collect()
+        got = piece_lattice.encode(docs, PATH, settings=piece_lattice.Settings(frequent=frequent, block=64, chunk=2_000)).collect()
         assert len(got) == len(rows) + 2
         of = dict((i, t) for i, t, _ in rows) | {None: "no id"}
         for r in got:
@@ -46,3 +46,13 @@ def test_round_trip_and_empty(spark):
         text = (t or "").replace("▁", " ")
         assert decoded[i] == text and checked[i] == zlib.crc32(text.encode())
     assert piece_lattice.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_a_very_long_unit(spark):
+    r = random.Random(3)
+    text = "".join(r.choice("etaoinshrdlucmfwypé") for _ in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "x " + text[:5_000])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in piece_lattice.encode(docs, PATH).select("doc_id", "n_tokens", "ids_crc32").collect()}
+    for k, t in ((1, text), (2, "x " + text[:5_000])):
+        ids, crc = want(t)
+        assert got[k] == (len(ids), crc)
