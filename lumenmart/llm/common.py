@@ -31,7 +31,16 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.kept_at = path
+    return back
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes what `kept` has written for these tables; only for those that no table still to be computed reads."""
+    for path, spark in [(t.kept_at, t.sparkSession) for t in tables if t is not None and "kept_at" in vars(t)]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def kept_by(df: DataFrame, what: str, *keys: str) -> DataFrame:

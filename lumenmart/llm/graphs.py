@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenmart.llm.common import kept
+from lumenmart.llm.common import kept, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
     both = kept(pairs.union(pairs.select("b", "a")).union(pairs.select("a", "a")).union(pairs.select("b", "b")).distinct(), "edges")
-    labels = kept(both.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node"), "labels")
+    labels = last = kept(both.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node"), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
         jump = labels.select(F.col("node").alias("root_node"), F.col("root").alias("root_root"))
@@ -27,6 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
             .select("node", F.least("root", "near", "root_root").alias("new"), F.col("root").alias("old"))
         )
         new = kept(new, "labels")
-        labels = new.select("node", F.col("new").alias("root"))
+        release(last)
+        labels, last = new.select("node", F.col("new").alias("root")), new
+        labels.kept_at = new.kept_at
         if new.filter("new <> old").isEmpty():
+            release(both)
             return labels

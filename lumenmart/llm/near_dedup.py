@@ -1,17 +1,18 @@
 """Near-duplicate detection by ProbMinHash.
 
 A text becomes the weighted set of its shingles (five words; the weight is how often the shingle occurs). Every shingle is a
-Poisson process whose rate is its weight: arrivals come after exponential waits, each falls on a random one of `bands * rows`
+Poisson process whose rate is its weight: arrivals come after exponential waits, each falls on a random one of `registers`
 registers, and a register keeps its earliest arrival. A shingle's process stops as soon as its next arrival is later than all
 registers' (early termination). Two texts agree in a register with the probability of their probability Jaccard similarity
 J_P = sum over common i of 1 / sum over j of max(x_j / x_i, y_j / y_i), which for shingles that occur once is plain Jaccard.
 
-Registers are cut into bands; texts that share a band are candidates. Candidates whose registers agree so seldom that a J_P of the
-threshold is four standard errors away are dropped, and the others are verified by their exact J_P. Texts with the same weighted
+The registers are shuffled in several fixed ways and each order is cut into bands of `rows` registers; texts that share a band are candidates.
+The join that brings candidates together also compares their registers (four bits of each): where these agree so seldom that a J_P of the
+threshold is four standard errors away, no row is made. All others are verified by their exact J_P. Texts with the same weighted
 set are one node from the start, so groups of exact copies are never paired. Nor are the members of a band's bucket: in the
-first rounds one member of the bucket's largest component is compared with the members outside it, another one each time. Then
-members outside the largest component are pivots, compared with all members of other components. A bucket is done when one component holds it, or when every member
-outside its largest component has been a pivot: then every pair that could still join two components has been compared. Buckets
+first rounds one member of the bucket's largest component is compared with the members outside it, another one each time. Then a growing share
+of the members, up to all, are compared with those of other components. A bucket that one component holds is left alone from then on, so
+only groups whose members are not linked are compared one by one. Buckets
 are joined and combined by plain equi-joins and aggregations, links stay in tables, and classes are the connected components of
 all verified links.
 
@@ -30,10 +31,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenmart.llm.common import kept
+from lumenmart.llm.common import kept, release
 from lumenmart.llm.graphs import components
 
 #: Characters of a piece of a text, and bytes that are hashed together.
@@ -49,16 +50,24 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 class Settings:
     words: int = 5
     threshold: float = 0.8
-    bands: int = 32
-    rows: int = 8
-    first_bands: int = 4
-    easy_rounds: int = 3
+    registers: int = 256
+    bands: int = 64
+    rows: int = 14
+    first_bands: int = 6
+    easy_rounds: int = 2
+    shares: tuple[float, ...] = (1 / 64, 1 / 8, 1 / 2, 1.0)
 
     @property
-    def least_agreement(self) -> float:
-        """Share of registers (8 bits of each) that agree, four standard errors below what the threshold leads to expect."""
-        expected = self.threshold + (1 - self.threshold) / 256
-        return expected - 4 * (expected * (1 - expected) / (self.bands * self.rows)) ** 0.5
+    def most_different(self) -> int:
+        """Registers (four bits of each) that may differ: four standard errors more than the threshold leads to expect."""
+        expected = self.threshold + (1 - self.threshold) / 16
+        return int((1 - expected) * self.registers + 4 * (expected * (1 - expected) * self.registers) ** 0.5)
+
+    def places(self) -> np.ndarray:
+        """The registers of each band: whole orders of all registers, one after another, cut into bands."""
+        each = self.registers // self.rows
+        orders = (np.random.default_rng(k).permutation(self.registers)[: each * self.rows] for k in range(-(-self.bands // each)))
+        return np.concatenate(list(orders)).reshape(-1, self.rows)[: self.bands]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -166,12 +175,19 @@ def registers(of: np.ndarray, shingles: np.ndarray, weights: np.ndarray, texts:
     return held.reshape(texts, m)
 
 
-def band_keys(held: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    x = held.reshape(len(held), bands, rows)
-    out = np.broadcast_to(mixed(np.arange(1, bands + 1, dtype=np.uint64)), x.shape[:2]).copy()
-    for j in range(rows):
-        out = mixed(out * _BASE + x[:, :, j])
-    return out
+def band_keys(held: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A hash of each band's number and registers."""
+    held = mixed(held)
+    out = np.broadcast_to(mixed(np.arange(1, len(places) + 1, dtype=np.uint64)), (len(held), len(places))).copy()
+    for j in range(places.shape[1]):
+        out = out * _BASE + held[:, places[:, j]]
+    return mixed(out)
+
+
+def sketch(held: np.ndarray) -> np.ndarray:
+    """Four bits of each register, sixteen registers in a 64-bit number."""
+    bits = (mixed(held) & np.uint64(15)).reshape(len(held), -1, 16)
+    return np.bitwise_or.reduce(bits << np.arange(0, 64, 4, dtype=np.uint64), axis=2)
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -191,7 +207,8 @@ def _slices(of: np.ndarray, n: int) -> np.ndarray:
 
 
 def mark(docs: DataFrame, s: Settings) -> DataFrame:
-    """docs: id, content, text. Gives id, content, node (hash of the weighted set; of the id where there is none), keys (of bands), registers (8 bits of each)."""
+    """docs: id, content, text. Gives id, content, node (hash of the weighted set; of the id where there is none), keys (of bands), registers (four bits of each)."""
+    places = s.places()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,20 +216,19 @@ def mark(docs: DataFrame, s: Settings) -> DataFrame:
             for a, z in _chunks(texts):
                 of, sh, w = weighted(texts.slice(a, z - a).to_pylist(), s.words)
                 cut = _slices(of, z - a)
-                held = registers(of, sh, w, z - a, s.bands * s.rows)
-                keys = band_keys(held, s.bands, s.rows).view(np.int64)
-                short = (mixed(held) & np.uint64(255)).astype(np.uint8)
+                held = registers(of, sh, w, z - a, s.registers)
+                keys, short = band_keys(held, places).view(np.int64), sketch(held).view(np.int64)
                 nodes, lists = [], []
                 for k in range(z - a):
                     i, j = cut[k], cut[k + 1]
                     nodes.append(xxhash.xxh3_128_digest(sh[i:j].tobytes() + w[i:j].tobytes() if j > i else f"none {ids[a + k]}".encode()))
                     lists.append(keys[k] if j > i else None)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), pa.array(nodes, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())],
+                    [b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), pa.array(nodes, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(list(short), pa.list_(pa.int64()))],
                     names=["id", "content", "node", "keys", "registers"],
                 )
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, content long, node binary, keys array<long>, registers binary")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, content long, node binary, keys array<long>, registers array<long>")
 
 
 def sets(docs: DataFrame, s: Settings) -> DataFrame:
@@ -247,18 +263,14 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, least
     return sum(n / float((np.maximum(p / i, q / j) * times).sum()) for i, j, n in zip(p.tolist(), q.tolist(), times.tolist(), strict=True) if i and j)
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose registers agree often enough."""
-    left = sketches.select(F.col("node").alias("a"), F.col("registers").alias("ra"))
-    right = sketches.select(F.col("node").alias("b"), F.col("registers").alias("rb"))
-    m, least = s.bands * s.rows, s.least_agreement
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, m) for c in batch.columns[2:])
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb").mapInArrow(run, "a binary, b binary")
+def likely(x: Column, y: Column, s: Settings) -> Column:
+    """Whether two sketches differ in few enough registers for the threshold."""
+    different = F.lit(0)
+    for k in range(s.registers // 16):
+        d = F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))
+        half = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        different += F.bit_count(half.bitwiseOR(F.shiftrightunsigned(half, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+    return different <= s.most_different
 
 
 def verify(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
@@ -279,59 +291,56 @@ def verify(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(run, "a binary, b binary")
 
 
-def _open_buckets(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """key, node, root of the buckets that several components share; and each one's largest component."""
+def _open_buckets(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, node, root, registers of the buckets that several components share; and each one's largest component."""
     at = members.join(roots, "node")
     mixed_up = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    at = kept(at.join(mixed_up, "key").select("key", "node", "root"), "bucket-members")
+    at = kept(at.join(mixed_up, "key").select("key", "node", "root").join(sketches, "node"), "bucket-members")
     sizes = at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     return at, sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"))
 
 
-def _easy_round(at: DataFrame, most: DataFrame, k: int) -> DataFrame:
+def _pairs(at: DataFrame, pivots: DataFrame, apart: str, s: Settings) -> DataFrame:
+    """Pairs of a bucket's pivots (key, pivot, of) with the members whose sketches are near theirs."""
+    near = (F.col("key") == F.col("pivot_key")) & F.expr(apart) & likely(F.col("registers"), F.col("of"), s)
+    return at.join(pivots.withColumnRenamed("key", "pivot_key"), near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
+def _easy_round(at: DataFrame, most: DataFrame, s: Settings, k: int) -> DataFrame:
     """Pairs of one member of each bucket's largest component with the members outside."""
-    placed = at.join(most, "key")
-    drawn = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node")
-    pivots = placed.filter("root = most").groupBy("key", "most").agg(F.min(drawn)["node"].alias("pivot"))
-    pairs = at.join(pivots, "key").filter("root <> most")
-    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    drawn = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "registers")
+    pivots = at.join(most, "key").filter("root = most").groupBy("key", "most").agg(F.min(drawn).alias("p"))
+    return _pairs(at, pivots.select("key", "most", F.col("p.node").alias("pivot"), F.col("p.registers").alias("of")), "root <> most", s)
+
 
+def _full_round(at: DataFrame, s: Settings, low: float, high: float) -> DataFrame:
+    """Pairs of the members whose draw lies from low to high with the members of other components whose draw is not below low.
 
-def _full_round(at: DataFrame, most: DataFrame, tested: DataFrame | None, slots: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of some untested members outside the largest component with the members of other components; and those pivots."""
-    free = at.join(most, "key").filter("root <> most")
-    if tested is not None:
-        free = free.join(tested, ["key", "node"], "left_anti")
-    slot = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(slots))
-    pivots = free.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root")).alias("p"))
-    pivots = kept(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")), "pivots")
-    pairs = at.join(pivots, "key").filter("root <> pivot_root")
-    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), pivots.select("key", F.col("pivot").alias("node"))
+    A node's draw is one number for all its buckets, so a pair comes once; and over rounds from 0 to 1 every pair of a bucket is met once."""
+    draw = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20))
+    free = at.filter(draw >= int(low * (1 << 20)))
+    pivots = free.filter(draw < int(high * (1 << 20))).select("key", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("registers").alias("of"))
+    return _pairs(free, pivots, "root <> pivot_root", s)
 
 
 def _roots(banded: DataFrame, sketches: DataFrame, shingles: DataFrame, s: Settings) -> DataFrame:
-    """node, root of nodes that share a band. banded: key, band, node, of buckets with two nodes at least."""
+    """node, root of nodes that share a band. banded: key, band, node, of buckets with two nodes at least. A round's tables go when it ends."""
     roots = kept(banded.select("node").distinct().select("node", F.col("node").alias("root")), "roots")
-    tested, compared, k = None, None, 0
-    while True:
+    for k in range(s.easy_rounds + len(s.shares)):
         members = banded.filter(F.col("band") < s.first_bands) if k == 0 else banded
-        at, most = _open_buckets(members.select("key", "node"), roots)
-        if k < s.easy_rounds:
-            pairs = _easy_round(at, most, k)
-        else:
-            pairs, pivots = _full_round(at, most, tested, 4 ** (k - s.easy_rounds + 1), k)
-            if pivots.isEmpty():
-                return roots
-            tested = pivots if tested is None else tested.unionByName(pivots)
-        pairs = kept(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        links = kept(verify(likely(pairs, sketches, s), shingles, s.threshold), "links")
+        at, most = _open_buckets(members.select("key", "node"), roots, sketches)
+        pairs = _easy_round(at, most, s, k) if k < s.easy_rounds else _full_round(at, s, *((0.0, *s.shares)[k - s.easy_rounds :][:2]))
+        links = kept(verify(pairs, shingles, s.threshold), "links")
+        release(at)
         if not links.isEmpty():
             of = roots.withColumnRenamed("root", "r")
             edges = links.join(of.select(F.col("node").alias("a"), F.col("r").alias("ra")), "a").join(of.select(F.col("node").alias("b"), F.col("r").alias("rb")), "b")
-            new = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("old"), F.col("root").alias("new"))
-            roots = kept(roots.join(new, roots["root"] == new["old"], "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
-        k += 1
+            named = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+            new = named.select(F.col("node").alias("old"), F.col("root").alias("new"))
+            old, roots = roots, kept(roots.join(new, roots["root"] == new["old"], "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
+            release(old, named)
+        release(links)
+    return roots
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
@@ -349,8 +358,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFr
     roots = _roots(banded, sketches, shingles, s)
     placed = nodes.select("node", "first_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = placed.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
-    of_node = kept(placed.join(groups, "root").select("node", "class_id", "class_size"), "classes")
-    return marked.select("id", "content", "node").join(of_node, "node").select("id", "content", "class_id", "class_size")
+    of_node = placed.join(groups, "root").select("node", "class_id", "class_size")
+    out = kept(marked.select("id", "content", "node").join(of_node, "node").select("id", "content", "class_id", "class_size"), "classes")
+    release(marked, nodes, banded, shingles, sketches, roots)
+    return out
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:

@@ -107,13 +107,25 @@ def sample_distance(spark, sf_dir):
     return profiling.total_variation(orders, profiling.hashed_sample(orders, "o_orderkey", 100), "o_orderpriority")
 
 
-@register("drift_schema", "SELECT 'a' AS column_name, 'bigint -> string' AS change UNION ALL SELECT 'b', 'removed' UNION ALL SELECT 'c', 'added'")
+@register(
+    "drift_schema",
+    """WITH a AS (SELECT column_name AS n, lower(data_type) AS t FROM duckdb_columns() WHERE table_name = 'supplier'), b AS (SELECT replace(column_name, 'acctbal', 'balance') AS n, CASE WHEN column_name = 's_nationkey' THEN 'varchar' ELSE lower(data_type) END AS t FROM duckdb_columns() WHERE table_name = 'supplier')
+    SELECT coalesce(a.n, b.n) AS column_name, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE replace(a.t, 'integer', 'int') || ' -> ' || replace(b.t, 'varchar', 'string') END AS change FROM a FULL JOIN b USING (n) WHERE a.t IS DISTINCT FROM b.t""",
+)
 def drift_schema(spark, sf_dir):
-    before, after = spark.range(0).selectExpr("id AS a", "1 AS b", "2 AS d").schema, spark.range(0).selectExpr("string(id) AS a", "1 AS c", "2 AS d").schema
-    return spark.createDataFrame(profiling.schema_drift(before, after), "column_name string, change string")
+    """The suppliers' schema before and after a column was renamed and another one became text."""
+    before = table(spark, sf_dir, "supplier")
+    after = before.withColumnRenamed("s_acctbal", "s_balance").withColumn("s_nationkey", F.col("s_nationkey").cast("string"))
+    return spark.createDataFrame(profiling.schema_drift(before.schema, after.schema), "column_name string, change string")
 
 
-@register("drift_volume", "SELECT 'event_type' AS column_name, true AS volume_drift, true AS null_drift UNION ALL SELECT 'event_id', true, false")
+@register(
+    "drift_volume",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, abs(b.n - a.n) > 0.5 * a.n AS volume_drift, (b.n - b.filled) / b.n > 2 * (a.n - a.filled) / a.n AND (b.n - b.filled) / b.n > 0.05 AS null_drift
+        FROM (SELECT count(*) AS n, count({c}) AS filled FROM events) a, (SELECT count(*) AS n, count({x}) AS filled FROM events WHERE event_id % 3 = 0) b""" for c, x in (("event_id", "event_id"), ("event_type", "CASE WHEN event_id % 2 = 0 THEN event_type END"))
+    ),
+)
 def drift_volume(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "event_type")
     after = events.filter("event_id % 3 = 0").withColumn("event_type", F.when(F.col("event_id") % 2 == 0, F.col("event_type")))

@@ -15,6 +15,8 @@ def shingles(text):
 
 
 def jp(x, y):
+    if set(x.values()) | set(y.values()) == {1}:
+        return len(x.keys() & y.keys()) / len(x.keys() | y.keys())
     return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in set(x) | set(y)) for i in set(x) & set(y))
 
 
@@ -81,6 +83,37 @@ def test_classes_equal_brute_force(spark):
     assert sorted((r.doc_id, r.class_id) for r in near_dedup.classes(docs).collect()) == brute(rows)
 
 
+def edited(r, words, share, vocabulary):
+    return [r.choice(vocabulary) if r.random() < share else w for w in words]
+
+
+def test_edited_copies_of_one_text(spark):
+    """A large group whose members are alike to all degrees: the classes are those of brute force over all pairs."""
+    r = random.Random(11)
+    vocabulary = ["v%x" % r.randrange(1 << 20) for _ in range(3000)]
+    base = [r.choice(vocabulary) for _ in range(80)]
+    rows = [(i, " ".join(edited(r, base, r.choice([0.004, 0.02, 0.05]), vocabulary))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((x.doc_id, x.class_id) for x in near_dedup.classes(docs).collect()) == brute(rows)
+
+
+def test_recall_of_pairs():
+    """Of pairs at 0.8 to 0.9, the share that has a band in common and passes the sketches."""
+    r, s = random.Random(2), near_dedup.Settings()
+    vocabulary, near, found = ["v%x" % r.randrange(1 << 20) for _ in range(5000)], 0, 0
+    for _ in range(700):
+        a = [r.choice(vocabulary) for _ in range(150)]
+        b = edited(r, a, 0.025, vocabulary)
+        of, sh, w = near_dedup.weighted([" ".join(a), " ".join(b)], 5)
+        if 0.8 <= jp(shingles(" ".join(a)), shingles(" ".join(b))) <= 0.9:
+            held = near_dedup.registers(of, sh, w, 2, s.registers)
+            keys = near_dedup.band_keys(held, s.places())
+            same = ((near_dedup.mixed(held[0]) ^ near_dedup.mixed(held[1])) & np.uint64(15) != 0).sum() <= s.most_different
+            near += 1
+            found += bool((keys[0] == keys[1]).any() and same)
+    assert near > 150 and found / near > 0.95, (near, found)
+
+
 def test_deduplicate_and_empty(spark):
     base = " ".join(f"w{k}" for k in range(60))
     rows = [(1, base, "x"), (2, base + " end", "y"), (3, "other text of at least five words", "z"), (None, base, "n"), (4, None, "e"), (1, base, "again")]
