@@ -182,11 +182,17 @@ def swap(spark: SparkSession, staged: str, path: str) -> None:
     at, aside = (_fs(spark, p)[1] for p in (staged, f"{path}__before"))
     fs.delete(aside, True)
     had = fs.exists(to)
+    if not fs.exists(at):
+        raise OSError(f"{staged} is not there")
     if had and not fs.rename(to, aside):
         raise OSError(f"{path} could not be moved aside")
-    if not fs.rename(at, to):
-        if had:
+    moved = False
+    try:
+        moved = fs.rename(at, to)
+    finally:
+        if not moved and had:
             fs.rename(aside, to)
+    if not moved:
         raise OSError(f"{staged} could not take the place of {path}")
     fs.delete(aside, True)
 
