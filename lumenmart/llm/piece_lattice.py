@@ -54,7 +54,7 @@ class Settings:
 
     frequent: int = 120_000
     block: int = 256
-    chunk: int = 3 << 21
+    chunk: int = 5 << 21
 
 
 @lru_cache(maxsize=2)
@@ -290,13 +290,13 @@ def edges_of(units: DataFrame, model: str, s: Settings) -> DataFrame:
     """units: name, text, times. name, times, edges: the lattice of each unit. An edge is a long: 32 bits of start, 8 of length, 24 of id; or length 0 and
     the code point of a character without a piece."""
     longest = _load(model).longest
-    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{s.block}}}"), F.lit(0))
+    is_long = F.length("text") > s.block
+    cut = F.when(is_long, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{s.block}}}"), F.lit(0)))
     part = lambda i: F.concat(F.get("cut", i), F.coalesce(F.substring(F.get("cut", i + 1), 1, longest - 1), F.lit("")))
-    blocks = F.transform(F.sequence(F.lit(0), F.size("cut") - 1), lambda i: F.struct((i * s.block).alias("base"), part(i).alias("part"), F.length(F.get("cut", i)).alias("own")))
+    parts = F.transform(F.sequence(F.lit(0), F.size("cut") - 1), lambda i: F.struct((i * s.block).alias("base"), part(i).alias("part"), F.length(F.get("cut", i)).alias("own")))
     whole = F.array(F.struct(F.lit(0).alias("base"), F.col("text").alias("part"), F.length("text").alias("own")))
-    short = units.filter(F.length("text") <= s.block).select("name", "times", F.inline(whole))
-    long = units.filter(F.length("text") > s.block).select("name", "times", cut.alias("cut")).select("name", "times", F.inline(blocks))
-    starts = short.unionByName(long).select("name", "times", "base", "part", F.explode(F.sequence(F.lit(1), "own")).alias("at"))
+    blocks = units.select("name", "times", "text", cut.alias("cut")).select("name", "times", F.inline(F.when(is_long, parts).otherwise(whole)))
+    starts = blocks.select("name", "times", "base", "part", F.explode(F.sequence(F.lit(1), "own")).alias("at"))
     reach = F.least(F.lit(longest), F.length("part") - F.col("at") + 1)
     spans = starts.select("name", "times", "base", "part", "at", F.explode(F.sequence(F.lit(1), reach)).alias("n"))
     spans = spans.select("name", "times", (F.col("base") + F.col("at") - 1).alias("start"), "n", F.col("part").substr(F.col("at"), F.col("n")).alias("piece"))
@@ -400,12 +400,12 @@ def _lexicon(units: DataFrame, model: str, s: Settings) -> DataFrame:
 def _encoded(docs: DataFrame, model: str, id_col: str, text_col: str, s: Settings, check: bool) -> DataFrame:
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     spark = texts.sparkSession
-    # Few bytes make much work here, so there are more partitions than their size asks for; grouping edges by unit needs no other.
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = kept_by(_chunks(texts, model, s).withColumn("chunk", F.monotonically_increasing_id()), "chunks", "chunk")
     each = chunks.select(F.inline(F.arrays_zip("units", "texts", "times"))).select(F.col("units").alias("name"), F.col("texts").alias("text"), "times")
-    units = each.repartition(parts, "name").groupBy("name").agg(F.max("text").alias("text"), F.sum("times").alias("times"))
-    units = units.select("name", F.coalesce("text", "name").alias("text"), "times")
+    # Grouped by name alone, so that counts combine before the shuffle and the edges of a unit are grouped where it is.
+    units = each.groupBy("name").agg(F.sum("times").alias("times"))
+    full = each.filter("text IS NOT NULL").select("name", "text").distinct()  # of long units only
+    units = units.join(full, "name", "left").select("name", F.coalesce("text", "name").alias("text"), "times")
     lexicon = _lexicon(units, model, s)
     top = lexicon.orderBy(F.desc("times"), "name").limit(s.frequent).select("name", "tokens").toArrow()
     names = spark.createDataFrame(top.select(["name"]))
