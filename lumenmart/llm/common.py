@@ -27,9 +27,16 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/lumenmart-{what}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
+#: Rows of a file of `kept` where the number of rows is known.
+FILE_ROWS = 200_000
+
+
+def kept(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: cuts lineage and survives lost executors.
+
+    rows: about how many come, for tables of narrow rows that little work makes: they are written in as many files as they fill, not in one a partition."""
     path = scratch(df.sparkSession, what)
+    df = df if rows is None else df.coalesce(1 + rows // FILE_ROWS)
     df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.kept_at = path

@@ -7,10 +7,10 @@ registers' (early termination). Two texts agree in a register with the probabili
 J_P = sum over common i of 1 / sum over j of max(x_j / x_i, y_j / y_i), which for shingles that occur once is plain Jaccard.
 
 The registers are shuffled in several fixed ways and each order is cut into bands of `rows` registers; texts that share a band are candidates.
-The join that brings candidates together also compares their registers (four bits of each): where these agree so seldom that a J_P of the
+The join that brings candidates together also compares their registers (a byte of each): where these agree so seldom that a J_P of the
 threshold is four standard errors away, no row is made. All others are verified by their exact J_P. Texts with the same weighted
 set are one node from the start, so groups of exact copies are never paired. Nor are the members of a band's bucket: in the
-first rounds one member of the bucket's largest component is compared with the members outside it, another one each time. Then a growing share
+first round one member of the bucket's largest component is compared with the members outside it. Then a growing share
 of the members, up to all, are compared with those of other components. A bucket that one component holds is left alone from then on, so
 only groups whose members are not linked are compared one by one. Buckets
 are joined and combined by plain equi-joins and aggregations, links stay in tables, and classes are the connected components of
@@ -54,13 +54,13 @@ class Settings:
     bands: int = 64
     rows: int = 14
     first_bands: int = 6
-    easy_rounds: int = 2
+    easy_rounds: int = 1
     shares: tuple[float, ...] = (1 / 64, 1 / 8, 1 / 2, 1.0)
 
     @property
     def most_different(self) -> int:
-        """Registers (four bits of each) that may differ: four standard errors more than the threshold leads to expect."""
-        expected = self.threshold + (1 - self.threshold) / 16
+        """Registers (a byte of each) that may differ: four standard errors more than the threshold leads to expect."""
+        expected = self.threshold + (1 - self.threshold) / 256
         return int((1 - expected) * self.registers + 4 * (expected * (1 - expected) * self.registers) ** 0.5)
 
     def places(self) -> np.ndarray:
@@ -185,9 +185,9 @@ def band_keys(held: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def sketch(held: np.ndarray) -> np.ndarray:
-    """Four bits of each register, sixteen registers in a 64-bit number."""
-    bits = (mixed(held) & np.uint64(15)).reshape(len(held), -1, 16)
-    return np.bitwise_or.reduce(bits << np.arange(0, 64, 4, dtype=np.uint64), axis=2)
+    """A byte of each register, eight registers in a 64-bit number."""
+    bits = (mixed(held) & np.uint64(255)).reshape(len(held), -1, 8)
+    return np.bitwise_or.reduce(bits << np.arange(0, 64, 8, dtype=np.uint64), axis=2)
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -207,7 +207,7 @@ def _slices(of: np.ndarray, n: int) -> np.ndarray:
 
 
 def mark(docs: DataFrame, s: Settings) -> DataFrame:
-    """docs: id, content, text. Gives id, content, node (hash of the weighted set; of the id where there is none), keys (of bands), registers (four bits of each)."""
+    """docs: id, content, text. Gives id, content, node (hash of the weighted set; of the id where there is none), keys (of bands), registers (a byte of each)."""
     places = s.places()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,10 +266,12 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, least
 def likely(x: Column, y: Column, s: Settings) -> Column:
     """Whether two sketches differ in few enough registers for the threshold."""
     different = F.lit(0)
-    for k in range(s.registers // 16):
+    # Every other byte in 16 bits of its own: adding 255 carries to its ninth bit exactly where it is not 0.
+    bytes_, carry = F.lit(0x00FF00FF00FF00FF), F.lit(0x0100010001000100)
+    for k in range(s.registers // 8):
         d = F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))
-        half = d.bitwiseOR(F.shiftrightunsigned(d, 2))
-        different += F.bit_count(half.bitwiseOR(F.shiftrightunsigned(half, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+        for half in (d, F.shiftrightunsigned(d, 8)):
+            different += F.bit_count((half.bitwiseAND(bytes_) + bytes_).bitwiseAND(carry))
     return different <= s.most_different
 
 
@@ -325,19 +327,20 @@ def _full_round(at: DataFrame, s: Settings, low: float, high: float) -> DataFram
 
 def _roots(banded: DataFrame, sketches: DataFrame, shingles: DataFrame, s: Settings) -> DataFrame:
     """node, root of nodes that share a band. banded: key, band, node, of buckets with two nodes at least. A round's tables go when it ends."""
-    roots = kept(banded.select("node").distinct().select("node", F.col("node").alias("root")), "roots")
+    n = sketches.count()
+    roots = kept(banded.select("node").distinct().select("node", F.col("node").alias("root")), "roots", n)
     for k in range(s.easy_rounds + len(s.shares)):
         members = banded.filter(F.col("band") < s.first_bands) if k == 0 else banded
         at, most = _open_buckets(members.select("key", "node"), roots, sketches)
         pairs = _easy_round(at, most, s, k) if k < s.easy_rounds else _full_round(at, s, *((0.0, *s.shares)[k - s.easy_rounds :][:2]))
         links = kept(verify(pairs, shingles, s.threshold), "links")
         release(at)
-        if not links.isEmpty():
+        if found := links.count():
             of = roots.withColumnRenamed("root", "r")
             edges = links.join(of.select(F.col("node").alias("a"), F.col("r").alias("ra")), "a").join(of.select(F.col("node").alias("b"), F.col("r").alias("rb")), "b")
-            named = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+            named = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")), found)
             new = named.select(F.col("node").alias("old"), F.col("root").alias("new"))
-            old, roots = roots, kept(roots.join(new, roots["root"] == new["old"], "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
+            old, roots = roots, kept(roots.join(new, roots["root"] == new["old"], "left").select("node", F.coalesce("new", "root").alias("root")), "roots", n)
             release(old, named)
         release(links)
     return roots

@@ -108,7 +108,7 @@ def test_recall_of_pairs():
         if 0.8 <= jp(shingles(" ".join(a)), shingles(" ".join(b))) <= 0.9:
             held = near_dedup.registers(of, sh, w, 2, s.registers)
             keys = near_dedup.band_keys(held, s.places())
-            same = ((near_dedup.mixed(held[0]) ^ near_dedup.mixed(held[1])) & np.uint64(15) != 0).sum() <= s.most_different
+            same = ((near_dedup.mixed(held[0]) ^ near_dedup.mixed(held[1])) & np.uint64(255) != 0).sum() <= s.most_different
             near += 1
             found += bool((keys[0] == keys[1]).any() and same)
     assert near > 150 and found / near > 0.95, (near, found)
