@@ -10,7 +10,7 @@ The registers are shuffled in several fixed ways and each order is cut into band
 The join that brings candidates together also compares their registers (a byte of each): where these agree so seldom that a J_P of the
 threshold is four standard errors away, no row is made. All others are verified by their exact J_P. Texts with the same weighted
 set are one node from the start, so groups of exact copies are never paired. Nor are the members of a band's bucket: in the
-first round one member of the bucket's largest component is compared with the members outside it. Then a growing share
+first rounds one member of the bucket's largest component is compared with the members outside it, another one each time. Then a growing share
 of the members, up to all, are compared with those of other components. A bucket that one component holds is left alone from then on, so
 only groups whose members are not linked are compared one by one. Buckets
 are joined and combined by plain equi-joins and aggregations, links stay in tables, and classes are the connected components of
@@ -54,7 +54,7 @@ class Settings:
     bands: int = 64
     rows: int = 14
     first_bands: int = 6
-    easy_rounds: int = 1
+    easy_rounds: int = 4
     shares: tuple[float, ...] = (1 / 64, 1 / 8, 1 / 2, 1.0)
 
     @property
