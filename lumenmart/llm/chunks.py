@@ -10,9 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Columns id and text of the batches, in pieces of about `size` bytes of text (a longer text goes alone); a null text is empty."""
-    ids, texts, have = [], [], 0
+def chunks(batches: Iterator[pa.RecordBatch], size: int, rows: int = 1 << 16) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Columns id and text of the batches, in pieces of about `size` bytes of text (a longer text goes alone) and up to `rows` texts; a null text is empty."""
+    ids, texts, have, many = [], [], 0, 0
     joined = lambda parts: pa.chunked_array(parts).combine_chunks()
     for b in batches:
         text = pc.fill_null(b.column(1), "")
@@ -20,12 +20,12 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Ar
         ends = np.cumsum(lengths)
         while a < b.num_rows:
             before = ends[a] - lengths[a]
-            z = min(b.num_rows, max(a + 1, int(np.searchsorted(ends, before + size - have, side="right"))))
+            z = min(b.num_rows, a + rows - many, max(a + 1, int(np.searchsorted(ends, before + size - have, side="right"))))
             ids.append(b.column(0).slice(a, z - a)), texts.append(text.slice(a, z - a))
-            have, a = have + int(ends[z - 1] - before), z
-            if have >= size or a < b.num_rows:
+            have, many, a = have + int(ends[z - 1] - before), many + z - a, z
+            if have >= size or many == rows or a < b.num_rows:
                 yield joined(ids), joined(texts)
-                ids, texts, have = [], [], 0
+                ids, texts, have, many = [], [], 0, 0
     if ids:
         yield joined(ids), joined(texts)
 
@@ -49,7 +49,7 @@ def grouped_sum(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class Spaced:
     """Texts cut at their spaces: `codes` of words (what stands between two spaces), `words` that the codes stand for, `ends` of the texts among the codes.
 
-    `odd` marks texts that are not safely cut so: those where a space comes before white space or at the end. Tokenizers that tie one space to the word
+    `leading` marks texts whose first word is empty or begins with white space. `odd` marks texts that are not safely cut so: those where a space comes before white space or at the end. Tokenizers that tie one space to the word
     behind it encode all others word by word. A text's first word has no space before it."""
 
     def __init__(self, texts: pa.Array):
@@ -61,6 +61,7 @@ class Spaced:
         self.first = self.ends[:-1]  # a split text has a word at least
         odd = np.array([not w or w[0].isspace() for w in self.words], bool)
         bad = odd[self.codes] if len(self.codes) else np.empty(0, bool)
+        self.leading = bad[self.first]
         bad[self.first] = False
         self.odd = grouped_sum(bad, self.ends) > 0
         #: words, with another in place of those that only odd texts hold behind a space.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lumenmart.llm import decontaminate, exact_dedup, html_text, language_id, near_dedup, packing, piece_lattice, sharding, substring_dedup, token_files, url_filter
+from lumenmart.llm import alignment, decontaminate, exact_dedup, html_text, importance, language_id, near_dedup, packing, piece_lattice, sharding, substring_dedup, token_files, url_filter
 from lumenmart.llm.common import table
 
 
@@ -61,6 +61,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup, "op2_language_id": op2_language_id, "op3_token_files": op3_token_files, "op4_sentencepiece": op4_sentencepiece, "op5_near_dedup": op5_near_dedup, "op6_url_filter": op6_url_filter,
         "op7_html_extraction": op7_html_extraction, "op8_decontamination": op8_decontamination, "op9_sharding": op9_sharding,
-        "op10_substring_dedup": op10_substring_dedup, "op13_packing": op13_packing, "pipeline": corpus_pipeline.run,
+        "op10_substring_dedup": op10_substring_dedup, "op11_importance_resampling": op11_importance_resampling, "op12_alignment": op12_alignment, "op13_packing": op13_packing, "pipeline": corpus_pipeline.run,
     }
 
 
