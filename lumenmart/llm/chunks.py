@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,6 +45,10 @@ def grouped_sum(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
+#: Nothing, or white space first: what str.isspace says of one character.
+BLANK = r"^(?:[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|$)"
+
+
 class Spaced:
     """Texts cut at their spaces: `codes` of words (what stands between two spaces), `words` that the codes stand for, `ends` of the texts among the codes.
 
@@ -56,41 +59,42 @@ class Spaced:
         split = pc.split_pattern(texts, " ")
         coded = split.flatten().dictionary_encode()
         self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.words = coded.dictionary.to_pylist()
+        self.words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.ends = places(pc.list_value_length(split).to_numpy(zero_copy_only=False))
         self.first = self.ends[:-1]  # a split text has a word at least
-        odd = np.array([not w or w[0].isspace() for w in self.words], bool)
+        odd = pc.match_substring_regex(coded.dictionary, BLANK).to_numpy(zero_copy_only=False)
         bad = odd[self.codes] if len(self.codes) else np.empty(0, bool)
         self.leading = bad[self.first]
         bad[self.first] = False
         self.odd = grouped_sum(bad, self.ends) > 0
         #: words, with another in place of those that only odd texts hold behind a space.
-        self.plain = ["-" if o else w for o, w in zip(odd.tolist(), self.words, strict=True)]
+        self.plain = self.words.copy()
+        for k in np.flatnonzero(odd).tolist():
+            self.plain[k] = "-"
 
 
 class Remembered:
-    """Values of words by `learn` (words -> values), remembered for up to `most` words; an unseen word beyond that starts a new memory."""
+    """Values of words by `learn` (words -> values), remembered in two generations of up to `most` words: when the young one is full it takes the old one's
+    place, and words of the old one that come again move to the young one."""
 
-    def __init__(self, learn: Callable[[list[str]], list], most: int = 800_000, longest: int = 64):
-        self.learn, self.most, self.longest, self.known = learn, most, longest, {}
+    def __init__(self, learn: Callable[[list[str]], list], most: int = 400_000, longest: int = 64):
+        self.learn, self.most, self.longest, self.young, self.old = learn, most, longest, {}, {}
 
     def of(self, words: list[str]) -> list:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = words
-        fresh = dict(zip(new, self.learn(new), strict=True)) if new else {}
-        known = self.known
-        known.update((w, v) for w, v in fresh.items() if len(w) <= self.longest)
-        return [known[w] if w in known else fresh[w] for w in words]
-
-    def all(self, words) -> dict:
-        words = list(words)
-        return dict(zip(words, self.of(words), strict=True))
-
-
-#: Letters before these signs are words of their own to the tokenizer (ASCII and Latin letters, on whose kind all libraries agree).
-STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]+)")
+        values = list(map(self.young.get, words))
+        missing = [k for k, v in enumerate(values) if v is None]
+        if not missing:
+            return values
+        again = list(map(self.old.get, [words[k] for k in missing]))
+        new = [k for k, v in zip(missing, again, strict=True) if v is None]
+        for k, v in zip(missing, again, strict=True):
+            values[k] = v
+        for k, v in zip(new, self.learn([words[k] for k in new]) if new else [], strict=True):
+            values[k] = v
+        if len(self.young) + len(missing) > self.most:
+            self.old, self.young = self.young, {}
+        self.young.update([(w, values[k]) for k in missing if len(w := words[k]) <= self.longest])
+        return values
 
 
 class SpacedIds:
@@ -98,7 +102,7 @@ class SpacedIds:
 
     SEPARATE = 2000
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -108,7 +112,7 @@ class SpacedIds:
         self.kind = np.dtype("<u2" if self.width <= 1 << 16 else "<u4")
         self.opens = np.zeros(self.width, bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-        self.words, self.stems, self.signs = Remembered(self._new, most), Remembered(self._spaced, most), Remembered(self.raw, 10_000)
+        self.known = Remembered(self._spaced, most)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """Ids of texts as they stand."""
@@ -128,12 +132,5 @@ class SpacedIds:
                 out += self.raw([" " + w for w in some])
         return out
 
-    def _new(self, words: list[str]) -> list[bytes]:
-        found = [STEM.fullmatch(w) for w in words]
-        stems = [m[1] if m else w for m, w in zip(found, words, strict=True)]
-        ids = self.stems.all(dict.fromkeys(stems))
-        signs = self.signs.all(dict.fromkeys(m[2] for m in found if m))
-        return [ids[s] + signs[m[2]] if m else ids[s] for s, m in zip(stems, found, strict=True)]
-
     def of(self, words: list[str]) -> list[bytes]:
-        return self.words.of(words)
+        return self.known.of(words)
