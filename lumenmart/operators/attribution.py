@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenmart.operators import temporal
+
 
 def run_windows(anchors: DataFrame, run: str, started: str, finished: str) -> DataFrame:
     """run, window_start, window_end: from the first start to the last finish; runs that lack either are left out."""
@@ -16,8 +18,7 @@ def run_windows(anchors: DataFrame, run: str, started: str, finished: str) -> Da
 
 def usage_in_windows(usage: DataFrame, windows: DataFrame, by: Sequence[str], at: str, amounts: Sequence[str]) -> DataFrame:
     """Sums of amounts of the rows whose time lies in the window with the same `by`; times that don't read as one can't be placed and don't count."""
-    rows = usage.withColumn("_at", F.col(at).try_cast("timestamp_ntz"))
-    within = rows.join(windows, list(by)).filter(F.col("_at").between(F.col("window_start"), F.col("window_end")))
+    within = temporal.within(usage, windows, by, F.col(at).try_cast("timestamp_ntz"), "window_start", "window_end")
     return within.groupBy(*by).agg(*[F.sum(a).alias(a) for a in amounts], F.count(F.lit(1)).alias("turns"))
 
 
@@ -25,7 +26,7 @@ def shares_of_cost(queries: DataFrame, usage: DataFrame, prices: DataFrame, run:
     """What a run cost on each warehouse: the warehouse's cost while the run went on, by the run's share of the time of all queries then.
 
     queries: warehouse, run, start_time, end_time, duration. usage: warehouse, sku, unit, quantity, usage_start, usage_end. prices: sku, unit, price,
-    price_start, price_end (null: still). The run's windows are a row for each warehouse; usage meets prices by sku and unit, then by time."""
+    price_start, price_end (null: still). The run's windows are a row for each warehouse; usage meets the prices of its sku, unit and day."""
     mine = queries.filter(F.col("run") == F.lit(run)).groupBy("warehouse").agg(
         F.count(F.lit(1)).alias("query_count"), F.sum("duration").alias("run_duration"), F.min("start_time").alias("window_start"), F.max("end_time").alias("window_end")
     )
@@ -33,8 +34,8 @@ def shares_of_cost(queries: DataFrame, usage: DataFrame, prices: DataFrame, run:
     others = queries.join(window, "warehouse").filter((F.col("start_time") >= F.col("window_start")) & (F.col("end_time") <= F.col("window_end")))
     whole = others.groupBy("warehouse").agg(F.sum("duration").alias("warehouse_duration"))
     used = usage.join(window, "warehouse").filter((F.col("usage_end") > F.col("window_start")) & (F.col("usage_start") < F.col("window_end")))
-    in_effect = (F.col("usage_start") >= F.col("price_start")) & (F.col("price_end").isNull() | (F.col("usage_start") < F.col("price_end")))
-    cost = used.join(prices, ["sku", "unit"]).filter(in_effect).groupBy("warehouse").agg(F.sum("quantity").alias("units"), F.sum(F.col("quantity") * F.col("price")).alias("cost"))
+    priced = temporal.within(used, prices, ["sku", "unit"], F.col("usage_start"), "price_start", "price_end", closed=False)
+    cost = priced.groupBy("warehouse").agg(F.sum("quantity").alias("units"), F.sum(F.col("quantity") * F.col("price")).alias("cost"))
     out = mine.join(whole, "warehouse", "left").join(cost, "warehouse", "left")
     share = F.try_divide("run_duration", F.nullif("warehouse_duration", F.lit(0)))
     return out.select("warehouse", "query_count", "run_duration", "warehouse_duration", F.round("units", 4).alias("units"), F.round("cost", 4).alias("cost"), F.round(F.col("cost") * share, 4).alias("run_cost"))

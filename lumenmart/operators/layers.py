@@ -1,7 +1,6 @@
 """Bronze, silver and gold: provenance, cleaning contracts, upserts, history, increments and assertions.
 
-Tables are Parquet directories. A changed table is written beside the old one and takes its place when complete: a path that is read
-is never overwritten.
+Tables are Parquet directories. A changed table is a new version (`sources.versions`): what is read is never overwritten.
 """
 
 from __future__ import annotations
@@ -14,9 +13,11 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenmart.functions import columns as c
 from lumenmart.plans.names import safe_expr
+from lumenmart.sources.versions import Rejected, Versions
 
 
 def with_provenance(df: DataFrame, system: str, loaded_at: str) -> DataFrame:
@@ -60,27 +61,39 @@ def clean(df: DataFrame, contract: Contract) -> DataFrame:
     if needed := [f.name for f in contract.fields if f.nulls == "drop"]:
         out = out.dropna(subset=needed)
     out = out.withColumns({n: safe_expr(e) for n, e in contract.derived.items()})
-    if contract.latest:  # the greatest row of each key, combined before the shuffle
-        rest = [c for c in out.columns if c not in contract.keys]
-        out = out.groupBy(*contract.keys).agg(F.max_by(F.struct(*rest), F.struct(*contract.latest)).alias("_r")).select(*contract.keys, "_r.*").select(*out.columns)
-    return out
+    return one_a_key(out, contract.keys, contract.latest) if contract.keys else out
+
 
+def one_a_key(df: DataFrame, keys: Sequence[str], latest: Sequence[str] = ()) -> DataFrame:
+    """The greatest row of each key (null keys are one) by `latest`, null before all else, then by its other columns, so that ties don't depend on partitions; combined
+    before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    order = F.struct(*latest, *[F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)) else F.col(f"`{c}`") for c in rest])
+    whole = F.struct(*[F.col(f"`{c}`") for c in rest])
+    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.max_by(whole, order).alias("_r")).select(*keys, "_r.*").select(*[F.col(f"`{c}`") for c in df.columns])
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str], full_refresh: bool = False) -> DataFrame:
-    """Rows of source take the place of target's rows with their keys (null keys match each other); or of all of them."""
+
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], full_refresh: bool = False, latest: Sequence[str] = ()) -> DataFrame:
+    """Rows of source take the place of target's rows with their keys (null keys match each other); or of all of them. Of several source rows of a key the
+    greatest by `latest`, then by its other columns, stands for it."""
+    source = one_a_key(source, keys, latest)
     if full_refresh:
         return source
     same = None
-    renamed = source.select(*[F.col(k).alias(f"_s_{k}") for k in keys]).distinct()
+    renamed = source.select(*[F.col(k).alias(f"_s_{k}") for k in keys])
     for k in keys:
         test = target[k].eqNullSafe(renamed[f"_s_{k}"])
         same = test if same is None else same & test
     return target.join(renamed, same, "left_anti").unionByName(source)
 
 
-def history(current: DataFrame, source: DataFrame, key: str, tracked: list[str], at: str) -> DataFrame:
-    """Type 2 history: changed rows are closed at `at` and opened anew; equal rows stay, so a second run changes nothing. Null keys match each other."""
+def history(current: DataFrame, source: DataFrame, key: str, tracked: list[str], at: str, latest: Sequence[str] = ()) -> DataFrame:
+    """Type 2 history: changed rows are closed at `at` and opened anew; equal rows stay, so a second run changes nothing. Null keys match each other. Of several
+    source rows of a key one counts, as in `upsert`, so a key has one open row."""
     now = F.lit(at).cast("date")
+    source = one_a_key(source.select(*dict.fromkeys([key, *tracked, *latest])), [key], latest).select(key, *tracked)
     new = source.select(F.lit(True).alias("_there"), F.col(key).alias("_k"), *[F.col(t).alias(f"_n_{t}") for t in tracked])
     both = current.filter("valid_to IS NULL").join(new, F.col(key).eqNullSafe(F.col("_k")), "left")
     changed = F.col("_there").isNotNull() & ~c.all_of([F.col(t).eqNullSafe(F.col(f"_n_{t}")) for t in tracked])
@@ -127,14 +140,11 @@ def backfill(target: DataFrame, source: DataFrame, event: str, first: str, last:
     return target.filter(~F.coalesce(inside, F.lit(False))).unionByName(source.filter(inside))
 
 
-def append_once(df: DataFrame, path: str, marks: str, job: str) -> bool:
-    """Appends df to path, unless a marker says that the job has done so; then nothing happens and the result is False."""
-    spark = df.sparkSession
-    if exists(spark, marks) and not spark.read.parquet(marks).filter(F.col("job") == job).isEmpty():
-        return False
-    df.write.mode("append").option("compression", "zstd").parquet(path)
-    spark.createDataFrame([(job, path)], "job string, path string").write.mode("append").parquet(marks)
-    return True
+def append_once(df: DataFrame, path: str, job: str) -> bool:
+    """Appends df to the table below path, unless the job has done so; then nothing happens and the result is False. Rows and mark are one version."""
+    table = Versions(df.sparkSession, path)
+    before = table.state()
+    return job not in before["marks"] and table.append({"data": df}, mark=(job, 0)) > before["version"]
 
 
 def pull(target: DataFrame | None, since: Callable[[object], DataFrame], keys: list[str], mark: str) -> DataFrame:
@@ -176,49 +186,27 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
-def swap(spark: SparkSession, staged: str, path: str) -> None:
-    """What is staged takes path's place. The old table is moved aside first and comes back if the new one can't be moved; readers find one or the other."""
-    fs, to = _fs(spark, path)
-    at, aside = (_fs(spark, p)[1] for p in (staged, f"{path}__before"))
-    fs.delete(aside, True)
-    had = fs.exists(to)
-    if not fs.exists(at):
-        raise OSError(f"{staged} is not there")
-    if had and not fs.rename(to, aside):
-        raise OSError(f"{path} could not be moved aside")
-    moved = False
-    try:
-        moved = fs.rename(at, to)
-    finally:
-        if not moved and had:
-            fs.rename(aside, to)
-    if not moved:
-        raise OSError(f"{staged} could not take the place of {path}")
-    fs.delete(aside, True)
-
-
 def publish(df: DataFrame, path: str, checks: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> int:
-    """Write, audit, publish: df goes beside path and is read back; where none of its checks finds a row, it takes path's place. Returns failing rows."""
-    spark, staged = df.sparkSession, f"{path}__staged"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(staged)
-    written = spark.read.schema(df.schema).parquet(staged)
-    failing = sum(check(written).count() for check in checks)
-    if failing == 0:
-        swap(spark, staged, path)
-    return failing
+    """Write, audit, publish: df is written and read back; where none of its checks finds a row, it is the table's next version. Returns failing rows."""
+    table = Versions(df.sparkSession, path)
+    try:
+        table.replace({"data": df}, table.state()["version"], checks=checks)
+    except Rejected as e:
+        return e.rows
+    return 0
 
 
-def compact(spark: SparkSession, path: str, target_bytes: int = 256 << 20) -> int:
-    """The table rewritten in files of about target_bytes; returns their number. Rows are moved without a shuffle by key."""
-    held = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).agg(F.sum("length")).first()[0] or 0
-    files = max(1, -(-int(held) // target_bytes))
-    publish(spark.read.parquet(path).coalesce(files), path)
-    return files
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the newest version."""
+    return Versions(spark, path).read()
 
 
 def put(spark: SparkSession, path: str, rows: DataFrame, keys: list[str]) -> None:
-    """Documents in a table of documents, by their keys: those with the same keys are replaced."""
-    publish(upsert(spark.read.parquet(path), rows, keys) if exists(spark, path) else rows, path)
+    """Documents in a table of documents, by their keys: those with the same keys are replaced. Refused (versions.Conflict) if another writer comes between."""
+    table = Versions(spark, path)
+    base = table.state()["version"]
+    held = table.read(version=base) if base >= 0 else None
+    table.replace({"data": rows if held is None else upsert(held, rows, keys)}, base)
 
 
 # Assertions: the rows that fail

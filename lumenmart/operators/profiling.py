@@ -28,11 +28,12 @@ def leaves(schema: T.StructType, before: str = "", depth: int = 8) -> list[tuple
 def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
     """column_name, rows, nulls, distinct_values, least, greatest (as text) of each column: one pass."""
     columns = columns or [n for n, _ in leaves(df.schema) if not n.endswith("[]")]
+    at = lambda n: F.col(f"`{n}`" if n in df.columns else n)  # noqa: E731  a name with a dot, or the path of a leaf
     count = F.count_distinct if exact else F.approx_count_distinct  # exact: each row is read once more for each column; not for wide tables
     stats = [
         F.struct(
-            F.lit(n).alias("column_name"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(n).isNull()).alias("nulls"), count(F.col(n)).alias("distinct_values"),
-            F.min(n).cast("string").alias("least"), F.max(n).cast("string").alias("greatest"),
+            F.lit(n).alias("column_name"), F.count(F.lit(1)).alias("rows"), F.count_if(at(n).isNull()).alias("nulls"), count(at(n)).alias("distinct_values"),
+            F.min(at(n)).cast("string").alias("least"), F.max(at(n)).cast("string").alias("greatest"),
         ) for n in columns
     ]
     return df.agg(F.array(*stats).alias("p")).select(F.inline("p"))
@@ -75,16 +76,21 @@ def volume_drift(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def anomalies(points: DataFrame, series: str, order: str, value: str, limit: float = 3.0, least: int = 4) -> DataFrame:
-    """Of each series the last point, its median and median absolute deviation (MAD) before, and whether it lies over `limit` MADs off."""
-    nth = F.row_number().over(Window.partitionBy(series).orderBy(F.desc(order)))
-    ranked = points.select(series, F.col(value).alias("v"), nth.alias("nth"))
-    last = ranked.filter("nth = 1").select(series, F.col("v").alias("last"))
-    past = ranked.filter("nth > 1")
-    mid = past.groupBy(series).agg(F.median("v").alias("mid"), F.count(F.lit(1)).alias("n"))
-    mad = past.join(mid, series).groupBy(series).agg(F.median(F.abs(F.col("v") - F.col("mid"))).alias("mad"))
+    """Of each series (null is one) the last point, its median and median absolute deviation (MAD) before, and whether it lies over `limit` MADs off.
+
+    Points are results, a few for each period: a series is one array, and nothing is joined."""
+    groups = points.groupBy(series).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("p"))
+    past = F.filter(F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: x["v"]), lambda v: v.isNotNull())
+
+    def median(values):
+        ordered, half = F.array_sort(values), F.floor(F.size(values) / 2).cast("int")
+        return F.when(F.size(values) % 2 == 1, F.get(ordered, half)).otherwise((F.get(ordered, half - 1) + F.get(ordered, half)) / 2)
+
+    rows = groups.filter("size(p) > 1").select(series, F.element_at("p", -1)["v"].alias("last"), past.alias("past")).withColumn("mid", median(F.col("past")))
+    rows = rows.withColumn("mad", median(F.transform("past", lambda v: F.abs(v - F.col("mid")))))
     off = F.abs(F.col("last") - F.col("mid"))
-    flagged = (F.col("n") >= least) & F.when(F.col("mad") == 0, off > 0).otherwise(off > limit * F.col("mad"))
-    return last.join(mid, series).join(mad, series).select(series, F.round("last", 2).alias("last"), F.round("mid", 2).alias("median"), F.round("mad", 2).alias("mad"), flagged.alias("flagged"))
+    flagged = (F.size("past") >= least) & F.when(F.col("mad") == 0, off > 0).otherwise(off > limit * F.col("mad"))
+    return rows.select(series, F.round("last", 2).alias("last"), F.round("mid", 2).alias("median"), F.round("mad", 2).alias("mad"), flagged.alias("flagged"))
 
 
 def stratified(df: DataFrame, stratum: str, key: str, fraction: float, least: int = 1, seed: int = 42) -> DataFrame:
@@ -104,12 +110,24 @@ def total_variation(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return both.agg(F.round(F.sum(F.abs(F.coalesce("p", F.lit(0)) - F.coalesce("q", F.lit(0)))) / 2, 6).alias("distance"))
 
 
+def explained(df: DataFrame, dimension: str, measure: str) -> DataFrame:
+    """One row, `share`: how much of the measure's variance the groups of a dimension explain; rows that lack either don't count.
+
+    Groups are counts, means and centred sums of squares, which Spark merges pairwise; no square of a value is summed, so a large mean costs no digits."""
+    y = F.col(measure).cast("double")
+    some = df.filter(F.col(dimension).isNotNull() & y.isNotNull())
+    groups = some.groupBy(dimension).agg(F.count(y).alias("n"), F.avg(y).alias("mean"), (F.var_pop(y) * F.count(y)).alias("within"))
+    # One row: means are centred on one of them before they are weighed.
+    whole = groups.agg(F.max("mean").alias("origin"))
+    moved = groups.join(F.broadcast(whole)).select("n", "within", (F.col("mean") - F.col("origin")).alias("d"))
+    total = moved.agg(F.sum("n").alias("n"), F.sum("within").alias("within"), F.sum(F.col("n") * F.col("d")).alias("s"), F.sum(F.col("n") * F.col("d") * F.col("d")).alias("ss"))
+    between = F.greatest(F.lit(0.0), F.col("ss") - F.try_divide(F.col("s") * F.col("s"), "n"))
+    return total.select(F.try_divide(between, between + F.col("within")).alias("share"))
+
+
 def eta_squared(df: DataFrame, dimension: str, measure: str) -> DataFrame:
-    """Share of the measure's variance that the dimension explains: sums by group, then over groups."""
-    groups = df.groupBy(dimension).agg(F.count(measure).alias("n"), F.sum(measure).alias("s"), F.sum(F.col(measure) * F.col(measure)).alias("ss"))
-    total = groups.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"))
-    centre = F.col("s") * F.col("s") / F.col("n")
-    return total.select(F.round(F.try_divide(F.col("between") - centre, F.col("ss") - centre), 4).alias("eta_squared"))
+    """`explained`, to 4 places."""
+    return explained(df, dimension, measure).select(F.round("share", 4).alias("eta_squared"))
 
 
 def concentration(df: DataFrame, dimension: str, measure: str) -> DataFrame:

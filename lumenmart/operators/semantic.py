@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenmart.operators import profiling
 from lumenmart.operators.kpi import Ambiguous, roll_up, slicer
 from lumenmart.plans.names import find, label, sensitive
 
@@ -196,14 +197,12 @@ def rank_dimensions(frame: DataFrame, dims: Sequence[str], measure: str | None,
         if values <= 1 or values > most:
             continue
         y = F.col(measure) if measure else F.lit(1)
-        groups = frame.groupBy(d).agg(F.count(y).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss"))
         if share or measure is None:
+            groups = frame.groupBy(d).agg(F.sum(y).alias("s"))
             p = groups.filter("s > 0").select((F.col("s") / F.sum("s").over(Window.partitionBy())).alias("p"))
             base = p.agg((1 + F.try_divide(F.sum(F.col("p") * F.ln("p")), F.ln(F.count(F.lit(1))))).alias("base"))
         else:
-            total = groups.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.try_divide(F.col("s") * F.col("s"), "n")).alias("between"))
-            centre = F.col("s") * F.col("s") / F.col("n")
-            base = total.select(F.try_divide(F.col("between") - centre, F.col("ss") - centre).alias("base"))
+            base = profiling.explained(frame, d, measure).select(F.col("share").alias("base"))
         scale = (1 - nulls / max(n, 1)) * min(1.0, ideal / values)
         one = base.select(F.lit(d).alias("dimension"), F.round(F.greatest(F.lit(0.0), F.coalesce("base", F.lit(0.0))) * scale, 4).alias("score"), F.lit(place).alias("place"))
         out = one if out is None else out.unionByName(one)

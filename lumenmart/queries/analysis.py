@@ -271,7 +271,7 @@ def stream_upsert_latest(spark, sf_dir):
     for k in (2, 0, 1):
         events.filter(F.pmod(F.floor(F.col("event_id") / 100), F.lit(3)) == k).write.mode("append").parquet(f"{base}/in")
     streams.upsert_batches(streams.files(spark, f"{base}/in", events.schema, per_batch=2), f"{base}/state", ["user_id"], "event_id", f"{base}/checkpoint")
-    return spark.read.parquet(streams.current(spark, f"{base}/state"))
+    return streams.upserted(spark, f"{base}/state")
 
 
 @register("stream_event_time_windows", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

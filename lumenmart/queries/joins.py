@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lumenmart.functions import columns as c
+from lumenmart.operators import temporal
 from lumenmart.plans import joins
 from lumenmart.registry import register, table
 
@@ -98,15 +99,24 @@ def recurrence(spark, sf_dir):
     SELECT e.event_id, p.price_id FROM events e JOIN price p ON e.user_id = p.user_id AND e.ts >= p.since AND e.ts < p.until WHERE e.event_type = 'purchase'""",
 )
 def value_in_effect(spark, sf_dir):
-    from pyspark.sql import Window
-
+    """Purchases with the user's last sign-up before them."""
     events = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    price = events.filter("event_type = 'signup'").select(
-        "user_id", F.col("ts").alias("since"), F.coalesce(F.lead("ts").over(w), F.lit("9999-01-01").cast("timestamp_ntz")).alias("until"), F.col("event_id").alias("price_id"),
-    )
+    price = events.filter("event_type = 'signup'").select("user_id", F.col("ts").alias("since"), F.col("event_id").alias("price_id"))
     bought = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    return bought.join(price, (bought["user_id"] == price["user_id"]) & (bought["ts"] >= price["since"]) & (bought["ts"] < price["until"])).select("event_id", "price_id")
+    return temporal.as_of(bought, price, ["user_id"], "ts", "since", ["price_id"], tie=["price_id"], inner=True).select("event_id", "price_id")
+
+
+@register(
+    "join_within_overlapping",
+    """WITH w AS (SELECT user_id, event_id AS w, ts AS a, ts + INTERVAL 36 HOUR AS b FROM events WHERE event_type = 'error')
+    SELECT w, count(*) AS n, round(sum(value), 2) AS total FROM events e JOIN w ON e.user_id = w.user_id AND e.ts BETWEEN a AND b GROUP BY w""",
+)
+def within_overlapping(spark, sf_dir):
+    """What each user did in the 36 hours after each of their errors; these windows overlap."""
+    events = table(spark, sf_dir, "events")
+    windows = events.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("w"), F.col("ts").alias("a"), F.expr("ts + INTERVAL 36 HOURS").alias("b"))
+    found = temporal.within(events.select("user_id", "ts", "value"), windows, ["user_id"], F.col("ts"), "a", "b")
+    return found.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @register(

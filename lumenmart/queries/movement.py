@@ -8,6 +8,7 @@ from lumenmart.operators import layers
 from lumenmart.queries.analysis import _fresh
 from lumenmart.registry import register, table
 from lumenmart.sources import files
+from lumenmart.sources.versions import Versions
 from lumenmart.streaming import streams
 
 DAILY = "SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM {} GROUP BY 1, 2"
@@ -43,8 +44,8 @@ def merge_backfill(spark, sf_dir):
 def merge_append_once(spark, sf_dir):
     base, nation = _fresh(spark, "once"), table(spark, sf_dir, "nation")
     for _ in range(2):
-        layers.append_once(nation, f"{base}/t", f"{base}/marks", "nations")
-    return spark.read.parquet(f"{base}/t").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+        layers.append_once(nation, f"{base}/t", "nations")
+    return layers.published(spark, f"{base}/t").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("merge_pull_above_mark", "SELECT o_orderkey, o_totalprice FROM orders")
@@ -61,7 +62,7 @@ def merge_documents(spark, sf_dir):
     path, nation = f"{_fresh(spark, 'documents')}/t", table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     layers.put(spark, path, nation, ["n_nationkey"])
     layers.put(spark, path, nation.filter("n_nationkey % 4 = 0").withColumn("n_name", F.lit("changed")), ["n_nationkey"])
-    return spark.read.parquet(path)
+    return layers.published(spark, path)
 
 
 @register("sink_publish", "SELECT 'good' AS version, 0 AS failing, count(*) AS rows FROM nation UNION ALL SELECT 'bad', count(*) FILTER (n_regionkey > 3), (SELECT count(*) FROM nation) FROM nation")
@@ -70,16 +71,20 @@ def sink_publish(spark, sf_dir):
     path, nation, out = f"{_fresh(spark, 'publish')}/t", table(spark, sf_dir, "nation"), []
     for version, df, high in (("good", nation, 4), ("bad", nation.limit(1000), 3)):
         failing = layers.publish(df, path, [lambda t, h=high: layers.outside(t, "n_regionkey", 0, h), lambda t: layers.nulls(t, "n_name")])
-        out.append((version, failing, spark.read.parquet(path).count()))
+        out.append((version, failing, layers.published(spark, path).count()))
     return spark.createDataFrame(out, "version string, failing long, rows long")
 
 
-@register("sink_compact", "SELECT 1 AS files, count(*) AS rows, sum(s_suppkey) AS keys FROM supplier")
+@register("sink_compact", "SELECT 8 AS before, 1 AS after, count(*) AS rows, sum(s_suppkey) AS keys FROM supplier")
 def sink_compact(spark, sf_dir):
-    path = f"{_fresh(spark, 'compact')}/t"
-    table(spark, sf_dir, "supplier").repartition(7).write.parquet(path)
-    files_now = layers.compact(spark, path)
-    return spark.read.parquet(path).agg(F.lit(files_now).alias("files"), F.count(F.lit(1)).alias("rows"), F.sum("s_suppkey").alias("keys"))
+    """Two loads of small files become one load of one file."""
+    held, supplier = Versions(spark, f"{_fresh(spark, 'compact')}/t"), table(spark, sf_dir, "supplier")
+    for rest in (0, 1):
+        held.append({"data": supplier.filter(f"s_suppkey % 2 = {rest}").repartition(4)})
+    count = lambda: sum(e["files"] for e in held.state()["parts"]["data"])
+    before = count()
+    held.compact()
+    return held.read().agg(F.lit(before).alias("before"), F.lit(count()).alias("after"), F.count(F.lit(1)).alias("rows"), F.sum("s_suppkey").alias("keys"))
 
 
 @register("sink_bronze_evolves", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 1 THEN s_acctbal END AS s_acctbal, 'erp' AS _source_system FROM supplier")
@@ -99,16 +104,54 @@ def sink_by_month(spark, sf_dir):
     return spark.read.parquet(path).groupBy(F.col("month").cast("string").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("source_ledger", "SELECT 2 AS first_run, 1 AS second_run, 0 AS third_run, count(*) AS rows, sum(s_suppkey) AS keys FROM supplier")
+def _place(spark, df, path):
+    """df as one JSON file of the given path."""
+    df.coalesce(1).write.json(f"{path}-parts")
+    fs, at = layers._fs(spark, f"{path}-parts")
+    part = next(s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-"))
+    to = layers._fs(spark, path)[1]
+    fs.mkdirs(to.getParent())
+    fs.rename(part, to)
+    fs.delete(at, True)
+
+
+@register(
+    "source_ledger",
+    """SELECT k AS run, CASE k WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS files, count(*) FILTER (s_suppkey % 3 < CASE k WHEN 0 THEN 2 ELSE 3 END) AS rows,
+    sum(s_suppkey) FILTER (s_suppkey % 3 < CASE k WHEN 0 THEN 2 ELSE 3 END) AS keys FROM supplier, range(4) AS r(k) GROUP BY k""",
+)
 def source_ledger(spark, sf_dir):
-    """Two files, then a third, then none: each is loaded once."""
-    base, supplier, loaded = _fresh(spark, "ledger"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), []
-    for rests in ((0, 1), (2,), ()):
+    """Files of one name in nested folders, then one more, then none, then the same folder under a new checkpoint: each is loaded once."""
+    base, supplier, out = _fresh(spark, "ledger"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), None
+    for k, (checkpoint, rests) in enumerate((("c", (0, 1)), ("c", (2,)), ("c", ()), ("d", ()))):
         for r in rests:
-            supplier.filter(f"s_suppkey % 3 = {r}").coalesce(1).write.mode("append").json(f"{base}/in")
-        loaded.append(files.load_new(spark, f"{base}/in", f"{base}/t", f"{base}/ledger", "json", "s_suppkey bigint, s_name string"))
-    totals = spark.read.parquet(f"{base}/t").agg(F.count(F.lit(1)).alias("rows"), F.sum("s_suppkey").alias("keys"))
-    return totals.select(F.lit(loaded[0]).alias("first_run"), F.lit(loaded[1]).alias("second_run"), F.lit(loaded[2]).alias("third_run"), "rows", "keys")
+            _place(spark, supplier.filter(f"s_suppkey % 3 = {r}"), f"{base}/in{'/deep/er' * r}/a.json")
+        held = Versions(spark, f"{base}/t")
+        loaded = files.load_new(spark, f"{base}/in", held, f"{base}/{checkpoint}", "json", "s_suppkey bigint, s_name string")
+        one = held.read().agg(F.lit(k).alias("run"), F.lit(loaded).alias("files"), F.count(F.lit(1)).alias("rows"), F.sum("s_suppkey").alias("keys"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register(
+    "sink_versions",
+    """SELECT 'appended' AS version, count(*) AS rows, round(sum(s_acctbal), 2) AS balance FROM supplier UNION ALL SELECT 'first', count(*), round(sum(s_acctbal), 2) FROM supplier WHERE s_nationkey < 10
+    UNION ALL SELECT 'replaced', count(*), round(sum(s_acctbal), 2) FROM supplier WHERE s_acctbal > 0""",
+)
+def sink_versions(spark, sf_dir):
+    """A table is written, appended to, packed and replaced; every kept version can still be read."""
+    supplier = table(spark, sf_dir, "supplier")
+    held = Versions(spark, f"{_fresh(spark, 'versions')}/t")
+    first = held.append({"data": supplier.filter("s_nationkey < 10")})
+    held.append({"data": supplier.filter("s_nationkey >= 10").repartition(4)})
+    held.compact()
+    packed = held.state()["version"]
+    held.replace({"data": supplier.filter("s_acctbal > 0")}, packed, checks=[lambda df: df.filter("s_acctbal <= 0")])
+    out = None
+    for name, version in (("first", first), ("appended", packed), ("replaced", None)):
+        one = held.read(version=version).agg(F.lit(name).alias("version"), F.count(F.lit(1)).alias("rows"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("source_rescued_rows", "SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN NULL ELSE r_name END AS r_name, r_regionkey % 2 = 0 AS rescued FROM region")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from lumenmart.operators.profiling import profile
 from lumenmart.plans.names import identifier, safe_text
+from lumenmart.sources.versions import Versions, stream_id
 
 SUFFIXES = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".ndjson": "json", ".jsonl": "json", ".orc": "orc", ".txt": "text", ".avro": "avro"}
 
@@ -69,11 +70,12 @@ def since_sql(table: str, column: str, mark: object) -> str:
 
 
 def write_table(df: DataFrame, path: str, by: str | None = None, bytes_there: int = 0, floor: int = 1 << 30) -> None:
-    """zstd Parquet; from a size on partitioned by month of a date, each month's rows together in few files."""
+    """zstd Parquet; from a size on partitioned by month of a date. Each month's rows lie together in few files, more for a month of more rows: AQE splits
+    what a rebalance by month would put into one task."""
     out = df
     if by and bytes_there >= floor:
         out = df.withColumn("month", F.date_format(by, "yyyy-MM"))
-        out.repartition("month").write.mode("overwrite").option("compression", "zstd").partitionBy("month").parquet(path)
+        out.hint("rebalance", "month").write.mode("overwrite").option("compression", "zstd").partitionBy("month").parquet(path)
         return
     out.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
@@ -135,20 +137,34 @@ def staged(spark: SparkSession, tables: dict[str, dict[str, str]], mode: str, co
     return out
 
 
-def load_new(spark: SparkSession, path: str, target: str, ledger: str, kind: str, schema=None) -> int:
-    """Appends the files below path that the ledger does not name to target, and then names them. A run that breaks between the two loads them again:
-    each file's rows are a partition, which the next run writes anew."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    there = lambda p: fs_path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path(p))
-    names = listed(spark, path, f"*.{kind}*").select(F.element_at(F.split("path", "/"), -1).alias("file"))
-    known = spark.read.parquet(ledger) if there(ledger) else None
-    new = names if known is None else names.join(known, "file", "left_anti")
-    files = sorted(r["file"] for r in new.collect())  # the new files' names
-    if files:
-        df = read(spark, path, kind, schema).withColumn("_source_file", F.col("_metadata.file_name")).filter(F.col("_source_file").isin(files))
-        df.withColumn("_file", F.col("_source_file")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_file").parquet(target)
-        spark.createDataFrame([(f,) for f in files], "file string").write.mode("append").parquet(ledger)
-    return len(files)
+SOURCE = ("_source_file", "_source_bytes", "_source_time")
+
+
+def load_new(spark: SparkSession, path: str, table: Versions, checkpoint: str, kind: str, schema, per_batch: int = 1000) -> int:
+    """Appends the files below path, in folders of any depth, that were not loaded before; returns how many.
+
+    A checkpointed stream lists them. Each batch is one version of the table, with the rows (part `data`, and where each came from) and the ledger (part `ledger`:
+    whole path, length and time of each file) together: there is no moment between the two. A batch that runs again is known by its number; under a new
+    checkpoint the ledger says what is there. A file that has changed since is a new one."""
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    reader = spark.readStream.format(kind).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_batch)
+    if kind == "csv":
+        reader = reader.option("header", True)
+    if kind in ("csv", "json"):
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_rescued")
+        schema = T.StructType([*schema.fields, T.StructField("_rescued", T.StringType())])
+    meta = [F.col("_metadata.file_path").alias(SOURCE[0]), F.col("_metadata.file_size").alias(SOURCE[1]), F.col("_metadata.file_modification_time").alias(SOURCE[2])]
+    files = lambda: 0 if (df := table.read("ledger")) is None else df.count()
+    before = files()
+
+    def one(batch: DataFrame, number: int) -> None:
+        ledger = table.read("ledger")
+        new = batch if ledger is None else batch.join(ledger, list(SOURCE), "left_anti")
+        table.append_with(new, lambda written: {"ledger": written.select(*SOURCE).distinct()}, (stream_id(batch.sparkSession, checkpoint), number))
+
+    stream = reader.schema(schema).load(path).select("*", *meta)
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return files() - before
 
 
 def fetched(spark: SparkSession, fetch: Callable[[int], list[dict]], pages: int, schema: str, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenmart.sources.versions import Versions, stream_id
+
 
 def files(spark: SparkSession, path: str, schema, kind: str = "parquet", per_batch: int = 1000, rescued: bool = False) -> DataFrame:
     """A stream of the files below path; the schema is given, so it can't change unseen. rescued: csv and json rows that don't fit it come in _rescued."""
@@ -36,35 +40,42 @@ def append_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
-def current(spark: SparkSession, path: str) -> str | None:
-    """The last complete state below path: the folder with the greatest number that Spark has marked as written. It is found anew at each start."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return None
-    numbers = [int(n) for s in fs.listStatus(at) if (n := s.getPath().getName()).isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return f"{path}/{max(numbers)}" if numbers else None
-
-
 def newest(before: DataFrame | None, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row a key, the one that is last in order, of what was there and what has come: late rows don't win. Combined before the shuffle."""
+    """One row a key, the one that is last in order (a null order comes before all others), of what was there and what has come: late rows don't win.
+    Combined before the shuffle."""
     rows = batch if before is None else before.unionByName(batch)
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.struct(order), F.struct(*rest))).alias("_r")).select(*keys, "_r.*").select(*rows.columns)
 
 
-def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str) -> None:
-    """Keeps the newest row of each key below path, a state for each micro-batch. A batch that runs again starts from the state before it and writes its own again."""
+def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, buckets: int = 32) -> None:
+    """Keeps the newest row of each key in a versioned table below path. Its rows lie in buckets by key, and a micro-batch rewrites only those that it touches.
+
+    Each batch is one version, known by the query's id and its number: run again it changes nothing, and a query with a new checkpoint goes on from what is there."""
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = current(spark, path)
-        if last is not None and int(last.rpartition("/")[2]) >= number:  # this batch, run again
+        table, mark = Versions(spark, path), (stream_id(spark, checkpoint), number)
+        state = table.state()
+        if state["marks"].get(mark[0], -1) >= number:  # this batch, run again
             return
-        before = None if last is None else spark.read.schema(batch.schema).parquet(last)
-        newest(before, batch, keys, order).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{number}")
+        bucket = F.concat(F.lit("b"), F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string"))
+        rows = newest(None, batch, keys, order).withColumn("_lm_bucket", bucket)
+        touched = [r[0] for r in rows.select("_lm_bucket").distinct().collect()]  # at most `buckets`
+        held = [df for b in touched if (df := table.read(b, state["version"] if state["version"] >= 0 else None)) is not None]
+        before = reduce(DataFrame.unionByName, held) if held else None
+        after = newest(before, rows.drop("_lm_bucket"), keys, order).withColumn("_lm_bucket", bucket)
+        table.replace_by(after, "_lm_bucket", state["version"], mark)
 
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def upserted(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The rows that `upsert_batches` keeps below path."""
+    table = Versions(spark, path)
+    state = table.state(version)
+    return reduce(DataFrame.unionByName, [table.read(p, state["version"]) for p in sorted(state["parts"])])
+
+
 def append_windows(stream: DataFrame, event: str, length: str, late: str, path: str, checkpoint: str, *by: str) -> None:
     """Counts by event-time window, each written once, when the watermark has passed it; rows that come later than that are dropped."""
     windows(stream, event, length, late, *by).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()

@@ -49,13 +49,22 @@ def test_history_with_null_keys(spark):
 
 def test_publish_only_what_passes(spark, tmp_path):
     path = str(tmp_path / "t")
-    assert layers.publish(spark.range(3), path, [lambda t: layers.nulls(t, "id")]) == 0 and spark.read.parquet(path).count() == 3
-    assert layers.publish(spark.range(9), path, [lambda t: layers.outside(t, "id", high=4)]) == 4
-    assert spark.read.parquet(path).count() == 3
-    assert layers.publish(spark.read.parquet(path).filter("id > 0"), path) == 0 and spark.read.parquet(path).count() == 2
-    with pytest.raises(OSError):
-        layers.swap(spark, str(tmp_path / "none"), path)
-    assert spark.read.parquet(path).count() == 2
+    held = lambda: layers.published(spark, path).count()
+    assert layers.publish(spark.range(3), path, [lambda t: layers.nulls(t, "id")]) == 0 and held() == 3
+    assert layers.publish(spark.range(9), path, [lambda t: layers.outside(t, "id", high=4)]) == 4 and held() == 3
+    assert layers.publish(layers.published(spark, path).filter("id > 0"), path) == 0 and held() == 2
+
+
+def test_repeated_source_keys(spark):
+    """Of two source rows of a key one counts: the later one where an order is given."""
+    target = spark.createDataFrame([(1, 0, "a"), (None, 0, "n")], "k int, at int, v string")
+    source = spark.createDataFrame([(1, 2, "new"), (1, 1, "old"), (1, None, "none"), (2, None, "x"), (2, None, "y"), (None, 1, "m"), (None, 0, "l")], "k int, at int, v string")
+    assert pairs(layers.upsert(target, source, ["k"], latest=["at"]), "k", "v") == [("1", "new"), ("2", "y"), ("None", "m")]
+    current = target.select(F.col("k"), "v", F.lit("2020-01-01").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    got = layers.history(current, source, "k", ["v"], "2024-01-01", latest=["at"])
+    assert pairs(got.filter("valid_to IS NULL"), "k", "v") == [("1", "new"), ("2", "y"), ("None", "m")] and got.filter("valid_to IS NOT NULL").count() == 2
+    contract = layers.Contract((layers.Field("k", "k", "int"), layers.Field("v", "v", "string")), ("k",))
+    assert layers.clean(source.repartition(3), contract).count() == 3
 
 
 def test_backfill_is_bounded(spark):
@@ -69,9 +78,9 @@ def test_backfill_is_bounded(spark):
 
 
 def test_append_once_and_pull(spark, tmp_path):
-    path, marks = str(tmp_path / "t"), str(tmp_path / "m")
-    assert layers.append_once(spark.range(3), path, marks, "job") and not layers.append_once(spark.range(3), path, marks, "job")
-    assert spark.read.parquet(path).count() == 3
+    path = str(tmp_path / "t")
+    assert layers.append_once(spark.range(3), path, "job") and not layers.append_once(spark.range(3), path, "job")
+    assert layers.published(spark, path).count() == 3
     source = spark.createDataFrame([(1, 5, "a"), (2, 9, "b"), (None, 7, "n")], "id int, at int, v string")
     since = lambda mark: source if mark is None else source.filter(F.col("at") > mark)
     once = layers.pull(None, since, ["id"], "at")
@@ -86,5 +95,5 @@ def test_late_rows_do_not_win(spark, tmp_path):
     for rows in ([(1, 5, "first"), (2, 1, "x")], [(1, 3, "late"), (2, 8, "new"), (None, 1, "n")]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
         streams.upsert_batches(streams.files(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema), f"{base}/state", ["user"], "at", f"{base}/checkpoint")
-    got = spark.read.parquet(streams.current(spark, f"{base}/state"))
+    got = streams.upserted(spark, f"{base}/state")
     assert pairs(got, "user", "v") == [("1", "first"), ("2", "new"), ("None", "n")]
