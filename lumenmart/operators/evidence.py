@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenmart.operators.verify import settled, walk
+from lumenmart.operators.graphs import components
+from lumenmart.operators.verify import walk
 
 
 def about(nodes: DataFrame, edges: DataFrame, term: str) -> DataFrame:
@@ -19,24 +20,17 @@ def about(nodes: DataFrame, edges: DataFrame, term: str) -> DataFrame:
     return near.join(nodes.select("id", "kind"), "id").select("id", "kind", "relation")
 
 
-def impact(edges: DataFrame, start: str, rounds: int = 32) -> DataFrame:
+def impact(edges: DataFrame, start: str) -> DataFrame:
     """name, distance: all that depends on `start`, edges walked forward."""
-    return walk(edges, start, "source", "target", rounds)
+    return walk(edges, start, "source", "target")
 
 
-def sharing_groups(items: DataFrame, item: str, key: str, rounds: int = 64) -> DataFrame:
-    """item, root: items that share a key, directly or through others, have one root, the least of them. Labels travel through keys and back, so no pairs
-    of items are made; minima combine before the shuffle."""
+def sharing_groups(items: DataFrame, item: str, key: str) -> DataFrame:
+    """item, root: items that share a key, directly or through others, have one root, the least of them. An item is tied to the least one of each of its keys, so
+    no pairs of items are made."""
     links = items.select(F.col(item).alias("item"), F.col(key).alias("key")).dropna().distinct()
-    labels = links.select("item").distinct().withColumn("root", F.col("item"))
-    for _ in range(rounds):
-        by_key = links.join(labels, "item").groupBy("key").agg(F.min("root").alias("least"))
-        new = links.join(by_key, "key").groupBy("item").agg(F.min("least").alias("new"))
-        labels = settled(labels.join(new, "item").select("item", F.least("root", "new").alias("root"), (F.col("new") < F.col("root")).alias("moved")))
-        if labels.filter("moved").isEmpty():
-            break
-        labels = labels.drop("moved")
-    return labels.select(F.col("item").alias(item), "root")
+    least = links.groupBy("key").agg(F.min("item").alias("least"))
+    return components(links.join(least, "key").select("item", "least"), "item", "least").select(F.col("node").alias(item), "root")
 
 
 def retrieve(texts: DataFrame, path: str, title: str, body: str, query: str, top: int = 5, most: int = 400) -> DataFrame:

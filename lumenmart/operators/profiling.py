@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenmart.operators import sampling
+from lumenmart.operators import sampling, selection, temporal
 from lumenmart.plans.names import identifier
 
 #: Bounds of whole-number types, smallest first.
@@ -138,13 +138,16 @@ def concentration(df: DataFrame, dimension: str, measure: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...] = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99), by: tuple[str, ...] = (), approximate: bool = False) -> DataFrame:
-    """by, column_name, mean, std and a column for each quantile: one aggregation. approximate: for groups whose different values don't fit one task."""
-    quantile = (lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(10_000))) if approximate else (lambda c, q: F.percentile(c, F.lit(q)))
-    each = [
-        F.struct(F.lit(c).alias("column_name"), F.round(F.avg(c), 4).alias("mean"), F.round(F.stddev_samp(c), 4).alias("std"), *[F.round(quantile(c, q).cast("double"), 4).alias(f"p{round(q * 100):02d}") for q in at])
-        for c in columns
-    ]
-    return df.groupBy(*by).agg(F.array(*each).alias("q")).select(*by, F.inline("q"))
+    """by, column_name, mean, std and a column for each quantile. Exact ones are selected (`selection`), so no task holds a group; approximate: one aggregation."""
+    named = {q: f"p{round(q * 100):02d}" for q in at}
+    quick = lambda c: [F.round(F.percentile_approx(c, F.lit(q), F.lit(10_000)).cast("double"), 4).alias(n) for q, n in named.items()] if approximate else []
+    each = [F.struct(F.lit(c).alias("column_name"), F.round(F.avg(c), 4).alias("mean"), F.round(F.stddev_samp(c), 4).alias("std"), *quick(c)) for c in columns]
+    base = df.groupBy(*by).agg(F.array(*each).alias("q")).select(*by, F.inline("q"))
+    if approximate:
+        return base
+    keys = [*by, "column_name"]
+    found = selection.of_columns(df, columns, at, by).groupBy(*keys).agg(*[F.round(F.max(F.when(F.col("q") == q, F.col("value"))), 4).alias(n) for q, n in named.items()])
+    return temporal.left_by(base, found, keys)
 
 
 def footer_profile(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenmart.operators import selection
+
 #: Strata beyond which rows are drawn without them; deciles of a target; weights of the penalties of a score.
 STRATA_LIMIT = 10_000
 DECILES = tuple(k / 10 for k in range(1, 10))
@@ -49,8 +51,9 @@ def quotas(df: DataFrame, strata: Sequence[str], key: str, fraction: float, leas
 
 def edges(df: DataFrame, column: str, at: Sequence[float] = DECILES, approximate: bool = False) -> list[float]:
     """Different values of a column's quantiles, in order: as many as asked for, whatever the table's size."""
-    x = F.percentile_approx(column, list(at), 10_000) if approximate else F.percentile(column, list(at))
-    return sorted({float(v) for v in df.agg(x.alias("q")).first()["q"] or [] if v is not None})
+    if approximate:
+        return sorted({float(v) for v in df.agg(F.percentile_approx(column, list(at), 10_000).alias("q")).first()["q"] or [] if v is not None})
+    return sorted({r["value"] for r in selection.quantiles(df, column, at).collect()})
 
 
 def bin_of(column: str, cuts: Sequence[float]) -> Column:
@@ -64,13 +67,19 @@ def by_target(df: DataFrame, target: str, key: str, fraction: float, strata: Seq
     return quotas(marked, [*strata, "_target"], key, fraction, least, seed).drop("_target")
 
 
+def outer(df: DataFrame, columns: Sequence[str], tail: float) -> dict[str, tuple[float, float]]:
+    """The outer quantiles of each column that has values: two rows a column."""
+    found: dict[str, dict[float, float]] = {}
+    for r in selection.of_columns(df, columns, [tail, 1 - tail]).collect():
+        found.setdefault(r["column_name"], {})[r["q"]] = r["value"]
+    return {c: (v[tail], v[1 - tail]) for c, v in found.items()}
+
+
 def with_tails(sample: DataFrame, df: DataFrame, columns: Sequence[str], key: str, fraction: float, tail: float = 0.01, boost: float = 3.0, seed: int = 42) -> DataFrame:
     """Adds to a sample rows of the tails of some columns, drawn `boost` times as often; a row comes once."""
     outside = F.lit(False)
-    for c in columns:
-        cuts = df.agg(F.percentile(c, [tail, 1 - tail]).alias("q")).first()["q"]
-        if cuts is not None:
-            outside |= F.coalesce((F.col(c) <= cuts[0]) | (F.col(c) >= cuts[1]), F.lit(False))
+    for c, (low, high) in outer(df, columns, tail).items():
+        outside |= F.coalesce((F.col(c) <= low) | (F.col(c) >= high), F.lit(False))
     tails = hashed(df.filter(outside), key, min(1.0, fraction * max(1.0, boost)) * 1000, seed + 17)
     return sample.unionByName(tails, allowMissingColumns=True).dropDuplicates([key])
 
@@ -91,30 +100,28 @@ def distance(full: DataFrame, sample: DataFrame, columns: Sequence[str]) -> Data
 
 
 def numbers(full: DataFrame, sample: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, metric, full, sample, delta: mean, deviation and quantiles of both; one aggregation each."""
+    """column, metric, full, sample, delta: mean, deviation and exact quantiles of both."""
     def stats(df: DataFrame, name: str) -> DataFrame:
-        each = [
-            F.struct(F.lit(c).alias("column"), F.lit(m).alias("metric"), F.round(x, 4).alias(name))
-            for c in columns
-            for m, x in [("mean", F.avg(c)), ("std", F.stddev_samp(c)), *((q, F.percentile(c, F.lit(at))) for q, at in QUANTILES.items())]
-        ]
-        return df.agg(F.array(*each).alias("s")).select(F.inline("s"))
+        each = [F.struct(F.lit(c).alias("column"), F.lit(m).alias("metric"), F.round(x, 4).alias(name)) for c in columns for m, x in (("mean", F.avg(c)), ("std", F.stddev_samp(c)))]
+        named = F.create_map(*[x for m, q in QUANTILES.items() for x in (F.lit(q), F.lit(m))])
+        found = selection.of_columns(df, columns, list(QUANTILES.values())).select(F.col("column_name").alias("column"), named[F.col("q")].alias("metric"), F.round("value", 4).alias(name))
+        return df.agg(F.array(*each).alias("s")).select(F.inline("s")).unionByName(found)
 
     both = stats(full, "full").join(stats(sample, "sample"), ["column", "metric"])
     return both.select("column", "metric", "full", "sample", F.round(F.col("sample") - F.col("full"), 4).alias("delta"))
 
 
 def tail_shares(full: DataFrame, sample: DataFrame, columns: Sequence[str], tail: float = 0.01) -> DataFrame:
-    """column, tail, full_share, sample_share beyond the full table's outer quantiles."""
-    out = None
-    for c in columns:
-        lo, hi = full.agg(F.percentile(c, [tail, 1 - tail]).alias("q")).first()["q"]
-        share = lambda d, n: d.agg(*[F.round(F.count_if(t) / F.count(c), 6).alias(f"{n}_{s}") for s, t in (("low", F.col(c) <= lo), ("high", F.col(c) >= hi))])  # noqa: E731,B023
-        row = share(full, "f").join(F.broadcast(share(sample, "s")))
-        sides = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(s).alias("tail"), F.col(f"f_{s}").alias("full_share"), F.col(f"s_{s}").alias("sample_share")) for s in ("low", "high")])
-        one = row.select(F.inline(sides))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """column, tail, full_share, sample_share beyond the full table's outer quantiles (null for a column without values): one pass over each of both."""
+    cuts = outer(full, columns, tail)
+    beyond = lambda c: (("low", F.col(c) <= cuts[c][0]), ("high", F.col(c) >= cuts[c][1])) if c in cuts else (("low", F.lit(None).cast("boolean")), ("high", F.lit(None).cast("boolean")))
+    share = lambda c, t: F.round(F.try_divide(F.count_if(t), F.nullif(F.count(c), F.lit(0))), 6) if c in cuts else F.lit(None).cast("double")
+
+    def shares(df: DataFrame, name: str) -> DataFrame:
+        each = [F.struct(F.lit(c).alias("column"), F.lit(s).alias("tail"), share(c, t).alias(name)) for c in columns for s, t in beyond(c)]
+        return df.agg(F.array(*each).alias("s")).select(F.inline("s"))
+
+    return shares(full, "full_share").join(shares(sample, "sample_share"), ["column", "tail"])
 
 
 def joint_distance(full: DataFrame, sample: DataFrame, x: str, y: str) -> DataFrame | None:

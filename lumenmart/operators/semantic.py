@@ -295,3 +295,43 @@ def grid(frame: DataFrame, request: dict, hidden: Sequence[str] = ()) -> tuple[D
     start = max(0, int(request.get("startRow") or 0))
     size = max(0, min(BLOCK, int(request.get("endRow") or start + 100) - start))
     return (out.orderBy(*order) if order else out).offset(start).limit(size), out.agg(F.count(F.lit(1)).alias("rows"))
+
+
+def page_after(frame: DataFrame, order: Sequence[tuple[str, str]], unique: Sequence[str], after: Mapping[str, object] | None = None, size: int = BLOCK) -> DataFrame:
+    """The page that follows the row `after` (values of the columns of order and unique; None: the first page), nulls last either way.
+
+    The order is made whole by the columns `unique`, so each row is on one page, ties included. The keys are a filter that the scan can use, and the page is the best `size`
+    rows of each task: a deep page costs what the first one does."""
+    ways = [*order, *((u, "asc") for u in unique if u not in dict(order))]
+    rows = frame
+    if after is not None:
+        past, equal = F.lit(False), F.lit(True)
+        for column, way in ways:
+            x, value = F.col(column), after[column]
+            if value is not None:  # null comes behind every value, and nothing behind null
+                bound = F.lit(value).cast(frame.schema[column].dataType)
+                past = past | (equal & (x.isNull() | ((x > bound) if way == "asc" else (x < bound))))
+                equal = equal & (x == bound)
+            else:
+                equal = equal & x.isNull()
+        rows = frame.filter(F.coalesce(past, F.lit(False)))
+    return rows.orderBy(*[F.asc_nulls_last(c) if way == "asc" else F.desc_nulls_last(c) for c, way in ways]).limit(size)
+
+
+# Different values that can be added up
+def sketched(frame: DataFrame, by: Sequence[str], distinct: Sequence[str], sums: Sequence[str] = (), lg_k: int = 14) -> DataFrame:
+    """A mart: by, sums, and for each column of `distinct` a sketch of its different values, so that it can be rolled up and drilled like a sum."""
+    return frame.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums], *[F.hll_sketch_agg(c, lg_k).alias(f"{c}_sketch") for c in distinct])
+
+
+def rolled(mart: DataFrame, by: Sequence[str], sums: Sequence[str] = (), filters: Mapping[str, object] | None = None) -> DataFrame:
+    """A sketched mart at a coarser grain: sums add up, sketches unite. Counts have the relative standard error `sketch_error`."""
+    chosen = slicer(mart, filters) if filters else mart
+    named = [c for c in mart.columns if c.endswith("_sketch")]
+    out = chosen.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums], *[F.hll_union_agg(c).alias(c) for c in named])
+    return out.select(*by, *sums, *[F.hll_sketch_estimate(c).alias(f"distinct_{c.removesuffix('_sketch')}") for c in named])
+
+
+def sketch_error(lg_k: int = 14) -> float:
+    """Relative standard error of a count from united sketches."""
+    return 1.04 / (1 << lg_k) ** 0.5

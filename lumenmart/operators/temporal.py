@@ -28,18 +28,18 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, since:
     both = mine.unionByName(latest).withColumn("_step", F.date_trunc(step, "_t"))
     # The last value of each step, and from it what each later one begins with: a row a key and step.
     ends = latest.withColumn("_step", F.date_trunc(step, "_t")).groupBy(*by, "_step").agg(F.max_by("_v", "_t").alias("_end"))
-    steps = _joined(both.select(*by, "_step").distinct(), ends, [*by, "_step"])
+    steps = left_by(both.select(*by, "_step").distinct(), ends, [*by, "_step"])
     before = Window.partitionBy(*by).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
     begins = steps.select(*by, "_step", F.last("_end", ignorenulls=True).over(before).alias("_begin"))
     within = Window.partitionBy(*by, "_step").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = _joined(both.withColumn("_last", F.last("_v", ignorenulls=True).over(within)).filter("_side = 1"), begins, [*by, "_step"])
+    carried = left_by(both.withColumn("_last", F.last("_v", ignorenulls=True).over(within)).filter("_side = 1"), begins, [*by, "_step"])
     found = F.when(F.col("_t").isNotNull(), F.coalesce("_last", "_begin"))
     out = carried.withColumn("_f", found)
     out = out.filter("_f IS NOT NULL") if inner else out
     return out.select(*by, "_row.*", *[F.col("_f")[c].alias(c) for c in take]).select(*names, *take)
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def left_by(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join by keys of which null is one."""
     other = right.select(*[F.col(k).alias(f"_r_{n}") for n, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
     same = None

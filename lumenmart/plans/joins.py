@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: When a key counts as unique, a reference as proven; confidence by what is proven.
 UNIQUE_FROM = 0.99
@@ -66,6 +67,44 @@ def prove(many: str, left: DataFrame, column: str, one: str, right: DataFrame, k
     return Edge(many, column, one, key, CONFIDENCE["unique and resolved" if unique and resolved else "unique" if unique else "neither"])
 
 
+def references(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
+    """many, column_name, one, key, values, resolved, ratio, key_ratio: for every two of the columns named, how many of the first one's different values the second one has, and
+    how unique the second one is.
+
+    One pass: all columns become rows of (value, column), which are counted; grouped by value they give the set of columns that hold it; and the sets, which are few,
+    are counted. Every containment and uniqueness follows from these counts. Whole numbers meet whole numbers and texts meet texts."""
+    where = [(t, c) for t, cs in columns.items() for c in cs]
+    if not where:
+        raise ValueError("no columns")
+    stacked = None
+    for t, cs in columns.items():
+        text = {c: isinstance(tables[t].schema[c].dataType, T.StringType) for c in cs}
+        each = [F.struct(F.lit(where.index((t, c))).alias("c"), F.lit(text[c]).alias("text"), F.col(c).cast("string").alias("v")) for c in cs]
+        one = tables[t].select(F.inline(F.array(*each))).filter("v IS NOT NULL")
+        stacked = one if stacked is None else stacked.unionByName(one)
+    counted = stacked.groupBy("text", "v", "c").agg(F.count(F.lit(1)).alias("n"))
+    sets = counted.groupBy("text", "v").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("m"))  # at most a member a column
+    # A set counts its values; its members their rows.
+    by_set = sets.groupBy(F.transform("m", lambda x: x["c"]).alias("s")).agg(F.count(F.lit(1)).alias("values"), *[F.sum(F.coalesce(F.get(F.col("m"), F.lit(k))["n"], F.lit(0))).alias(f"_n{k}") for k in range(len(where))])
+    ranked = by_set.select("s", "values", F.array(*[f"_n{k}" for k in range(len(where))]).alias("rows"))
+    own = ranked.select(F.posexplode("s").alias("k", "c"), "values", "rows").groupBy("c").agg(F.sum("values").alias("values"), F.sum(F.get("rows", F.col("k"))).alias("rows"))
+    both = ranked.select(F.explode("s").alias("a"), "s", "values").select("a", F.explode("s").alias("b"), "values").groupBy("a", "b").agg(F.sum("values").alias("resolved"))
+    # From here on a row a column, and a row for each two of them.
+    names = F.broadcast(tables[where[0][0]].sparkSession.createDataFrame([(k, t, c) for k, (t, c) in enumerate(where)], "c int, t string, name string"))
+    left, right = names.select(F.col("c").alias("a"), F.col("t").alias("many"), F.col("name").alias("column_name")), names.select(F.col("c").alias("b"), F.col("t").alias("one"), F.col("name").alias("key"))
+    pairs = left.join(right, F.col("a") != F.col("b"))
+    out = pairs.join(own.select(F.col("c").alias("a"), "values"), "a", "left").join(own.select(F.col("c").alias("b"), F.round(F.col("values") / F.col("rows"), 6).alias("key_ratio")), "b", "left").join(both, ["a", "b"], "left")
+    values, resolved = F.coalesce("values", F.lit(0)), F.coalesce("resolved", F.lit(0))
+    return out.select("many", "column_name", "one", "key", values.alias("values"), resolved.alias("resolved"), F.round(F.try_divide(resolved, values), 6).alias("ratio"), "key_ratio")
+
+
+def proven(found: DataFrame) -> list[Edge]:
+    """The edges that `references` bear out, as `prove` finds them one by one, by confidence."""
+    unique, resolved = F.coalesce(F.col("key_ratio") >= UNIQUE_FROM, F.lit(False)), F.coalesce(F.col("ratio") >= RESOLVED_FROM, F.lit(False))
+    rows = found.filter(unique & resolved).collect()  # edges: at most a row for each two columns
+    return [Edge(r.many, r.column_name, r.one, r.key, CONFIDENCE["unique and resolved"]) for r in sorted(rows, key=lambda r: (r.many, r.column_name, r.one, r.key))]
+
+
 def candidate_keys(left: DataFrame, right: DataFrame, endings: tuple[str, ...] = ("key", "id", "code")) -> list[tuple[str, str]]:
     """Columns that share a name behind their table's prefix and end like a key."""
     bare = lambda c: c.split("_", 1)[-1].lower()

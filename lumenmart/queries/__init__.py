@@ -1,3 +1,3 @@
 """One module for each family of queries; importing them registers the queries."""
 
-from lumenmart.queries import analysis, claims, joins, kpi, layers, movement, scalars, semantic, trust, wording  # noqa: F401
+from lumenmart.queries import analysis, claims, joins, kpi, layers, movement, scalars, scale, semantic, trust, wording  # noqa: F401
