@@ -105,7 +105,9 @@ def old_age_together(age: Column) -> Column:
 
 
 def surrogate_key(*keys: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *[k.cast("string") for k in keys]), 256)
+    """A hash of the keys' lengths and texts, so that no two lists of keys, nulls among them, are one text."""
+    part = lambda k: F.when(k.isNull(), F.lit("-")).otherwise(F.concat(F.length(k.cast("string")), F.lit(":"), k.cast("string")))
+    return F.sha2(F.concat_ws("|", *[part(k) for k in keys]), 256)
 
 
 # Values

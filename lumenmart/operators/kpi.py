@@ -28,14 +28,28 @@ UNITS = ("year", "quarter", "month", "week", "day")
 GRAINS = {"yearly": "year", "annual": "year", "quarterly": "quarter", "monthly": "month", "weekly": "week", "daily": "day"}
 UNIT = "(year|quarter|month|week|day)"
 GRAIN = re.compile(rf"\b(?:each|per|every|by) {UNIT}\b|\b{UNIT} over (?:the )?(?:year|time)\b|\b({'|'.join(GRAINS)})\b")
+#: What bounds are called.
+BOUNDS = {
+    "at least": ">=", "no less than": ">=", "no fewer than": ">=", "not less than": ">=", "a minimum of": ">=", "more than": ">", "over": ">", "above": ">", "older than": ">", "greater than": ">", "exceeding": ">",
+    "at most": "<=", "no more than": "<=", "not more than": "<=", "up to": "<=", "a maximum of": "<=", "fewer than": "<", "less than": "<", "under": "<", "below": "<", "younger than": "<", ">=": ">=", "<=": "<=", ">": ">", "<": "<",
+}
+NUMBERS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
+NUMBER = rf"(\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?|(?:{'|'.join(NUMBERS)})\b)(?![\d%])"
+#: The noun behind a number says what is bounded; these words begin another part of the sentence.
+NOUN = r"(?: (?!(?:with|having|and|or|in|for|by|per|each|of|to|on|at|from)\b)([a-z_]+))?"
 #: A bound in prose: of a measure after with or having or before a noun, of an age otherwise.
-BOUND = re.compile(r"(?:\b(with|having) )?(at least|more than|over|above|older than|greater than|>=|>) ?([\d.]+)(?: (years?|[a-z_]+))?")
+BOUND = re.compile(rf"(?:\b(with|having) )?(?<![\w<>=])({'|'.join(sorted(map(re.escape, BOUNDS), key=len, reverse=True))}) ?{NUMBER}{NOUN}")
+BETWEEN = re.compile(rf"(?:\b(with|having) )?\bbetween {NUMBER} and {NUMBER}{NOUN}")
+RANKED = re.compile(rf"\b(top|bottom)\b(?:[ -]{NUMBER})?")
+PERIOD = re.compile(rf"\b(?:last|past|previous) (?:{NUMBER} )?(years?|quarters?|months?|weeks?|days?)\b")
+#: Grains that are asked for and not known.
+OTHER_GRAIN = re.compile(r"\b(?:each|per|every|by) (fortnight|decade|century|hour|minute|second|semester|half[- ]year|season)\b|\b(fortnightly|hourly|biweekly|biannual|half-yearly)\b")
 EXTRA = (
     ("count", re.compile(r"(?:\band|\bwith|,) (?:the )?(?:number of times|number of them|how many times|times they were)\b()")),
     ("avg", re.compile(r"(?:\band|\bwith|,) (?:the )?(?:average|avg|mean) ([a-z][a-z0-9_ ]*?)(?: (?:for|per|of|each|by|and)\b|[.?]|$)")),
     ("sum", re.compile(r"(?:\band|\bwith|,) (?:the )?total ([a-z][a-z0-9_ ]*?)(?: (?:for|per|of|each|by|and)\b|[.?]|$)")),
 )
-MOST = ("most", "highest", "largest", "greatest", "maximum")
+MOST, FEWEST = ("most", "highest", "largest", "greatest", "maximum"), ("lowest", "smallest", "fewest")
 
 
 class Ambiguous(ValueError):
@@ -97,7 +111,9 @@ class Dim:
 
 @dataclass(frozen=True)
 class Kpi:
-    """share: total, group (of the dims in `within`) or period; window: running, moving or rank; entity: each counts once, where it was last."""
+    """share: total, group (of the dims in `within`) or period; window: running, moving or rank; entity: each counts once, where it was last.
+
+    having and also bound the first measure; top: so many rows, the largest (lowest: the smallest) first."""
 
     measures: tuple[Measure, ...]
     dims: tuple[Dim, ...] = ()
@@ -108,7 +124,9 @@ class Kpi:
     window: str | None = None
     span: int = 3
     having: tuple[str, float] | None = None
+    also: tuple[str, float] | None = None
     top: int | None = None
+    lowest: bool = False
     entity: str | None = None
     latest: tuple[str, ...] = field(default=())
 
@@ -200,6 +218,37 @@ def _extra(question: str, first: Measure, labels: dict[str, str]) -> list[Measur
     return []
 
 
+def _number(text: str) -> float:
+    return float(NUMBERS.index(text) + 1) if text in NUMBERS else float(text.replace(",", ""))
+
+
+def _bounds(question: str) -> list[tuple[str, bool, list[tuple[str, float]], str | None]]:
+    """(phrase, whether with or having stands before it, tests, noun) of each bound in prose."""
+    out = [(m[0], bool(m[1]), [(">=", _number(m[2])), ("<=", _number(m[3]))], m[4]) for m in BETWEEN.finditer(question)]
+    return out + [(m[0], bool(m[1]), [(BOUNDS[m[2]], _number(m[3]))], m[4]) for m in BOUND.finditer(BETWEEN.sub(" ", question))]
+
+
+def _periods(question: str, as_of: str | None, column: str | None) -> list[str]:
+    """Filters for the last so many years, quarters, months, weeks or days up to a date that is given."""
+    out = []
+    for m in PERIOD.finditer(question):
+        if m[1] is None or column is None or not re.match(r"\d{4}-\d\d-\d\d$", as_of or ""):
+            raise Ambiguous(f"{m[0]!r} needs a number, a time column and a date that it ends at")
+        n, unit = int(_number(m[1])), m[2].rstrip("s")
+        months = {"year": 12, "quarter": 3, "month": 1}.get(unit)
+        first = f"add_months(DATE '{as_of}', {-n * months})" if months else f"date_sub(DATE '{as_of}', {n * (7 if unit == 'week' else 1)})"
+        out += [f"cast({column} AS date) > {first}", f"cast({column} AS date) <= DATE '{as_of}'"]
+    return out
+
+
+def _listed(text: str) -> str:
+    """A list of values of a cut, each quoted unless it is a number."""
+    m = re.match(r"(\w+)\s+(not\s+)?in\s*\((.*)\)$", text, re.I)
+    values = [v.strip() for v in re.findall(r"'(?:[^']|'')*'|[^,]+", m[3]) if v.strip()]
+    quoted = [v if v.startswith("'") or re.fullmatch(r"-?\d+(\.\d+)?", v) else _quoted(v) for v in values]
+    return f"{m[1]} {'NOT ' if m[2] else ''}IN ({', '.join(quoted)})"
+
+
 def read(
     metric: str, cuts: str = "", question: str = "", as_of: str | None = None, time_column: str | None = None, labels: dict[str, str] | None = None, denominator: str | None = None,
 ) -> Kpi:
@@ -210,25 +259,39 @@ def read(
     kpi, said = _shape(metric.strip()), f"{metric} {question}".lower()
     tokens = [x.strip() for x in re.split(r",(?![^()]*\))", cuts) if x.strip()]
     compared = [t for t in tokens if re.match(r"\w+\s*(<=|>=|!=|=|<|>)\s*('[^']*'|[\w.]+)$", t)]
-    dims = tuple(read_dim(x, as_of) for x in tokens if x not in compared and not re.fullmatch(r"'.*'", x))
+    lists = [t for t in tokens if re.match(r"\w+\s+(not\s+)?in\s*\(.*\)$", t, re.I)]
+    rest = [t for t in tokens if t not in compared and t not in lists]
+    dims = tuple(read_dim(x, as_of) for x in rest if not re.fullmatch(r"'.*'", x))
     if (m := GRAIN.search(said)) and not any(d.kind == "time" for d in dims):
         unit = next(g for g in m.groups() if g)
         if time_column is None:
             raise Ambiguous(f"{m[0]!r} needs a time column")
         dims = (Dim(time_column, "time", GRAINS.get(unit, unit)), *dims)
-    filters = [f for t in compared for f in (re.sub(r"(=|<|>)\s*([A-Za-z_]\w*)$", lambda v: f"{v[1]} {_quoted(v[2])}", t),)] + _filters(question, ", ".join(tokens), dims)
-    having = None
-    for m in BOUND.finditer(question.lower()):
-        years = (m[4] or "years").startswith("year")
-        age = next((d for d in dims if d.kind == "age"), None)
-        if years and not m[1] and age:
-            filters.append(f"year({_as_of(age)}) - year({age.column}) {'>=' if m[2] in ('at least', '>=') else '>'} {float(m[3]):g}")
-        elif not m[4] and not m[1]:
-            raise Ambiguous(f"{m[0]!r}: a bound of what?")
+    filters = [f for t in compared for f in (re.sub(r"(=|<|>)\s*([A-Za-z_]\w*)$", lambda v: f"{v[1]} {_quoted(v[2])}", t),)] + [_listed(t) for t in lists] + _filters(question, ", ".join(rest), dims)
+    bounds, ages = [], next((d for d in dims if d.kind == "age"), None)
+    for phrase, with_, tests, noun in _bounds(question.lower()):
+        of_age = "older" in phrase or "younger" in phrase or (not with_ and (noun is None or noun.startswith("year")))
+        if of_age and ages:
+            filters += [f"year({_as_of(ages)}) - year({ages.column}) {op} {n:g}" for op, n in tests]
+        elif of_age:
+            raise Ambiguous(f"{phrase!r}: a bound of what?")
         else:
-            having = (">=" if m[2] in ("at least", ">=") else ">", float(m[3]))
-    top = int(m[1]) if (m := re.search(r"\btop (\d+)", said)) else 20 if any(re.search(rf"\b{w}\b", said) for w in MOST) else None
-    kpi = replace(kpi, filters=tuple(filters), having=having, top=top, measures=kpi.measures + (() if kpi.share or kpi.ratio or kpi.window else tuple(_extra(question.lower(), kpi.measures[0], labels or {}))))
+            bounds += tests
+    if len(bounds) > 2:
+        raise Ambiguous(f"{len(bounds)} bounds of one measure")
+    having, also = [*bounds, None, None][:2]
+    filters += _periods(question.lower(), as_of, time_column or next((d.column for d in dims if d.kind == "time"), None))
+    if m := OTHER_GRAIN.search(said):
+        raise Ambiguous(f"{m[0]!r} is no grain that is known")
+    bare = BETWEEN.sub(" ", BOUND.sub(" ", said))
+    top, lowest = None, False
+    if m := RANKED.search(bare):
+        if m[2] is None:
+            raise Ambiguous(f"{m[0]!r}: how many?")
+        top, lowest = int(_number(m[2])), m[1] == "bottom"
+    elif any(re.search(rf"\b{w}\b", bare) for w in (*MOST, *FEWEST)):
+        top, lowest = 20, not any(re.search(rf"\b{w}\b", bare) for w in MOST)
+    kpi = replace(kpi, filters=tuple(filters), having=having, also=also, top=top, lowest=lowest, measures=kpi.measures + (() if kpi.share or kpi.ratio or kpi.window else tuple(_extra(question.lower(), kpi.measures[0], labels or {}))))
     if kpi.share == "scope":
         if kpi.within[0].lower() in UNITS:
             kpi = replace(kpi, share="period", within=())
@@ -271,9 +334,9 @@ def answer(df: DataFrame, kpi: Kpi, by_grain: bool = False) -> DataFrame:
     if kpi.entity:
         df = _where_last(df, kpi, [f"_d{k}" for k in range(len(names))])
     out = df.groupBy(*keys).agg(*[m.raw().alias(f"_m{k}") for k, m in enumerate(kpi.measures)])
-    if kpi.having:
-        op, bound = kpi.having
-        out = out.filter(F.col("_m0") >= bound if op == ">=" else F.col("_m0") > bound)
+    for op, bound in [b for b in (kpi.having, kpi.also) if b]:
+        x = F.col("_m0")
+        out = out.filter({">=": x >= bound, ">": x > bound, "<=": x <= bound, "<": x < bound}[op])
     times = [d.name for d in kpi.dims if d.kind == "time"]
     if kpi.ratio:
         value, shown = c.safe_ratio(F.col("_m0"), F.col("_m1")), [F.round("_v", 4).alias("ratio")]
@@ -296,7 +359,7 @@ def answer(df: DataFrame, kpi: Kpi, by_grain: bool = False) -> DataFrame:
         value, shown = F.col("_m0"), [m.shown(F.col(f"_m{k}")).alias(m.name) for k, m in enumerate(kpi.measures)]
     out = out.withColumn("_v", value)
     if kpi.top:
-        out = out.orderBy(F.desc_nulls_last("_v"), *names).limit(kpi.top)
+        out = out.orderBy(F.asc_nulls_last("_v") if kpi.lowest else F.desc_nulls_last("_v"), *names).limit(kpi.top)
     elif by_grain and names:
         out = out.orderBy(*names)
     return out.select(*names, *shown)
@@ -327,15 +390,22 @@ def slicer(frame: DataFrame, filters: dict) -> DataFrame:
                 frame = frame.filter(x <= F.lit(wanted["to"]))
             continue
         values = list(wanted) if isinstance(wanted, (list, tuple, set)) else [wanted]
-        text = kinds[column] == "string" or any(isinstance(v, str) for v in values)
-        frame = frame.filter((x.cast("string") if text else x).isin([str(v) for v in values] if text else values))
+        held = [v for v in values if v is not None]
+        text = kinds[column] == "string" or any(isinstance(v, str) for v in held)
+        test = (x.cast("string") if text else x).isin([str(v) for v in held] if text else held)
+        frame = frame.filter(test | x.isNull() if len(held) < len(values) else test)
     return frame
 
 
+def others(rows: DataFrame, column: str, top: DataFrame) -> DataFrame:
+    """rows with values of column that are not in `top` (column `_top`, few rows) as one: Other, or All other where a value of top is called so. Null is a value."""
+    named = top.agg(F.max(F.when(F.col("_top").cast("string") == "Other", F.lit("All other")).otherwise(F.lit(None))).alias("_rest"))  # one row
+    marked = rows.join(F.broadcast(top.withColumn("_in", F.lit(True))), F.col(column).eqNullSafe(F.col("_top")), "left").join(F.broadcast(named))
+    return marked.withColumn(column, F.when(F.col("_in"), F.col(column).cast("string")).otherwise(F.coalesce("_rest", F.lit("Other")))).drop("_top", "_in", "_rest")
+
+
 def cap_categories(frame: DataFrame, category: str, value: str, k: int) -> DataFrame:
     """The k categories with the largest totals; the others together as Other."""
     totals = frame.groupBy(category).agg(F.sum(value).alias("_t"))
     top = totals.orderBy(F.desc("_t"), category).limit(k).select(F.col(category).alias("_top"))
-    # The broadcast side has k rows.
-    marked = totals.join(F.broadcast(top), F.col(category).eqNullSafe(F.col("_top")), "left")
-    return marked.groupBy(F.coalesce("_top", F.lit("Other")).alias(category)).agg(F.round(F.sum("_t"), 2).alias(value))
+    return others(totals, category, top).groupBy(category).agg(F.round(F.sum("_t"), 2).alias(value))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenmart.operators import profiling
-from lumenmart.operators.kpi import Ambiguous, roll_up, slicer
+from lumenmart.operators.kpi import Ambiguous, others, roll_up, slicer
 from lumenmart.plans.names import find, label, sensitive
 
 #: What names of measures, and of columns that are none, hold.
@@ -109,8 +109,7 @@ def capped(frame: DataFrame, category: str, series: str, measure: str, categorie
     cells = frame.groupBy(category, series).agg(F.sum(measure).alias(measure))
     for column, k in ((category, categories), (series, kinds)):
         top = cells.groupBy(column).agg(F.sum(measure).alias("_t")).orderBy(F.desc("_t"), column).limit(k).select(F.col(column).alias("_top"))
-        # The broadcast side has k rows.
-        cells = cells.join(F.broadcast(top), F.col(column).eqNullSafe(F.col("_top")), "left").withColumn(column, F.coalesce("_top", F.lit("Other"))).drop("_top")
+        cells = others(cells, column, top)
     return cells.groupBy(category, series).agg(F.round(F.sum(measure), 2).alias(measure))
 
 

@@ -154,31 +154,60 @@ def velocity(latency_seconds: float | None, continuous: bool) -> str:
 
 
 # Personal data, by name
-#: Names of columns that identify a person or a card, without separators; "no", "num" and "number" may follow those that end in *.
-SENSITIVE = {
-    "name": ("firstname", "lastname", "middlename", "fullname", "maidenname", "givenname", "surname", "patientname", "membername", "guardianname", "providername"),
-    "ssn": ("ssn*", "socialsecurity*"), "birth": ("dob", "dateofbirth", "birthdate"), "death": ("death", "deathdate", "dateofdeath", "deceased", "deceaseddate"),
-    "phone": ("phone*", "mobile*", "cell*", "fax*"), "email": ("email", "emailaddress"), "address": ("address", "street", "city", "zip", "zipcode", "postal", "postalcode"),
-    "record": ("mrn", "medicalrecord*", "account*", "acct*", "policy*", "license*", "certificate*", "npi", "deviceid", "serial*"), "plan": ("medicaid", "medicaidid", "medicare", "medicareid", "healthplanid"),
-    "network": ("ip", "ipaddress", "url", "website"), "vehicle": ("vin", "plate*", "licenseplate*"), "biometric": ("fingerprint", "biometric", "retina", "voiceprint"),
-    "card": ("pan", "primaryaccountnumber", "card*", "creditcard*", "debitcard*", "cc*", "cvv", "cvv2", "cvc", "cvc2", "securitycode", "cardholder", "cardholdername", "cardexpiry", "cardexpiration", "expmonth", "expyear"),
-    "bank": ("iban", "routing*", "bankaccount*", "swift", "bic"),
+#: What columns that identify a person are called, by category; whole names, case does not count.
+PERSONAL = {
+    "name": (r"(first|last|middle|full|maiden|given|sur|patient|member|subscriber|beneficiary|guarantor|provider|guardian|dependent|insured|policy[_ ]?holder)[_ ]?name",),
+    "ssn": (r"ssn([_ ]?(no|num|number))?", r"social[_ ]?security([_ ]?(no|num|number))?"),
+    "date_of_birth": (r"dob", r"date[_ ]?of[_ ]?birth", r"birth[_ ]?date"),
+    "individual_linked_date": (r"(date[_ ]?of[_ ]?)?death([_ ]?date)?", r"deceased([_ ]?date)?"),
+    "phone": (r"(phone|mobile|cell|fax)([_ ]?(no|num|number))?",),
+    "email": (r"e[_ ]?mail([_ ]?address)?",),
+    "address": (r"address(_?line\d*)?", r"street", r"city", r"zip([_ ]?code)?", r"postal([_ ]?code)?"),
+    "medical_record_number": (r"mrn", r"medical[_ ]?record([_ ]?(no|num|number))?"),
+    "account_number": (r"account([_ ]?(no|num|number))?", r"acct([_ ]?(no|num|number))?"),
+    "health_plan_beneficiary": (
+        r"medicaid([_ ]?id)?", r"medicare([_ ]?id)?", r"beneficiary([_ ]?id)?", r"subscriber([_ ]?id)?", r"health[_ ]?plan([_ ]?id)?", r"policy([_ ]?(no|num|number))?",
+    ),
+    "certificate_or_license": (r"(license|licence|certificate)([_ ]?(no|num|number))?", r"npi"),
+    "device_identifier": (r"device([_ ]?(id|serial))?", r"serial([_ ]?(no|num|number))?"),
+    "ip_address": (r"ip([_ ]?address)?",),
+    "url": (r"url", r"website"),
+    "vehicle_identifier": (r"vin", r"(license[_ ]?)?plate([_ ]?(no|num|number))?"),
+    "biometric": (r"(fingerprint|biometric|retina|voiceprint)([_ ]?id)?",),
 }
+#: What columns of card and bank data are called.
+CARD = {
+    "primary_account_number": (r"pan", r"primary[_ ]?account[_ ]?number", r"(credit[_ ]?|debit[_ ]?)?card[_ ]?(no|num|number)", r"cc[_ ]?(no|num|number)", r"credit[_ ]?card"),
+    "card_verification": (r"cvv2?", r"cvc2?", r"cid", r"card[_ ]?verification([_ ]?(code|value|no|num|number))?", r"security[_ ]?code"),
+    "card_expiry": (r"card[_ ]?expir(y|ation)([_ ]?(date|month|year))?", r"exp[_ ]?(month|year)"),
+    "cardholder_name": (r"card[_ ]?holder([_ ]?name)?",),
+    "card_track_data": (r"track[12]?[_ ]?data", r"magstripe([_ ]?data)?"),
+    "bank_account": (r"iban", r"routing[_ ]?(no|num|number)", r"bank[_ ]?account([_ ]?(no|num|number))?", r"(aba|swift|bic)([_ ]?(code|no|num|number))?"),
+}
+#: A name and these dates are personal in tables of persons only, which are told by these words in their names.
+OF_PERSONS = {"name": (r"name",), "individual_linked_date": (r"(admi(t|ssion)|discharge|service|encounter|visit)([_ ]?date)?",)}
+PERSONS = (
+    "patient", "member", "subscriber", "beneficiary", "guarantor", "person", "people", "individual", "employee", "staff", "provider", "physician", "doctor", "nurse", "clinician", "customer", "client", "contact", "user",
+    "guardian", "dependent", "policyholder", "insured",
+)
 
 
-def category(name: str, person: bool = False) -> str | None:
-    """The kind of personal data that a column of that name holds; a bare name is one only in a table of persons."""
-    n = re.sub(r"line\d*$", "", plain(name)) if plain(name).startswith("address") else plain(name)
-    if n == "name":
-        return "name" if person else None
-    for kind, names in SENSITIVE.items():
-        for s in names:
-            if n == s.rstrip("*") or (s.endswith("*") and n in {s[:-1] + x for x in ("no", "num", "number")}):
-                return kind
-    return None
+def of_persons(table: str) -> bool:
+    """Whether a table, by the last part of its name or path, is one of persons."""
+    last = re.sub(r"\.\w+$", "", re.split(r"[/\\]", table.strip().lower())[-1])
+    return any(word in last for word in PERSONS)
+
+
+def category(name: str, person: bool | str = False) -> str | None:
+    """The kind of personal or card data that a column of that name, or the leaf of that path, holds.
+
+    person: whether its table is one of persons, or the table's name; only there names and dates of stays are personal."""
+    lists = [PERSONAL, CARD] + ([OF_PERSONS] if (of_persons(person) if isinstance(person, str) else person) else [])
+    tried = dict.fromkeys((name.strip(), name.strip().rpartition(".")[2]))
+    return next((kind for n in tried for known in lists for kind, shapes in known.items() if any(re.fullmatch(x, n, re.I) for x in shapes)), None)
 
 
-def sensitive(name: str, person: bool = True) -> bool:
+def sensitive(name: str, person: bool | str = True) -> bool:
     return category(name, person) is not None
 
 

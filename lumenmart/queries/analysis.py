@@ -221,11 +221,15 @@ def verify_signature(spark, sf_dir):
 
 @register(
     "verify_lineage",
-    "SELECT 'gold.revenue' AS name, 0 AS distance UNION ALL SELECT 'silver.price', 1 UNION ALL SELECT 'silver.rate', 1 UNION ALL SELECT 'bronze.price', 2 UNION ALL SELECT 'source.file', 3",
+    """WITH n AS (SELECT s_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = (SELECT min(s_suppkey) FROM supplier))
+    SELECT 's' || (SELECT min(s_suppkey) FROM supplier) AS name, 0 AS distance UNION ALL SELECT 'n' || n, 1 FROM n UNION ALL SELECT 'r' || r, 2 FROM n""",
 )
 def verify_lineage(spark, sf_dir):
-    edges = [("silver.price", "gold.revenue"), ("silver.rate", "gold.revenue"), ("bronze.price", "silver.price"), ("source.file", "bronze.price"), ("source.file", "bronze.other")]
-    return verify.lineage(spark.createDataFrame(edges, "source string, target string"), "gold.revenue")
+    """All that a supplier comes from, over the edges of all suppliers and nations."""
+    supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    name = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string"))
+    edges = supplier.select(name("n", "s_nationkey").alias("source"), name("s", "s_suppkey").alias("target")).unionByName(nation.select(name("r", "n_regionkey").alias("source"), name("n", "n_nationkey").alias("target")))
+    return verify.lineage(edges, f"s{supplier.agg(F.min('s_suppkey')).first()[0]}")
 
 
 def _fresh(spark, what):

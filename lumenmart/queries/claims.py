@@ -196,19 +196,18 @@ def evidence_retrieve(spark, sf_dir):
 
 @register(
     "evidence_decisions",
-    "SELECT * FROM (VALUES ('all known', 'stream', ''), ('one lacks', NULL, 'files'), ('settled without', 'batch', ''), ('any of', 'batch', ''), ('none', NULL, '')) AS t(name, outcome, lacking)",
+    """SELECT event_type AS name, CASE WHEN count(*) >= 1500 AND event_type IN ('view', 'click') THEN 'stream' WHEN event_type = 'signup' THEN NULL WHEN avg(value) > 49 OR event_type = 'error' THEN 'batch' END AS outcome,
+    CASE WHEN event_type = 'signup' THEN 'mean' ELSE '' END AS lacking FROM events GROUP BY event_type""",
 )
 def evidence_decisions(spark, sf_dir):
-    """Rules in order: a fact that lacks leaves a rule open, unless another part of it fails or holds anyway."""
-    rules = [("stream", {"latency": {"lt": 60}, "files": {"gte": 10}}), ("batch", {"any_of": [{"kind": {"in": ["db", "csv"]}}, {"size": {"gt": 5}}], "owner": {"ne": ""}})]
-    cases = {
-        "all known": {"latency": 5, "files": 20}, "one lacks": {"latency": 5}, "settled without": {"latency": 99, "kind": "db", "owner": "x"}, "any of": {"latency": 99, "size": 9, "owner": "x"},
-        "none": {"latency": 99, "kind": "api", "size": 1, "owner": "x"},
-    }
+    """Rules in order, on what the events say of each type: what is not known of sign-ups leaves a rule open."""
+    rules = [("stream", {"rows": {"gte": 1500}, "kind": {"in": ["view", "click"]}}), ("batch", {"any_of": [{"mean": {"gt": 49}}, {"kind": {"in": ["error"]}}]})]
+    known = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.avg("value").alias("mean")).collect()  # a row a type
     out = []
-    for name, facts in cases.items():
+    for r in known:
+        facts = {"kind": r.event_type, "rows": r["rows"]} | ({"mean": r["mean"]} if r.event_type != "signup" else {})
         outcome, lacking = evidence.decide(rules, facts)
-        out.append((name, outcome, ",".join(lacking)))
+        out.append((r.event_type, outcome, ",".join(lacking)))
     return spark.createDataFrame(out, "name string, outcome string, lacking string")
 
 
@@ -230,21 +229,19 @@ def verify_coverage(spark, sf_dir):
 
 @register(
     "names_keys",
-    "SELECT * FROM (VALUES ('key of orders', 'order_id'), ('natural key', 'orderId'), ('changed', 'updated_at'), ('mark', 'modified_at'), ('counter', 'row_version'), ('foreign', NULL), ('score', '0.95'), ('anchor', 'orders.shipdate'), ('no anchor', NULL), ('velocity', 'available_now')) AS t(asked, found)",
+    """SELECT 'order' AS owner, 'order_id' AS key, 'updated_at' AS mark, count(DISTINCT o_orderkey) AS keys, max(o_orderdate) AS latest FROM orders
+    UNION ALL SELECT 'event', 'event_id', 'created_at', count(DISTINCT event_id), max(ts) FROM events""",
 )
 def names_keys(spark, sf_dir):
-    """What names say of keys, marks, the columns and dates that a question means."""
-    from pyspark.sql import types as T
-
-    schema = T._parse_datatype_string("customer_id long, order_id long, modified_at timestamp, created_at timestamp, row_version long")
-    dates = [("orders", "orderdate"), ("orders", "shipdate"), ("customer", "born")]
-    anchor = names.temporal_anchor("revenue by ShipDate", [("orders", "OrderDate"), ("orders", "ShipDate")])
-    out = [
-        ("key of orders", (names.own_key(schema, "orders") or [None])[0]), ("natural key", names.natural_key(["customerId", "orderId"], "order")), ("changed", names.changed_at(["created_at", "updated_at"])),
-        ("mark", names.mark_column(schema)), ("counter", names.mark_column(T._parse_datatype_string("id long, row_version long"))), ("foreign", (names.own_key(schema, "lines") or [None])[0]),
-        ("score", str(names.term_score("order_date", "when it was ordered", [], ["order", "date"]))), ("anchor", ".".join(anchor).lower() if anchor else None), ("no anchor", names.temporal_anchor("revenue", dates)), ("velocity", names.velocity(600, True)),
-    ]
-    return spark.createDataFrame(out, "asked string, found string")
+    """Keys and marks that names of columns give, and what they hold."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer_id"), F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("updated_at"))
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").alias("created_at"))
+    out = None
+    for owner, df in (("order", orders), ("event", events)):
+        key, mark = names.own_key(df.schema, owner)[0], names.mark_column(df.schema)
+        one = df.agg(F.lit(owner).alias("owner"), F.lit(key).alias("key"), F.lit(mark).alias("mark"), F.count_distinct(key).alias("keys"), F.max(mark).alias("latest"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("join_candidate_keys", "SELECT * FROM (VALUES ('orders', 'o_orderkey', 'l_orderkey'), ('part', 'p_partkey', 'l_partkey'), ('customer', 'c_nationkey', 'n_nationkey')) AS t(name, a, b)")
@@ -257,7 +254,7 @@ def join_candidate_keys(spark, sf_dir):
 
 @register(
     "join_choices",
-    "SELECT * FROM (VALUES ('base', 'lineitem'), ('near', 'events'), ('pinned', 'orders'), ('flipped', 'orders.o_custkey = customer.c_custkey, true'), ('no edge', NULL), ('formula', 'customer'), ('exists', '')) AS t(asked, found)",
+    "SELECT 'rows' AS asked, count(*)::VARCHAR AS found FROM lineitem UNION ALL SELECT * FROM (VALUES ('base', 'lineitem'), ('near', 'events'), ('pinned', 'orders'), ('flipped', 'orders.o_custkey = customer.c_custkey, true'), ('no edge', NULL), ('formula', 'customer'), ('exists', '')) AS t(asked, found)",
 )
 def join_choices(spark, sf_dir):
     """Where to start, what would do as well, a pinned start, an edge asked for the other way round, and what formulas make necessary."""
@@ -267,7 +264,7 @@ def join_choices(spark, sf_dir):
     edge, flipped = joins.edge_between(edges, "customer", "orders")
     columns = {"orders": ["o_orderkey", "o_custkey"], "customer": ["c_custkey", "c_acctbal"]}
     out = [
-        ("base", base), ("near", ",".join(near)), ("pinned", joins.choose_base(scores, rows, "orders")[0]), ("flipped", f"{edge.many}.{edge.column} = {edge.one}.{edge.key}, {str(flipped).lower()}"),
+        ("rows", str(rows[base])), ("base", base), ("near", ",".join(near)), ("pinned", joins.choose_base(scores, rows, "orders")[0]), ("flipped", f"{edge.many}.{edge.column} = {edge.one}.{edge.key}, {str(flipped).lower()}"),
         ("no edge", joins.edge_between(edges, "part", "lineitem") and "found"), ("formula", ",".join(joins.formula_tables("o_orderkey + c_acctbal", "orders", columns))),
         ("exists", ",".join(joins.formula_tables("exists (select 1 from customer c where c.c_acctbal > 0 and c_custkey = o_custkey)", "orders", columns))),
     ]

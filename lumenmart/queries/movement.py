@@ -1,5 +1,6 @@
 """Marts that grow, members that come late, backfills, publishing, loads by ledger, layers with other columns, and streams."""
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -192,19 +193,43 @@ def source_modes(spark, sf_dir):
     raise AssertionError("modes were mixed")
 
 
-def _page(page):
-    if page == 3:
+def _answers(spark, sf_dir):
+    """Recorded answers of a source of customers, a page for each hundred of their keys."""
+    body = F.to_json(F.collect_list(F.struct(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))))
+    return table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("page")).agg(body.alias("answer"))
+
+
+def _ask(one):
+    if one["page"] % 4 == 3:
         raise OSError("no answer")
-    return [{"k": page * 10 + j, "v": f"p{page}"} for j in range(page)]
+    return json.loads(one["answer"])
 
 
-@register("source_pages", "SELECT 'row' AS kind, p * 10 + j AS k, 'p' || p AS v FROM (VALUES (2), (4)) AS t(p), range(4) AS r(j) WHERE j < p UNION ALL SELECT 'failed', 3, 'OSError: no answer'")
+@register(
+    "source_pages",
+    """SELECT 'row' AS kind, c_custkey AS k, c_name AS v FROM customer WHERE c_custkey // 100 % 4 <> 3 AND c_custkey // 100 > 1
+    UNION ALL SELECT DISTINCT 'failed', c_custkey // 100, 'OSError: no answer' FROM customer WHERE c_custkey // 100 % 4 = 3""",
+)
 def source_pages(spark, sf_dir):
-    """Five pages, of which one was fetched before, one is empty and one fails: the rest comes, the failure is put aside."""
-    rows, failed = files.fetched(spark, _page, 5, "k long, v string", spark.createDataFrame([(1,)], "page long"))
+    """Two pages were fetched before, and every fourth fails: the rest comes, the failures are put aside."""
+    rows, failed = files.fetched(_answers(spark, sf_dir), _ask, "k long, v string", spark.createDataFrame([(0,), (1,)], "page long"))
     return rows.select(F.lit("row").alias("kind"), "k", "v").unionByName(failed.select(F.lit("failed").alias("kind"), F.col("page").alias("k"), F.col("error").alias("v")))
 
 
+@register(
+    "source_pages_resumed",
+    """WITH p AS (SELECT DISTINCT c_custkey // 100 AS page FROM customer) SELECT (SELECT count(*) FROM p WHERE page < 6 AND page % 4 <> 3) AS first, (SELECT count(*) FROM p WHERE page >= 6 AND page % 4 <> 3) AS second,
+    (SELECT count(*) FROM p WHERE page % 4 = 3) AS third, count(*) AS rows, count(DISTINCT c_custkey) AS keys FROM customer""",
+)
+def source_pages_resumed(spark, sf_dir):
+    """A run that ends half way, one that goes on, and one that asks again for what had failed: each page is there once."""
+    held, answers, came = Versions(spark, f"{_fresh(spark, 'pages')}/t"), _answers(spark, sf_dir), []
+    for asked, ask in ((answers.filter("page < 6"), _ask), (answers, _ask), (answers, lambda one: json.loads(one["answer"]))):
+        came.append(files.load_pages(asked, ask, held, "k long, v string")[0])
+    counts = [F.lit(n).cast("long").alias(name) for name, n in zip(("first", "second", "third"), came, strict=True)]
+    return files.page_rows(held).agg(*counts, F.count(F.lit(1)).alias("rows"), F.count_distinct("k").alias("keys"))
+
+
 @register("source_warehouse", "SELECT r_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 500 GROUP BY 1")
 def source_warehouse(spark, sf_dir):
     at = files.Warehouse(spark, {"customer": table(spark, sf_dir, "customer")}, {n: table(spark, sf_dir, n) for n in ("nation", "region")})
@@ -233,13 +258,14 @@ def source_storage(spark, sf_dir):
     return files.storage(spark, {"nation": f"{base}/nation", "orders": f"{base}/orders"}).filter("bytes > 0").select("layer", "files", "rows")
 
 
-@register("source_freshness", "SELECT 1 AS files, false AS stale UNION ALL SELECT 1, true")
+@register("source_freshness", "SELECT count(*) AS rows, 1 AS files, false AS stale FROM orders UNION ALL SELECT count(*), 1, true FROM orders")
 def source_freshness(spark, sf_dir):
     """A layer just written, looked at now and in ten years."""
     base = _fresh(spark, "fresh")
-    table(spark, sf_dir, "region").coalesce(1).write.parquet(base)
+    table(spark, sf_dir, "orders").coalesce(1).write.parquet(base)
     now = spark.sql("SELECT cast(now() AS string)").first()[0]
-    return files.as_of(spark, base, 24, now).unionByName(files.as_of(spark, base, 24, "2036-01-01 00:00:00")).select("files", "stale")
+    seen = files.as_of(spark, base, 24, now).unionByName(files.as_of(spark, base, 24, "2036-01-01 00:00:00")).select("files", "stale")
+    return seen.join(F.broadcast(spark.read.parquet(base).agg(F.count(F.lit(1)).alias("rows"))))
 
 
 @register("union_tagged", "SELECT s_name AS name, s_acctbal AS balance, NULL AS segment, 'erp' AS source_system FROM supplier UNION ALL SELECT c_name, c_acctbal, c_mktsegment, 'crm' FROM customer")

@@ -60,12 +60,12 @@ def bands_and_amounts(spark, sf_dir):
 @register(
     "scalar_masks",
     """SELECT c_custkey, sha256(c_name) AS masked, sha256(coalesce(nullif(c_mktsegment, 'BUILDING'), '') || 'salt') AS salted, CASE WHEN c_name IS NOT NULL THEN '<redacted-pii>' END AS redacted,
-    CASE WHEN c_custkey % 120 > 89 THEN '90+' ELSE (c_custkey % 120)::VARCHAR END AS age, sha256(c_custkey::VARCHAR || '|' || c_mktsegment) AS surrogate FROM customer""",
+    CASE WHEN c_custkey % 120 > 89 THEN '90+' ELSE (c_custkey % 120)::VARCHAR END AS age, sha256(length(c_custkey::VARCHAR) || ':' || c_custkey || '|' || coalesce(length(nullif(c_mktsegment, 'BUILDING')) || ':' || nullif(c_mktsegment, 'BUILDING'), '-')) AS surrogate FROM customer""",
 )
 def masks(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(
         "c_custkey", c.masked(F.col("c_name")).alias("masked"), c.salted(F.expr("nullif(c_mktsegment, 'BUILDING')"), "salt").alias("salted"), c.redacted(F.col("c_name")).alias("redacted"),
-        c.old_age_together(F.col("c_custkey") % 120).alias("age"), c.surrogate_key(F.col("c_custkey"), F.col("c_mktsegment")).alias("surrogate"),
+        c.old_age_together(F.col("c_custkey") % 120).alias("age"), c.surrogate_key(F.col("c_custkey"), F.expr("nullif(c_mktsegment, 'BUILDING')")).alias("surrogate"),
     )
 
 

@@ -268,10 +268,24 @@ def grid_leaves(spark, sf_dir):
     return semantic.grid(people(spark, sf_dir), {"rowGroupCols": ["segment", "nation"], "groupKeys": ["BUILDING", 7], "sortModel": [{"colId": "custkey", "sort": "asc"}]})[0]
 
 
-@register("names_sensitive", "SELECT unnest(['c_name', 'DateOfBirth', 'e_mail', 'card_number', 'c_acctbal', 'Phone Number', 'department']) AS name, unnest([NULL, 'birth', 'email', 'card', NULL, 'phone', NULL]) AS kind")
+@register(
+    "names_sensitive",
+    """SELECT 'customer' AS owner, 'name' AS name, 'name' AS kind, count(c_name) AS values FROM customer UNION ALL SELECT 'customer', 'card_verification_code', 'card_verification', count(c_acctbal) FROM customer
+    UNION ALL SELECT 'customer', 'SubscriberId', 'health_plan_beneficiary', count(c_custkey) FROM customer UNION ALL SELECT 'customer', 'zip', 'address', count(c_nationkey) FROM customer
+    UNION ALL SELECT 'pages', 'url', 'url', count(url) FROM pages""",
+)
 def names_sensitive(spark, sf_dir):
-    asked = ("c_name", "DateOfBirth", "e_mail", "card_number", "c_acctbal", "Phone Number", "department")
-    return spark.createDataFrame([(n, names.category(n)) for n in asked], "name string, kind string")
+    """Columns of tables that hold personal data by their names, and how many values they have; a nation's name is none."""
+    customer = table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("name"), F.col("c_acctbal").alias("card_verification_code"), F.col("c_custkey").alias("SubscriberId"), F.col("c_nationkey").alias("zip"), F.col("c_mktsegment").alias("segment"),
+    )
+    out = None
+    for owner, df in (("customer", customer), ("nation", table(spark, sf_dir, "nation").withColumnRenamed("n_name", "name")), ("pages", table(spark, sf_dir, "pages")), ("orders", table(spark, sf_dir, "orders"))):
+        found = {n: k for n in df.columns if (k := names.category(n, owner))}
+        if found:
+            one = df.agg(F.array(*[F.struct(F.lit(owner).alias("owner"), F.lit(n).alias("name"), F.lit(k).alias("kind"), F.count(n).alias("values")) for n, k in found.items()]).alias("f")).select(F.inline("f"))
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register(

@@ -109,16 +109,23 @@ def sample_joint_distance(spark, sf_dir):
     return sampling.joint_distance(full, sampling.hashed(full, "l_orderkey", 100), "l_quantity", "l_extendedprice")
 
 
+HASHED = "('0x' || substr(md5(o_orderkey::VARCHAR || '|42'), 1, 8))::BIGINT % 1000000"
+
+
 @register(
     "sample_score",
-    """SELECT * FROM (VALUES ('all', round(100 * (1 - (0.2 * 0.05 + 0.1 * 0.01 + 0.15 * 0.02 + 0.15 * 0.1 + 0.2 * 0.04 + 0.1 * 0.3) / 0.9), 2), 'increase_pct_or_candidates'),
-    ('few', round(100 * (1 - (0.2 * 0.02 + 0.1 * 0.01) / 0.3), 2), 'use_current_sample'), ('model', round(100 * (1 - 0.25 * 0.4 / 0.25), 2), 'sample_not_model_ready')) AS t(name, score, advice)""",
+    f"""WITH f AS (SELECT o_orderpriority AS v, count(*) / sum(count(*)) OVER () AS p FROM orders GROUP BY 1),
+    s AS (SELECT k, o_orderpriority AS v, count(*) / sum(count(*)) OVER (PARTITION BY k) AS q FROM orders JOIN (VALUES ('small', 10), ('large', 300)) AS t(k, m) ON {HASHED} < m * 1000 GROUP BY 1, 2),
+    d AS (SELECT k, round(sum(abs(p - coalesce(q, 0))) / 2, 6) AS d FROM (SELECT k, f.v, p, q FROM f CROSS JOIN (SELECT DISTINCT k FROM s) LEFT JOIN s USING (k, v)) GROUP BY k)
+    SELECT k AS name, round(100 * (1 - d), 2) AS score, CASE WHEN 100 * (1 - d) < 90 THEN 'increase_pct_or_candidates' ELSE 'use_current_sample' END AS advice FROM d""",
 )
 def sample_score(spark, sf_dir):
-    held = {
-        "all": {"distribution": 0.05, "fill": 0.01, "numeric": 0.02, "relationship": 0.1, "target": 0.04, "tail": 0.3, "model": None}, "few": {"distribution": 0.02, "fill": 0.01}, "model": {"model": 0.4},
-    }
-    return spark.createDataFrame([(n, *sampling.score(p)) for n, p in held.items()], "name string, score double, advice string")
+    """Scores of a small and a large sample of the orders, by how far their priorities are from the table's."""
+    full, out = table(spark, sf_dir, "orders"), []
+    for name, per_mille in (("small", 10), ("large", 300)):
+        off = sampling.distance(full, sampling.hashed(full, "o_orderkey", per_mille), ["o_orderpriority"]).first()["distance"]
+        out.append((name, *sampling.score({"distribution": off})))
+    return spark.createDataFrame(out, "name string, score double, advice string")
 
 
 @register("sample_transfer")

@@ -167,27 +167,56 @@ def load_new(spark: SparkSession, path: str, table: Versions, checkpoint: str, k
     return files() - before
 
 
-def fetched(spark: SparkSession, fetch: Callable[[int], list[dict]], pages: int, schema: str, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pages 0 to pages - 1 of a web source, fetched inside tasks: (rows, pages that failed, with the error). Pages that `done` (page) names are not
-    fetched again. fetch(page) gives rows; what it raises puts the page aside and stops nothing else."""
-    asked = spark.range(pages).select(F.col("id").alias("page"))
-    asked = asked if done is None else asked.join(done.select("page").distinct(), "page", "left_anti")
+def _fetch(asked: DataFrame, fetch: Callable[[dict], list[dict]], schema: str) -> DataFrame:
+    """The rows of each page, with _page and _error; a page without rows is one row, marked _empty."""
     names = [f.name for f in T._parse_datatype_string(schema).fields]
 
     def run(batches):
         for batch in batches:
-            for page in batch["page"].tolist():
+            for one in batch.to_dict("records"):
                 try:
-                    rows, error = fetch(page), None
+                    rows, error = fetch(one), None
                 except Exception as e:
                     rows, error = [], f"{type(e).__name__}: {e}"
                 out = pd.DataFrame([{n: r.get(n) for n in names} for r in rows] or [dict.fromkeys(names)], columns=names)
-                yield out.assign(_page=page, _error=error, _empty=not rows)
+                yield out.assign(_page=one["page"], _error=error, _empty=not rows)
 
-    got = asked.repartition(max(1, min(pages, spark.sparkContext.defaultParallelism))).mapInPandas(run, f"{schema}, _page long, _error string, _empty boolean")
+    return asked.repartition(asked.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, f"{schema}, _page long, _error string, _empty boolean")
+
+
+def fetched(asked: DataFrame, fetch: Callable[[dict], list[dict]], schema: str, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pages of a web source, fetched inside tasks: (rows with _page, pages that failed, with the error).
+
+    asked: page, and what fetch needs to ask for it (an address, a token, a range). fetch(row) gives a page's rows; what it raises puts the page aside and stops nothing else.
+    Pages that `done` (page) names are not fetched again."""
+    got = _fetch(asked if done is None else asked.join(done.select("page").distinct(), "page", "left_anti"), fetch, schema)
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
     return got.filter("NOT _empty").select("_page", *names), got.filter("_error IS NOT NULL").select(F.col("_page").alias("page"), F.col("_error").alias("error"))
 
 
+def load_pages(asked: DataFrame, fetch: Callable[[dict], list[dict]], table: Versions, schema: str) -> tuple[int, int]:
+    """Pages that the table has not yet, fetched and appended: (pages that came, pages that failed).
+
+    Rows (part `data`), pages that came (`pages`, the checkpoint: empty ones are among them) and pages put aside (`quarantine`, with the error) are one version, so a run that
+    breaks off leaves nothing or all of it. Pages that failed are asked for again by the next run."""
+    done = table.read("pages")
+    got = _fetch(asked if done is None else asked.join(done, "page", "left_anti"), fetch, schema)
+    counts = {}
+
+    def parts(written: DataFrame) -> dict[str, DataFrame]:
+        came, failed = written.filter("_error IS NULL").select(F.col("_page").alias("page")).distinct(), written.filter("_error IS NOT NULL").select(F.col("_page").alias("page"), F.col("_error").alias("error"))
+        counts.update(came=came.count(), failed=failed.count())
+        return {"pages": came, "quarantine": failed}
+
+    table.append_with(got, parts)
+    return counts["came"], counts["failed"]
+
+
+def page_rows(table: Versions) -> DataFrame:
+    """The rows of all pages that came."""
+    return table.read().filter("NOT _empty").drop("_error", "_empty")
+
+
 def process(spark: SparkSession, path: str, out: str) -> DataFrame:
     """A source staged as Parquet, and its profile."""
     read(spark, path, detect(spark, path)).write.mode("overwrite").option("compression", "zstd").parquet(out)
