@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenmart.plans import trees
+from lumenmart.plans.names import safe_expr
+
 
 def normal(df: DataFrame) -> DataFrame:
     """Lower-case names in order; numbers to 2 places, dates by day, all as text."""
@@ -79,21 +83,15 @@ def reproduces(full: DataFrame, gold: DataFrame, keys: list[str], measure: str,
     return left.join(right, same, "full").filter(~fits).isEmpty()
 
 
-def column_lineage(df: DataFrame) -> list[tuple[str, str]]:
-    """(source.column, output column): what each output column is read from, keys and filters included. Each column's own plan is asked what it scans, so it
-    does not matter whether SQL or DataFrames made it."""
-    out = set()
-    for name in df.columns:
-        plan = df.select(f"`{name}`")._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-        for path, schema in re.findall(r"Location: \w+\s*\[([^\]]*)\].*?ReadSchema: struct<(.*)>", re.sub(r"\n(?!\()", " ; ", plan)):
-            source = path.split(",")[0].rstrip("/").rpartition("/")[2].removesuffix(".parquet")
-            out |= {(f"{source}.{c}", name) for c in re.findall(r"(?:^|,)([A-Za-z_]\w*):", schema)}
-    return sorted(out)
+def column_lineage(df: DataFrame) -> list[tuple[str, str, str]]:
+    """(table.column, output column or *, how): see `plans.trees.lineage`. It does not matter whether SQL or DataFrames made df."""
+    return trees.lineage(df)
 
 
-def coverage(kpi, df: DataFrame) -> list[str]:
-    """What a result lacks of what was asked for: cuts, dates where time is cut, measures, filters in its plan, rows beyond the top."""
-    found, columns = [], {f.name: f.dataType for f in df.schema.fields}
+def coverage(kpi, df: DataFrame, edges: Sequence[tuple[str, str]] = ()) -> list[str]:
+    """What a result lacks of what was asked for, by the tree of its plan: cuts, dates where time is cut, measures (their function and input), filters and bounds with their
+    operators and literals, both sides of a ratio, the number of rows, and joins (column, key)."""
+    found, columns, spark = [], {f.name: f.dataType for f in df.schema.fields}, df.sparkSession
     for d in kpi.dims:
         if d.name not in columns:
             found.append(f"grain: {d.name} lacks")
@@ -101,14 +99,37 @@ def coverage(kpi, df: DataFrame) -> list[str]:
             found.append(f"time: {d.name} is no date")
     shown = {"ratio"} if kpi.ratio else {"share"} if kpi.share else {"running": {"running_total"}, "moving": {"moving_average"}, "rank": {"rank"}}.get(kpi.window) or {m.name for m in kpi.measures}
     found += [f"measure: {m} lacks" for m in sorted(shown - set(columns))]
-    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()  # no public way to a plan's text
-    tests = " ".join(line for line in plan.split("\n") if "filter" in line)
+    plan = trees.Plan(df)
+    # What is asked is analysed over an empty table with the columns of the tables that the plan reads, and so has the same form.
+    leaves = {a.fields["name"]: a.fields["dataType"] for op in plan.root.walk() if not op.children for a in op.expressions.get("output", [])}
+    schema = T.StructType([T.StructField(n, T.StructType.fromJson({"type": "struct", "fields": [{"name": n, "type": t, "nullable": True, "metadata": {}}]})[0].dataType) for n, t in leaves.items()])
+    empty = spark.createDataFrame([], schema)
+
+    def lacks(asked: Callable[[], set[str]], held: set[str]) -> bool:
+        try:
+            return not asked() <= held
+        except AnalysisException:  # it names a column that no table of the plan has
+            return True
+
+    tests, aggregates = plan.tests(), plan.aggregates()
     for test in kpi.filters:
-        named = [w for w in re.findall(r"[a-z_]\w*", re.sub(r"'[^']*'", "", test.lower())) if w not in ("and", "or", "not", "in", "is", "null", "year", "date", "between")]
-        if not all(w in tests for w in named):
+        if lacks(lambda t=test: trees.Plan(empty.filter(safe_expr(t))).tests(), tests):
             found.append(f"filter: {test} lacks")
-    if kpi.top and "limit" not in plan:
-        found.append(f"shape: not limited to {kpi.top}")
+    for m in kpi.measures:
+        if m.name in columns and lacks(lambda m=m: trees.Plan(empty.agg(m.raw().alias("m"))).aggregates(), aggregates):
+            found.append(f"measure: {m.name} is another aggregate")
+    for op, bound in [b for b in (kpi.having, kpi.also) if b]:
+        if lacks(lambda o=op, b=bound: trees.Plan(empty.agg(kpi.measures[0].raw().alias("m")).filter(f"m {o} {b}")).tests(), tests):
+            found.append(f"bound: {kpi.measures[0].name} {op} {bound:g} lacks")
+    if kpi.ratio and "ratio" in columns:
+        form = plan.form(plan.out[df.columns.index("ratio")])
+        for side, m in zip(("numerator", "denominator"), kpi.measures, strict=False):
+            if lacks(lambda m=m: trees.Plan(empty.agg(m.raw().alias("m"))).aggregates(), {a for a in aggregates if a in form}):
+                found.append(f"ratio: {side} {m.name} lacks")
+    if kpi.top and (limits := plan.limits())[:1] != [kpi.top]:
+        found.append(f"shape: limited to {limits[0]}, not {kpi.top}" if limits else f"shape: not limited to {kpi.top}")
+    joined = plan.tests("joined")
+    found += [f"join: {a} = {b} lacks" for a, b in edges if f"EqualTo({', '.join(sorted((a, b)))})" not in joined]
     return found
 
 

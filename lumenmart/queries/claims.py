@@ -127,15 +127,24 @@ def verify_reproduces(spark, sf_dir):
     return spark.createDataFrame([(n, verify.reproduces(full, g, ["status"], "m")) for n, g in cases.items()], "name string, same boolean")
 
 
-@register(
-    "verify_column_lineage",
-    """SELECT * FROM (VALUES ('nation.n_name', 'n_name'), ('nation.n_nationkey', 'n_name'), ('customer.c_nationkey', 'n_name'), ('orders.o_custkey', 'n_name'), ('customer.c_custkey', 'n_name'),
-    ('nation.n_name', 'revenue'), ('nation.n_nationkey', 'revenue'), ('customer.c_nationkey', 'revenue'), ('orders.o_custkey', 'revenue'), ('customer.c_custkey', 'revenue'), ('orders.o_totalprice', 'revenue')) AS t(source, target)""",
-)
+LINEAGE = (
+    ("nation", "n_name", "land", "derived"), ("nation", "n_name", "*", "grouped"), ("orders", "o_totalprice", "revenue", "derived"), ("orders", "o_totalprice", "per_order", "derived"), ("orders", "o_orderkey", "per_order", "derived"),
+    ("orders", "o_custkey", "*", "joined"), ("customer", "c_custkey", "*", "joined"), ("customer", "c_nationkey", "*", "joined"), ("nation", "n_nationkey", "*", "joined"), ("orders", "o_orderstatus", "*", "filtered"),
+)
+
+
+@register("verify_column_lineage", " UNION ALL ".join(f"SELECT '{t}.{c}' AS source, '{target}' AS target, '{how}' AS how, count({c}) AS values FROM {t}" for t, c, target, how in LINEAGE))
 def verify_column_lineage(spark, sf_dir):
-    """From the plan of each output column: its inputs, and the keys that decide which rows it has."""
-    out = star(spark, sf_dir).groupBy("n_name").agg(F.sum("o_totalprice").alias("revenue"))
-    return spark.createDataFrame(verify.column_lineage(out), "source string, target string")
+    """From the plan's tree: what each output column, renamed or computed, is derived from, and the columns that decide about rows; and how many values each has."""
+    rows = star(spark, sf_dir).filter("o_orderstatus = 'F'").withColumnRenamed("n_name", "land")
+    out = rows.groupBy("land").agg(F.sum("o_totalprice").alias("revenue"), F.try_divide(F.sum("o_totalprice"), F.count("o_orderkey")).alias("per_order"))
+    edges = verify.column_lineage(out)
+    counted = None
+    for t in sorted({s.partition(".")[0] for s, _, _ in edges}):
+        df = table(spark, sf_dir, t)
+        one = df.agg(F.array(*[F.struct(F.lit(f"{t}.{c}").alias("source"), F.count(c).alias("values")) for c in df.columns]).alias("c")).select(F.inline("c"))
+        counted = one if counted is None else counted.unionByName(one)
+    return spark.createDataFrame(edges, "source string, target string, how string").join(counted, "source")
 
 
 LINKS = "(SELECT 'o' || (o_orderkey % 50) AS source, 'c' || o_custkey AS target, o_orderkey FROM orders WHERE o_orderkey % 10 < 2 UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 0 FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0 FROM nation)"
@@ -213,18 +222,25 @@ def evidence_decisions(spark, sf_dir):
 
 @register(
     "verify_coverage",
-    """SELECT * FROM (VALUES ('as asked', ''), ('no time', 'grain: month lacks'), ('no filter', 'filter: o_orderstatus = ''F'' lacks'), ('no limit', 'shape: not limited to 5'), ('other measure', 'measure: sum_o_totalprice lacks')) AS t(name, findings)""",
+    """SELECT name, findings, (SELECT count(*) FROM orders) AS rows FROM (VALUES ('as asked', ''), ('no time', 'grain: month lacks'), ('no filter', 'filter: o_orderstatus = ''F'' lacks'), ('other literal', 'filter: o_orderstatus = ''F'' lacks'),
+    ('other operator', 'filter: o_totalprice >= 1000 lacks'), ('no limit', 'shape: not limited to 5'), ('other limit', 'shape: limited to 50, not 5'), ('other measure', 'measure: sum_o_totalprice lacks'),
+    ('called so', 'measure: sum_o_totalprice is another aggregate'), ('other bound', 'bound: sum_o_totalprice >= 10 lacks')) AS t(name, findings)""",
 )
 def verify_coverage(spark, sf_dir):
-    """What results lack of one question, by their columns and plans."""
+    """What results lack of one question, by the trees of their plans."""
     rows = star(spark, sf_dir)
-    asked = kpi.read("sum(o_totalprice)", "Month(o_orderdate), n_name, o_orderstatus = 'F'", "top 5")
-    other = replace(asked, measures=(kpi.Measure("avg", "o_totalprice"),))
+    asked = kpi.read("sum(o_totalprice)", "Month(o_orderdate), n_name, o_orderstatus = 'F', o_totalprice >= 1000", "top 5 having at least 10 orders")
     cases = {
-        "as asked": kpi.answer(rows, asked), "no time": kpi.answer(rows, replace(asked, dims=asked.dims[1:])), "no filter": kpi.answer(rows.drop("o_orderstatus"), replace(asked, filters=())),
-        "no limit": kpi.answer(rows, replace(asked, top=None)), "other measure": kpi.answer(rows, other),
+        "as asked": asked, "no time": replace(asked, dims=asked.dims[1:]), "no filter": replace(asked, filters=asked.filters[1:]), "other literal": replace(asked, filters=("o_orderstatus = 'O'", asked.filters[1])),
+        "other operator": replace(asked, filters=(asked.filters[0], "o_totalprice > 1000")), "no limit": replace(asked, top=None), "other limit": replace(asked, top=50), "other bound": replace(asked, having=(">=", 11.0)),
     }
-    return spark.createDataFrame([(n, "; ".join(verify.coverage(asked, df))) for n, df in cases.items()], "name string, findings string")
+    found = {name: verify.coverage(asked, kpi.answer(rows, other)) for name, other in cases.items()}
+    other = replace(asked, measures=(kpi.Measure("avg", "o_totalprice"),), having=None)
+    bare = replace(asked, having=None)
+    found["other measure"] = verify.coverage(bare, kpi.answer(rows, other))
+    found["called so"] = verify.coverage(bare, kpi.answer(rows, other).withColumnRenamed("avg_o_totalprice", "sum_o_totalprice"))
+    out = spark.createDataFrame([(n, "; ".join(f)) for n, f in found.items()], "name string, findings string")
+    return out.join(F.broadcast(table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("rows"))))
 
 
 @register(
