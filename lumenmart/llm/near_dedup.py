@@ -294,25 +294,30 @@ def verify(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame
 
 
 def _open_buckets(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """key, node, root, registers of the buckets that several components share; and each one's largest component."""
+    """key, node, root, registers and keys (all its open ones) of the members of buckets that several components share; and each bucket's largest component."""
     at = members.join(roots, "node")
     mixed_up = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    at = kept(at.join(mixed_up, "key").select("key", "node", "root").join(sketches, "node"), "bucket-members")
+    at = at.join(mixed_up, "key").select("key", "node", "root")
+    # A node has a key a band at most.
+    at = kept(at.join(at.groupBy("node").agg(F.collect_set("key").alias("keys")), "node").join(sketches, "node"), "bucket-members")
     sizes = at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     return at, sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"))
 
 
 def _pairs(at: DataFrame, pivots: DataFrame, apart: str, s: Settings) -> DataFrame:
-    """Pairs of a bucket's pivots (key, pivot, of) with the members whose sketches are near theirs."""
-    near = (F.col("key") == F.col("pivot_key")) & F.expr(apart) & likely(F.col("registers"), F.col("of"), s)
+    """Pairs of a bucket's pivots (key, pivot, of, pivot_keys) with the members whose sketches are near theirs; a pair that meets in several buckets is made in that of
+    the least key only."""
+    first = F.col("key") == F.array_min(F.array_intersect("keys", "pivot_keys"))
+    near = (F.col("key") == F.col("pivot_key")) & F.expr(apart) & likely(F.col("registers"), F.col("of"), s) & first
     return at.join(pivots.withColumnRenamed("key", "pivot_key"), near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
 def _easy_round(at: DataFrame, most: DataFrame, s: Settings, k: int) -> DataFrame:
     """Pairs of one member of each bucket's largest component with the members outside."""
     drawn = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "registers")
-    pivots = at.join(most, "key").filter("root = most").groupBy("key", "most").agg(F.min(drawn).alias("p"))
-    return _pairs(at, pivots.select("key", "most", F.col("p.node").alias("pivot"), F.col("p.registers").alias("of")), "root <> most", s)
+    pivots = at.join(most, "key").filter("root = most").groupBy("key", "most").agg(F.min(drawn).alias("p")).select("key", "most", F.col("p.node").alias("pivot"), F.col("p.registers").alias("of"))
+    drawn_for = pivots.groupBy("pivot").agg(F.collect_set("key").alias("pivot_keys"))  # the buckets that drew it
+    return _pairs(at, pivots.join(drawn_for, "pivot"), "root <> most", s)
 
 
 def _full_round(at: DataFrame, s: Settings, low: float, high: float) -> DataFrame:
@@ -321,8 +326,10 @@ def _full_round(at: DataFrame, s: Settings, low: float, high: float) -> DataFram
     A node's draw is one number for all its buckets, so a pair comes once; and over rounds from 0 to 1 every pair of a bucket is met once."""
     draw = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20))
     free = at.filter(draw >= int(low * (1 << 20)))
-    pivots = free.filter(draw < int(high * (1 << 20))).select("key", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("registers").alias("of"))
-    return _pairs(free, pivots, "root <> pivot_root", s)
+    pivots = free.filter(draw < int(high * (1 << 20))).select("key", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("registers").alias("of"), F.col("keys").alias("pivot_keys"))
+    # Two pivots meet as one pair.
+    once = f"(node < pivot OR pmod(xxhash64(node, 7), {1 << 20}) >= {int(high * (1 << 20))})"
+    return _pairs(free, pivots, f"root <> pivot_root AND {once}", s)
 
 
 def _roots(banded: DataFrame, sketches: DataFrame, shingles: DataFrame, s: Settings) -> DataFrame:
