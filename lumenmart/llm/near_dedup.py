@@ -293,15 +293,13 @@ def verify(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(run, "a binary, b binary")
 
 
-def _open_buckets(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """key, node, root, registers and keys (all its open ones) of the members of buckets that several components share; and each bucket's largest component."""
+def _open_buckets(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+    """key, node, root, registers and keys (all its open ones) of the members of buckets that several components share."""
     at = members.join(roots, "node")
     mixed_up = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     at = at.join(mixed_up, "key").select("key", "node", "root")
     # A node has a key a band at most.
-    at = kept(at.join(at.groupBy("node").agg(F.collect_set("key").alias("keys")), "node").join(sketches, "node"), "bucket-members")
-    sizes = at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    return at, sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"))
+    return kept(at.join(at.groupBy("node").agg(F.collect_set("key").alias("keys")), "node").join(sketches, "node"), "bucket-members")
 
 
 def _pairs(at: DataFrame, pivots: DataFrame, apart: str, s: Settings) -> DataFrame:
@@ -312,10 +310,11 @@ def _pairs(at: DataFrame, pivots: DataFrame, apart: str, s: Settings) -> DataFra
     return at.join(pivots.withColumnRenamed("key", "pivot_key"), near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def _easy_round(at: DataFrame, most: DataFrame, s: Settings, k: int) -> DataFrame:
+def _easy_round(at: DataFrame, s: Settings, k: int) -> DataFrame:
     """Pairs of one member of each bucket's largest component with the members outside."""
     drawn = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "registers")
-    pivots = at.join(most, "key").filter("root = most").groupBy("key", "most").agg(F.min(drawn).alias("p")).select("key", "most", F.col("p.node").alias("pivot"), F.col("p.registers").alias("of"))
+    each = at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("p"))  # a member of every component; that of the largest stays
+    pivots = each.groupBy("key").agg(F.max(F.struct("n", "root", "p")).alias("x")).select("key", F.col("x.root").alias("most"), F.col("x.p.node").alias("pivot"), F.col("x.p.registers").alias("of"))
     drawn_for = pivots.groupBy("pivot").agg(F.collect_set("key").alias("pivot_keys"))  # the buckets that drew it
     return _pairs(at, pivots.join(drawn_for, "pivot"), "root <> most", s)
 
@@ -338,8 +337,8 @@ def _roots(banded: DataFrame, sketches: DataFrame, shingles: DataFrame, s: Setti
     roots = kept(banded.select("node").distinct().select("node", F.col("node").alias("root")), "roots", n)
     for k in range(s.easy_rounds + len(s.shares)):
         members = banded.filter(F.col("band") < s.first_bands) if k == 0 else banded
-        at, most = _open_buckets(members.select("key", "node"), roots, sketches)
-        pairs = _easy_round(at, most, s, k) if k < s.easy_rounds else _full_round(at, s, *((0.0, *s.shares)[k - s.easy_rounds :][:2]))
+        at = _open_buckets(members.select("key", "node"), roots, sketches)
+        pairs = _easy_round(at, s, k) if k < s.easy_rounds else _full_round(at, s, *((0.0, *s.shares)[k - s.easy_rounds :][:2]))
         links = kept(verify(pairs, shingles, s.threshold), "links")
         release(at)
         if found := links.count():
