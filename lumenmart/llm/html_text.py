@@ -3,15 +3,21 @@
 A page is read tag by tag into a tree of boxes: tags that authors leave out are implied (a new paragraph, list item, row, cell
 or option ends the one that is open; blocks end paragraphs; end tags close what is open inside them), and subtrees that a
 browser does not show are left out (scripts, styles, head matter, templates, comments, `hidden`, `aria-hidden`, display:none,
-visibility:hidden but for what is visible in it, closed dialogs, options that a drop-down list does not show, what media, objects
+visibility:hidden but for what is visible in it, closed dialogs, what closed details hold
+below their summary, options that a drop-down list does not show, what media, objects
 and canvases hold for browsers without them, annotations of formulas, titles and definitions of drawings). The tree is then laid out as plain text: blocks on lines of their own, one empty line
 around paragraphs, headings, lists and tables, items with bullets or numbers by depth, cells of a table padded to the width of
 their column, preformatted text as it stands. All text that is visible comes out, menus and footers included.
 
+Size and time stay in proportion to the page. Lines of a cell are wrapped at `WIDEST` columns; a row that would take over `PADDED` characters for each
+letter and cell in it gives its cells one below another; lists are indented up to `INDENTED` levels. No letter is lost by that. Tags are
+looked for once, open elements are found by their kind, so no page walks the same text or the open elements again and again.
+
 Each page is rendered on its own, within one pass over the table; Spark deals the pages and nothing is shuffled.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as it goes (an unclosed comment or script
-hides the rest); nesting beyond 200 levels (2000 where hidden) stays at that level, its text is kept; repeated rows are rendered alike; an empty
+hides the rest); nesting beyond 200 levels (2000 where hidden) stays at that level, its text is kept;
+a number of a character that is too long to be one gives U+FFFD; repeated rows are rendered alike; an empty
 table gives an empty result; null ids are passed on; extra columns are ignored.
 """
 
@@ -52,16 +58,25 @@ SCOPES = frozenset("table td th button".split())
 #: Inline elements whose end tag ends blocks in them too.
 HOLDERS = frozenset("select datalist svg math object canvas audio video".split())
 DEEPEST, DEEPEST_HIDDEN = 200, 2000
+WIDEST, PADDED, INDENTED = 80, 24, 16
 
 NAME_END, CLOSERS = re.compile(r"[\s/>]"), re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"([^\s/=][^\s/=>]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 #: Tags without these letters have no attribute that matters here.
 MAY_MATTER = re.compile(r"hidden|style|open|selected|disabled|multiple|size", re.I)
-DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*\"|'[^']*'|\([^)]*\))+")
+STYLE_MARK = re.compile("[;\"'()]")
+ZEROS, TOO_LONG = re.compile("&#0+(?=[0-9])"), re.compile("&#[0-9]{8,};?")
 START = re.compile(r"(?:^|\s)start\s*=\s*[\"']?(\d{1,9})", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+def decoded(text: str) -> str:
+    """text with its character references read."""
+    if "&#" in text:
+        text = TOO_LONG.sub("\ufffd", ZEROS.sub("&#", text))
+    return unescape(text)
+
+
 class Tags:
     """Comments, declarations and tags of a page, one after another. What can't be one is text; each quote or > is walked over once in vain at most, so a
     page takes time in proportion to its length."""
@@ -130,15 +145,30 @@ def attributes_of(text: str) -> dict[str, str]:
     if MAY_MATTER.search(text):
         for m in ATTRIBUTE.finditer(text):
             value = m[2] or ""
-            found.setdefault(m[1].lower(), unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+            found.setdefault(m[1].lower(), decoded(value[1:-1] if value[:1] in ("'", '"') else value))
     return found
 
 
+def declarations(style: str) -> Iterator[str]:
+    """What stands between semicolons outside of quotes and brackets; what is not closed goes on to the end."""
+    style, begin, at, inside = re.sub(r"/\*.*?(?:\*/|\Z)", "", style, flags=re.S), 0, 0, 0
+    while m := STYLE_MARK.search(style, at):
+        mark, at = m[0], m.end()
+        if mark in "\"'":
+            at = style.find(mark, at) + 1 or len(style)
+        elif mark != ";":
+            inside = max(0, inside + (1 if mark == "(" else -1))
+        elif not inside:
+            yield style[begin : at - 1]
+            begin = at
+    yield style[begin:]
+
+
 def styles_of(style: str) -> dict[str, str]:
     """display and visibility as a style attribute leaves them."""
     found: dict[str, tuple[bool, str]] = {}
-    for m in DECLARATION.finditer(re.sub(r"/\*.*?(?:\*/|\Z)", "", style, flags=re.S)):
-        name, _, value = m[0].partition(":")
+    for one in declarations(style):
+        name, _, value = one.partition(":")
         name, (value, bang, _) = name.strip().lower(), value.strip().lower().partition("!")
         if name in ("display", "visibility") and value and (bang or not found.get(name, (False,))[0]):
             found[name] = bool(bang), value.strip()
@@ -149,18 +179,32 @@ def parse(html: str) -> Box:
     """The tree of what is visible; strings are text."""
     root, tags = Box("html"), Tags(html)
     stack, at = [root], 0
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by tag, the root left out
+
+    def push(box: Box) -> None:
+        places.setdefault(box.tag, []).append(len(stack))
+        stack.append(box)
 
-    def close(tags: frozenset, within: frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in within:
-                return
+    def pop(k: int) -> None:
+        for box in stack[k:]:
+            places[box.tag].pop()
+        del stack[k:]
+
+    def close(kinds: frozenset, within: frozenset) -> None:
+        """Ends the innermost open element of these kinds unless one of `within` lies inside it."""
+        k = max((found[-1] for t in kinds if (found := places.get(t))), default=0)
+        if k == 0:
+            return
+        if len(stack) - k <= len(within):
+            barred = any(b.tag in within for b in stack[k + 1 :])
+        else:
+            barred = any(found[-1] > k for t in within if (found := places.get(t)))
+        if not barred:
+            pop(k)
 
     def text(raw: str) -> None:
         if stack[-1].visible:
-            stack[-1].children.append(unescape(raw))
+            stack[-1].children.append(decoded(raw))
 
     while at < len(html):
         found = tags.next(at)
@@ -174,24 +218,26 @@ def parse(html: str) -> Box:
         if tag is None:
             continue
         if closing:
-            if tag == "p" and all(b.tag != "p" for b in stack):
+            if tag == "p" and not places.get("p"):
                 stack[-1].children.append(Box("p"))
             outer = SCOPES if tag in HOLDERS else frozenset() if tag in SCOPES or tag in ("tr", "tbody", "thead", "tfoot") else SCOPES if tag in BLOCKS else SCOPES | BLOCKS
             close(frozenset((tag, "svg " + tag)), outer)
             continue
         if tag in RAW or tag in UNSEEN & VOID:
             if tag not in VOID and not attributes.rstrip().endswith("/"):
-                at = _past(html, at, tag)
+                at = _past(html, at, tag, tags.last)
             continue
         if stack[-1].foreign and tag in BREAKS_OUT:
-            while stack[-1].foreign:
-                stack.pop()
+            k = len(stack)
+            while stack[k - 1].foreign:
+                k -= 1
+            pop(k)
         if tag in BLOCKS:
             close(frozenset("p"), SCOPES)
         if tag in ENDS:
             close(*ENDS[tag])
         if tag == "head":
-            stack.append(Box("head"))  # what it may hold is unseen by itself
+            push(Box("head"))  # what it may hold is unseen by itself
             root.children.append(stack[-1])
             continue
         start = START.search(attributes) if tag == "ol" else None
@@ -200,7 +246,7 @@ def parse(html: str) -> Box:
             row.shown, row.visible = stack[-1].shown, stack[-1].visible
             stack[-1].children.append(row)
             if len(stack) < DEEPEST:
-                stack.append(row)
+                push(row)
         known, above = attributes_of(attributes), stack[-1]
         style = styles_of(known.get("style", ""))
         box = Box(tag, int(start[1]) if start else 1, known)
@@ -214,24 +260,24 @@ def parse(html: str) -> Box:
         if box.shown:
             above.children.append(box)
         if tag == "textarea":
-            end = re.compile(r"</textarea(?=[\s/>])[^>]*>", re.I).search(html, at)
+            end = re.compile(r"</textarea(?=[\s/>])[^>]*>", re.I).search(html, at, tags.last + 1)
             if box.visible:
-                box.children.append(unescape(html[at : end.start() if end else len(html)].removeprefix("\n")))
+                box.children.append(decoded(html[at : end.start() if end else len(html)].removeprefix("\n")))
             at = end.end() if end else len(html)
             continue
         if (box.foreign or above.foreign) and attributes.endswith("/"):
             continue
         # What is hidden is not rendered, but tags are matched in it as elsewhere, so that it ends where it should.
         if tag not in VOID and len(stack) < (DEEPEST if box.shown else DEEPEST_HIDDEN):
-            stack.append(box)
+            push(box)
     return root
 
 
-def _past(html: str, at: int, tag: str) -> int:
-    """Behind the end of an element that is not shown; elements of its kind may nest, but not in raw text."""
-    pattern, depth = re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I), 1
-    for m in pattern.finditer(html, at):
-        depth += -1 if m[1] else tag not in RAW
+def _past(html: str, at: int, tag: str, last: int) -> int:
+    """Behind the end of an element that is not shown, of which no tag ends after `last`. Templates may nest; in the others all but the end tag is text."""
+    pattern, depth = re.compile(rf"<({'/?' if tag == 'template' else '/'}){tag}(?=[\s/>])[^>]*>", re.I), 1
+    for m in pattern.finditer(html, at, last + 1):
+        depth += -1 if m[1] else 1
         if depth == 0:
             return m.end()
     return len(html)
@@ -244,6 +290,28 @@ def width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
+def wrapped(line: str) -> list[str]:
+    """line in pieces of at most WIDEST columns, broken at spaces where there are some, else anywhere but before a combining mark."""
+    if len(line) <= WIDEST // 2 or width(line) <= WIDEST:
+        return [line]
+    pieces, begin, space, columns = [], 0, -1, 0
+    for k, c in enumerate(line):
+        w = width(c)
+        if columns + w > WIDEST and k > begin:
+            if c == " ":
+                pieces.append(line[begin:k])
+                begin, columns = k + 1, 0
+                continue
+            cut = space if space > begin else k
+            pieces.append(line[begin:cut])
+            begin = cut + (cut < k)
+            columns = width(line[begin:k])
+        columns += w
+        if c == " ":
+            space = k
+    return [p.rstrip() for p in [*pieces, line[begin:]]]
+
+
 class Layout:
     """Lines so far; the line that is open; empty lines that the next text is due."""
 
@@ -302,13 +370,19 @@ def _table(box: Box, out: Layout, depth: int) -> None:
     for child in _outside_cells(box):
         _render(child, out, False, depth) if isinstance(child, Box) else out.text(child, False)
     out.end()
-    rows = [[_lines(cell, depth) for cell in row] for row in _cells(box)]
+    rows = [[[x for line in _lines(cell, depth) for x in wrapped(line)] for cell in row] for row in _cells(box)]
     columns = max(map(len, rows), default=0)
-    widths = [max((width(x) for r in rows if k < len(r) for x in r[k]), default=0) for k in range(columns)]
+    widths = [0] * columns
+    for row in rows:
+        for k, lines in enumerate(row):
+            widths[k] = max(widths[k], max(map(width, lines), default=0))
     for row in rows:
-        for i in range(max(map(len, row), default=0)):
-            cells = [c[i] if i < len(c) else "" for c in row]
-            line = "  ".join(x + " " * (widths[k] - width(x)) for k, x in enumerate(cells)).rstrip()
+        height, held = max(map(len, row), default=0), sum(len(x) - x.count(" ") for lines in row for x in lines)
+        if height * (sum(widths[: len(row)]) + 2 * len(row)) > PADDED * (held + len(row)):
+            aligned = (x for lines in row for x in lines)
+        else:
+            aligned = ("  ".join(x + " " * (widths[k] - width(x)) for k, lines in enumerate(row) for x in [lines[i] if i < len(lines) else ""]) for i in range(height))
+        for line in map(str.rstrip, aligned):
             if line:
                 out.text(line, True)
                 out.end()
@@ -363,7 +437,7 @@ def _render(box: Box, out: Layout, pre: bool, depth: int) -> None:
                 mark = f"{n}. " if tag == "ol" else "- "
                 n += 1
                 for k, line in enumerate(_lines(child, depth + 1)):
-                    out.text((mark if k == 0 else " " * len(mark)) + line if line else "", True)
+                    out.text((mark if k == 0 else " " * len(mark) if depth < INDENTED else "") + line if line else "", True)
                     out.end()
             else:
                 _render(child, out, pre, depth + 1)
@@ -377,7 +451,8 @@ def _render(box: Box, out: Layout, pre: bool, depth: int) -> None:
         out.space = True
     else:
         pre = pre or tag in ("pre", "textarea")
-        for child in box.children:
+        closed = tag == "details" and "open" not in box.attributes
+        for child in [c for c in box.children if isinstance(c, Box) and c.tag == "summary"][:1] if closed else box.children:
             _render(child, out, pre, depth) if isinstance(child, Box) else out.text(child, pre)
         if tag in ("td", "th"):
             out.space = True

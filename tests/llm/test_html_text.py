@@ -91,6 +91,82 @@ def test_long_pages_take_time_in_proportion():
         assert time.monotonic() - began < 20
 
 
+def test_no_page_takes_or_gives_out_of_proportion():
+    """About a megabyte each: raw text and styles that never end, many open elements, wide, tall and nested tables, deep lists. Letters are all kept."""
+    import time
+
+    pages = {
+        "<script>" + "<script " * 125_000: 0, "<script>" + "</script " * 110_000: 0, "<p style='" + "(" * 1_000_000 + "'>x": 1, "<p style='" + "(;" * 500_000 + "'>x": 1,
+        "<div hidden>" * 1990 + "<li>x" * 200_000: 0, "<ul><li><ul>" + "<b hidden>" * 1990 + "<li>x" * 200_000: 0,
+        "<table><tr><td>" + "x " * 250_000 + "<td>y" + "<tr><td>x<td>y" * 36_000 + "</table>": 250_000 + 1 + 72_000,
+        "<table><tr>" + "<td>x" * 50_000 + "<td>" + "x<br>" * 100_000 + "</table>": 150_000, "<table><tr>" + "<td>x" * 200 + "<tr><td>" * 90_000: 200,
+        "<table><tr><td>x<td>" * 300 + "x" * 50_000: 50_300, "<ul><li>" * 198 + "x<li>" * 50_000: 50_000, "<textarea>" + "</textarea " * 90_000: 90_000,
+    }
+    for page, letters in pages.items():
+        began = time.monotonic()
+        text = render(page)
+        assert time.monotonic() - began < 20, page[:40]
+        assert len(text) <= 32 * len(page), page[:40]
+        assert text.count("x") + text.count("y") == letters, page[:40]
+
+
+def test_long_cells_are_wrapped():
+    words = " ".join(f"w{k}" for k in range(100))
+    lines = render(f"<table><tr><td>{words}<td>b<tr><td>a<td>c</table>").split("\n")
+    assert lines[0].endswith("  b") and lines[-1].endswith("  c") and len({len(lines[0]), len(lines[-1])}) == 1
+    assert max(map(len, lines)) <= 83 and " ".join(" ".join(lines).split()).replace(" b", "").removesuffix(" a c") == words
+    assert html_text.wrapped("日" * 50) == ["日" * 40, "日" * 10] and html_text.wrapped("a" * 79 + "e\u0301x") == ["a" * 79 + "e\u0301", "x"]
+
+
+def test_references_details_and_templates():
+    assert render("&#0065;&#x41;&#" + "9" * 5000 + ";&#" + "0" * 5000 + "66;") == "AA\ufffdB"
+    assert render("<details>no<summary>a</summary>no<p>no</details><details open><summary>b</summary>c</details>d") == "a\nb\nc\nd"
+    assert render("a<template>no<template>no</template>no</template>b") == "ab" and render("<script>'<script </script>b") == "b"
+    assert html_text.styles_of("background:url(x;display:none") == {} and html_text.styles_of("a:(b(c);display:none);display:block") == {"display": "block"}
+
+
+def plain(tree, out):
+    """By brute force: a list of lines for trees of blocks, lists and tables that hold words."""
+    kind, inner = tree
+    if kind == "div":
+        for t in inner:
+            plain(t, out)
+    elif kind == "w":
+        out.append(inner)
+    elif kind == "ul":
+        for t in inner:
+            lines = []
+            plain(t, lines)
+            out.extend(("- " if k == 0 else "  ") + line for k, line in enumerate(lines))
+    else:
+        width = [max(len(row[k]) for row in inner if k < len(row)) for k in range(max(map(len, inner)))]
+        out.extend("  ".join(x.ljust(width[k]) for k, x in enumerate(row)).rstrip() for row in inner)
+
+
+def markup(tree):
+    kind, inner = tree
+    if kind == "w":
+        return f"<div>{inner}</div>"
+    if kind == "ul":
+        return "<ul>" + "".join(f"<li>{markup(t)}" for t in inner) + "</ul>"
+    if kind == "table":
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{x}" for x in row) for row in inner) + "</table>"
+    return "<div>" + "".join(map(markup, inner)) + "</div>"
+
+
+word = st.text("abcdef", min_size=1, max_size=8)
+leaf = word.map(lambda w: ("w", w)) | st.lists(st.lists(word, min_size=1, max_size=4), min_size=1, max_size=4).map(lambda rows: ("table", rows))
+trees = st.recursive(leaf, lambda t: st.lists(t, min_size=1, max_size=4).flatmap(lambda x: st.sampled_from([("div", x), ("ul", x)])), max_leaves=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(trees)
+def test_equals_a_renderer_by_brute_force(tree):
+    lines = []
+    plain(tree, lines)
+    assert [x for x in render(markup(tree)).split("\n") if x] == lines
+
+
 def test_tags_are_found_as_browsers_do():
     found = lambda page: [(t, c, a) for _, _, c, t, a in _all(html_text.Tags(page))]
     assert found("a<b c='>'>x</B ><!-- <i> --><?x><1><br/>") == [("b", False, " c='>'"), ("b", True, " "), (None, False, ""), (None, False, ""), ("br", False, "/")]
