@@ -5,6 +5,7 @@ A claim is made only where the numbers agree; where they don't, the answer is No
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from lumenmart.operators.semantic import rank_dimensions, start_grain
 from lumenmart.plans.names import find
+from lumenmart.plans.trees import Plan
 
 #: Difference of a cell, and of a total (absolute, relative); values of a slicer and of a cut; importance that a cut needs.
 CELL, TOTAL, TOTAL_SHARE = 0.01, 2.0, 0.01
@@ -41,6 +43,38 @@ def fixed_scope(gold: DataFrame, rows: DataFrame, measure: str) -> dict[str, obj
     return {find(c, rows.columns): out[f"v{k}"] for k, c in enumerate(shared) if out[f"n{k}"] == 1}
 
 
+def stated_scope(gold: DataFrame, columns: Sequence[str]) -> dict[str, object] | None:
+    """What a result's own plan limits it to, as a scope over these columns: {} where nothing does, None where not all of it can be said so.
+
+    Tests of one column are taken together: lists by what they share and what lies in the bounds, bounds by the tighter one."""
+    tests = Plan(gold).conditions()
+    if tests is None or any(find(c, columns) is None for c, _, _ in tests):
+        return None
+    lists: dict[str, list] = {}
+    bounds: dict[str, dict] = {}
+    for column, how, values in tests:
+        c = find(column, columns)
+        if how in ("=", "in"):
+            lists[c] = [v for v in lists.get(c, values) if v in values]
+        else:
+            held, tighter = bounds.setdefault(c, {}), max if how in ("from", "gt") else min
+            held[how] = tighter(values[0], held.get(how, values[0]))
+    lies = {"from": operator.ge, "to": operator.le, "gt": operator.gt, "lt": operator.lt}
+    for c, values in lists.items():
+        inside = [v for v in dict.fromkeys(values) if all(lies[k](v, b) for k, b in bounds.get(c, {}).items())]
+        bounds[c] = inside[0] if len(inside) == 1 else inside
+    return bounds
+
+
+def scoped_rows(gold: DataFrame, measure: str, by: str, rows: DataFrame, column: str) -> DataFrame | None:
+    """The rows that a result was made of, by the scope that its plan states, so that they can be cut by any other column: only where they give its numbers."""
+    scope = stated_scope(gold, rows.columns)
+    if scope is None:
+        return None
+    inside = within_scope(rows, scope)
+    return inside if matches(gold, measure, inside, column, [by]) else None
+
+
 def matches(gold: DataFrame, measure: str, rows: DataFrame, column: str, by: Sequence[str]) -> bool:
     """Whether the sums of the rows' column are the result's, cell by cell. Cells that only the rows have don't count."""
     want = gold.groupBy(*[F.col(b).alias(f"_g{k}") for k, b in enumerate(by)]).agg(F.round(F.sum(measure), 2).alias("_want"))
@@ -53,8 +87,8 @@ def matches(gold: DataFrame, measure: str, rows: DataFrame, column: str, by: Seq
 
 
 def measure_behind(gold: DataFrame, measure: str, cuts: Sequence[str], rows: DataFrame, candidates: Sequence[str]) -> tuple[str | None, dict[str, object]]:
-    """The column whose sums, within the result's scope, are the result at its first cut that varies; and that scope."""
-    scope = fixed_scope(gold, rows, measure)
+    """The column whose sums, within the result's scope, are the result at its first cut that varies; and that scope: what its plan states and its values show."""
+    scope = (stated_scope(gold, rows.columns) or {}) | fixed_scope(gold, rows, measure)
     lead = next((c for c in (find(c, rows.columns) for c in cuts) if c and c not in scope), None)
     if lead is None:
         return None, scope

@@ -57,6 +57,20 @@ def claim_rooted(spark, sf_dir):
     return proof.rooted(gold, "revenue", "c_mktsegment", rows, "o_totalprice", scope)
 
 
+WHERE = "o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1997-07-01' AND o_orderstatus IN ('F', 'O') AND o_totalprice > 20000"
+
+
+@register("claim_stated_scope", f"SELECT o_orderpriority, count(*) AS orders, round(sum(o_totalprice), 2) AS revenue FROM {STAR} WHERE {WHERE} GROUP BY 1")
+def claim_stated_scope(spark, sf_dir):
+    """A result that shows none of the columns that it is limited by, on its rows, cut anew; without rows where its plan says more than a scope can."""
+    rows = star(spark, sf_dir)
+    gold = rows.withColumnRenamed("o_orderdate", "day").filter(WHERE.replace("o_orderdate", "day")).groupBy("c_mktsegment").agg(F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+    inside = proof.scoped_rows(gold, "revenue", "c_mktsegment", rows, "o_totalprice")
+    if inside is None or proof.scoped_rows(gold.filter("revenue > 0"), "revenue", "c_mktsegment", rows, "o_totalprice") is not None:
+        raise AssertionError("the scope was not found, or a bound on groups was taken for one")
+    return inside.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+
+
 @register("claim_trend", "SELECT 'revenue' AS measure, CAST(date_trunc('year', o_orderdate) AS DATE) AS year, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 2")
 def claim_trend(spark, sf_dir):
     """A total's course by the coarsest grain with two blocks; a number that no measure gives has none."""
