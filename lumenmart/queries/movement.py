@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenmart.operators import layers
 from lumenmart.queries.analysis import _fresh
 from lumenmart.registry import register, table
-from lumenmart.sources import files
+from lumenmart.sources import files, web
 from lumenmart.sources.versions import Versions
 from lumenmart.streaming import streams
 
@@ -230,6 +230,26 @@ def source_pages_resumed(spark, sf_dir):
     return files.page_rows(held).agg(*counts, F.count(F.lit(1)).alias("rows"), F.count_distinct("k").alias("keys"))
 
 
+@register("source_pages_stream", "SELECT c_custkey AS k, c_name AS v, c_custkey // 100 AS page FROM customer")
+def source_pages_stream(spark, sf_dir):
+    """A data source whose pages are recorded answers: a stream of its first pages, and, when more are there, of the rest."""
+    at, customers = _fresh(spark, "answers"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"), F.floor(F.col("c_custkey") / 100).alias("page"))
+    customers.repartition("page").write.partitionBy("page").parquet(at)
+    held, pages = Versions(spark, f"{_fresh(spark, 'pages')}/t"), customers.agg(F.max("page") + 1).first()[0]
+
+    def fetch(asked):
+        from pyarrow import fs, parquet
+
+        system, root = fs.FileSystem.from_uri(at) if "://" in at else (fs.LocalFileSystem(), at.removeprefix("file:"))
+        files_of = [f.path for f in system.get_file_info(fs.FileSelector(f"{root}/page={asked['page']}", allow_not_found=True)) if f.path.endswith(".parquet")]
+        return [r for f in files_of for r in parquet.read_table(system.open_input_file(f)).to_pylist()]
+
+    for number in (min(6, pages), pages):
+        name = web.register_pages(spark, "recorded_customers", fetch, lambda number=number: number, "k long, v string")
+        web.load_stream(spark, name, held, f"{held.path}_checkpoint")
+    return files.page_rows(held).select("k", "v", F.col("_page").alias("page"))
+
+
 @register("source_warehouse", "SELECT r_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 500 GROUP BY 1")
 def source_warehouse(spark, sf_dir):
     at = files.Warehouse(spark, {"customer": table(spark, sf_dir, "customer")}, {n: table(spark, sf_dir, n) for n in ("nation", "region")})
