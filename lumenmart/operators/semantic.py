@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from lumenmart.operators import profiling
 from lumenmart.operators.kpi import Ambiguous, others, roll_up, slicer
+from lumenmart.operators.verify import settled
 from lumenmart.plans.names import find, label, sensitive
 
 #: What names of measures, and of columns that are none, hold.
@@ -225,10 +226,21 @@ def display_names(frame: DataFrame, key: str, names: DataFrame, names_key: str,
     return frame.join(found, F.col(key) == F.col("_key"), "left").select(F.coalesce("_name", F.col(key).cast("string")).alias(key), *rest)
 
 
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """rows with their place in an order, from 1, in column `name`: no task sorts all of them.
+
+    Ranges of the order are numbered each by itself and begin where the ranges before them end. The order must be a full one, so that ties are
+    split among ranges too. The rows are settled first: a range must hold the same rows when it is counted and when it is numbered."""
+    ranges = settled(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))  # one row a range
+    before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
+    placed = ranges.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order))).join(F.broadcast(before), "_range")
+    return placed.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def anonymous(frame: DataFrame, column: str, measure: str, noun: str) -> DataFrame:
     """Names replaced by `noun 1`, `noun 2` and so on, by the measure, largest first; equal names get equal labels. One row a name is ranked."""
-    totals = frame.groupBy(column).agg(F.sum(measure).alias("_t"))
-    ranked = totals.withColumn("_k", F.row_number().over(Window.orderBy(F.desc_nulls_last("_t"), column)))
+    ranked = numbered(frame.groupBy(column).agg(F.sum(measure).alias("_t")), "_k", F.desc_nulls_last("_t"), F.asc_nulls_first(column))
     ranked = ranked.select(F.col(column).alias("_name"), F.concat(F.lit(f"{noun} "), F.col("_k")).alias("_label"))
     rest = [c for c in frame.columns if c != column]
     return frame.join(ranked, F.col(column).eqNullSafe(F.col("_name"))).select(F.col("_label").alias(column), *rest)

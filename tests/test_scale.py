@@ -116,3 +116,17 @@ def test_sketches_roll_up_within_their_error(spark):
     for r in semantic.rolled(mart, ["kind"], ["n"]).collect():
         assert abs(r.distinct_user / exact_[r.kind] - 1) < 4 * semantic.sketch_error()
     assert semantic.rolled(mart, [], ["n"], {"kind": 1}).first()["n"] in (66_666, 66_667)
+
+
+def test_places_in_an_order_come_from_ranges(spark):
+    """Equal measures are told apart by name, null names and measures have their place, and more than one range is numbered."""
+    rows = [(f"n{k:04d}", None if k % 97 == 0 else float(k % 3)) for k in range(3000)] + [(None, 1.0)]
+    frame = spark.createDataFrame(rows, "name string, m double")
+    ranked = semantic.numbered(frame.repartition(7), "k", F.desc_nulls_last("m"), F.asc_nulls_first("name"))
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0] is not None, r[0] or ""))
+    assert [(r.name, r.m) for r in sorted(ranked.collect(), key=lambda r: r.k)] == order and sorted(r.k for r in ranked.select("k").collect()) == list(range(1, 3002))
+    assert semantic.numbered(frame.limit(0), "k", F.col("name")).count() == 0
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(_range" in plan
+    shown = semantic.anonymous(frame.union(frame), "name", "m", "Item")
+    assert shown.count() == 6002 and shown.select("name").distinct().count() == 3001
