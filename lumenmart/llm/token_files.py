@@ -9,9 +9,9 @@ Documents are dealt to shards by ranges of ascending id, each shard is written b
 their final names only when complete, so a task that runs again (or twice) leaves the same files. Where a shard's ids start
 in the whole corpus follows from the shards' totals, one row a shard.
 
-Texts are encoded with the tokenizers library. Where the tokenizer drops spaces between words (as word_bpe_49k.json does), the
-pieces between spaces, and the words that it cuts them into, are encoded once and remembered, in tables of bounded size: no token spans
-two of them, so the ids are those of the whole text, which the tests hold against whole texts.
+Texts are encoded with the tokenizers library. Where the tokenizer drops spaces between words (as word_bpe_49k.json does), the different
+pieces between spaces of a chunk of texts are cut into words, which are encoded once and remembered, in two generations of bounded size: no
+token spans two words, so the ids are those of the whole text, which the tests hold against whole texts.
 
 Defined results: a null text is empty and has the end id alone; null ids come first; rows that repeat an id follow each other in
 any order; an empty table writes no file and gives an empty result; extra columns are ignored.
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import itertools
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,12 +28,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenmart.llm.chunks import Remembered, chunks, expanded, places
 from lumenmart.llm.common import kept, scratch
 
+#: Bytes of text that are encoded together.
+CHUNK = 4 << 20
 MANIFEST = "shard int, path string, docs long, tokens long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -43,59 +46,69 @@ def _open_fs(uri: str):
     return arrow_fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
-#: Fixed value: how word_bpe_49k.json cuts normalised text into words, said for the characters of PLAIN.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-#: Characters whose normal form, lower case and kind Python and the tokenizer agree on: ASCII and composed Latin letters.
-PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]*")
+#: Fixed value: how word_bpe_49k.json cuts lower-case words, said for the characters of PLAIN.
+WORDS = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ňŋ-ž]+|[0-9]|[!-/:-@\[-`{-~]+)"
+#: Characters whose normal form, lower case and kind Arrow and the tokenizer agree on: ASCII and composed Latin letters.
+PLAIN = r"^[!-~À-ÖØ-öø-įı-ňŊ-ž]*$"
 
 
 class Encoder:
-    """Ids of whole texts, as bytes of little-endian 32 bits. by_space: encode what stands between spaces, by words where that is
-    safe, and remember both; unseen words go to the library together, apart by spaces, and part again at tokens that end a word."""
+    """Ids of whole texts. by_space: encode what stands between spaces, by words where that is safe, and remember the words; unseen ones go to
+    the library together, apart by spaces, and part again at tokens that end a word."""
 
     def __init__(self, path: str, by_space: bool = True, remembered: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_space, self.remembered = Tokenizer.from_file(path), by_space, remembered
+        self.tokenizer, self.by_space = Tokenizer.from_file(path), by_space
         vocabulary = self.tokenizer.get_vocab()
-        self.width, self.known, self.words = max(vocabulary.values(), default=0) + 1, {"": b""}, {}
+        self.width = max(vocabulary.values(), default=0) + 1
         self.ends = np.zeros(self.width, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words = Remembered(self._learn, remembered)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn_words(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > 2 * self.remembered:
-            self.words.clear()
-        for a in range(0, len(words), 2000):
-            some = words[a : a + 2000]
+    def _learn(self, words: list[str]) -> list[bytes]:
+        there, out = [w for w in words if w], []
+        for a in range(0, len(there), 2000):
+            some = there[a : a + 2000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1).tolist()
             raw = ids.tobytes()
             parts = [raw[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:], strict=False)]
-            self.words.update(zip(some, parts if len(parts) == len(some) else self._raw(some), strict=True))
-
-    def _learn(self, pieces: list[str]) -> None:
-        plain = {p: WORDS.findall(p.lower()) for p in pieces if PLAIN.fullmatch(p) and "<|" not in p}
-        self._learn_words([w for w in {w for ws in plain.values() for w in ws} if w not in self.words])
-        for p, ws in plain.items():
-            self.known[p] = b"".join([self.words[w] for w in ws])
-        rest = [p for p in pieces if p not in plain]
-        self.known.update(zip(rest, self._raw(rest), strict=True))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
+            out += parts if len(parts) == len(some) else self._raw(some)
+        each = iter(out)
+        return [next(each) if w else b"" for w in words]
+
+    @staticmethod
+    def _flat(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(raw), "<u4"), places([len(x) // 4 for x in raw])
+
+    @staticmethod
+    def _spread(split: pa.Array, codes: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each list of codes, one after another, and where each list's begin and end, from those of each code."""
+        return flat[expanded(codes, at)], places(np.diff(at)[codes])[places(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and their places, first of the pieces that are cut into words, then of the others; and where among these each piece stands."""
+        plain = pc.and_not(pc.match_substring_regex(pieces, PLAIN), pc.match_substring(pieces, "<|"))
+        cut = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(pieces.filter(plain)), WORDS, r"\1 "), " ")
+        coded = cut.flatten().dictionary_encode()
+        words, ends = self._spread(cut, coded.indices.to_numpy(zero_copy_only=False), *self._flat(self.words.of(coded.dictionary.to_pylist())))
+        others, more = self._flat(self._raw(pieces.filter(pc.invert(plain)).to_pylist()))
+        order, first = np.empty(len(pieces), np.int64), plain.to_numpy(zero_copy_only=False)
+        order[first], order[~first] = np.arange(len(ends) - 1), len(ends) - 1 + np.arange(len(more) - 1)
+        return np.concatenate([words, others]), np.concatenate([ends, ends[-1] + more[1:]]), order
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text's begin and end."""
         if not self.by_space:
-            return self._raw(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [p for p in set().union(*split) if p not in self.known] if split else []
-        if len(self.known) + len(new) > self.remembered:
-            self.known = {"": b""}
-            new = list(set().union(*split) - {""})
-        if new:
-            self._learn(new)
-        known = self.known
-        return [b"".join([known[p] for p in pieces]) for pieces in split]
+            return self._flat(self._raw(texts.to_pylist()))
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        flat, at, order = self._pieces(coded.dictionary)
+        return self._spread(split, order[coded.indices.to_numpy(zero_copy_only=False)], flat, at)
 
 
 @lru_cache(maxsize=2)
@@ -165,13 +178,11 @@ def write(docs: DataFrame, where: str, tokenizer: str, id_col: str = "doc_id", t
         from pyspark import TaskContext
 
         shard, own, out = TaskContext.get().partitionId(), encoder(tokenizer, by_space), None
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for b in batches:
-            for a in range(0, b.num_rows, 300):
-                part = b.slice(a, 300)
-                out = out or ShardWriter(where, shard, length, own.width)
-                encoded = own.encode_all([t or "" for t in part.column(1).to_pylist()])
-                out.add(part.column(0).to_pylist(), [np.frombuffer(x + end, "<u4") for x in encoded])
+        end = np.array([end_id], dtype="<u4")
+        for ids, texts in chunks(batches, CHUNK):
+            out = out or ShardWriter(where, shard, length, own.width)
+            flat, at = own.encode_all(texts)
+            out.add(ids.to_pylist(), [np.append(flat[i:j], end) for i, j in itertools.pairwise(at.tolist())])
         if out:
             path = out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "docs": [out.docs], "tokens": [out.tokens]})

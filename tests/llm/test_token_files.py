@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from lumenmart.llm import token_files
@@ -57,3 +58,16 @@ def test_a_file_appears_only_when_complete(tmp_path):
         token_files.ShardReader(str(tmp_path / "shard-000000.arrow"))
     out.close()
     assert next(token_files.ShardReader(str(tmp_path / "shard-000000.arrow")).documents())[2].tolist() == list(range(10))
+
+
+def test_more_words_than_are_remembered():
+    """Words that come again after, and while, the remembered ones are dropped."""
+    from tokenizers import Tokenizer
+
+    own, library = token_files.Encoder(PATH, remembered=5), Tokenizer.from_file(PATH)
+    for k in "abcdefghijkl":
+        texts = [t or "" for t in TEXTS] + [f"again w{k}x it's-{k} again{k}zq", " ".join(f"{k}q{c}" for c in "abcdefgh")]
+        flat, at = own.encode_all(pa.array(texts))
+        assert [flat[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    flat, at = own.encode_all(pa.array([], pa.string()))
+    assert (len(flat), at.tolist()) == (0, [0])
