@@ -120,7 +120,9 @@ SHAPE_SHARE, KIND_SHARE, LEAST_VALUES, LONG_LABEL = 0.8, 0.6, 3, 16
 
 
 def has_shape(c: Column, kind: T.DataType, shape: str) -> Column:
-    """Whether a value has the shape. Money as a number is one that two decimals hold; whole numbers are no money."""
+    """Whether a value has the shape. Money as a number is one that two decimals hold; whole numbers are no money, and digits of a number no code."""
+    if shape == "fixed_length_alnum" and isinstance(kind, T.NumericType):
+        return F.lit(False)
     if shape == "currency_2dp" and not isinstance(kind, T.StringType):
         return F.abs(F.round(c, 2) - c) < 1e-9 if isinstance(kind, (T.FractionalType, T.DecimalType)) else F.lit(False)
     return c.cast("string").rlike(SHAPES[shape])
