@@ -4,8 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lumenmart.functions import columns
 from lumenmart.operators import graphs, profiling, sampling, selection, semantic, verify
 from lumenmart.plans import joins
+from lumenmart.queries import scale
 
 
 def exact(values, q):
@@ -130,3 +132,14 @@ def test_places_in_an_order_come_from_ranges(spark):
     assert "row_number() windowspecdefinition(_range" in plan
     shown = semantic.anonymous(frame.union(frame), "name", "m", "Item")
     assert shown.count() == 6002 and shown.select("name").distinct().count() == 3001
+
+
+def test_the_query_of_multisets_needs_no_fixed_key(spark, tmp_path):
+    rows = spark.createDataFrame([(100, 1, 0.0), (100, 2, 9.5), (300, 4, 7.25), (300, 4, 7.25)], "l_orderkey long, l_linenumber int, l_extendedprice double")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert scale.multiset(spark, str(tmp_path)).first().asDict() == {"rows": 4, "reordered": True, "one_cell": False, "a_row_twice": False}
+
+
+def test_a_number_is_no_code(spark):
+    rows = spark.range(1_000_000, 1_000_010).select("id", F.col("id").cast("string").alias("text"), (F.col("id") / 7).alias("part"))
+    assert rows.agg(*[columns.shape_of(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields]).first().asDict() == {"id": None, "text": "fixed_length_alnum", "part": None}
