@@ -2,7 +2,10 @@
 
 Each round is one aggregation that gives every group its size, its number of different values (estimated) and a grid of approximate quantiles, whose error is a tenth of
 the grid's spacing. The two grid values around a wanted rank, one further on each side, bound it; what lies below is counted, and only the band between goes on to the next
-round, some 3 of `GRID` parts of the group. A group or band of few different values is settled by their counts."""
+round, some 3 of `GRID` parts of the group. A group or band of few different values is settled by their counts.
+
+What is known of a group reaches its rows by broadcast for the `HOT` largest groups, so that no key's rows meet in one task, and rows are only counted where they carry it: an aggregate
+that kept it would sort them."""
 
 from __future__ import annotations
 
@@ -11,11 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenmart.functions.columns import all_of
 from lumenmart.operators.verify import settled
 
 GRID = 500
 #: Different values that one task sorts.
 FEW = 50_000
+#: Groups whose row is broadcast.
+HOT = 10_000
 
 
 def quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str] = (), few: int = FEW) -> DataFrame:
@@ -35,7 +41,7 @@ def quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str]
         else:
             stats = _with(stats, targets, group)
         stats = settled(stats)
-        found.append(_by_counts(_with(rows, stats.filter(F.col("d") <= few).select(*group, "t"), group, "inner"), group))
+        found.append(_by_counts(rows, stats.filter(F.col("d") <= few).select(*group, "n", "t"), group))
         large = stats.filter(F.col("d") > few)
         if large.isEmpty():
             break
@@ -43,10 +49,11 @@ def quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str]
         step = lambda r: r.cast("double") / (F.col("n") - 1) * GRID
         low = lambda t: F.when(F.floor(step(t["rank"])) >= 1, F.get("g", (F.floor(step(t["rank"])) - 1).cast("int"))).otherwise(F.lit(float("-inf")))
         high = lambda t: F.when(F.ceil(step(t["rank"] + 1)) < GRID, F.get("g", (F.ceil(step(t["rank"] + 1)) + 1).cast("int"))).otherwise(F.lit(float("nan")))
-        bounds = large.select(*group, F.transform("t", lambda t: F.struct(t["q"].alias("q"), t["rank"].alias("rank"), t["part"].alias("part"), low(t).alias("lo"), high(t).alias("hi"))).alias("t"))
+        bounds = large.select(*group, "n", F.transform("t", lambda t: F.struct(t["q"].alias("q"), t["rank"].alias("rank"), t["part"].alias("part"), low(t).alias("lo"), high(t).alias("hi"))).alias("t"))
         width = len(at) if first else 1
-        met = _with(rows, bounds, group, "inner")
-        below = met.groupBy(*group).agg(F.first("t").alias("t"), F.array(*[F.count_if(F.col("v") < F.get("t", F.lit(k))["lo"]) for k in range(width)]).alias("below"))
+        met = _met(rows, bounds, group)
+        below = met.groupBy(*group).agg(*[F.count_if(F.col("v") < F.get("t", F.lit(k))["lo"]).alias(f"_b{k}") for k in range(width)])
+        below = _with(below.select(*group, F.array(*[f"_b{k}" for k in range(width)]).alias("below")), bounds, group)
         pairs = below.select(*group, F.inline(F.arrays_zip("t", "below")))
         inside = met.select(*group, "v", F.explode(F.filter("t", lambda t: (F.col("v") >= t["lo"]) & (F.col("v") <= t["hi"]))).alias("t"))
         rows = settled(inside.select(*group, "v", F.col("t")["q"].alias("_q")) if first else inside.select(*group, "v"))
@@ -69,18 +76,23 @@ def of_columns(df: DataFrame, columns: Sequence[str], at: Sequence[float], by: S
 def _with(rows: DataFrame, more: DataFrame, group: Sequence[str], how: str = "left") -> DataFrame:
     """Join by group, of which null is one; a row a group on the right."""
     other = more.select(*[F.col(g).alias(f"_r{g}") for g in group], "t")
-    same = None
-    for g in group:
-        test = F.col(g).eqNullSafe(F.col(f"_r{g}"))
-        same = test if same is None else same & test
-    return rows.join(other, same, how).drop(*[f"_r{g}" for g in group])
+    return rows.join(other, all_of([F.col(g).eqNullSafe(F.col(f"_r{g}")) for g in group]), how).drop(*[f"_r{g}" for g in group])
+
+
+def _met(rows: DataFrame, more: DataFrame, group: Sequence[str]) -> DataFrame:
+    """rows of the groups in `more` (group, n, t; settled), with t: the largest groups by broadcast, which leaves each of the others a `HOT`-th of all rows at most."""
+    if not more.offset(HOT).limit(1).isEmpty():
+        largest = settled(more.orderBy(F.desc("n"), *group).limit(HOT))
+        other = more.join(F.broadcast(largest.select(*[F.col(g).alias(f"_l{g}") for g in group])), all_of([F.col(g).eqNullSafe(F.col(f"_l{g}")) for g in group]), "left_anti")
+        return _with(rows, F.broadcast(largest), group, "inner").unionByName(_with(rows, other, group, "inner"))
+    return _with(rows, F.broadcast(more), group, "inner")
 
 
-def _by_counts(rows: DataFrame, group: Sequence[str]) -> DataFrame:
-    """rows: group, v, t. The wanted ranks from the counts of different values, which few rows hold."""
-    counts = rows.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"), F.first("t").alias("t"))
+def _by_counts(rows: DataFrame, more: DataFrame, group: Sequence[str]) -> DataFrame:
+    """rows: group, v; more: group, n, t. The wanted ranks from the counts of different values, which few rows hold."""
+    counts = _met(rows, more, group).groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
     upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy("v")))
-    each = upto.select(*group, "v", "upto", F.explode("t").alias("t"))
+    each = _with(upto, more, group).select(*group, "v", "upto", F.explode("t").alias("t"))
     rank = F.col("t")["rank"]
     keys = [g for g in group if g != "_q"]
     ends = each.groupBy(*keys, F.col("t")["q"].alias("q"), F.col("t")["part"].alias("part")).agg(

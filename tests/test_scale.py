@@ -37,6 +37,19 @@ def test_selection_without_groups(spark):
     assert {(x.column_name, x["value"]) for x in selection.of_columns(two, ["v", "w"], [0.1]).collect()} == {("v", 2000.0), ("w", -18000.0)}
 
 
+def test_quantiles_sort_no_rows(spark, monkeypatch):
+    """Rows are counted by hash; of more groups than are broadcast, the largest ones are."""
+    rows = spark.range(4000).select(F.when(F.col("id") < 2000, F.lit("hot")).when(F.col("id") % 41 > 0, (F.col("id") % 41).cast("string")).alias("g"), (F.col("id") * 7919 % 4001).cast("double").alias("v")).checkpoint()
+    found = selection.quantiles(rows, "v", [0.25, 0.9], ["g"], few=100)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(selection, "HOT", 3, raising=False)
+    want = {}
+    for r in rows.collect():
+        want.setdefault(r.g, []).append(r.v)
+    for out in (found, selection.quantiles(rows, "v", [0.25, 0.9], ["g"], few=100)):
+        assert {(r.g, r.q): round(r["value"], 6) for r in out.collect()} == {(g, q): round(exact(v, q), 6) for g, v in want.items() for q in (0.25, 0.9)}
+
+
 def test_tails_of_nothing(spark):
     empty = spark.createDataFrame([], "v double, w double")
     assert {(r["column"], r["tail"], r.full_share) for r in sampling.tail_shares(empty, empty, ["v"]).collect()} == {("v", "low", None), ("v", "high", None)}
