@@ -6,7 +6,7 @@ tables, are integers and become planes in two's complement. A document's weight
 
     sum over k and j of 2^(k+j) * popcount(plane k AND gain plane j), the gains' last plane with the sign minus
 
-One pass over the texts makes planes and totals (kept as Parquet, a row a chunk); the totals of all chunks are `buckets` rows and pass through the driver; a
+One pass over the texts makes planes and totals (kept as Parquet, a row a document and a row of totals a chunk); the totals of all chunks are `buckets` rows and pass through the driver; a
 second pass reads planes, not texts. Features' checksums come from those of words: crc32 is linear, so the checksum of `u v` is that of `u`, shifted by the
 length of ` v`, xor that of ` v`; the shift of a whole array is four table look-ups.
 
@@ -119,11 +119,11 @@ def planes(matrix: np.ndarray) -> list[bytes]:
 
 
 def counted(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """A row for each chunk: docs (array of id, n_words, n_features, planes) and totals (array of long, one a bucket)."""
+    """A row for each document: id, n_words, n_features, planes; and one for each chunk, with totals (array of long, one a bucket) alone. No row is larger than a document's
+    planes, since readers hold thousands of rows at once."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType
-    doc = pa.struct([("id", to_arrow_type(kind)), ("n_words", pa.int64()), ("n_features", pa.int64()), ("planes", pa.binary())])
-    schema = pa.schema([("docs", pa.list_(doc)), ("totals", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", to_arrow_type(kind)), ("n_words", pa.int64()), ("n_features", pa.int64()), ("planes", pa.binary()), ("totals", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches, CHUNK, ROWS):
@@ -135,17 +135,17 @@ def counted(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFr
                 z = min(len(ids), a + BLOCK)
                 keys = bucket[cuts[a] : cuts[z]] + np.repeat(np.arange(z - a), n_features[a:z]) * buckets
                 sliced += planes(np.bincount(keys, minlength=(z - a) * buckets).reshape(z - a, buckets))
-            each = pa.StructArray.from_arrays([ids, pa.array(n_words), pa.array(n_features), pa.array(sliced, pa.binary())], fields=list(doc))
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            yield pa.RecordBatch.from_arrays([one(each), one(pa.array(np.bincount(bucket, minlength=buckets)))], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids.cast(schema.types[0]), pa.array(n_words), pa.array(n_features), pa.array(sliced, pa.binary()), pa.nulls(len(ids), schema.types[4])], schema=schema)
+            one = pa.ListArray.from_arrays(pa.array([0, buckets], pa.int32()), pa.array(np.bincount(bucket, minlength=buckets)))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in schema.types[:4]), one], schema=schema)
 
-    return rows.mapInArrow(run, f"docs array<struct<id:{kind.simpleString()},n_words:long,n_features:long,planes:binary>>, totals array<long>")
+    return rows.mapInArrow(run, f"id {kind.simpleString()}, n_words long, n_features long, planes binary, totals array<long>")
 
 
 def totals(chunked: DataFrame, buckets: int) -> np.ndarray:
     """Features in each bucket: one row a bucket comes to the driver."""
     out = np.zeros(buckets, np.int64)
-    for r in chunked.select(F.posexplode("totals").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in chunked.filter("totals IS NOT NULL").select(F.posexplode("totals").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r.bucket] = r.n
     return out
 
@@ -169,7 +169,7 @@ def gain_planes(gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def weigh(chunked: DataFrame, gain: np.ndarray) -> DataFrame:
     """id, n_words, n_features, weight of each document."""
     sliced, factors = gain_planes(gain)
-    rows = chunked.select(F.inline("docs"))
+    rows = chunked.filter("totals IS NULL").select("id", "n_words", "n_features", "planes")
     kind = rows.schema["id"].dataType.simpleString()
     size = sliced.shape[1] * 8
 

@@ -97,3 +97,11 @@ def test_features_of_a_slice():
     bucket, of, n_words, n_features = importance.features(texts, 10000)
     assert n_words.tolist() == [4, 0, 1] and n_features.tolist() == [9, 0, 1] and np.bincount(of, minlength=3).tolist() == [9, 0, 1]
     assert Counter(bucket[of == 0].tolist()) == Counter(zlib.crc32(f.encode()) % 10000 for f in features("a b c d")[1])
+
+
+def test_no_kept_row_holds_many_documents(spark):
+    """Readers hold thousands of rows at once, so a row is a document's planes or a chunk's totals."""
+    docs = spark.createDataFrame([(k, f"a b{k} c") for k in range(600)] + [(None, None)], "doc_id int, text string").coalesce(1)
+    rows = importance.counted(docs, "doc_id", "text", 64).toArrow()
+    assert rows.num_rows == 602 and rows.column("totals").null_count == 601 and rows.column("planes").null_count == 1
+    assert importance.totals(importance.counted(docs, "doc_id", "text", 64), 64).sum() == 600 * 6
