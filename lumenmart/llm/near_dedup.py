@@ -293,13 +293,10 @@ def verify(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(run, "a binary, b binary")
 
 
-def _open_buckets(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
-    """key, node, root, registers and keys (all its open ones) of the members of buckets that several components share."""
-    at = members.join(roots, "node")
-    mixed_up = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    at = at.join(mixed_up, "key").select("key", "node", "root")
+def _with_keys(at: DataFrame, sketches: DataFrame) -> DataFrame:
+    """at: key, node, root of the members that a round compares; with their registers and all their keys of the round."""
     # A node has a key a band at most.
-    return kept(at.join(at.groupBy("node").agg(F.collect_set("key").alias("keys")), "node").join(sketches, "node"), "bucket-members")
+    return at.join(at.groupBy("node").agg(F.collect_set("key").alias("keys")), "node").join(sketches, "node")
 
 
 def _pairs(at: DataFrame, pivots: DataFrame, apart: str, s: Settings) -> DataFrame:
@@ -310,25 +307,32 @@ def _pairs(at: DataFrame, pivots: DataFrame, apart: str, s: Settings) -> DataFra
     return at.join(pivots.withColumnRenamed("key", "pivot_key"), near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def _easy_round(at: DataFrame, s: Settings, k: int) -> DataFrame:
-    """Pairs of one member of each bucket's largest component with the members outside."""
-    drawn = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "registers")
-    each = at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("p"))  # a member of every component; that of the largest stays
-    pivots = each.groupBy("key").agg(F.max(F.struct("n", "root", "p")).alias("x")).select("key", F.col("x.root").alias("most"), F.col("x.p.node").alias("pivot"), F.col("x.p.registers").alias("of"))
+def _easy_round(members: DataFrame, sketches: DataFrame, s: Settings, k: int) -> tuple[tuple[DataFrame, ...], DataFrame]:
+    """What the round keeps, and pairs of one member of each bucket's largest component with the members outside. members: key, node, root."""
+    each = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node")).alias("p"))
+    largest = each.groupBy("key").agg(F.max(F.struct("n", "root", "p")).alias("x"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    pivots = kept(largest.select("key", F.col("x.root").alias("most"), F.col("x.p.node").alias("pivot")), "pivots")
+    # Of open buckets only the members outside are read on: the others of the largest component meet nobody.
+    at = kept(_with_keys(members.join(pivots, (members["key"] == pivots["key"]) & (members["root"] != pivots["most"]), "left_semi"), sketches), "bucket-members")
     drawn_for = pivots.groupBy("pivot").agg(F.collect_set("key").alias("pivot_keys"))  # the buckets that drew it
-    return _pairs(at, pivots.join(drawn_for, "pivot"), "root <> most", s)
+    of = sketches.select(F.col("node").alias("pivot"), F.col("registers").alias("of"))
+    return (at, pivots), _pairs(at, pivots.join(drawn_for, "pivot").join(of, "pivot"), "root <> most", s)
 
 
-def _full_round(at: DataFrame, s: Settings, low: float, high: float) -> DataFrame:
-    """Pairs of the members whose draw lies from low to high with the members of other components whose draw is not below low.
+def _full_round(members: DataFrame, sketches: DataFrame, s: Settings, low: float, high: float) -> tuple[tuple[DataFrame, ...], DataFrame]:
+    """What the round keeps, and pairs of the members whose draw lies from low to high with the members of other components whose draw is not below low.
 
     A node's draw is one number for all its buckets, so a pair comes once; and over rounds from 0 to 1 every pair of a bucket is met once."""
     draw = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20))
-    free = at.filter(draw >= int(low * (1 << 20)))
-    pivots = free.filter(draw < int(high * (1 << 20))).select("key", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("registers").alias("of"), F.col("keys").alias("pivot_keys"))
+    drawn = draw < int(high * (1 << 20))
+    left = members.filter(draw >= int(low * (1 << 20)))
+    # Only buckets with a pivot and a member of another component have a pair in this round.
+    wanted = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(drawn).alias("some")).filter("lo <> hi AND some").select("key")
+    free = kept(_with_keys(left.join(wanted, "key", "left_semi"), sketches), "bucket-members")
+    pivots = free.filter(drawn).select("key", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("registers").alias("of"), F.col("keys").alias("pivot_keys"))
     # Two pivots meet as one pair.
     once = f"(node < pivot OR pmod(xxhash64(node, 7), {1 << 20}) >= {int(high * (1 << 20))})"
-    return _pairs(free, pivots, f"root <> pivot_root AND {once}", s)
+    return (free,), _pairs(free, pivots, f"root <> pivot_root AND {once}", s)
 
 
 def _roots(banded: DataFrame, sketches: DataFrame, shingles: DataFrame, s: Settings) -> DataFrame:
@@ -336,11 +340,10 @@ def _roots(banded: DataFrame, sketches: DataFrame, shingles: DataFrame, s: Setti
     n = sketches.count()
     roots = kept(banded.select("node").distinct().select("node", F.col("node").alias("root")), "roots", n)
     for k in range(s.easy_rounds + len(s.shares)):
-        members = banded.filter(F.col("band") < s.first_bands) if k == 0 else banded
-        at = _open_buckets(members.select("key", "node"), roots, sketches)
-        pairs = _easy_round(at, s, k) if k < s.easy_rounds else _full_round(at, s, *((0.0, *s.shares)[k - s.easy_rounds :][:2]))
+        members = (banded.filter(F.col("band") < s.first_bands) if k == 0 else banded).select("key", "node").join(roots, "node")
+        read, pairs = _easy_round(members, sketches, s, k) if k < s.easy_rounds else _full_round(members, sketches, s, *((0.0, *s.shares)[k - s.easy_rounds :][:2]))
         links = kept(verify(pairs, shingles, s.threshold), "links")
-        release(at)
+        release(*read)
         if found := links.count():
             of = roots.withColumnRenamed("root", "r")
             edges = links.join(of.select(F.col("node").alias("a"), F.col("r").alias("ra")), "a").join(of.select(F.col("node").alias("b"), F.col("r").alias("rb")), "b")
@@ -359,7 +362,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFr
     nodes = kept(marked.groupBy("node").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min_by("content", "id").alias("content"), F.min_by("keys", "id").alias("keys"), F.min_by("registers", "id").alias("registers")), "nodes")
     exploded = nodes.filter("keys IS NOT NULL").select("node", F.posexplode("keys").alias("band", "key"))
     shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    banded = kept(exploded.join(shared, "key"), "banded")
+    banded = kept(exploded.join(shared, "key", "left_semi"), "banded")
     wanted = banded.select("node").distinct().join(nodes.select("node", "first_id", "content"), "node")
     texts = rows.join(wanted, (rows["id"] == wanted["first_id"]) & (rows["content"] == wanted["content"])).select("node", "text")
     shingles = kept(sets(texts, s).dropDuplicates(["node"]), "sets")

@@ -127,3 +127,19 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 30)] + [(100, 101), (100, 102), (200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[k] == 1 for k in range(1, 31)) and got[101] == got[102] == 100 and got[200] == 200
+
+
+def test_rounds_read_on_only_what_can_meet(spark):
+    """Of a bucket the easy round keeps the members outside its largest component, a full round buckets with a pivot; over all full rounds each pair comes once."""
+    s = near_dedup.Settings()
+    rows = [(1, bytes([k]), b"a" if k < 4 else b"e") for k in range(5)] + [(2, bytes([k]), b"a") for k in range(3)]
+    members = spark.createDataFrame(rows, "key long, node binary, root binary")
+    sketches = spark.createDataFrame([(bytes([k]), [0] * 32) for k in range(5)], "node binary, registers array<long>")
+    read, pairs = near_dedup._easy_round(members, sketches, s, 0)
+    assert (read[0].count(), pairs.count()) == (1, 1)
+    kept, met = 0, []
+    for low, high in zip((0.0, *s.shares), s.shares, strict=False):
+        read, pairs = near_dedup._full_round(members, sketches, s, low, high)
+        kept += read[0].count()
+        met += [(bytes(r.a), bytes(r.b)) for r in pairs.collect()]
+    assert kept < 5 * len(s.shares) and sorted(met) == [(bytes([k]), bytes([4])) for k in range(4)]
