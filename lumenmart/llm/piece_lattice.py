@@ -1,11 +1,11 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-The text is cut into units that no piece of the model spans (a space opens a unit; within it, letters, digits and other
-characters part where no piece joins them). Encoding is worked out once for each different unit of the corpus:
+The text is cut into units that no piece of the model spans (a space opens a unit; within it, two characters part where no piece
+holds them side by side). Encoding is worked out once for each different unit of the corpus:
 
 1. one pass over the texts gives a row for each chunk of them: its different units, and for each text the numbers of its units;
-2. units are grouped; every substring of at most the longest piece's length is exploded and equi-joined to the piece table (fixed
-   size, broadcast). Units longer than `block` are exploded in blocks that overlap, and go by a digest of their text from there on;
+2. units are grouped; every substring, up to the length of the longest piece that begins with the same four characters (an equi-join to a table
+   of these), is exploded and equi-joined to the piece table (both of fixed size, broadcast). Units longer than `block` are exploded in blocks that overlap, and go by a digest of their text from there on;
 3. the matches are the edges of the unit's lattice and are grouped by unit;
 4. a higher-order `aggregate` folds the lattice from left to right, Viterbi's way: for each prefix it keeps the best edge to end with,
    by the sum of scores of the prefix that the edge starts from, of the edge, and of their meeting.
@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,8 +42,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lumenmart.llm.common import kept, kept_by
 
 SPACE = "▁"
-#: Characters of a unit that goes by itself.
-NAME = 64
+#: Characters of a unit that goes by itself, and of a substring that bounds the pieces which begin with it.
+NAME, HEAD = 64, 4
 PAIR_BITS = 22
 
 
@@ -54,7 +53,7 @@ class Settings:
 
     frequent: int = 120_000
     block: int = 256
-    chunk: int = 5 << 21
+    chunk: int = 1 << 22
 
 
 @lru_cache(maxsize=2)
@@ -62,18 +61,6 @@ def _load(path: str) -> Merges:
     return Merges(path)
 
 
-def _kind(c: str) -> str:
-    return "S" if c == SPACE else {"L": "L", "M": "L", "N": "D"}.get(unicodedata.category(c)[0], "P")
-
-
-class Kinds(dict):
-    """The kind of each character that was asked for, as str.translate asks."""
-
-    def __missing__(self, code: int) -> str:
-        self[code] = kind = _kind(chr(code))
-        return kind
-
-
 class Merges:
     """A BPE model's pieces, and which two may stand side by side."""
 
@@ -91,22 +78,17 @@ class Merges:
         each = [self.raw.get(i, b"") for i in range(n)]
         self.flat, self.places = np.frombuffer(b"".join(each), np.uint8), np.append(0, np.cumsum([len(x) for x in each])).astype(np.int64)
         self.scores = np.array([model.get_score(i) for i in range(n)])
-        self.joined = {_kind(a) + _kind(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
-        self.kinds, self.cuts = Kinds(), {}
+        self.joined = {ab for p in self.ids for ab in zip(p, p[1:], strict=False)}
         self.spines: dict[int, tuple[list, list]] = {}
         # Answers of `compatible` by a hash of the pair; a later pair takes an earlier one's place.
         self.pair_keys, self.pair_fits = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
 
     def units(self, word: str) -> list[str]:
-        """word, cut where no piece joins two neighbouring kinds of character."""
-        kinds = word.translate(self.kinds)
-        cuts = self.cuts.get(kinds)
-        if cuts is None:
-            at = [0, *(k for k in range(1, len(word)) if kinds[k - 1 : k + 1] not in self.joined), len(word)]
-            cuts = list(zip(at, at[1:], strict=False))
-            if len(kinds) <= NAME and len(self.cuts) < 100_000:
-                self.cuts[kinds] = cuts
-        return [word] if len(cuts) == 1 else [word[a:b] for a, b in cuts]
+        """word, cut where no piece holds two neighbouring characters side by side."""
+        if self.joined.issuperset(zip(word, word[1:], strict=False)):
+            return [word]
+        at = [0, *(k for k, ab in enumerate(zip(word, word[1:], strict=False), 1) if ab not in self.joined), len(word)]
+        return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def spine(self, i: int) -> tuple[list, list]:
         """Parts of piece i at its right and left border, outermost first: (id, born, gone) as merging goes."""
@@ -158,7 +140,7 @@ class Merges:
         return fits
 
     def ends(self, edges: pa.ListArray, block: int) -> pa.ListArray:
-        """For each unit its edges by end position, in blocks: length, id, score, and as bits the lengths of left neighbours that they may meet.
+        """For each unit its edges that some path may take, by end position, in blocks: length, id, score, and as bits the lengths of left neighbours that they may meet.
 
         edges: as `edges_of` packs them, among them one at each position that is a character long."""
         cuts = np.asarray(edges.offsets).astype(np.int64) - edges.offsets[0].as_py()
@@ -182,6 +164,9 @@ class Merges:
         if len(bits):
             ok[left > 0] = np.add.reduceat(bits, (np.cumsum(left) - left)[left > 0])
         ok |= 1  # the start of the unit
+        # What may meet no edge on its left lies on no path.
+        alive = (ok > 1) | (start[order] == 0)
+        end, length, i, ok = end[alive], length[alive], i[alive], ok[alive]
         score = np.where(i >= 0, self.scores[np.maximum(i, 0)], self.scores.min())
         first = np.cumsum(sizes) - sizes
         positions = np.arange(sizes.sum()) - np.repeat(first - base - 1, sizes)
@@ -194,12 +179,24 @@ class Merges:
         rows = pa.ListArray.from_arrays(pa.array(of_block), pa.ListArray.from_arrays(pa.array(offsets), found))
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(blocks)).astype(np.int32)), rows)
 
-    def expand(self, ids: list[int]) -> bytes:
-        """Ids as little-endian 32 bits; negative ones (characters without a piece) become their bytes' ids."""
-        out: list[int] = []
-        for i in ids:
-            out += [i] if i >= 0 else [self.bytes[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")]
-        return np.array(out, "<i4").tobytes()
+    def read_out(self, last: pa.ListArray) -> pa.Array:
+        """For each unit the ids of its best path, as little-endian 32 bits. last: for each prefix its best last edge; all units are walked back at once."""
+        best = last.flatten()
+        length, i = (pc.fill_null(best.field(x), 0).to_numpy(zero_copy_only=False) for x in ("length", "id"))
+        cuts = np.asarray(last.offsets).astype(np.int64) - last.offsets[0].as_py()
+        begin, at, on = cuts[:-1], cuts[1:], np.zeros(len(i), bool)
+        while len(at):
+            going = at > begin
+            begin, at = begin[going], at[going]
+            on[at - 1] = True
+            at = at - length[at - 1]
+        places = np.flatnonzero(on)
+        ids, many = i[places].astype("<i4"), np.ones(len(places), np.int64)
+        if (ids < 0).any():  # characters without a piece become their bytes' ids
+            each = [[k] if k >= 0 else [self.bytes[b] for b in chr(-1 - k).encode("utf-8", "surrogatepass")] for k in ids.tolist()]
+            ids, many = np.array([k for x in each for k in x], "<i4"), np.array([len(x) for x in each], np.int64)
+        ends = 4 * np.append(0, np.cumsum(many))[np.searchsorted(places, cuts)]
+        return pa.Array.from_buffers(pa.binary(), len(last), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
 
 
 def words_of(text: str | None) -> list[str]:
@@ -217,6 +214,15 @@ def pieces(spark: SparkSession, model: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"piece": list(_load(model).ids), "id": pa.array(_load(model).ids.values(), pa.int32())}))
 
 
+def heads(spark: SparkSession, model: str) -> DataFrame:
+    """head, most: the first HEAD characters of pieces, and the length of the longest piece that begins so."""
+    most: dict[str, int] = {}
+    for p in _load(model).ids:
+        if len(p) >= HEAD:
+            most[p[:HEAD]] = max(most.get(p[:HEAD], 0), len(p))
+    return spark.createDataFrame(pa.table({"head": list(most), "most": pa.array(most.values(), pa.int32())}))
+
+
 def _name(unit: str) -> str:
     """What a unit goes by: itself, or a digest where it is long."""
     return unit if len(unit) <= NAME else "#" + hashlib.sha256(unit.encode("utf-8", "surrogatepass")).hexdigest()
@@ -297,8 +303,10 @@ def edges_of(units: DataFrame, model: str, s: Settings) -> DataFrame:
     whole = F.array(F.struct(F.lit(0).alias("base"), F.col("text").alias("part"), F.length("text").alias("own")))
     blocks = units.select("name", "times", "text", cut.alias("cut")).select("name", "times", F.inline(F.when(is_long, parts).otherwise(whole)))
     starts = blocks.select("name", "times", "base", "part", F.explode(F.sequence(F.lit(1), "own")).alias("at"))
-    reach = F.least(F.lit(longest), F.length("part") - F.col("at") + 1)
-    spans = starts.select("name", "times", "base", "part", "at", F.explode(F.sequence(F.lit(1), reach)).alias("n"))
+    # Shorter than HEAD all substrings are looked up, from there on only as far as a piece begins like them.
+    headed = starts.withColumn("head", F.substring("part", F.col("at"), F.lit(HEAD))).join(F.broadcast(heads(units.sparkSession, model)), "head", "left")
+    reach = F.least(F.coalesce("most", F.lit(HEAD - 1)), F.length("part") - F.col("at") + 1)
+    spans = headed.select("name", "times", "base", "part", "at", F.explode(F.sequence(F.lit(1), reach)).alias("n"))
     spans = spans.select("name", "times", (F.col("base") + F.col("at") - 1).alias("start"), "n", F.col("part").substr(F.col("at"), F.col("n")).alias("piece"))
     found = spans.join(F.broadcast(pieces(units.sparkSession, model)), "piece", "left").filter("id IS NOT NULL OR n = 1")
     edge = F.when(F.col("id").isNull(), F.ascii("piece").cast("long")).otherwise(F.shiftleft(F.col("n").cast("long"), 24) + F.col("id"))
@@ -334,23 +342,14 @@ def segment(units: DataFrame, model: str, s: Settings) -> DataFrame:
         folded = F.aggregate(block, acc["tail"], position)
         return F.struct(F.slice(folded, -reach, reach).alias("tail"), F.concat(acc["done"], F.array(F.slice(folded, reach + 1, F.size(block)))).alias("done"))
 
-    alone = F.slice(F.aggregate(F.get("blocks", F.lit(0)), start, position), F.lit(reach + 1), F.size(F.get("blocks", F.lit(0))))
+    alone = F.slice(F.aggregate(F.get("blocks", F.lit(0)), F.array(origin).cast(f"array<{BEST}>"), position), F.lit(2), F.size(F.get("blocks", F.lit(0))))
     many = F.aggregate("blocks", state, one_block, lambda acc: F.flatten(acc["done"]))
     folded = ordered.select("name", "times", F.when(F.size("blocks") == 1, alone).otherwise(many).alias("last"))
 
     def read_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _load(model)
         for b in batches:
-            tokens, last = [], b.column(2)
-            _, lengths, ids = (c.to_pylist() for c in last.flatten().flatten())
-            cuts = (np.asarray(last.offsets) - last.offsets[0].as_py()).tolist()
-            for begin, at in zip(cuts, cuts[1:], strict=False):
-                back = []
-                while at > begin:
-                    back.append(ids[at - 1])
-                    at -= lengths[at - 1]
-                tokens.append(merges.expand(back[::-1]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens, pa.binary())], names=["name", "times", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), merges.read_out(b.column(2))], names=["name", "times", "tokens"])
 
     return folded.mapInArrow(read_out, "name string, times long, tokens binary")
 

@@ -56,3 +56,19 @@ def test_a_very_long_unit(spark):
     for k, t in ((1, text), (2, "x " + text[:5_000])):
         ids, crc = want(t)
         assert got[k] == (len(ids), crc)
+
+
+def test_units_and_spans_are_few(spark):
+    """Units part where no piece holds two characters side by side, and substrings are looked up only as far as a piece begins like them."""
+    merges = piece_lattice._load(PATH)
+    together = {p[k : k + 2] for p in merges.ids for k in range(len(p) - 1)}
+    for t in texts():
+        for word in piece_lattice.words_of(t):
+            units = merges.units(word)
+            assert "".join(units) == word
+            assert all(a[-1] + b[0] not in together for a, b in zip(units, units[1:]))
+    apart = next(a + b for a in "qzxjv" for b in "qzxjv" if a + b not in together)  # letters that no piece holds side by side
+    assert merges.units(f"▁{apart}") == [f"▁{apart[0]}", apart[1]] or "▁" + apart[0] not in together
+    most = {r["head"]: r["most"] for r in piece_lattice.heads(spark, PATH).collect()}
+    assert all(most[p[: piece_lattice.HEAD]] >= len(p) for p in merges.ids if len(p) >= piece_lattice.HEAD)
+    assert max(most.values()) == merges.longest
