@@ -11,8 +11,8 @@ The join that brings candidates together also compares their registers (a byte o
 threshold is four standard errors away, no row is made. All others are verified by their exact J_P. Texts with the same weighted
 set are one node from the start, so groups of exact copies are never paired. Nor are the members of a band's bucket: in the
 first rounds one member of the bucket's largest component is compared with the members outside it, another one each time. Then a growing share
-of the members, up to all, are compared with those of other components. A bucket that one component holds is left alone from then on, so
-only groups whose members are not linked are compared one by one. Buckets
+of the members, up to all, are compared with the members of other components that are outside the largest one. A bucket that one component holds
+by then is left alone, so only groups whose members are not linked are compared one by one. Buckets
 are joined and combined by plain equi-joins and aggregations, links stay in tables, and classes are the connected components of
 all verified links.
 
@@ -319,29 +319,44 @@ def _easy_round(members: DataFrame, sketches: DataFrame, s: Settings, k: int) ->
     return (at, pivots), _pairs(at, pivots.join(drawn_for, "pivot").join(of, "pivot"), "root <> most", s)
 
 
-def _full_round(members: DataFrame, sketches: DataFrame, s: Settings, low: float, high: float) -> tuple[tuple[DataFrame, ...], DataFrame]:
-    """What the round keeps, and pairs of the members whose draw lies from low to high with the members of other components whose draw is not below low.
+def _opened(members: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the buckets that hold several components the members: key, node, inside (of the bucket's largest component); and of each of these nodes its keys here and registers."""
+    each = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = each.groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    open_ = kept(members.join(largest, "key").select("key", "node", (F.col("root") == F.col("x.root")).alias("inside")), "open-members")
+    return open_, kept(open_.groupBy("node").agg(F.collect_set("key").alias("keys")).join(sketches, "node"), "open-nodes")
 
-    A node's draw is one number for all its buckets, so a pair comes once; and over rounds from 0 to 1 every pair of a bucket is met once."""
-    draw = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20))
-    drawn = draw < int(high * (1 << 20))
-    left = members.filter(draw >= int(low * (1 << 20)))
-    # Only buckets with a pivot and a member of another component have a pair in this round.
-    wanted = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(drawn).alias("some")).filter("lo <> hi AND some").select("key")
-    free = kept(_with_keys(left.join(wanted, "key", "left_semi"), sketches), "bucket-members")
-    pivots = free.filter(drawn).select("key", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("registers").alias("of"), F.col("keys").alias("pivot_keys"))
+
+def _full_round(members: DataFrame, sketches: DataFrame, s: Settings, low: float, high: float, opened: tuple[DataFrame, DataFrame] | None = None) -> tuple[tuple[DataFrame, ...], DataFrame]:
+    """What the round keeps, and pairs of the members whose draw lies from low to high with members of other components that were outside their bucket's largest component
+    when the full rounds began. opened: what `_opened` gave then, with members: node, root as they stand; else it is worked out of members.
+
+    Of two members of different components one at least was outside then. A pair of one inside comes in the round of its draw, a pair of two outside in that of the lesser
+    draw. A node's draw is one number for all its buckets, so a pair comes once; over rounds from 0 to 1 every pair of a bucket is met once, and who is inside is read once."""
+    roots = members if opened else members.select("node", "root").distinct()
+    open_, nodes = opened or _opened(members, sketches)
+    lo, hi = int(low * (1 << 20)), int(high * (1 << 20))
+    drawn = f"draw >= {lo} AND draw < {hi}"
+    at = open_.withColumn("draw", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20))).filter(f"NOT inside OR {drawn}")
+    at = kept(at.join(roots, "node").join(nodes, "node"), "bucket-members")
+    pivots = at.filter(drawn).select("key", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("inside").alias("pivot_inside"), F.col("registers").alias("of"), F.col("keys").alias("pivot_keys"))
     # Two pivots meet as one pair.
-    once = f"(node < pivot OR pmod(xxhash64(node, 7), {1 << 20}) >= {int(high * (1 << 20))})"
-    return (free,), _pairs(free, pivots, f"root <> pivot_root AND {once}", s)
+    once = f"(pivot_inside OR draw >= {lo} AND (node < pivot OR draw >= {hi}))"
+    return (at,), _pairs(at.filter("NOT inside"), pivots, f"root <> pivot_root AND {once}", s)
 
 
 def _roots(banded: DataFrame, sketches: DataFrame, shingles: DataFrame, s: Settings) -> DataFrame:
     """node, root of nodes that share a band. banded: key, band, node, of buckets with two nodes at least. A round's tables go when it ends."""
     n = sketches.count()
     roots = kept(banded.select("node").distinct().select("node", F.col("node").alias("root")), "roots", n)
+    opened = None
     for k in range(s.easy_rounds + len(s.shares)):
-        members = (banded.filter(F.col("band") < s.first_bands) if k == 0 else banded).select("key", "node").join(roots, "node")
-        read, pairs = _easy_round(members, sketches, s, k) if k < s.easy_rounds else _full_round(members, sketches, s, *((0.0, *s.shares)[k - s.easy_rounds :][:2]))
+        if k < s.easy_rounds:
+            members = (banded.filter(F.col("band") < s.first_bands) if k == 0 else banded).select("key", "node").join(roots, "node")
+            read, pairs = _easy_round(members, sketches, s, k)
+        else:
+            opened = opened or _opened(banded.select("key", "node").join(roots, "node"), sketches)
+            read, pairs = _full_round(roots, sketches, s, *((0.0, *s.shares)[k - s.easy_rounds :][:2]), opened)
         links = kept(verify(pairs, shingles, s.threshold), "links")
         release(*read)
         if found := links.count():
@@ -352,6 +367,7 @@ def _roots(banded: DataFrame, sketches: DataFrame, shingles: DataFrame, s: Setti
             old, roots = roots, kept(roots.join(new, roots["root"] == new["old"], "left").select("node", F.coalesce("new", "root").alias("root")), "roots", n)
             release(old, named)
         release(links)
+    release(*(opened or ()))
     return roots
 
 

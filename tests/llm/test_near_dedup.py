@@ -143,3 +143,24 @@ def test_rounds_read_on_only_what_can_meet(spark):
         kept += read[0].count()
         met += [(bytes(r.a), bytes(r.b)) for r in pairs.collect()]
     assert kept < 5 * len(s.shares) and sorted(met) == [(bytes([k]), bytes([4])) for k in range(4)]
+
+
+def test_full_rounds_read_the_largest_component_once(spark):
+    """Over all full rounds each member of a bucket's largest component is read once, and each pair of the components of the start comes once, also where the largest one changes meanwhile."""
+    s = near_dedup.Settings()
+    first = lambda k: b"a" if k < 40 else b"e" if k < 43 else bytes([k])
+    members = spark.createDataFrame([(1, bytes([k]), first(k)) for k in range(45)], "key long, node binary, root binary")
+    sketches = spark.createDataFrame([(bytes([k]), [0] * 32) for k in range(45)], "node binary, registers array<long>")
+    shares, read_on, met = list(zip((0.0, *s.shares), s.shares, strict=False)), 0, []
+    for low, high in shares:
+        read, pairs = near_dedup._full_round(members, sketches, s, low, high)
+        read_on += read[0].count()
+        met += [(r.a[0], r.b[0]) for r in pairs.collect()]
+    assert sorted(met) == [(x, y) for x in range(45) for y in range(x + 1, 45) if first(x) != first(y)]
+    assert read_on == 40 + 5 * len(shares)
+    opened, met = near_dedup._opened(members, sketches), set()
+    for k, (low, high) in enumerate(shares):  # of round 2 on all are apart: none of the pairs of the start is lost
+        roots = members.select("node", "root" if k < 2 else F.col("node").alias("root"))
+        read, pairs = near_dedup._full_round(roots, sketches, s, low, high, opened)
+        met |= {(r.a[0], r.b[0]) for r in pairs.collect()}
+    assert met >= {(x, y) for x in range(45) for y in range(x + 1, 45) if first(x) != first(y)}
