@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +93,9 @@ class Model:
 
     def __post_init__(self):
         self.known, self.free = dict(self.rows.get(0, {})), len(self.scores)
-        self.table = np.concatenate([self.scores, np.zeros((self.remembered, len(self.langs)))])
+        # Rows that no word has taken yet hold no memory.
+        self.table = np.zeros((self.free + self.remembered, len(self.langs)))
+        self.table[: self.free] = self.scores
 
     def _learn(self, words: list[str]) -> None:
         """Gives unseen words rows: the mean of their known n-grams of the greatest length that has any."""
@@ -159,13 +162,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         .groupBy("n", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"), F.sum("count").alias("all"), F.min("rank").alias("rank")),
         "counts",
     )
-    found = {n: counts.filter(F.col("n") == n).orderBy("rank", F.desc("all"), "gram").limit(s.max_grams if n else s.max_words).select("gram", "by").collect() for n in (0, *LENGTHS)}
-    langs = sorted({lang for r in found[0] for lang in r["by"]})
+    # As Arrow columns: a row object and a dict for each word or n-gram would take several times their memory on the driver.
+    found = {n: counts.filter(F.col("n") == n).orderBy("rank", F.desc("all"), "gram").limit(s.max_grams if n else s.max_words).select("gram", F.map_keys("by").alias("lang"), F.map_values("by").alias("count")).toArrow().combine_chunks() for n in (0, *LENGTHS)}
+    langs = sorted(pc.unique(pc.list_flatten(found[0]["lang"])).to_pylist())
     index, scores, at = {}, [np.zeros((0, len(langs)))], 0
     for n, top in found.items():
-        counted = np.array([[r["by"].get(lang, 0) for lang in langs] for r in top], float).reshape(len(top), len(langs))
+        counted = np.zeros((len(top), len(langs)))
+        of, by = (pc.list_parent_indices(top["lang"]).to_numpy() if len(top) else np.empty(0, int)), pc.index_in(pc.list_flatten(top["lang"]), pa.array(langs, pa.string()))
+        some = pc.is_valid(by).to_numpy()
+        counted[of[some], by.to_numpy()[some].astype(int)] = pc.list_flatten(top["count"]).to_numpy()[some]
         scores.append(np.log(counted + s.smoothing) - np.log(counted.sum(axis=0) + s.smoothing * max(1, len(top))))
-        index[n] = {r["gram"]: at + k for k, r in enumerate(top)}
+        index[n] = dict(zip(top["gram"].to_pylist(), range(at, at + len(top)), strict=True))
         at += len(top)
     return Model(langs, index, np.concatenate(scores), s.remembered)
 

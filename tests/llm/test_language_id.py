@@ -103,3 +103,12 @@ def test_a_tie_goes_to_the_first_language(spark):
     rows = [(1, "mil tane bora", "bb"), (2, "mil tane bora", "aa")]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.predict("bora mil nato") == ("aa", 0.5)
+
+
+def test_training_takes_no_row_object_a_word_to_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(spark), "doc_id long, text string, lang string, source string")
+    kind, sizes = type(docs), []
+    inner = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: (out := inner(self), sizes.append(len(out)))[0])
+    model = language_id.train(docs)
+    assert len(model.rows[0]) > len(model.langs) == 3 >= max(sizes)
