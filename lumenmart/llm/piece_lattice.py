@@ -30,7 +30,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -246,7 +246,8 @@ def _expanded(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _chunks(rows: DataFrame, model: str, s: Settings) -> DataFrame:
-    """rows: id, text. A row for each chunk: ids; sizes (units of each text); codes (of the units of all its texts); units, their full texts where those are long, and times."""
+    """rows: id, text. A row for each chunk: ids; sizes (units of each text); codes (of the units of all its texts); packed (its units, home by home, in the order of their
+    codes; a unit holds no space); long (name and full text of its long units)."""
 
     def coded(merges: Merges, ids: list, parts: list[pa.Array], sizes: list[np.ndarray]) -> pa.RecordBatch:
         words = pa.chunked_array(parts, pa.string()).combine_chunks().dictionary_encode()
@@ -258,11 +259,22 @@ def _chunks(rows: DataFrame, model: str, s: Settings) -> DataFrame:
         offsets, flat, w = np.array(offsets, np.int64), np.array(flat, np.int64), words.indices.to_numpy().astype(np.int64)
         codes = flat[_expanded(w, offsets)].astype(np.int32) if len(w) else np.empty(0, np.int32)
         ends = np.append(0, np.cumsum(np.diff(offsets)[w]))[np.append(0, np.cumsum(np.concatenate(sizes)))]
-        times, names = np.bincount(codes, minlength=len(units)), [_name(u) for u in units]
+        # Units are numbered home by home and by name, so that neighbours begin alike; a home's names go to the grouping in one string.
+        full = list(units)
+        names = [_name(u) for u in full]
+        home = np.array([zlib.crc32(n.encode("utf-8", "surrogatepass")) % homes for n in names], np.int64)
+        order = pc.sort_indices(pa.array(names, pa.string())).to_numpy().astype(np.int64)
+        order = order[np.argsort(home[order], kind="stable")]
+        place = np.empty(len(names), np.int32)
+        place[order] = np.arange(len(names), dtype=np.int32)
+        names, home = [names[k] for k in order.tolist()], home[order]
+        cut = np.flatnonzero(np.r_[True, home[1:] != home[:-1], True]) if len(home) else np.zeros(1, int)
+        packed = [{"home": int(home[i]), "names": " ".join(names[i:j])} for i, j in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+        long_ = [{"name": _name(u), "text": u} for u in full if len(u) > NAME]
         one = lambda x, kind: pa.array([x], pa.list_(kind))
         return pa.RecordBatch.from_arrays(
-            [one(ids, id_type), one(np.diff(ends), pa.int32()), one(codes, pa.int32()), one(names, pa.string()), one([u if len(u) > NAME else None for u in units], pa.string()), one(times, pa.int64())],
-            names=["ids", "sizes", "codes", "units", "texts", "times"],
+            [one(ids, id_type), one(np.diff(ends), pa.int32()), one(place[codes] if len(codes) else codes, pa.int32()), one(packed, packed_type), one(long_, long_type)],
+            names=["ids", "sizes", "codes", "packed", "long"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +297,9 @@ def _chunks(rows: DataFrame, model: str, s: Settings) -> DataFrame:
 
     kind = rows.schema["id"].dataType
     id_type = to_arrow_type(kind)
-    return rows.mapInArrow(run, f"ids array<{kind.simpleString()}>, sizes array<int>, codes array<int>, units array<string>, texts array<string>, times array<long>")
+    homes = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed_type, long_type = pa.struct([("home", pa.int32()), ("names", pa.string())]), pa.struct([("name", pa.string()), ("text", pa.string())])
+    return rows.mapInArrow(run, f"ids array<{kind.simpleString()}>, sizes array<int>, codes array<int>, packed array<struct<home:int,names:string>>, long array<struct<name:string,text:string>>")
 
 
 EDGE = "struct<length:int,id:int,ok:int,score:double>"
@@ -293,7 +307,7 @@ BEST = "struct<score:double,length:int,id:int>"
 
 
 def edges_of(units: DataFrame, model: str, s: Settings) -> DataFrame:
-    """units: name, text, times. name, times, edges: the lattice of each unit. An edge is a long: 32 bits of start, 8 of length, 24 of id; or length 0 and
+    """units: home, name, text, times; rows of a home stay where they are. name, times, edges: the lattice of each unit. An edge is a long: 32 bits of start, 8 of length, 24 of id; or length 0 and
     the code point of a character without a piece."""
     longest = _load(model).longest
     is_long = F.length("text") > s.block
@@ -301,21 +315,21 @@ def edges_of(units: DataFrame, model: str, s: Settings) -> DataFrame:
     part = lambda i: F.concat(F.get("cut", i), F.coalesce(F.substring(F.get("cut", i + 1), 1, longest - 1), F.lit("")))
     parts = F.transform(F.sequence(F.lit(0), F.size("cut") - 1), lambda i: F.struct((i * s.block).alias("base"), part(i).alias("part"), F.length(F.get("cut", i)).alias("own")))
     whole = F.array(F.struct(F.lit(0).alias("base"), F.col("text").alias("part"), F.length("text").alias("own")))
-    blocks = units.select("name", "times", "text", cut.alias("cut")).select("name", "times", F.inline(F.when(is_long, parts).otherwise(whole)))
-    starts = blocks.select("name", "times", "base", "part", F.explode(F.sequence(F.lit(1), "own")).alias("at"))
+    blocks = units.select("home", "name", "times", "text", cut.alias("cut")).select("home", "name", "times", F.inline(F.when(is_long, parts).otherwise(whole)))
+    starts = blocks.select("home", "name", "times", "base", "part", F.explode(F.sequence(F.lit(1), "own")).alias("at"))
     # Shorter than HEAD all substrings are looked up, from there on only as far as a piece begins like them.
     headed = starts.withColumn("head", F.substring("part", F.col("at"), F.lit(HEAD))).join(F.broadcast(heads(units.sparkSession, model)), "head", "left")
     reach = F.least(F.coalesce("most", F.lit(HEAD - 1)), F.length("part") - F.col("at") + 1)
-    spans = headed.select("name", "times", "base", "part", "at", F.explode(F.sequence(F.lit(1), reach)).alias("n"))
-    spans = spans.select("name", "times", (F.col("base") + F.col("at") - 1).alias("start"), "n", F.col("part").substr(F.col("at"), F.col("n")).alias("piece"))
+    spans = headed.select("home", "name", "times", "base", "part", "at", F.explode(F.sequence(F.lit(1), reach)).alias("n"))
+    spans = spans.select("home", "name", "times", (F.col("base") + F.col("at") - 1).alias("start"), "n", F.col("part").substr(F.col("at"), F.col("n")).alias("piece"))
     found = spans.join(F.broadcast(pieces(units.sparkSession, model)), "piece", "left").filter("id IS NOT NULL OR n = 1")
     edge = F.when(F.col("id").isNull(), F.ascii("piece").cast("long")).otherwise(F.shiftleft(F.col("n").cast("long"), 24) + F.col("id"))
     packed = F.shiftleft(F.col("start").cast("long"), 32) + edge
-    return found.groupBy("name", "times").agg(F.collect_list(packed).alias("edges"))
+    return found.groupBy("home", "name", "times").agg(F.collect_list(packed).alias("edges")).drop("home")
 
 
 def segment(units: DataFrame, model: str, s: Settings) -> DataFrame:
-    """units: name, text, times. name, times, tokens: the ids of each unit, as little-endian 32 bits."""
+    """units: home, name, text, times. name, times, tokens: the ids of each unit, as little-endian 32 bits."""
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _load(model)
         for b in batches:
@@ -355,17 +369,17 @@ def segment(units: DataFrame, model: str, s: Settings) -> DataFrame:
 
 
 def _fill(chunks: DataFrame, frequent, kind, model: str, check: bool) -> DataFrame:
-    """chunks: ids, sizes, codes, units, found (of no, tokens). For each text doc_id, n_tokens, ids_crc32, and ids, or with `check` the checksum of the text that they decode to."""
+    """chunks: ids, sizes, codes, packed, found (four bytes of a unit's number, then its tokens). For each text doc_id, n_tokens, ids_crc32, and ids, or with `check` the checksum of the text that they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, merges = frequent.value, _load(model)
         for b in batches:
             for k in range(b.num_rows):
-                ids, sizes, codes, units, found = (c[k].values for c in b.columns)
-                tokens = [table.get(u) for u in units.to_pylist()]
+                ids, sizes, codes, packed, found = (c[k].values for c in b.columns)
+                tokens = [table.get(u) for names in packed.field("names").to_pylist() for u in names.split(" ")]
                 if found is not None:
-                    for no, t in zip(*(found.field(x).to_pylist() for x in ("no", "tokens")), strict=True):
-                        tokens[no] = t
+                    for x in found.to_pylist():
+                        tokens[int.from_bytes(x[:4], "big")] = x[4:]
                 places = np.append(0, np.cumsum([len(t) // 4 for t in tokens])).astype(np.int64)
                 flat, codes, ends = np.frombuffer(b"".join(tokens), "<i4"), codes.to_numpy(), np.append(0, np.cumsum(sizes.to_numpy()))
                 del tokens
@@ -385,13 +399,13 @@ def _fill(chunks: DataFrame, frequent, kind, model: str, check: bool) -> DataFra
     return chunks.mapInArrow(run, f"doc_id {kind.simpleString()}, n_tokens long, ids_crc32 long, {'text_crc32 long' if check else 'ids array<int>'}")
 
 
-def _lexicon(units: DataFrame, model: str, s: Settings) -> DataFrame:
+def _lexicon(units: list[DataFrame], model: str, s: Settings) -> DataFrame:
     """`segment` of all units, kept. A task groups the edges of thousands of units: they are held in a map, not sorted anew, up to a million."""
-    conf, key = units.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    conf, key = units[0].sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = conf.get(key)
     conf.set(key, str(1 << 20))
     try:
-        return kept(segment(units, model, s), "units")
+        return kept(reduce(DataFrame.unionAll, (segment(u, model, s) for u in units)), "units")
     finally:
         conf.set(key, before)
 
@@ -400,18 +414,20 @@ def _encoded(docs: DataFrame, model: str, id_col: str, text_col: str, s: Setting
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     spark = texts.sparkSession
     chunks = kept_by(_chunks(texts, model, s).withColumn("chunk", F.monotonically_increasing_id()), "chunks", "chunk")
-    each = chunks.select(F.inline(F.arrays_zip("units", "texts", "times"))).select(F.col("units").alias("name"), F.col("texts").alias("text"), "times")
-    # Grouped by name alone, so that counts combine before the shuffle and the edges of a unit are grouped where it is.
-    units = each.groupBy("name").agg(F.sum("times").alias("times"))
-    full = each.filter("text IS NOT NULL").select("name", "text").distinct()  # of long units only
-    units = units.join(full, "name", "left").select("name", F.coalesce("text", "name").alias("text"), "times")
-    lexicon = _lexicon(units, model, s)
-    top = lexicon.orderBy(F.desc("times"), "name").limit(s.frequent).select("name", "tokens").toArrow()
+    # Names are shuffled by home, many in a row, and grouped where they are, as are the edges of a unit. times: the chunks that hold it.
+    at_home = chunks.select(F.inline("packed")).repartitionById(int(spark.conf.get("spark.sql.shuffle.partitions")), "home")
+    short = at_home.select("home", F.explode(F.split("names", " ")).alias("name")).filter(F.length("name") <= NAME).groupBy("home", "name").agg(F.count(F.lit(1)).alias("times"))
+    # What is longer than a name may be is a digest.
+    long_ = chunks.select(F.inline("long")).groupBy("name").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
+    lexicon = _lexicon([short.withColumn("text", F.col("name")), long_.withColumn("home", F.lit(0))], model, s)
+    # What one chunk only holds is better joined than sent to all.
+    top = lexicon.filter("times > 1").orderBy(F.desc("times"), "name").limit(s.frequent).select("name", "tokens").toArrow()
     names = spark.createDataFrame(top.select(["name"]))
     frequent = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
-    asked = chunks.select("chunk", F.posexplode("units").alias("no", "name")).join(F.broadcast(names), "name", "left_anti")
-    found = asked.join(lexicon.select("name", "tokens"), "name").groupBy("chunk").agg(F.collect_list(F.struct("no", "tokens")).alias("found"))
-    whole = chunks.join(found, "chunk", "left").select("ids", "sizes", "codes", "units", "found")
+    every = F.flatten(F.transform("packed", lambda p: F.split(p["names"], " ")))
+    asked = chunks.select("chunk", F.posexplode(every).alias("no", "name")).join(F.broadcast(names), "name", "left_anti")
+    found = asked.join(lexicon.select("name", "tokens"), "name").groupBy("chunk").agg(F.collect_list(F.concat(F.unhex(F.lpad(F.hex("no"), 8, "0")), "tokens")).alias("found"))  # one binary takes half of a struct's room
+    whole = chunks.join(found, "chunk", "left").select("ids", "sizes", "codes", "packed", "found")
     return _fill(whole, frequent, texts.schema["id"].dataType, model, check)
 
 

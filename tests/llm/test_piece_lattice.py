@@ -72,3 +72,17 @@ def test_units_and_spans_are_few(spark):
     most = {r["head"]: r["most"] for r in piece_lattice.heads(spark, PATH).collect()}
     assert all(most[p[: piece_lattice.HEAD]] >= len(p) for p in merges.ids if len(p) >= piece_lattice.HEAD)
     assert max(most.values()) == merges.longest
+
+
+def test_a_chunk_sends_its_units_in_one_row_a_home(spark):
+    """Names go to the grouping many in a row, in order, and codes count through them."""
+    texts = ["b a c a", "a  zz b", None, "x" * 200]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").coalesce(1)
+    (row,) = piece_lattice._chunks(docs, public_tokenizers.path("piece_bpe_32k.model"), piece_lattice.Settings()).collect()
+    homes = [p.home for p in row.packed]
+    assert homes == sorted(set(homes)) and all(p.names.split(" ") == sorted(set(p.names.split(" "))) for p in row.packed)
+    names, full = [n for p in row.packed for n in p.names.split(" ")], {x.name: x.text for x in row.long}
+    units, at = [full.get(names[c], names[c]) for c in row.codes], 0
+    for text, n in zip(texts, row.sizes, strict=True):
+        assert "".join(units[at : at + n]) == "".join(piece_lattice.words_of(text))
+        at += n
