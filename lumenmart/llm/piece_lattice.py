@@ -4,19 +4,19 @@ The text is cut into units that no piece of the model spans (a space opens a uni
 holds them side by side). Encoding is worked out once for each different unit of the corpus:
 
 1. one pass over the texts gives a row for each chunk of them: its different units, and for each text the numbers of its units;
-2. units are grouped; every substring, up to the length of the longest piece that begins with the same four characters (an equi-join to a table
+2. units are grouped, each with the chunks that hold it; every substring, up to the length of the longest piece that begins with the same four characters (an equi-join to a table
    of these), is exploded and equi-joined to the piece table (both of fixed size, broadcast). Units longer than `block` are exploded in blocks that overlap, and go by a digest of their text from there on;
 3. the matches are the edges of the unit's lattice and are grouped by unit;
 4. a higher-order `aggregate` folds the lattice from left to right, Viterbi's way: for each prefix it keeps the best edge to end with,
-   by the sum of scores of the prefix that the edge starts from, of the edge, and of their meeting.
+   by the sum of scores of the prefix that the edge starts from, of the edge, and of their meeting. Another walks back along these edges.
 
 A unigram model's edges always may meet. The model here is a BPE model, for which the best sum of its scores alone is not what its merges give:
 two of its pieces may meet only if merging never joins across their border, which is so exactly when the pair encodes to itself.
 Where they may not, the meeting costs more than any sum of scores. A prefix has exactly one chain of pieces without such a cost, its BPE
 segmentation. Whether two may meet follows from the order in which they were merged (`Merges.compatible`).
 
-Chunks then take their units' ids: the most frequent units come as a broadcast table of bounded size, a chunk's other units by a join, and texts
-are not shuffled. Decoding maps ids to pieces, joins bytes, and turns the marks back into spaces.
+Chunks then take their units' ids: the most frequent units come as a broadcast table of bounded size, others are sent to each chunk that holds
+them, under their number there, and neither texts nor codes are shuffled. Decoding maps ids to pieces, joins bytes, and turns the marks back into spaces.
 
 Defined results: null texts are empty and have no ids; a character without a piece becomes its bytes; all white space but the space
 is a character like others; the mark U+2581 in a text reads as a space, as the model has it; null ids are passed on and rows that repeat
@@ -44,6 +44,10 @@ from lumenmart.llm.common import kept, kept_by
 SPACE = "▁"
 #: Characters of a unit that goes by itself, and of a substring that bounds the pieces which begin with it.
 NAME, HEAD = 64, 4
+#: Characters of texts that are cut into units at once, and different units from which a chunk is full.
+PART, UNITS = 1 << 21, 400_000
+#: A token takes three bytes on its way to its chunk; from here on it is a code point, of a character without a piece.
+OTHER = 1 << 23
 PAIR_BITS = 22
 
 
@@ -53,7 +57,7 @@ class Settings:
 
     frequent: int = 120_000
     block: int = 256
-    chunk: int = 1 << 22
+    chunk: int = 1 << 24
 
 
 @lru_cache(maxsize=2)
@@ -79,9 +83,14 @@ class Merges:
         self.flat, self.places = np.frombuffer(b"".join(each), np.uint8), np.append(0, np.cumsum([len(x) for x in each])).astype(np.int64)
         self.scores = np.array([model.get_score(i) for i in range(n)])
         self.joined = {ab for p in self.ids for ab in zip(p, p[1:], strict=False)}
+        spaced = lambda c: ord(c.replace(SPACE, " "))
+        pairs = np.array([(spaced(a), spaced(b)) for a, b in self.joined if b != SPACE or a == SPACE], np.int64).reshape(-1, 2)
+        ascii_ = pairs.max(axis=1, initial=0) < 128
+        self.apart = np.ones((128, 128), bool)
+        self.apart[pairs[ascii_, 0], pairs[ascii_, 1]] = False
+        self.together = np.sort(pairs[~ascii_, 0] << 32 | pairs[~ascii_, 1])
         self.spines: dict[int, tuple[list, list]] = {}
-        # Answers of `compatible` by a hash of the pair; a later pair takes an earlier one's place.
-        self.pair_keys, self.pair_fits = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+        self.pair_keys = self.pair_fits = None
 
     def units(self, word: str) -> list[str]:
         """word, cut where no piece holds two neighbouring characters side by side."""
@@ -90,6 +99,26 @@ class Merges:
         at = [0, *(k for k, ab in enumerate(zip(word, word[1:], strict=False), 1) if ab not in self.joined), len(word)]
         return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
 
+    def begins(self, raw: np.ndarray) -> np.ndarray:
+        """Of each byte of UTF-8, whose marks are spaces, whether a unit begins there, as `units` cuts words: at a space behind another character, and where no piece holds two characters side by side."""
+        on = np.ones(len(raw), bool)
+        if len(raw) == 0 or raw.max() < 128:
+            on[1:] = self.apart[raw[:-1], raw[1:]]
+            return on
+        at = np.flatnonzero((raw & 0xC0) != 0x80)
+        chars = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+        a, b = chars[:-1], chars[1:]
+        apart = np.ones(len(a), bool)
+        plain = (a < 128) & (b < 128)
+        apart[plain] = self.apart[a[plain], b[plain]]
+        odd = np.flatnonzero(~plain)
+        if len(self.together):
+            keys = a[odd].astype(np.int64) << 32 | b[odd]
+            apart[odd] = self.together[np.minimum(np.searchsorted(self.together, keys), len(self.together) - 1)] != keys
+        on[:] = False
+        on[at[1:][apart]] = on[0] = True
+        return on
+
     def spine(self, i: int) -> tuple[list, list]:
         """Parts of piece i at its right and left border, outermost first: (id, born, gone) as merging goes."""
         found = self.spines.get(i)
@@ -127,6 +156,8 @@ class Merges:
 
     def all_compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """`compatible` of many pairs."""
+        if self.pair_keys is None:  # answers by a hash of the pair; a later pair takes an earlier one's place
+            self.pair_keys, self.pair_fits = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         key = (a.astype(np.int64) << 32) | b
         slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
         some = (a >= 0) & (b >= 0)
@@ -179,24 +210,21 @@ class Merges:
         rows = pa.ListArray.from_arrays(pa.array(of_block), pa.ListArray.from_arrays(pa.array(offsets), found))
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(blocks)).astype(np.int32)), rows)
 
-    def read_out(self, last: pa.ListArray) -> pa.Array:
-        """For each unit the ids of its best path, as little-endian 32 bits. last: for each prefix its best last edge; all units are walked back at once."""
-        best = last.flatten()
-        length, i = (pc.fill_null(best.field(x), 0).to_numpy(zero_copy_only=False) for x in ("length", "id"))
-        cuts = np.asarray(last.offsets).astype(np.int64) - last.offsets[0].as_py()
-        begin, at, on = cuts[:-1], cuts[1:], np.zeros(len(i), bool)
-        while len(at):
-            going = at > begin
-            begin, at = begin[going], at[going]
-            on[at - 1] = True
-            at = at - length[at - 1]
-        places = np.flatnonzero(on)
-        ids, many = i[places].astype("<i4"), np.ones(len(places), np.int64)
-        if (ids < 0).any():  # characters without a piece become their bytes' ids
-            each = [[k] if k >= 0 else [self.bytes[b] for b in chr(-1 - k).encode("utf-8", "surrogatepass")] for k in ids.tolist()]
-            ids, many = np.array([k for x in each for k in x], "<i4"), np.array([len(x) for x in each], np.int64)
-        ends = 4 * np.append(0, np.cumsum(many))[np.searchsorted(places, cuts)]
-        return pa.Array.from_buffers(pa.binary(), len(last), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+    def read(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all tokens, one after another, and where each one's begin; a character without a piece becomes its bytes' ids."""
+        ends = np.append(0, np.cumsum([len(t) // 3 for t in tokens])).astype(np.int64)
+        raw = np.frombuffer(b"".join(tokens), np.uint8).reshape(-1, 3)
+        ids = np.zeros((len(raw), 4), np.uint8)
+        ids[:, 2::-1] = raw
+        ids = ids.view("<i4").ravel()
+        if len(other := np.flatnonzero(ids >= OTHER)):
+            each = [[self.bytes[b] for b in chr(i - OTHER).encode("utf-8", "surrogatepass")] for i in ids[other].tolist()]
+            many = np.ones(len(ids), np.int64)
+            many[other] = [len(x) for x in each]
+            ids, after = np.repeat(ids, many), np.append(0, np.cumsum(many))
+            ids[_expanded(other, after)] = [i for x in each for i in x]
+            ends = after[ends]
+        return ids, ends
 
 
 def words_of(text: str | None) -> list[str]:
@@ -228,15 +256,20 @@ def _name(unit: str) -> str:
     return unit if len(unit) <= NAME else "#" + hashlib.sha256(unit.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """What follows the mark in each word of each text, and the number of words of each text."""
+def _units(texts: pa.Array, merges: Merges) -> tuple[pa.Array, np.ndarray]:
+    """The units of all texts, with spaces for marks, and the number of units of each text."""
     texts = pc.replace_substring(pc.fill_null(texts, ""), SPACE, " ")
-    odd = pc.or_(pc.equal(texts, ""), pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))))
-    if not pc.any(odd).as_py():
-        words = pc.split_pattern(texts, " ")
-        return words.flatten(), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    words = [[w[1:] for w in words_of(t)] for t in texts.to_pylist()]
-    return pa.array([w for x in words for w in x], pa.string()), np.array([len(x) for x in words], np.int64)
+    texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise("", texts, " "))
+    ends = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))).astype(np.int64)
+    if ends[-1] == 0:
+        return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+    first = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset]
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[first : first + ends[-1]]
+    on = merges.begins(raw)
+    on[ends[:-1][ends[1:] > ends[:-1]]] = True
+    at = np.flatnonzero(on)
+    found = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(raw)).astype(np.int32)), pa.py_buffer(raw))
+    return found, np.diff(np.searchsorted(at, ends))
 
 
 def _expanded(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -246,68 +279,69 @@ def _expanded(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _chunks(rows: DataFrame, model: str, s: Settings) -> DataFrame:
-    """rows: id, text. A row for each chunk: ids; sizes (units of each text); codes (of the units of all its texts); packed (its units, home by home, in the order of their
-    codes; a unit holds no space); long (name and full text of its long units)."""
-
-    def coded(merges: Merges, ids: list, parts: list[pa.Array], sizes: list[np.ndarray]) -> pa.RecordBatch:
-        words = pa.chunked_array(parts, pa.string()).combine_chunks().dictionary_encode()
-        units: dict[str, int] = {}
-        flat, offsets = [], [0]
-        for w in words.dictionary.to_pylist():
-            flat += [units.setdefault(u, len(units)) for u in merges.units(SPACE + w)]
-            offsets.append(len(flat))
-        offsets, flat, w = np.array(offsets, np.int64), np.array(flat, np.int64), words.indices.to_numpy().astype(np.int64)
-        codes = flat[_expanded(w, offsets)].astype(np.int32) if len(w) else np.empty(0, np.int32)
-        ends = np.append(0, np.cumsum(np.diff(offsets)[w]))[np.append(0, np.cumsum(np.concatenate(sizes)))]
+    """rows: id, text. A row for each chunk: ids; sizes (units of each text); codes (of the units of all its texts, each in as many bytes as the largest takes, little-endian); packed (its units, home by home,
+    in the order of their codes, of which `first` is the home's first; a unit holds no space); long (name, full text and code of its long units)."""
+
+    def coded(units: dict[str, int], ids: list[pa.Array], sizes: list[np.ndarray], codes: list[np.ndarray]) -> pa.RecordBatch:
         # Units are numbered home by home and by name, so that neighbours begin alike; a home's names go to the grouping in one string.
-        full = list(units)
-        names = [_name(u) for u in full]
+        full = pc.replace_substring(pa.array(units, pa.string()), " ", SPACE)
+        names = full.to_pylist()
+        long_ = {k: names[k] for k in np.flatnonzero(pc.utf8_length(full).to_numpy(zero_copy_only=False) > NAME).tolist()}
+        for k in long_:
+            names[k] = _name(names[k])
         home = np.array([zlib.crc32(n.encode("utf-8", "surrogatepass")) % homes for n in names], np.int64)
         order = pc.sort_indices(pa.array(names, pa.string())).to_numpy().astype(np.int64)
         order = order[np.argsort(home[order], kind="stable")]
-        place = np.empty(len(names), np.int32)
-        place[order] = np.arange(len(names), dtype=np.int32)
+        place = np.empty(len(names), "<u4")
+        place[order] = np.arange(len(names), dtype=np.uint32)
+        long_ = [{"name": names[k], "text": t, "no": int(place[k])} for k, t in long_.items()]
         names, home = [names[k] for k in order.tolist()], home[order]
         cut = np.flatnonzero(np.r_[True, home[1:] != home[:-1], True]) if len(home) else np.zeros(1, int)
-        packed = [{"home": int(home[i]), "names": " ".join(names[i:j])} for i, j in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
-        long_ = [{"name": _name(u), "text": u} for u in full if len(u) > NAME]
+        packed = [{"home": int(home[i]), "first": i, "names": " ".join(names[i:j])} for i, j in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+        width = max(1, -(-(len(names) - 1).bit_length() // 8)) if names else 1
+        bytes_ = b"".join(place[c].view(np.uint8).reshape(-1, 4)[:, :width].tobytes() for c in codes)
         one = lambda x, kind: pa.array([x], pa.list_(kind))
+        ids = pa.chunked_array(ids, id_type).combine_chunks()
         return pa.RecordBatch.from_arrays(
-            [one(ids, id_type), one(np.diff(ends), pa.int32()), one(place[codes] if len(codes) else codes, pa.int32()), one(packed, packed_type), one(long_, long_type)],
+            [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), one(np.concatenate(sizes), pa.int32()), pa.array([bytes_], pa.binary()), one(packed, packed_type), one(long_, long_type)],
             names=["ids", "sizes", "codes", "packed", "long"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, ids, parts, sizes, size = _load(model), [], [], [], 0
+        merges, part = _load(model), min(PART, s.chunk)
+        units, ids, sizes, codes, size = {}, [], [], [], 0
         for b in batches:
             lengths = pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
             a = 0
             while a < b.num_rows:
-                z = min(b.num_rows, a + 1 + int(np.searchsorted(np.cumsum(lengths[a:]), s.chunk - size)))
-                p, n = _parts(b.column(1).slice(a, z - a))
-                ids += b.column(0).slice(a, z - a).to_pylist()
-                parts.append(p), sizes.append(n)
+                z = min(b.num_rows, a + 1 + int(np.searchsorted(np.cumsum(lengths[a:]), part)))
+                found, many = _units(b.column(1).slice(a, z - a), merges)
+                found = found.dictionary_encode()
+                number = np.array([units.setdefault(u, len(units)) for u in found.dictionary.to_pylist()], np.int32)
+                ids.append(b.column(0).slice(a, z - a)), sizes.append(many), codes.append(number[found.indices.to_numpy()])
                 size += int(lengths[a:z].sum())
                 a = z
-                if size >= s.chunk:
-                    yield coded(merges, ids, parts, sizes)
-                    ids, parts, sizes, size = [], [], [], 0
+                if size >= s.chunk or len(units) >= UNITS:
+                    yield coded(units, ids, sizes, codes)
+                    units, ids, sizes, codes, size = {}, [], [], [], 0
         if ids:
-            yield coded(merges, ids, parts, sizes)
+            yield coded(units, ids, sizes, codes)
 
     kind = rows.schema["id"].dataType
     id_type = to_arrow_type(kind)
     homes = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed_type, long_type = pa.struct([("home", pa.int32()), ("names", pa.string())]), pa.struct([("name", pa.string()), ("text", pa.string())])
-    return rows.mapInArrow(run, f"ids array<{kind.simpleString()}>, sizes array<int>, codes array<int>, packed array<struct<home:int,names:string>>, long array<struct<name:string,text:string>>")
+    packed_type, long_type = pa.struct([("home", pa.int32()), ("first", pa.int32()), ("names", pa.string())]), pa.struct([("name", pa.string()), ("text", pa.string()), ("no", pa.int32())])
+    fields = "packed array<struct<home:int,first:int,names:string>>, long array<struct<name:string,text:string,no:int>>"
+    return rows.mapInArrow(run, f"ids array<{kind.simpleString()}>, sizes array<int>, codes binary, {fields}")
 
 
 EDGE = "struct<length:int,id:int,ok:int,score:double>"
 BEST = "struct<score:double,length:int,id:int>"
+HOLDERS = "array<struct<chunk:bigint,no:int>>"
 
 
 def edges_of(units: DataFrame, model: str, s: Settings) -> DataFrame:
-    """units: home, name, text, times; rows of a home stay where they are. name, times, edges: the lattice of each unit. An edge is a long: 32 bits of start, 8 of length, 24 of id; or length 0 and
+    """units: home, name, text, holders; rows of a home stay where they are. name, holders, edges: the lattice of each unit. An edge is a long: 32 bits of start, 8 of length, 24 of id; or length 0 and
     the code point of a character without a piece."""
     longest = _load(model).longest
     is_long = F.length("text") > s.block
@@ -315,29 +349,29 @@ def edges_of(units: DataFrame, model: str, s: Settings) -> DataFrame:
     part = lambda i: F.concat(F.get("cut", i), F.coalesce(F.substring(F.get("cut", i + 1), 1, longest - 1), F.lit("")))
     parts = F.transform(F.sequence(F.lit(0), F.size("cut") - 1), lambda i: F.struct((i * s.block).alias("base"), part(i).alias("part"), F.length(F.get("cut", i)).alias("own")))
     whole = F.array(F.struct(F.lit(0).alias("base"), F.col("text").alias("part"), F.length("text").alias("own")))
-    blocks = units.select("home", "name", "times", "text", cut.alias("cut")).select("home", "name", "times", F.inline(F.when(is_long, parts).otherwise(whole)))
-    starts = blocks.select("home", "name", "times", "base", "part", F.explode(F.sequence(F.lit(1), "own")).alias("at"))
+    blocks = units.select("home", "name", "holders", "text", cut.alias("cut")).select("home", "name", "holders", F.inline(F.when(is_long, parts).otherwise(whole)))
+    starts = blocks.select("home", "name", "holders", "base", "part", F.explode(F.sequence(F.lit(1), "own")).alias("at"))
     # Shorter than HEAD all substrings are looked up, from there on only as far as a piece begins like them.
     headed = starts.withColumn("head", F.substring("part", F.col("at"), F.lit(HEAD))).join(F.broadcast(heads(units.sparkSession, model)), "head", "left")
     reach = F.least(F.coalesce("most", F.lit(HEAD - 1)), F.length("part") - F.col("at") + 1)
-    spans = headed.select("home", "name", "times", "base", "part", "at", F.explode(F.sequence(F.lit(1), reach)).alias("n"))
-    spans = spans.select("home", "name", "times", (F.col("base") + F.col("at") - 1).alias("start"), "n", F.col("part").substr(F.col("at"), F.col("n")).alias("piece"))
+    spans = headed.select("home", "name", "holders", "base", "part", "at", F.explode(F.sequence(F.lit(1), reach)).alias("n"))
+    spans = spans.select("home", "name", "holders", (F.col("base") + F.col("at") - 1).alias("start"), "n", F.col("part").substr(F.col("at"), F.col("n")).alias("piece"))
     found = spans.join(F.broadcast(pieces(units.sparkSession, model)), "piece", "left").filter("id IS NOT NULL OR n = 1")
     edge = F.when(F.col("id").isNull(), F.ascii("piece").cast("long")).otherwise(F.shiftleft(F.col("n").cast("long"), 24) + F.col("id"))
     packed = F.shiftleft(F.col("start").cast("long"), 32) + edge
-    return found.groupBy("home", "name", "times").agg(F.collect_list(packed).alias("edges")).drop("home")
+    return found.groupBy("home", "name").agg(F.first("holders").alias("holders"), F.collect_list(packed).alias("edges")).drop("home")
 
 
 def segment(units: DataFrame, model: str, s: Settings) -> DataFrame:
-    """units: home, name, text, times. name, times, tokens: the ids of each unit, as little-endian 32 bits."""
+    """units: home, name, text, holders. name, holders, tokens: the ids of each unit, as `Merges.read` takes them."""
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _load(model)
         for b in batches:
             for a in range(0, b.num_rows, 2000):
                 part = b.slice(a, 2000)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), merges.ends(part.column(2), s.block)], names=["name", "times", "blocks"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), merges.ends(part.column(2), s.block)], names=["name", "holders", "blocks"])
 
-    ordered = edges_of(units, model, s).mapInArrow(order, f"name string, times long, blocks array<array<array<{EDGE}>>>")
+    ordered = edges_of(units, model, s).mapInArrow(order, f"name string, holders {HOLDERS}, blocks array<array<array<{EDGE}>>>")
     # State of the inner fold: the best last edge of each prefix in reach, then of the block's prefixes.
     reach, forbidden = _load(model).longest, -1e15
     state_of = lambda score, length, i: F.struct(score.alias("score"), length.alias("length"), i.alias("id"))
@@ -357,35 +391,46 @@ def segment(units: DataFrame, model: str, s: Settings) -> DataFrame:
         return F.struct(F.slice(folded, -reach, reach).alias("tail"), F.concat(acc["done"], F.array(F.slice(folded, reach + 1, F.size(block)))).alias("done"))
 
     alone = F.slice(F.aggregate(F.get("blocks", F.lit(0)), F.array(origin).cast(f"array<{BEST}>"), position), F.lit(2), F.size(F.get("blocks", F.lit(0))))
-    many = F.aggregate("blocks", state, one_block, lambda acc: F.flatten(acc["done"]))
-    folded = ordered.select("name", "times", F.when(F.size("blocks") == 1, alone).otherwise(many).alias("last"))
+    many = F.aggregate("blocks", state, one_block, lambda acc: acc["done"])
+    folded = ordered.select("name", "holders", F.when(F.size("blocks") == 1, F.array(alone)).otherwise(many).alias("last"))
 
-    def read_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = _load(model)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), merges.read_out(b.column(2))], names=["name", "times", "tokens"])
+    # From the end of the unit back to its start, block by block: an edge's own positions are skipped. A token is written as six hex digits.
+    def step(acc, e):
+        i = F.when(e["id"] < 0, F.lit(OTHER - 1) - e["id"]).otherwise(e["id"])
+        token = F.lpad(F.hex(i.cast("long")), 6, "0")
+        return F.when(acc["skip"] > 0, F.struct((acc["skip"] - 1).alias("skip"), acc["tokens"].alias("tokens"))).otherwise(
+            F.struct((e["length"] - 1).alias("skip"), F.concat(token, acc["tokens"]).alias("tokens")))
+
+    def block_back(acc, block):
+        zero = F.struct(acc["skip"].alias("skip"), F.lit("").alias("tokens"))
+        return F.aggregate(F.reverse(block), zero, step, lambda x: F.struct(x["skip"].alias("skip"), F.concat(F.array(x["tokens"]), acc["done"]).alias("done")))
 
-    return folded.mapInArrow(read_out, "name string, times long, tokens binary")
+    none_yet = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("done"))
+    tokens = F.aggregate(F.reverse("last"), none_yet, block_back, lambda acc: F.unhex(F.array_join(acc["done"], "")))
+    return folded.select("name", "holders", tokens.alias("tokens"))
 
 
 def _fill(chunks: DataFrame, frequent, kind, model: str, check: bool) -> DataFrame:
-    """chunks: ids, sizes, codes, packed, found (four bytes of a unit's number, then its tokens). For each text doc_id, n_tokens, ids_crc32, and ids, or with `check` the checksum of the text that they decode to."""
+    """chunks: ids, sizes, codes, packed, found (four bytes of a unit's code, then its tokens). For each text doc_id, n_tokens, ids_crc32, and ids, or with `check` the checksum of the text that they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, merges = frequent.value, _load(model)
         for b in batches:
             for k in range(b.num_rows):
-                ids, sizes, codes, packed, found = (c[k].values for c in b.columns)
+                ids, sizes, packed, found = (b.column(c)[k].values for c in ("ids", "sizes", "packed", "found"))
                 tokens = [table.get(u) for names in packed.field("names").to_pylist() for u in names.split(" ")]
                 if found is not None:
                     for x in found.to_pylist():
                         tokens[int.from_bytes(x[:4], "big")] = x[4:]
-                places = np.append(0, np.cumsum([len(t) // 4 for t in tokens])).astype(np.int64)
-                flat, codes, ends = np.frombuffer(b"".join(tokens), "<i4"), codes.to_numpy(), np.append(0, np.cumsum(sizes.to_numpy()))
+                flat, places = merges.read(tokens)
                 del tokens
+                ends = np.append(0, np.cumsum(sizes.to_numpy()))
+                codes = np.frombuffer(b.column("codes")[k].as_buffer(), np.uint8).reshape(int(ends[-1]), -1) if ends[-1] else np.empty((0, 1), np.uint8)
                 for a in range(0, len(ids), 200):
                     z = min(len(ids), a + 200)
-                    some = codes[ends[a] : ends[z]]
+                    some = np.zeros((ends[z] - ends[a], 4), np.uint8)
+                    some[:, : codes.shape[1]] = codes[ends[a] : ends[z]]
+                    some = some.view("<i4").ravel()
                     out = flat[_expanded(some, places)] if len(some) else np.empty(0, "<i4")
                     cuts = np.append(0, np.cumsum(np.diff(places)[some]))[ends[a : z + 1] - ends[a]]
                     each = [out[i:j] for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
@@ -414,19 +459,21 @@ def _encoded(docs: DataFrame, model: str, id_col: str, text_col: str, s: Setting
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     spark = texts.sparkSession
     chunks = kept_by(_chunks(texts, model, s).withColumn("chunk", F.monotonically_increasing_id()), "chunks", "chunk")
-    # Names are shuffled by home, many in a row, and grouped where they are, as are the edges of a unit. times: the chunks that hold it.
-    at_home = chunks.select(F.inline("packed")).repartitionById(int(spark.conf.get("spark.sql.shuffle.partitions")), "home")
-    short = at_home.select("home", F.explode(F.split("names", " ")).alias("name")).filter(F.length("name") <= NAME).groupBy("home", "name").agg(F.count(F.lit(1)).alias("times"))
+    # Names are shuffled by home, many in a row, and grouped where they are, as are the edges of a unit. holders: the chunks that hold it, and its code there.
+    at_home = chunks.select("chunk", F.inline("packed")).repartitionById(int(spark.conf.get("spark.sql.shuffle.partitions")), "home")
+    named = at_home.select("home", "chunk", "first", F.posexplode(F.split("names", " ")).alias("nth", "name")).filter(F.length("name") <= NAME)
+    short = named.groupBy("home", "name").agg(F.collect_list(F.struct("chunk", (F.col("first") + F.col("nth")).alias("no"))).alias("holders"))
     # What is longer than a name may be is a digest.
-    long_ = chunks.select(F.inline("long")).groupBy("name").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
-    lexicon = _lexicon([short.withColumn("text", F.col("name")), long_.withColumn("home", F.lit(0))], model, s)
-    # What one chunk only holds is better joined than sent to all.
-    top = lexicon.filter("times > 1").orderBy(F.desc("times"), "name").limit(s.frequent).select("name", "tokens").toArrow()
+    long_ = chunks.select("chunk", F.inline("long")).groupBy("name").agg(F.first("text").alias("text"), F.collect_list(F.struct("chunk", "no")).alias("holders"))
+    units = [short.select("home", "name", F.col("name").alias("text"), "holders"), long_.select(F.lit(0).alias("home"), "name", "text", "holders")]
+    lexicon = _lexicon(units, model, s)
+    # What one chunk only holds is better sent there than to all.
+    times = F.size("holders")
+    top = lexicon.filter(times > 1).select("name", "tokens", times.alias("times")).orderBy(F.desc("times"), "name").limit(s.frequent).select("name", "tokens").toArrow()
     names = spark.createDataFrame(top.select(["name"]))
     frequent = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
-    every = F.flatten(F.transform("packed", lambda p: F.split(p["names"], " ")))
-    asked = chunks.select("chunk", F.posexplode(every).alias("no", "name")).join(F.broadcast(names), "name", "left_anti")
-    found = asked.join(lexicon.select("name", "tokens"), "name").groupBy("chunk").agg(F.collect_list(F.concat(F.unhex(F.lpad(F.hex("no"), 8, "0")), "tokens")).alias("found"))  # one binary takes half of a struct's room
+    sent = lexicon.join(F.broadcast(names), "name", "left_anti").select("tokens", F.inline("holders"))
+    found = sent.groupBy("chunk").agg(F.collect_list(F.concat(F.unhex(F.lpad(F.hex("no"), 8, "0")), "tokens")).alias("found"))  # one binary takes half of a struct's room
     whole = chunks.join(found, "chunk", "left").select("ids", "sizes", "codes", "packed", "found")
     return _fill(whole, frequent, texts.schema["id"].dataType, model, check)
 

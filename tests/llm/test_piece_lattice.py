@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 from lumenmart.llm import piece_lattice
@@ -86,3 +87,22 @@ def test_a_chunk_sends_its_units_in_one_row_a_home(spark):
     for text, n in zip(texts, row.sizes, strict=True):
         assert "".join(units[at : at + n]) == "".join(piece_lattice.words_of(text))
         at += n
+
+
+def test_units_are_cut_from_bytes_as_words_are():
+    merges = piece_lattice._load(PATH)
+    some = [*texts(), "  two  ", "▁▁x y▁", "é é", "日 本x 語", " ", "a b"]
+    units, many = piece_lattice._units(pa.array(some), merges)
+    units, at = [u.replace(" ", piece_lattice.SPACE) for u in units.to_pylist()], 0
+    for t, n in zip(some, many.tolist(), strict=True):
+        assert units[at : at + n] == [u for w in piece_lattice.words_of(t) for u in merges.units(w)]
+        at += n
+    assert at == len(units)
+
+
+def test_a_chunk_names_its_units_once_and_codes_take_few_bytes(spark):
+    """Of nine million characters of four units one row comes, with a byte for each code."""
+    docs = spark.createDataFrame([(i, "ab cd ef " * 350_000) for i in range(3)], "id long, text string").coalesce(1)
+    (row,) = piece_lattice._chunks(docs, PATH, piece_lattice.Settings()).collect()
+    assert isinstance(row.codes, (bytes, bytearray)) and len(row.codes) == sum(row.sizes) == 3 * (3 * 350_000 + 1)
+    assert sorted(n for p in row.packed for n in p.names.split(" ")) == ["▁", "▁ab", "▁cd", "▁ef"]
