@@ -29,6 +29,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
@@ -324,8 +325,10 @@ def _chunks(rows: DataFrame, model: str, s: Settings) -> DataFrame:
                 if size >= s.chunk or len(units) >= UNITS:
                     yield coded(units, ids, sizes, codes)
                     units, ids, sizes, codes, size = {}, [], [], [], 0
+                    pa.default_memory_pool().release_unused()  # a worker lives on, in stages that want the room
         if ids:
             yield coded(units, ids, sizes, codes)
+        pa.default_memory_pool().release_unused()
 
     kind = rows.schema["id"].dataType
     id_type = to_arrow_type(kind)
@@ -444,21 +447,29 @@ def _fill(chunks: DataFrame, frequent, kind, model: str, check: bool) -> DataFra
     return chunks.mapInArrow(run, f"doc_id {kind.simpleString()}, n_tokens long, ids_crc32 long, {'text_crc32 long' if check else 'ids array<int>'}")
 
 
+@contextmanager
+def _set(spark: SparkSession, key: str, value: str):
+    """A setting of the session, for what is run inside."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _lexicon(units: list[DataFrame], model: str, s: Settings) -> DataFrame:
     """`segment` of all units, kept. A task groups the edges of thousands of units: they are held in a map, not sorted anew, up to a million."""
-    conf, key = units[0].sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = conf.get(key)
-    conf.set(key, str(1 << 20))
-    try:
+    with _set(units[0].sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(1 << 20)):
         return kept(reduce(DataFrame.unionAll, (segment(u, model, s) for u in units)), "units")
-    finally:
-        conf.set(key, before)
 
 
 def _encoded(docs: DataFrame, model: str, id_col: str, text_col: str, s: Settings, check: bool) -> DataFrame:
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     spark = texts.sparkSession
-    chunks = kept_by(_chunks(texts, model, s).withColumn("chunk", F.monotonically_increasing_id()), "chunks", "chunk")
+    # Whole texts go to Python: ten thousand of them in one batch would be held several times over.
+    with _set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", "4m"):
+        chunks = kept_by(_chunks(texts, model, s).withColumn("chunk", F.monotonically_increasing_id()), "chunks", "chunk")
     # Names are shuffled by home, many in a row, and grouped where they are, as are the edges of a unit. holders: the chunks that hold it, and its code there.
     at_home = chunks.select("chunk", F.inline("packed")).repartitionById(int(spark.conf.get("spark.sql.shuffle.partitions")), "home")
     named = at_home.select("home", "chunk", "first", F.posexplode(F.split("names", " ")).alias("nth", "name")).filter(F.length("name") <= NAME)

@@ -106,3 +106,15 @@ def test_a_chunk_names_its_units_once_and_codes_take_few_bytes(spark):
     (row,) = piece_lattice._chunks(docs, PATH, piece_lattice.Settings()).collect()
     assert isinstance(row.codes, (bytes, bytearray)) and len(row.codes) == sum(row.sizes) == 3 * (3 * 350_000 + 1)
     assert sorted(n for p in row.packed for n in p.names.split(" ")) == ["▁", "▁ab", "▁cd", "▁ef"]
+
+
+def test_the_lattice_stage_has_one_python_worker_a_task(spark, monkeypatch):
+    """Each `mapInArrow` of a stage is a worker of its own beside it; texts go to Python in small batches, and the session keeps its settings."""
+    units = spark.createDataFrame([(0, "▁a", "▁a", [(1, 2)])], f"home int, name string, text string, holders {piece_lattice.HOLDERS}")
+    plan = piece_lattice.segment(units, PATH, piece_lattice.Settings())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, kept_by = spark.conf.get(key), piece_lattice.kept_by
+    monkeypatch.setattr(piece_lattice, "kept_by", lambda *a: (seen.append(spark.conf.get(key)), kept_by(*a))[1])
+    piece_lattice.encode(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), PATH)
+    assert seen == ["4m"] and spark.conf.get(key) == before
